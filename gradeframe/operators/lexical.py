@@ -158,10 +158,11 @@ KEYWORD_KIND = 20
 
 def lexical_scores(pairs: DataFrame, key: str = "pair_id", reference: str = "reference",
                    candidate: str = "candidate", stem: bool = True,
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, prepartitioned: bool = False) -> DataFrame:
     """(key, bleu, rouge1, rouge2, rougeL, keyword_precision, keyword_recall,
     keyword_f1) for every row of ``pairs`` (F8-F14). Null text = empty.
-    ``key`` must be unique and not null."""
+    ``key`` must be unique and not null. ``prepartitioned=True`` when
+    ``pairs`` is already hash-partitioned by ``key`` (skips the Exchange)."""
     prep = rouge_prep_stemmed if stem else rouge_prep_plain
     p = (pairs.select(
         F.col(key).alias(key),
@@ -170,7 +171,8 @@ def lexical_scores(pairs: DataFrame, key: str = "pair_id", reference: str = "ref
         keywords(reference).alias("kr"), keywords(candidate).alias("kc"))
         .select(key, "br", "bc", F.col("rg.ref").alias("rr"), F.col("rg.cand").alias("rc"),
                 F.col("rg.lcs").alias("lcs"), "kr", "kc"))
-    p = p.repartition(num_partitions, key) if num_partitions else p.repartition(key)
+    if not prepartitioned:
+        p = p.repartition(num_partitions, key) if num_partitions else p.repartition(key)
 
     parts = [_carrier(LCS_KIND, F.col("lcs")),
              _records(F.col("kr"), 0, KEYWORD_KIND, 1), _records(F.col("kc"), 1, KEYWORD_KIND, 1)]

@@ -88,7 +88,7 @@ select question_id, conv_id, turn, domain, difficulty, bloom_level, question_tex
 from questions_v
 """)
 _view("questions_file2", ["questions_v"], """
-select question_id, conv_id, turn, domain, difficulty, bloom_level, upper(question_text) question_text, ground_truth_answer,
+select question_id, conv_id, turn, domain, difficulty, bloom_level, concat('copy: ', question_text) question_text, ground_truth_answer,
  question_type, context, choices_json, 2 file_ord, conv_id*100+turn row_ord
 from questions_v where conv_id%2=0
 """)
@@ -120,6 +120,9 @@ def duck_sql(body: str, views: list[str]) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS (\n{VIEW_SQL[n]}\n)" for n in order)
+    head = body.lstrip()
+    if head[:4].upper() == "WITH":
+        return f"WITH {ctes},\n{head[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"
 
 

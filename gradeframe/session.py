@@ -25,7 +25,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     """Local/test session. On a cluster, use the cluster's session and
     ``apply_scale_conf``; nothing here is required for correctness."""
     b = (SparkSession.builder.master(master).appName(app_name)
-         .config("spark.ui.enabled", "false")
+         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", os.environ.get("GRADEFRAME_DRIVER_MEMORY", "8g")))
     for k, v in {**SCALE_CONF, **(extra or {})}.items():
