@@ -1,39 +1,50 @@
 """Parsers for the judge's and the labeller's ``KEY: value`` replies, as
-native column expressions (no UDF): split lines, keep lines with a colon,
-split at the first colon, take the last line per key.
+native column expressions (no UDF).
+
+Semantics (Python ``splitlines``; lines without ':' ignored; key = text
+before the first ':'; value stripped; the last line per key wins) are
+implemented as one anchored regex scan per key: a line whose key equals K
+is exactly a line that starts with ``K:``. Known edge: for the labeller's
+case-folded keys, characters whose upper-case form is several letters
+(e.g. the 'fi' ligature) are not folded.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import (BLOOM_LEVELS, JUDGE_JUSTIFICATION_KEY, JUDGE_OVERALL_KEY,
                          JUDGE_SCORE_KEYS, JUDGE_SUBSCORE_COLUMNS)
-from .text import col_, py_splitlines, py_strip, text_or_empty
+from .text import col_, py_strip, text_or_empty
+
 
+# Line-break characters of str.splitlines() (\r\n is two of them in a row).
+BREAKS = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}"
+# Whitespace that can occur inside a line (str.isspace() minus line breaks).
+INLINE_WS = r"[\t\x1f \xa0\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
 
-def key_values(raw, fold_key: bool) -> Column:
-    """array<struct<k, v>> of the lines containing ':'. The judge compares
-    keys exactly; the labeller trims and upper-cases them."""
-    lines = F.filter(py_splitlines(raw), lambda ln: F.instr(ln, ":") > 0)
 
-    def kv(ln: Column) -> Column:
-        k = F.substring_index(ln, ":", 1)
-        if fold_key:
-            k = F.upper(py_strip(k))
-        v = py_strip(F.substr(ln, F.instr(ln, ":") + 1))
-        return F.struct(k.alias("k"), v.alias("v"))
-    return F.transform(lines, kv)
+def line_values(raw, key: str, fold_key: bool = False, value: str = f"([^{BREAKS}]*)") -> Column:
+    """Values of the lines whose key (text before the first ':') is ``key``,
+    in order. A line's key equals ``key`` exactly iff the line starts with
+    ``key:`` (``key`` has no colon); with ``fold_key`` the key may carry
+    surrounding whitespace and any letter case (trim + upper-case compare).
+    ``value`` is the pattern after the colon; its group 1 is returned.
+    One codegen'd regex scan per key, no per-line lambda."""
+    k = re.escape(key)
+    head = f"{INLINE_WS}*(?iu:{k}){INLINE_WS}*:" if fold_key else f"{k}:"
+    return F.regexp_extract_all(col_(raw), F.lit(f"(?:^|[{BREAKS}]){head}{value}"), 1)
 
 
-def last_value(kvs: Column, key: str, value_pattern: str | None = None) -> Column:
-    """Value of the last line with ``key`` (optionally only lines whose value
-    matches ``value_pattern``); null when there is none."""
-    def keep(x: Column) -> Column:
-        c = x["k"] == F.lit(key)
-        return c & x["v"].rlike(value_pattern) if value_pattern else c
-    return F.try_element_at(F.filter(kvs, keep), F.lit(-1))["v"]
+def last_value(raw, key: str, fold_key: bool = False, value: str | None = None) -> Column:
+    """Value of the last line with ``key`` (stripped), null if none; with
+    ``value``, only lines whose value matches it count (group 1 returned)."""
+    vals = line_values(raw, key, fold_key, value) if value else line_values(raw, key, fold_key)
+    v = F.try_element_at(vals, F.lit(-1))
+    return v if value else py_strip(v)
 
 
 def leading_int(v) -> Column:
@@ -52,13 +63,13 @@ def mean_of_present(cols: list[Column], digits: int = 2) -> Column:
 def parse_judge(raw) -> Column:
     """struct<correctness, completeness, clarity, cognitive_alignment: int,
     overall_score: double, justification: string> (F5 + A6)."""
-    kvs = key_values(text_or_empty(raw), fold_key=False)
-    subs = [leading_int(last_value(kvs, k)) for k in JUDGE_SCORE_KEYS]
-    overall = leading_int(last_value(kvs, JUDGE_OVERALL_KEY)).cast("double")
+    t = text_or_empty(raw)
+    subs = [leading_int(last_value(t, k)) for k in JUDGE_SCORE_KEYS]
+    overall = leading_int(last_value(t, JUDGE_OVERALL_KEY)).cast("double")
     fields = [s.alias(name) for s, name in zip(subs, JUDGE_SUBSCORE_COLUMNS)]
     return F.struct(*fields,
                     F.coalesce(overall, mean_of_present(subs)).alias("overall_score"),
-                    F.coalesce(last_value(kvs, JUDGE_JUSTIFICATION_KEY), F.lit("")).alias("justification"))
+                    F.coalesce(last_value(t, JUDGE_JUSTIFICATION_KEY), F.lit("")).alias("justification"))
 
 
 def bloom_map() -> Column:
@@ -75,11 +86,11 @@ def parse_label(raw) -> Column:
     bloom_justification> (F7 + J8). LEVEL: one leading digit, only 1..6,
     an invalid later line keeps the earlier value; the model's NAME is
     ignored; CONFIDENCE: leading ``digits[.digits]``, 3 dp, no clamp."""
-    kvs = key_values(py_strip(text_or_empty(raw)), fold_key=True)
+    t = text_or_empty(raw)
     levels = "".join(str(k) for k in BLOOM_LEVELS)
-    level = F.substr(last_value(kvs, "LEVEL", f"^[{levels}]"), F.lit(1), F.lit(1)).try_cast("int")
-    conf_v = last_value(kvs, "CONFIDENCE", r"^[0-9]")
-    conf = F.round(F.regexp_extract(conf_v, r"^([0-9]+\.?[0-9]*)", 1).try_cast("double"), 3)
+    # a LEVEL line counts only if its value starts with a valid level digit
+    level = last_value(t, "LEVEL", True, f"{INLINE_WS}*([{levels}])").try_cast("int")
+    conf = F.round(last_value(t, "CONFIDENCE", True, f"{INLINE_WS}*([0-9]+\\.?[0-9]*)").try_cast("double"), 3)
     return F.struct(level.alias("bloom_level"), bloom_name(level).alias("bloom_name"),
                     conf.alias("bloom_confidence"),
-                    F.coalesce(last_value(kvs, "JUSTIFICATION"), F.lit("")).alias("bloom_justification"))
+                    F.coalesce(last_value(t, "JUSTIFICATION", True), F.lit("")).alias("bloom_justification"))

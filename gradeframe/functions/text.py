@@ -21,6 +21,9 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 STRIP_PATTERN = f"^{WS}+|{WS}+$"
 # str.isalnum(): every character a letter or a number.
 ALNUM_TOKEN = r"^[\p{L}\p{N}]+$"
+# A whole whitespace-delimited token of >= 3 letters/digits.
+KEYWORD_TOKEN = (r"(?<![^" + WS[1:-1] + r"])([\p{L}\p{N}]{" + str(KEYWORD_MIN_CHARS) + r",})(?![^"
+                 + WS[1:-1] + r"])")
 
 
 def col_(c) -> Column:
@@ -36,9 +39,16 @@ def py_strip(c) -> Column:
     return F.regexp_replace(col_(c), STRIP_PATTERN, "")
 
 
+def split_nonempty(c, sep: str) -> Column:
+    """Split on ``sep`` and drop empty pieces (leading/trailing separators,
+    empty input). References ``c`` once, so an expensive input expression
+    is evaluated once."""
+    return F.array_remove(F.split(col_(c), sep), "")
+
+
 def py_split(c) -> Column:
     """``str.split()``: runs of whitespace, no empty tokens."""
-    return F.filter(F.split(col_(c), f"{WS}+"), lambda t: t != "")
+    return split_nonempty(c, f"{WS}+")
 
 
 def py_splitlines(c) -> Column:
@@ -58,10 +68,7 @@ def keywords(c) -> Column:
     """First ``KEYWORD_LIMIT`` distinct lower-cased whitespace tokens that are
     entirely letters/digits and at least ``KEYWORD_MIN_CHARS`` long, in first
     occurrence order (F13)."""
-    toks = F.filter(
-        F.split(F.lower(text_or_empty(c)), f"{WS}+"),
-        lambda t: t.rlike(ALNUM_TOKEN) & (F.length(t) >= KEYWORD_MIN_CHARS),
-    )
+    toks = F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(KEYWORD_TOKEN), 1)
     return F.slice(F.array_distinct(toks), 1, KEYWORD_LIMIT)
 
 

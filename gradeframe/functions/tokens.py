@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, col_, py_split, text_or_empty
+from .text import WS, col_, py_split, split_nonempty, text_or_empty
 
 # ---------------------------------------------------------------- fixed values
 # 13a tokeniser: unescaped entities, then the four punctuation rules
@@ -45,8 +45,7 @@ def bleu_tokens(c) -> Column:
 
 
 def rouge_tokens(c) -> Column:
-    s = F.regexp_replace(F.lower(text_or_empty(c)), ROUGE_SEPARATOR, " ")
-    return F.filter(F.split(s, " "), lambda t: t != "")
+    return split_nonempty(F.regexp_replace(F.lower(text_or_empty(c)), ROUGE_SEPARATOR, " "), " ")
 
 
 def ngrams(tokens, n: int) -> Column:
@@ -59,5 +58,14 @@ def ngrams(tokens, n: int) -> Column:
         .otherwise(F.array().cast("array<string>"))
 
 
+def shifted(tokens, n: int) -> Column:
+    """``arrays_zip`` of the token array and its copies shifted by 1..n-1:
+    element i holds tokens i..i+n-1 (null past the end). Built-in, codegen'd
+    array functions only; no lambda per element."""
+    t = col_(tokens)
+    parts = [t] + [F.slice(t, k + 1, F.greatest(F.size(t) - k, F.lit(0))) for k in range(1, n)]
+    return F.arrays_zip(*[p.alias(f"t{k}") for k, p in enumerate(parts)])
+
+
 def ngram_total(tokens, n: int) -> Column:
     return F.greatest(F.size(col_(tokens)) - n + 1, F.lit(0))

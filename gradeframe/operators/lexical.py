@@ -2,17 +2,18 @@
 
 Plan (one shuffle in total):
 
-1. Map side, per pair: tokenise both texts for BLEU (13a) and ROUGE, stem
-   the ROUGE tokens and measure their LCS in one Arrow-batched pandas UDF
-   (the only Python step), extract keywords. Token arrays, not raw texts,
-   are what gets shuffled.
-2. ``repartition(key)``: the only Exchange.
-3. Explode (kind, ref-count, cand-count, n-gram) records and count them
-   per (key, kind, n-gram), then per key. Both aggregates are satisfied by
-   the key partitioning, so they run in the same stage as the explode;
-   exploded n-grams never cross the network. Token lengths fall out of the
-   unigram counts, keywords are one more record kind (set semantics), and
-   the LCS length rides along as a kind-0 record, so no join is needed.
+1. ``repartition(key)`` of (key, reference, candidate): the only Exchange.
+2. Per pair, after the Exchange (so every partition works): tokenise both
+   texts for BLEU (13a) and ROUGE, stem the ROUGE tokens and measure their
+   LCS in one Arrow-batched pandas UDF (the only Python step), extract
+   keywords.
+3. Explode (kind, side, n-gram) records with built-in generators and count
+   them per (key, kind, n-gram), then per key. Both aggregates are
+   satisfied by the key partitioning, so they run in the same stage as the
+   explode; exploded n-grams never cross the network. Token lengths fall
+   out of the unigram counts, keywords are one more record kind (set
+   semantics), and the LCS length rides along as a kind-0 record, so no
+   join is needed.
 4. Evaluate the closed-form scores on the one-row-per-key result.
 
 A pair's cost is linear in its token count (hash aggregation) plus the
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from ..functions import porter
 from ..functions.lcs import lcs_length
 from ..functions.text import keyword_scores, keywords, text_or_empty
-from ..functions.tokens import bleu_tokens, ngram_total, ngrams, rouge_tokens
+from ..functions.tokens import bleu_tokens, rouge_tokens, shifted
 
 BLEU_ORDERS = (1, 2, 3, 4)
 ROUGE_ORDERS = (1, 2)
@@ -122,40 +123,53 @@ def bleu_from_counts(matches: list[Column], hyp_len: Column, ref_len: Column) ->
     return F.when(matches[0] > 0, bp * F.exp(sum(logs) / eff)).otherwise(F.lit(0.0))
 
 
-def _records(tokens: Column, side: int, kind: int, n: int) -> Column:
-    """array<struct<kind, rc, cc, gram>>: one record per n-gram occurrence."""
-    rc, cc = (1, 0) if side == 0 else (0, 1)
-
-    def rec(g: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), F.lit(rc).alias("rc"), F.lit(cc).alias("cc"),
-                        g.alias("gram"))
-    return F.transform(ngrams(tokens, n), rec)
-
-
-def _carrier(kind: int, value: Column) -> Column:
-    """A single record that carries a per-pair number in its ``cc`` slot and
-    guarantees every pair at least one record."""
-    return F.array(F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("rc"),
-                            value.cast("int").alias("cc"), F.lit("").alias("gram")))
+# Token streams of a pair: (stream id, kind base, highest order, side).
+BLEU_REF, BLEU_CAND, ROUGE_REF, ROUGE_CAND, KW_REF, KW_CAND, CARRIER = range(7)
+LCS_KIND = 0
+KEYWORD_KIND = 20
 
 
-def clipped_counts(df: DataFrame, key: str, records: Column) -> DataFrame:
+def _gram_records(df: DataFrame, key: str, streams: list[tuple[int, Column]], orders: dict[int, int],
+                  kind_base: dict[int, int]) -> DataFrame:
+    """(key, kind, side, gram) for every n-gram occurrence of every stream.
+
+    ``inline`` turns the fixed list of streams into rows, ``explode`` of an
+    ``arrays_zip`` of shifted copies gives one row per position holding the
+    next tokens, and a fixed-size ``explode`` emits that position's n-grams
+    (null past the end, filtered). Only built-in, codegen'd generators and
+    array functions; no per-element lambda."""
+    top = max(orders.values())
+    rows = df.select(key, F.inline(F.array(*[F.struct(F.lit(sid).alias("s"), toks.cast("array<string>").alias("toks"))
+                                             for sid, toks in streams])))
+    rows = rows.select(key, "s", F.explode(shifted(F.col("toks"), top)).alias("z"))
+    s = F.col("s")
+    max_n = F.lit(None).cast("int")
+    base = F.lit(None).cast("int")
+    for sid, n in orders.items():
+        max_n = F.when(s == sid, F.lit(n)).otherwise(max_n)
+        base = F.when(s == sid, F.lit(kind_base[sid])).otherwise(base)
+    grams = []
+    for n in range(1, top + 1):
+        g = F.concat_ws(" ", *[F.col(f"z.t{k}") for k in range(n)]) if n > 1 else F.col("z.t0")
+        complete = F.col(f"z.t{n - 1}").isNotNull() & (F.lit(n) <= max_n)
+        grams.append(F.struct(F.lit(n).alias("n"), F.when(complete, g).alias("gram")))
+    out = rows.select(key, base.alias("base"), (s % 2).alias("side"), F.explode(F.array(*grams)).alias("g"))
+    return (out.filter(F.col("g.gram").isNotNull())
+            .select(key, (F.col("base") + F.col("g.n")).alias("kind"), "side", F.col("g.gram").alias("gram")))
+
+
+def clipped_counts(records: DataFrame, key: str) -> DataFrame:
     """A7 core: per (key, kind, gram) the occurrence counts on each side.
-    ``df`` should already be partitioned by ``key``: the aggregate is then
-    satisfied without another Exchange."""
-    return (df.select(key, F.explode(records).alias("r"))
-            .groupBy(key, F.col("r.kind").alias("kind"), F.col("r.gram").alias("gram"))
-            .agg(F.sum("r.rc").alias("rc"), F.sum("r.cc").alias("cc")))
+    When ``records`` is partitioned by ``key`` the aggregate needs no
+    Exchange (hash partitioning on key satisfies (key, kind, gram))."""
+    return (records.groupBy(key, "kind", "gram")
+            .agg(F.sum(1 - F.col("side")).alias("rc"), F.sum("side").alias("cc")))
 
 
 def _by_kind(kind: int, value: Column) -> Column:
     return F.sum(F.when(F.col("kind") == kind, value).otherwise(F.lit(0)))
 
 
-LCS_KIND = 0
-KEYWORD_KIND = 20
-
-
 def lexical_scores(pairs: DataFrame, key: str = "pair_id", reference: str = "reference",
                    candidate: str = "candidate", stem: bool = True,
                    num_partitions: int | None = None, prepartitioned: bool = False) -> DataFrame:
@@ -164,23 +178,21 @@ def lexical_scores(pairs: DataFrame, key: str = "pair_id", reference: str = "ref
     ``key`` must be unique and not null. ``prepartitioned=True`` when
     ``pairs`` is already hash-partitioned by ``key`` (skips the Exchange)."""
     prep = rouge_prep_stemmed if stem else rouge_prep_plain
-    p = (pairs.select(
-        F.col(key).alias(key),
-        bleu_tokens(reference).alias("br"), bleu_tokens(candidate).alias("bc"),
-        prep(rouge_tokens(reference), rouge_tokens(candidate)).alias("rg"),
-        keywords(reference).alias("kr"), keywords(candidate).alias("kc"))
-        .select(key, "br", "bc", F.col("rg.ref").alias("rr"), F.col("rg.cand").alias("rc"),
-                F.col("rg.lcs").alias("lcs"), "kr", "kc"))
+    p = pairs.select(F.col(key).alias(key), F.col(reference).alias("_ref"), F.col(candidate).alias("_cand"))
     if not prepartitioned:
         p = p.repartition(num_partitions, key) if num_partitions else p.repartition(key)
-
-    parts = [_carrier(LCS_KIND, F.col("lcs")),
-             _records(F.col("kr"), 0, KEYWORD_KIND, 1), _records(F.col("kc"), 1, KEYWORD_KIND, 1)]
-    for n in BLEU_ORDERS:
-        parts += [_records(F.col("br"), 0, n, n), _records(F.col("bc"), 1, n, n)]
-    for n in ROUGE_ORDERS:
-        parts += [_records(F.col("rr"), 0, ROUGE_KIND + n, n), _records(F.col("rc"), 1, ROUGE_KIND + n, n)]
-    counts = clipped_counts(p, key, F.concat(*parts))
+    # after the Exchange: tokenisation and the Python step run on every partition
+    p = (p.select(key, bleu_tokens("_ref").alias("br"), bleu_tokens("_cand").alias("bc"),
+                  prep(rouge_tokens("_ref"), rouge_tokens("_cand")).alias("rg"),
+                  keywords("_ref").alias("kr"), keywords("_cand").alias("kc")))
+    streams = [(BLEU_REF, F.col("br")), (BLEU_CAND, F.col("bc")), (ROUGE_REF, F.col("rg.ref")),
+               (ROUGE_CAND, F.col("rg.cand")), (KW_REF, F.col("kr")), (KW_CAND, F.col("kc")),
+               (CARRIER, F.array(F.col("rg.lcs").cast("string")))]
+    orders = {BLEU_REF: max(BLEU_ORDERS), BLEU_CAND: max(BLEU_ORDERS), ROUGE_REF: max(ROUGE_ORDERS),
+              ROUGE_CAND: max(ROUGE_ORDERS), KW_REF: 1, KW_CAND: 1, CARRIER: 1}
+    base = {BLEU_REF: 0, BLEU_CAND: 0, ROUGE_REF: ROUGE_KIND, ROUGE_CAND: ROUGE_KIND,
+            KW_REF: KEYWORD_KIND - 1, KW_CAND: KEYWORD_KIND - 1, CARRIER: LCS_KIND - 1}
+    counts = clipped_counts(_gram_records(p, key, streams, orders, base), key)
 
     clipped = F.least("rc", "cc")
     agg = counts.groupBy(key).agg(
@@ -189,7 +201,7 @@ def lexical_scores(pairs: DataFrame, key: str = "pair_id", reference: str = "ref
         _by_kind(1, F.col("rc")).alias("ref_len"), _by_kind(1, F.col("cc")).alias("hyp_len"),
         _by_kind(ROUGE_KIND + 1, F.col("rc")).alias("r_ref"),
         _by_kind(ROUGE_KIND + 1, F.col("cc")).alias("r_cand"),
-        _by_kind(LCS_KIND, F.col("cc")).alias("lcs"),
+        F.max(F.when(F.col("kind") == LCS_KIND, F.col("gram").cast("int"))).alias("lcs"),
         _by_kind(KEYWORD_KIND, clipped).alias("k_common"),
         _by_kind(KEYWORD_KIND, F.col("rc")).alias("k_ref"),
         _by_kind(KEYWORD_KIND, F.col("cc")).alias("k_cand"))
@@ -217,12 +229,13 @@ def ngram_overlap(pairs: DataFrame, key: str = "pair_id", reference: str = "refe
                   candidate: str = "candidate", orders=BLEU_ORDERS) -> DataFrame:
     """A7 as a table: (key, n, matches, cand_ngrams, ref_ngrams) per order,
     clipped counts over 13a tokens; one row per key and order."""
-    p = pairs.select(F.col(key).alias(key), bleu_tokens(reference).alias("br"),
-                     bleu_tokens(candidate).alias("bc")).repartition(key)
-    parts = [_carrier(LCS_KIND, F.lit(0))]
-    for n in orders:
-        parts += [_records(F.col("br"), 0, n, n), _records(F.col("bc"), 1, n, n)]
-    counts = clipped_counts(p, key, F.concat(*parts))
+    p = pairs.select(F.col(key).alias(key), F.col(reference).alias("_ref"),
+                     F.col(candidate).alias("_cand")).repartition(key)
+    p = p.select(key, bleu_tokens("_ref").alias("br"), bleu_tokens("_cand").alias("bc"))
+    top = max(orders)
+    streams = [(BLEU_REF, F.col("br")), (BLEU_CAND, F.col("bc")), (CARRIER, F.array(F.lit("")))]
+    counts = clipped_counts(_gram_records(p, key, streams, {BLEU_REF: top, BLEU_CAND: top, CARRIER: 1},
+                                          {BLEU_REF: 0, BLEU_CAND: 0, CARRIER: LCS_KIND - 1}), key)
     agg = counts.groupBy(key).agg(
         *[_by_kind(n, F.least("rc", "cc")).alias(f"m{n}") for n in orders],
         _by_kind(1, F.col("rc")).alias("lr"), _by_kind(1, F.col("cc")).alias("lc"))
@@ -243,5 +256,5 @@ def token_table(df: DataFrame, key: str, text: str, tokenizer: str = "rouge", st
     return out
 
 
-__all__ = ["lexical_scores", "ngram_overlap", "clipped_counts", "bleu_from_counts", "stem_tokens",
+__all__ = ["lexical_scores", "ngram_overlap", "clipped_counts", "_gram_records", "bleu_from_counts", "stem_tokens",
            "lcs_udf", "token_table", "text_or_empty"]

@@ -427,6 +427,13 @@ def q_evaluate_job(spark, sf):
     return _score_select(_evaluate(spark, sf, stem=False))
 
 
+@query("evaluate_stemmed")
+def evaluate_stemmed_query(spark, sf):
+    """The evaluate job as configured by default (stemmed ROUGE, ROUGE-L)."""
+    s = _evaluate(spark, sf, stem=True)
+    return s.select(*SCORE_OUT, *[r6(c).alias(c) for c in METRIC_OUT + ["rougeL"]])
+
+
 @query("scores_sink")
 def q_scores_sink(spark, sf):
     path = scratch_path(spark, "scores")
