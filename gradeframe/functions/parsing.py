@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..constants import (BLOOM_LEVELS, JUDGE_JUSTIFICATION_KEY, JUDGE_OVERALL_KEY,
                          JUDGE_SCORE_KEYS, JUDGE_SUBSCORE_COLUMNS)
-from .text import col_, py_strip, text_or_empty
+from .text import LINE_BREAK, col_, py_strip, text_or_empty
 
 
 # Line-break characters of str.splitlines() (\r\n is two of them in a row).
@@ -47,6 +47,22 @@ def last_value(raw, key: str, fold_key: bool = False, value: str | None = None)
     return v if value else py_strip(v)
 
 
+def normalised_lines(raw) -> Column:
+    """The text with every line break turned into '\n' and a leading '\n',
+    so "a line starting with K:" is exactly an occurrence of '\nK:'."""
+    return F.concat(F.lit("\n"), F.regexp_replace(text_or_empty(raw), LINE_BREAK, "\n"))
+
+
+def last_line_value(norm, key: str) -> Column:
+    """Stripped value of the last line whose key is exactly ``key`` (null if
+    none), on ``normalised_lines`` output: plain string search for the last
+    '\nKEY:' and the rest of that line; no regex per key."""
+    n = col_(norm)
+    marker = f"\n{key}:"
+    rest = F.substring_index(n, marker, -1)
+    return F.when(F.instr(n, marker) > 0, py_strip(F.substring_index(rest, "\n", 1)))
+
+
 def leading_int(v) -> Column:
     """Leading digits of a value as int (``8/10`` -> 8, ``8.5`` -> 8, ``-3``,
     ``[8]`` or empty -> null); no range check (F6)."""
@@ -63,13 +79,13 @@ def mean_of_present(cols: list[Column], digits: int = 2) -> Column:
 def parse_judge(raw) -> Column:
     """struct<correctness, completeness, clarity, cognitive_alignment: int,
     overall_score: double, justification: string> (F5 + A6)."""
-    t = text_or_empty(raw)
-    subs = [leading_int(last_value(t, k)) for k in JUDGE_SCORE_KEYS]
-    overall = leading_int(last_value(t, JUDGE_OVERALL_KEY)).cast("double")
+    t = normalised_lines(raw)
+    subs = [leading_int(last_line_value(t, k)) for k in JUDGE_SCORE_KEYS]
+    overall = leading_int(last_line_value(t, JUDGE_OVERALL_KEY)).cast("double")
     fields = [s.alias(name) for s, name in zip(subs, JUDGE_SUBSCORE_COLUMNS)]
     return F.struct(*fields,
                     F.coalesce(overall, mean_of_present(subs)).alias("overall_score"),
-                    F.coalesce(last_value(t, JUDGE_JUSTIFICATION_KEY), F.lit("")).alias("justification"))
+                    F.coalesce(last_line_value(t, JUDGE_JUSTIFICATION_KEY), F.lit("")).alias("justification"))
 
 
 def bloom_map() -> Column:

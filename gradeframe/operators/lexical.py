@@ -97,6 +97,17 @@ def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
                       for x, y in zip(a, b)], dtype="int32")
 
 
+def text_partitions(df: DataFrame, num_partitions: int | None = None) -> int:
+    """Partition count for the text Exchange. The work after it is CPU-bound
+    per row (regex tokenising, n-gram aggregation, stemming), so the count
+    follows ``spark.sql.shuffle.partitions`` (sized by the user for the
+    data) rather than adaptive coalescing by shuffle bytes, which packs many
+    compressed texts into a handful of tasks."""
+    if num_partitions:
+        return int(num_partitions)
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _f1(p: Column, r: Column) -> Column:
     return F.when((p + r) > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
@@ -180,7 +191,7 @@ def lexical_scores(pairs: DataFrame, key: str = "pair_id", reference: str = "ref
     prep = rouge_prep_stemmed if stem else rouge_prep_plain
     p = pairs.select(F.col(key).alias(key), F.col(reference).alias("_ref"), F.col(candidate).alias("_cand"))
     if not prepartitioned:
-        p = p.repartition(num_partitions, key) if num_partitions else p.repartition(key)
+        p = p.repartition(text_partitions(pairs, num_partitions), key)
     # after the Exchange: tokenisation and the Python step run on every partition
     p = (p.select(key, bleu_tokens("_ref").alias("br"), bleu_tokens("_cand").alias("bc"),
                   prep(rouge_tokens("_ref"), rouge_tokens("_cand")).alias("rg"),
@@ -230,7 +241,7 @@ def ngram_overlap(pairs: DataFrame, key: str = "pair_id", reference: str = "refe
     """A7 as a table: (key, n, matches, cand_ngrams, ref_ngrams) per order,
     clipped counts over 13a tokens; one row per key and order."""
     p = pairs.select(F.col(key).alias(key), F.col(reference).alias("_ref"),
-                     F.col(candidate).alias("_cand")).repartition(key)
+                     F.col(candidate).alias("_cand")).repartition(text_partitions(pairs), key)
     p = p.select(key, bleu_tokens("_ref").alias("br"), bleu_tokens("_cand").alias("bc"))
     top = max(orders)
     streams = [(BLEU_REF, F.col("br")), (BLEU_CAND, F.col("bc")), (CARRIER, F.array(F.lit("")))]

@@ -20,7 +20,7 @@ from ..functions.parsing import parse_judge, parse_label
 from ..functions.prompts import PromptConfig, judge_prompt, label_prompt, question_prompt
 from ..functions.text import word_count
 from ..operators.inference import Backend, infer
-from ..operators.lexical import lexical_scores
+from ..operators.lexical import lexical_scores, text_partitions
 from ..operators.scoring import (is_error, join_responses, lexical_applies, model_lookup,
                                  resume_scores, score_metadata, skipped_justification, with_score_ids)
 from ..operators.tasks import (active_models, circuit_breaker, quota_error, resume_tasks, task_grid,
@@ -155,7 +155,7 @@ def evaluate_frame(questions: DataFrame, responses: DataFrame, models: DataFrame
             rows = rows.withColumn(c, F.lit(None).cast("int" if c == "bloom_level" else "string"))
     if done_scores is not None:
         rows = resume_scores(rows, done_scores)
-    rows = rows.repartition("response_id")
+    rows = rows.repartition(text_partitions(rows), "response_id")
     lex_in = rows.filter(lexical_applies(rows, skip_mcq)).select(
         "response_id", F.col("ground_truth_answer").alias("reference"), F.col("response_text").alias("candidate"))
     lex = lexical_scores(lex_in, key="response_id", stem=stem, prepartitioned=True)

@@ -21,7 +21,7 @@ from ..operators.scoring import (is_error, join_responses, lexical_applies, mode
                                  skipped_justification, unmatched_responses, with_score_ids)
 from ..operators.tasks import (active_models, circuit_breaker, done_pairs, quota_error, resume_tasks,
                                run_progress, task_grid, with_response_ids)
-from ..session import scratch_path
+from ..session import scratch_path, spread
 from ..sources.files import read_csv
 from ..sources.questions import (dedupe_first, load_questions, null_audit, union_inputs,
                                  with_optional_defaults)
@@ -178,14 +178,14 @@ JUDGE_OUT = ["correctness", "completeness", "clarity", "cognitive_alignment", "o
 
 @query("parse_judge")
 def q_parse_judge(spark, sf):
-    j = V(spark, sf, "judge_raw_v")
+    j = spread(V(spark, sf, "judge_raw_v"))
     p = parse_judge(F.col("raw"))
     return j.select("l_orderkey", "l_linenumber", "l_partkey", *[p[c].alias(c) for c in JUDGE_OUT])
 
 
 @query("parse_score")
 def q_parse_score(spark, sf):
-    j = V(spark, sf, "judge_raw_v")
+    j = spread(V(spark, sf, "judge_raw_v"))
     vals = F.transform(F.filter(py_splitlines(F.col("raw")), lambda ln: F.instr(ln, ":") > 0),
                        lambda ln: py_strip(F.substr(ln, F.instr(ln, ":") + 1)))
     e = j.select("l_orderkey", "l_linenumber", "l_partkey", F.posexplode(vals).alias("pos", "v"))
@@ -195,7 +195,7 @@ def q_parse_score(spark, sf):
 
 @query("overall_fallback")
 def q_overall_fallback(spark, sf):
-    j = V(spark, sf, "judge_raw_v")
+    j = spread(V(spark, sf, "judge_raw_v"))
     p = parse_judge(F.col("raw"))
     subs = [p[c] for c in JUDGE_OUT[:4]]
     return j.select("l_orderkey", "l_linenumber", "l_partkey", mean_of_present(subs).alias("mean_score"))
@@ -206,7 +206,7 @@ LABEL_OUT = ["bloom_level", "bloom_name", "bloom_confidence", "bloom_justificati
 
 @query("parse_label")
 def q_parse_label(spark, sf):
-    lab = V(spark, sf, "label_raw_v")
+    lab = spread(V(spark, sf, "label_raw_v"))
     p = parse_label(F.col("raw"))
     return lab.select("o_orderkey", *[p[c].alias(c) for c in LABEL_OUT])
 

@@ -73,3 +73,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a *scan-level* DataFrame over all cores when it has fewer
+    partitions than the cluster has task slots (a small file read as a
+    handful of splits before CPU-heavy per-row work). On large inputs the
+    scan already has more splits than slots and this is a no-op."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
