@@ -2,11 +2,12 @@
 
 Plan (one shuffle in total):
 
-1. ``repartition(key)`` of (key, reference, candidate): the only Exchange.
-2. Per pair, after the Exchange (so every partition works): tokenise both
-   texts for BLEU (13a) and ROUGE, stem the ROUGE tokens and measure their
-   LCS in one Arrow-batched pandas UDF (the only Python step), extract
-   keywords.
+1. Map side, per pair: tokenise both texts for BLEU (13a) and ROUGE, stem
+   the ROUGE tokens and measure their LCS in one Arrow-batched pandas UDF
+   (the only Python step), extract keywords.
+2. ``repartition(n, key)`` of the token arrays: the only Exchange. (A
+   Python operator placed after it would hide the partitioning from the
+   planner and cost two more shuffles of n-gram records.)
 3. Explode (kind, side, n-gram) records with built-in generators and count
    them per (key, kind, n-gram), then per key. Both aggregates are
    satisfied by the key partitioning, so they run in the same stage as the
@@ -183,22 +184,23 @@ def _by_kind(kind: int, value: Column) -> Column:
 
 def lexical_scores(pairs: DataFrame, key: str = "pair_id", reference: str = "reference",
                    candidate: str = "candidate", stem: bool = True,
-                   num_partitions: int | None = None, prepartitioned: bool = False) -> DataFrame:
+                   num_partitions: int | None = None) -> DataFrame:
     """(key, bleu, rouge1, rouge2, rougeL, keyword_precision, keyword_recall,
-    keyword_f1) for every row of ``pairs`` (F8-F14). Null text = empty.
-    ``key`` must be unique and not null. ``prepartitioned=True`` when
-    ``pairs`` is already hash-partitioned by ``key`` (skips the Exchange)."""
+    keyword_f1) for every row of ``pairs`` (F8-F14), hash-partitioned by
+    ``key``. Null text = empty. ``key`` must be unique and not null."""
     prep = rouge_prep_stemmed if stem else rouge_prep_plain
-    p = pairs.select(F.col(key).alias(key), F.col(reference).alias("_ref"), F.col(candidate).alias("_cand"))
-    if not prepartitioned:
-        p = p.repartition(text_partitions(pairs, num_partitions), key)
-    # after the Exchange: tokenisation and the Python step run on every partition
-    p = (p.select(key, bleu_tokens("_ref").alias("br"), bleu_tokens("_cand").alias("bc"),
-                  prep(rouge_tokens("_ref"), rouge_tokens("_cand")).alias("rg"),
-                  keywords("_ref").alias("kr"), keywords("_cand").alias("kc")))
-    streams = [(BLEU_REF, F.col("br")), (BLEU_CAND, F.col("bc")), (ROUGE_REF, F.col("rg.ref")),
-               (ROUGE_CAND, F.col("rg.cand")), (KW_REF, F.col("kr")), (KW_CAND, F.col("kc")),
-               (CARRIER, F.array(F.col("rg.lcs").cast("string")))]
+    # map side: tokenise and run the Python step where the rows are; the
+    # Exchange then carries token arrays and the aggregates after it need no
+    # further Exchange (a Python operator after it would hide the partitioning)
+    p = (pairs.select(F.col(key).alias(key), bleu_tokens(reference).alias("br"), bleu_tokens(candidate).alias("bc"),
+                      prep(rouge_tokens(reference), rouge_tokens(candidate)).alias("rg"),
+                      keywords(reference).alias("kr"), keywords(candidate).alias("kc"))
+         .select(key, "br", "bc", F.col("rg.ref").alias("rr"), F.col("rg.cand").alias("rc"),
+                 F.col("rg.lcs").alias("lcs"), "kr", "kc"))
+    p = p.repartition(text_partitions(pairs, num_partitions), key)
+    streams = [(BLEU_REF, F.col("br")), (BLEU_CAND, F.col("bc")), (ROUGE_REF, F.col("rr")),
+               (ROUGE_CAND, F.col("rc")), (KW_REF, F.col("kr")), (KW_CAND, F.col("kc")),
+               (CARRIER, F.array(F.col("lcs").cast("string")))]
     orders = {BLEU_REF: max(BLEU_ORDERS), BLEU_CAND: max(BLEU_ORDERS), ROUGE_REF: max(ROUGE_ORDERS),
               ROUGE_CAND: max(ROUGE_ORDERS), KW_REF: 1, KW_CAND: 1, CARRIER: 1}
     base = {BLEU_REF: 0, BLEU_CAND: 0, ROUGE_REF: ROUGE_KIND, ROUGE_CAND: ROUGE_KIND,

@@ -20,7 +20,7 @@ from ..functions.parsing import parse_judge, parse_label
 from ..functions.prompts import PromptConfig, judge_prompt, label_prompt, question_prompt
 from ..functions.text import word_count
 from ..operators.inference import Backend, infer
-from ..operators.lexical import lexical_scores, text_partitions
+from ..operators.lexical import lexical_scores
 from ..operators.scoring import (is_error, join_responses, lexical_applies, model_lookup,
                                  resume_scores, score_metadata, skipped_justification, with_score_ids)
 from ..operators.tasks import (active_models, circuit_breaker, quota_error, resume_tasks, task_grid,
@@ -146,20 +146,23 @@ def evaluate_frame(questions: DataFrame, responses: DataFrame, models: DataFrame
     """J1 -> J5 -> (P3 | I4) -> P4 + F8-F14 -> J6 -> W2 -> P5: the score
     table (42 columns) for the responses not yet scored.
 
-    The joined rows are hash-partitioned by response_id once; the metric
-    job and its join back reuse that partitioning (no further Exchange
-    until the id sort). ``response_id`` must be unique."""
+    Shuffles: the metric job exchanges token arrays once; score ids are
+    numbered on a narrow (response_id, error) projection and joined to the
+    metrics narrowly; the wide rows are shuffled once, by the final join on
+    response_id (adaptive execution broadcasts the narrow side when small).
+    ``response_id`` must be unique."""
     rows = join_responses(responses, questions)
     for c in ("domain", "bloom_level", "bloom_name", "question_text", "ground_truth_answer", "question_type"):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("int" if c == "bloom_level" else "string"))
     if done_scores is not None:
         rows = resume_scores(rows, done_scores)
-    rows = rows.repartition(text_partitions(rows), "response_id")
     lex_in = rows.filter(lexical_applies(rows, skip_mcq)).select(
         "response_id", F.col("ground_truth_answer").alias("reference"), F.col("response_text").alias("candidate"))
-    lex = lexical_scores(lex_in, key="response_id", stem=stem, prepartitioned=True)
-    rows = rows.join(lex, "response_id", "left")
+    lex = lexical_scores(lex_in, key="response_id", stem=stem)
+    narrow = rows.select("response_id", *[c for c in ("error",) if c in rows.columns])
+    ids = with_score_ids(narrow, order or ["response_id"], score_offset, compat_ids).select("response_id", "score_id")
+    side = ids.join(lex, "response_id", "left")
     err = is_error(rows)
     if judge is not None:
         judged = judge_rows(rows.filter(~err), judge, judge_model, judge_attempts, judge_delay)
@@ -177,8 +180,7 @@ def evaluate_frame(questions: DataFrame, responses: DataFrame, models: DataFrame
                             .otherwise(F.lit(""))))
     rows = model_lookup(rows, models)
     rows = score_metadata(rows)
-    rows = with_score_ids(rows, order or ["response_id"], score_offset, compat_ids)
-    return score_rows(rows)
+    return score_rows(rows.join(side, "response_id", "inner"))
 
 
 def run_evaluate(spark: SparkSession, questions: DataFrame, responses: DataFrame, models: DataFrame,
