@@ -385,6 +385,7 @@ SCORE_META = ("score_id, response_id, question_id, model_name, dataset_name, dom
 SQL["score_metadata"] = duck_sql(f"select {SCORE_META} from ({EVAL}) e", JV + ["models_v"])
 SQL["evaluate_job"] = duck_sql(f"select * from ({EVAL}) e", JV + ["models_v"])
 SQL["scores_sink"] = SQL["evaluate_job"]
+SQL["stream_evaluate"] = duck_sql(f"select * exclude (score_id) from ({EVAL}) e", JV + ["models_v"])
 
 JUDGE_N = f"""select j.*, length({judge_prompt_sql('question_text', 'ground_truth_answer', 'response_text', 'bloom_level',
   'cast(null as varchar)', 'domain')}) n from ({JOINED}) j"""

@@ -434,6 +434,21 @@ def evaluate_stemmed_query(spark, sf):
     return s.select(*SCORE_OUT, *[r6(c).alias(c) for c in METRIC_OUT + ["rougeL"]])
 
 
+@query("stream_evaluate")
+def q_stream_evaluate(spark, sf):
+    """Responses arrive as two files (split by model); the streaming job
+    scores them in two micro-batches. Score ids depend on batch order, so
+    the compared columns are the rest of the score row."""
+    from ..streaming.incremental import run_evaluate_stream
+    landing = scratch_path(spark, "landing")
+    r = V(spark, sf, "responses_v")
+    r.filter(F.col("model_name") == "copy").coalesce(1).write.parquet(landing, mode="append")
+    r.filter(F.col("model_name") != "copy").coalesce(1).write.parquet(landing, mode="append")
+    out = run_evaluate_stream(spark, V(spark, sf, "questions_v"), _stub_models(spark, sf), landing, r.schema,
+                              scratch_path(spark, "stream-scores"), files_per_batch=1, stem=False)
+    return out.select(*[c for c in SCORE_OUT if c != "score_id"], *[r6(c).alias(c) for c in METRIC_OUT])
+
+
 @query("scores_sink")
 def q_scores_sink(spark, sf):
     path = scratch_path(spark, "scores")

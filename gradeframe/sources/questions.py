@@ -107,7 +107,14 @@ def load_questions(spark: SparkSession, paths: list[str], skip: list[str] | None
         if not path_exists(spark, p):
             continue
         df = skip_datasets(read_any(spark, p, fmt), skip)
-        frames.append(with_row_order(df, i) if _has_metadata(df) else _ordinal_fallback(df, i))
+        if "_xlsx_row" in df.columns:
+            df = (df.withColumn(FILE_ORD, F.lit(i))
+                  .withColumn(ROW_ORD, F.struct(F.col("_xlsx_path").alias("path"), F.lit(0).cast("long").alias("block"),
+                                                F.col("_xlsx_row").alias("pos")))
+                  .drop("_xlsx_path", "_xlsx_row"))
+            frames.append(df)
+        else:
+            frames.append(with_row_order(df, i) if _has_metadata(df) else _ordinal_fallback(df, i))
     if not frames:
         raise FileNotFoundError(f"No question files found at: {list(paths)}")
     combined = dedupe_first(union_inputs(frames))
