@@ -182,43 +182,71 @@ def _by_kind(kind: int, value: Column) -> Column:
     return F.sum(F.when(F.col("kind") == kind, value).otherwise(F.lit(0)))
 
 
+ALL_METRICS = ("bleu", "rouge1", "rouge2", "rougeL", "keyword_precision", "keyword_recall", "keyword_f1")
+
+
 def lexical_scores(pairs: DataFrame, key: str = "pair_id", reference: str = "reference",
                    candidate: str = "candidate", stem: bool = True,
-                   num_partitions: int | None = None) -> DataFrame:
-    """(key, bleu, rouge1, rouge2, rougeL, keyword_precision, keyword_recall,
-    keyword_f1) for every row of ``pairs`` (F8-F14), hash-partitioned by
-    ``key``. Null text = empty. ``key`` must be unique and not null."""
+                   num_partitions: int | None = None, metrics=ALL_METRICS) -> DataFrame:
+    """(key, <metrics>) for every row of ``pairs`` (F8-F14), hash-partitioned
+    by ``key``. Null text = empty. ``key`` must be unique and not null.
+    Only the token streams the requested metrics need are built (BLEU alone
+    skips ROUGE tokenising and the Python step)."""
+    want = set(metrics)
+    need_bleu = "bleu" in want
+    need_rn = bool(want & {"rouge1", "rouge2"})
+    need_lcs = "rougeL" in want
+    need_kw = bool(want & {"keyword_precision", "keyword_recall", "keyword_f1"})
+    if not (need_bleu or need_rn or need_lcs or need_kw):
+        raise ValueError(f"no known metric in {metrics}")
+    if not (need_rn or need_lcs):
+        return _lexical_jvm(pairs, key, reference, candidate, num_partitions, need_bleu, need_kw, metrics)
     prep = rouge_prep_stemmed if stem else rouge_prep_plain
     # map side: tokenise and run the Python step where the rows are; the
     # Exchange then carries token arrays and the aggregates after it need no
     # further Exchange (a Python operator after it would hide the partitioning)
-    p = (pairs.select(F.col(key).alias(key), bleu_tokens(reference).alias("br"), bleu_tokens(candidate).alias("bc"),
-                      prep(rouge_tokens(reference), rouge_tokens(candidate)).alias("rg"),
-                      keywords(reference).alias("kr"), keywords(candidate).alias("kc"))
-         .select(key, "br", "bc", F.col("rg.ref").alias("rr"), F.col("rg.cand").alias("rc"),
-                 F.col("rg.lcs").alias("lcs"), "kr", "kc"))
+    cols = [F.col(key).alias(key), prep(rouge_tokens(reference), rouge_tokens(candidate)).alias("rg")]
+    if need_bleu:
+        cols += [bleu_tokens(reference).alias("br"), bleu_tokens(candidate).alias("bc")]
+    if need_kw:
+        cols += [keywords(reference).alias("kr"), keywords(candidate).alias("kc")]
+    p = pairs.select(*cols).select("*", F.col("rg.ref").alias("rr"), F.col("rg.cand").alias("rc"),
+                                   F.col("rg.lcs").alias("lcs")).drop("rg")
     p = p.repartition(text_partitions(pairs, num_partitions), key)
-    streams = [(BLEU_REF, F.col("br")), (BLEU_CAND, F.col("bc")), (ROUGE_REF, F.col("rr")),
-               (ROUGE_CAND, F.col("rc")), (KW_REF, F.col("kr")), (KW_CAND, F.col("kc")),
-               (CARRIER, F.array(F.col("lcs").cast("string")))]
-    orders = {BLEU_REF: max(BLEU_ORDERS), BLEU_CAND: max(BLEU_ORDERS), ROUGE_REF: max(ROUGE_ORDERS),
-              ROUGE_CAND: max(ROUGE_ORDERS), KW_REF: 1, KW_CAND: 1, CARRIER: 1}
-    base = {BLEU_REF: 0, BLEU_CAND: 0, ROUGE_REF: ROUGE_KIND, ROUGE_CAND: ROUGE_KIND,
-            KW_REF: KEYWORD_KIND - 1, KW_CAND: KEYWORD_KIND - 1, CARRIER: LCS_KIND - 1}
-    counts = clipped_counts(_gram_records(p, key, streams, orders, base), key)
+    rouge_top = max(ROUGE_ORDERS) if need_rn else 1
+    streams = [(ROUGE_REF, F.col("rr")), (ROUGE_CAND, F.col("rc")), (CARRIER, F.array(F.col("lcs").cast("string")))]
+    orders = {ROUGE_REF: rouge_top, ROUGE_CAND: rouge_top, CARRIER: 1}
+    if need_bleu:
+        streams += [(BLEU_REF, F.col("br")), (BLEU_CAND, F.col("bc"))]
+        orders.update({BLEU_REF: max(BLEU_ORDERS), BLEU_CAND: max(BLEU_ORDERS)})
+    if need_kw:
+        streams += [(KW_REF, F.col("kr")), (KW_CAND, F.col("kc"))]
+        orders.update({KW_REF: 1, KW_CAND: 1})
+    counts = clipped_counts(_gram_records(p, key, streams, orders, STREAM_BASE), key)
 
-    clipped = F.least("rc", "cc")
-    agg = counts.groupBy(key).agg(
-        *[_by_kind(n, clipped).alias(f"m{n}") for n in BLEU_ORDERS],
-        *[_by_kind(ROUGE_KIND + n, clipped).alias(f"r{n}") for n in ROUGE_ORDERS],
-        _by_kind(1, F.col("rc")).alias("ref_len"), _by_kind(1, F.col("cc")).alias("hyp_len"),
-        _by_kind(ROUGE_KIND + 1, F.col("rc")).alias("r_ref"),
-        _by_kind(ROUGE_KIND + 1, F.col("cc")).alias("r_cand"),
-        F.max(F.when(F.col("kind") == LCS_KIND, F.col("gram").cast("int"))).alias("lcs"),
-        _by_kind(KEYWORD_KIND, clipped).alias("k_common"),
-        _by_kind(KEYWORD_KIND, F.col("rc")).alias("k_ref"),
-        _by_kind(KEYWORD_KIND, F.col("cc")).alias("k_cand"))
+    agg = counts.groupBy(key).agg(*_count_columns())
+
+    return agg.select(key, *[_metric_columns()[m].alias(m) for m in metrics])
 
+
+STREAM_BASE = {BLEU_REF: 0, BLEU_CAND: 0, ROUGE_REF: ROUGE_KIND, ROUGE_CAND: ROUGE_KIND,
+               KW_REF: KEYWORD_KIND - 1, KW_CAND: KEYWORD_KIND - 1, CARRIER: LCS_KIND - 1}
+
+
+def _count_columns() -> list[Column]:
+    clipped = F.least("rc", "cc")
+    return [*[_by_kind(n, clipped).alias(f"m{n}") for n in BLEU_ORDERS],
+            *[_by_kind(ROUGE_KIND + n, clipped).alias(f"r{n}") for n in ROUGE_ORDERS],
+            _by_kind(1, F.col("rc")).alias("ref_len"), _by_kind(1, F.col("cc")).alias("hyp_len"),
+            _by_kind(ROUGE_KIND + 1, F.col("rc")).alias("r_ref"),
+            _by_kind(ROUGE_KIND + 1, F.col("cc")).alias("r_cand"),
+            F.max(F.when(F.col("kind") == LCS_KIND, F.col("gram").cast("int"))).alias("lcs"),
+            _by_kind(KEYWORD_KIND, clipped).alias("k_common"),
+            _by_kind(KEYWORD_KIND, F.col("rc")).alias("k_ref"),
+            _by_kind(KEYWORD_KIND, F.col("cc")).alias("k_cand")]
+
+
+def _metric_columns() -> dict[str, Column]:
     def rouge_n(n: int) -> Column:
         ov = F.col(f"r{n}").cast("double")
         return _f1(ov / F.greatest(F.col("r_cand") - n + 1, F.lit(1)),
@@ -229,13 +257,31 @@ def lexical_scores(pairs: DataFrame, key: str = "pair_id", reference: str = "ref
     k_empty = (F.col("k_ref") == 0) | (F.col("k_cand") == 0)
     kp = F.when(k_empty, F.lit(0.0)).otherwise(F.col("k_common") / F.col("k_cand"))
     kr = F.when(k_empty, F.lit(0.0)).otherwise(F.col("k_common") / F.col("k_ref"))
-    return agg.select(
-        key,
-        bleu_from_counts([F.col(f"m{n}") for n in BLEU_ORDERS], F.col("hyp_len"),
-                         F.col("ref_len")).alias("bleu"),
-        rouge_n(1).alias("rouge1"), rouge_n(2).alias("rouge2"),
-        F.when((F.col("r_ref") > 0) & (F.col("r_cand") > 0), _f1(lp, lr)).otherwise(F.lit(0.0)).alias("rougeL"),
-        kp.alias("keyword_precision"), kr.alias("keyword_recall"), _f1(kp, kr).alias("keyword_f1"))
+    return {
+        "bleu": bleu_from_counts([F.col(f"m{n}") for n in BLEU_ORDERS], F.col("hyp_len"), F.col("ref_len")),
+        "rouge1": rouge_n(1), "rouge2": rouge_n(2),
+        "rougeL": F.when((F.col("r_ref") > 0) & (F.col("r_cand") > 0), _f1(lp, lr)).otherwise(F.lit(0.0)),
+        "keyword_precision": kp, "keyword_recall": kr, "keyword_f1": _f1(kp, kr),
+    }
+
+
+def _lexical_jvm(pairs: DataFrame, key: str, reference: str, candidate: str, num_partitions,
+                 need_bleu: bool, need_kw: bool, metrics) -> DataFrame:
+    """BLEU and/or keywords only: no ROUGE tokens, no Python step."""
+    cols = [F.col(key).alias(key)]
+    streams, orders = [(CARRIER, F.array(F.lit("0")))], {CARRIER: 1}
+    if need_bleu:
+        cols += [bleu_tokens(reference).alias("br"), bleu_tokens(candidate).alias("bc")]
+        streams += [(BLEU_REF, F.col("br")), (BLEU_CAND, F.col("bc"))]
+        orders.update({BLEU_REF: max(BLEU_ORDERS), BLEU_CAND: max(BLEU_ORDERS)})
+    if need_kw:
+        cols += [keywords(reference).alias("kr"), keywords(candidate).alias("kc")]
+        streams += [(KW_REF, F.col("kr")), (KW_CAND, F.col("kc"))]
+        orders.update({KW_REF: 1, KW_CAND: 1})
+    p = pairs.select(*cols).repartition(text_partitions(pairs, num_partitions), key)
+    counts = clipped_counts(_gram_records(p, key, streams, orders, STREAM_BASE), key)
+    agg = counts.groupBy(key).agg(*_count_columns())
+    return agg.select(key, *[_metric_columns()[m].alias(m) for m in metrics])
 
 
 def ngram_overlap(pairs: DataFrame, key: str = "pair_id", reference: str = "reference",
