@@ -2,7 +2,9 @@
 driver's tables, so every registered query's work grows with its input.
 
 The SQL text is portable: the same string defines the view in Spark SQL and
-in DuckDB (the oracle), so both sides start from identical rows.
+in DuckDB (the oracle), so both sides start from identical rows. The one
+exception is the response grid, which Spark expands with a generator over
+the fixed model literal instead of a cross join (same rows).
 Portability rules: ``concat()`` instead of ``||``; ``chr(10)``; ``floor``
 before casting a double to int; no ``/`` integer division.
 """
@@ -38,19 +40,34 @@ from conversations u join conversations a on u.conv_id=a.conv_id and a.turn=u.tu
 left join benchmark b on b.item_id=u.conv_id%40
 """)
 
-_view("models_v", [], """
-select 0 model_ord,'copy' model_name,'stub' api,'copy-1' model_id,cast(0.0 as double) temperature
-union all select 1,'prefix','stub','prefix-1',cast(0.0 as double)
-union all select 2,'other','none','other-1',cast(0.0 as double)
-""")
+# The model dimension of the fixtures: (model_ord, model_name, api, model_id, temperature).
+MODELS = [(0, "copy", "stub", "copy-1", 0.0), (1, "prefix", "stub", "prefix-1", 0.0),
+          (2, "other", "none", "other-1", 0.0)]
+MODEL_COLS = ["model_ord", "model_name", "api", "model_id", "temperature"]
+
+_view("models_v", [], "\nunion all ".join(
+    f"select {o} model_ord,'{n}' model_name,'{a}' api,'{i}' model_id,cast({t} as double) temperature"
+    for o, n, a, i, t in MODELS))
 
-_view("responses_v", ["questions_v", "models_v"], """
-select concat('r_',question_id,'_',model_name) response_id, question_id, model_name,
+RESPONSES_BODY = """select concat('r_',question_id,'_',model_name) response_id, question_id, model_name,
  case when err then '' when model_name='copy' then ground_truth_answer when model_name='prefix' then substr(ground_truth_answer,1,cast(floor(length(ground_truth_answer)/2) as int)) else question_text end response_text,
  err error, case when not err then '' when conv_id%22=0 then 'rate_limit exceeded 429' else 'timeout' end error_message
-from (select q.*,m.*,(q.conv_id+m.model_ord)%11=0 err from questions_v q cross join models_v m) x
-union all select concat('r_orphan_',conv_id), concat('missing_',conv_id),'copy','orphan text',false,'' from questions_v where conv_id%13=0 and turn=0
-""")
+from ({grid}) x
+union all select concat('r_orphan_',conv_id), concat('missing_',conv_id),'copy','orphan text',false,'' from questions_v where conv_id%13=0 and turn=0"""
+
+_view("responses_v", ["questions_v", "models_v"], RESPONSES_BODY.format(
+    grid="select q.*,m.*,(q.conv_id+m.model_ord)%11=0 err from questions_v q cross join models_v m"))
+
+# Spark builds the same rows without a join: each question row is expanded
+# by a generator over the fixed model literal (no nested-loop join).
+_MODEL_STRUCTS = ", ".join(
+    f"named_struct('model_ord',{o},'model_name','{n}','api','{a}','model_id','{i}','temperature',cast({t} as double))"
+    for o, n, a, i, t in MODELS)
+SPARK_VIEW_SQL = {
+    "responses_v": RESPONSES_BODY.format(
+        grid=f"select q.*, m.*, (q.conv_id+m.model_ord)%11=0 err from questions_v q "
+             f"lateral view inline(array({_MODEL_STRUCTS})) m as {', '.join(MODEL_COLS)}"),
+}
 
 _view("pairs_v", ["responses_v", "questions_v"], """
 select r.response_id pair_id,q.ground_truth_answer reference,r.response_text candidate
@@ -137,5 +154,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base = sorted({d for n in order for d in VIEW_DEPS[n] if d in BASE_TABLES})
     register_base(spark, sf_dir, base)
     for n in order:
-        spark.sql(VIEW_SQL[n]).createOrReplaceTempView(n)
+        spark.sql(SPARK_VIEW_SQL.get(n, VIEW_SQL[n])).createOrReplaceTempView(n)
     return spark.table(name)

@@ -45,9 +45,19 @@ def test_oracle_keys_are_queries():
     assert set(ROWS_ONLY) <= {"rouge1", "rouge2", "rougeL", "stem_tokens", "evaluate_stemmed"}
 
 
+BANNED = ("NestedLoopJoin", "CartesianProduct", "BatchEvalPython")
+
+
+def assert_plan_hygiene(df):
+    """No nested-loop or cartesian joins, no row-at-a-time Python UDFs."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [b for b in BANNED if b in plan], plan
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF_SMALL)
+    assert_plan_hygiene(df)
     cols = df.columns
     got = canon(tuple(r) for r in df.collect())
     cur = duck.execute(ORACLE[name])
@@ -60,4 +70,6 @@ def test_query_matches_oracle(spark, duck, name):
 
 @pytest.mark.parametrize("name", ROWS_ONLY)
 def test_rows_only_queries_run(spark, name):
-    assert QUERIES[name](spark, SF_SMALL).count() > 0
+    df = QUERIES[name](spark, SF_SMALL)
+    assert_plan_hygiene(df)
+    assert df.count() > 0
