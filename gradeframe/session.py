@@ -35,6 +35,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -87,3 +88,22 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < slots:
         return df.repartition(slots)
     return df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``gradeframe`` importable in the Python workers of this context
+    (Arrow UDFs and ``mapInPandas`` functions live in it): zip the package
+    once and ``addPyFile`` it, as ``spark-submit --py-files`` would."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="gradeframe-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "gradeframe"), "zip", os.path.dirname(pkg), "gradeframe")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
