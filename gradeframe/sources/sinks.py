@@ -69,3 +69,16 @@ def write_versioned(df: DataFrame, base: str) -> str:
     spark.createDataFrame([(version,)], "value string").coalesce(1) \
         .write.mode("overwrite").text(f"{base}/{POINTER}")
     return version
+
+
+def union_runs(tables: dict[str, DataFrame]) -> DataFrame:
+    """Responses or scores of several runs in one table. Ids restart at 1 in
+    every run's output, so rows are keyed by (run, id): a ``run`` column is
+    added from the dict key (T14)."""
+    out = None
+    for run, df in tables.items():
+        part = df.withColumn("run", F.lit(run))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no tables given")
+    return out
