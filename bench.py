@@ -6,7 +6,7 @@ Runs each query over the tables in $BENCH_SF_DIR (default
 
 Each query is executed in full with the ``noop`` sink (every row computed,
 nothing collected to the driver); the time is the best of $BENCH_REPEAT
-runs after one warm-up of the session.
+(default 2) runs after one warm-up of the session.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "1"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
     from gradeframe.session import build_session
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
     from gradeframe.plans.registry import QUERIES
@@ -61,7 +61,7 @@ def main() -> None:
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(m.group(1)) if m else sf_dir, "cpus": int(cpus),
-                      "spark": spark.version}))
+                      "repeat": repeat, "spark": spark.version}))
     spark.stop()
 
 
