@@ -226,7 +226,7 @@ def lexical_scores(pairs: DataFrame, key: str = "pair_id", reference: str = "ref
 
     agg = counts.groupBy(key).agg(*_count_columns())
 
-    return agg.select(key, *[_metric_columns()[m].alias(m) for m in metrics])
+    return agg.select(key, *_metric_columns(metrics))
 
 
 STREAM_BASE = {BLEU_REF: 0, BLEU_CAND: 0, ROUGE_REF: ROUGE_KIND, ROUGE_CAND: ROUGE_KIND,
@@ -246,23 +246,32 @@ def _count_columns() -> list[Column]:
             _by_kind(KEYWORD_KIND, F.col("cc")).alias("k_cand")]
 
 
-def _metric_columns() -> dict[str, Column]:
+def _metric_columns(metrics) -> list[Column]:
+    """The requested closed-form scores over the per-key counts (each
+    expression is built once; building them is driver-side py4j work)."""
     def rouge_n(n: int) -> Column:
         ov = F.col(f"r{n}").cast("double")
         return _f1(ov / F.greatest(F.col("r_cand") - n + 1, F.lit(1)),
                    ov / F.greatest(F.col("r_ref") - n + 1, F.lit(1)))
 
-    lp = _ratio(F.col("lcs"), F.col("r_cand"))
-    lr = _ratio(F.col("lcs"), F.col("r_ref"))
-    k_empty = (F.col("k_ref") == 0) | (F.col("k_cand") == 0)
-    kp = F.when(k_empty, F.lit(0.0)).otherwise(F.col("k_common") / F.col("k_cand"))
-    kr = F.when(k_empty, F.lit(0.0)).otherwise(F.col("k_common") / F.col("k_ref"))
-    return {
-        "bleu": bleu_from_counts([F.col(f"m{n}") for n in BLEU_ORDERS], F.col("hyp_len"), F.col("ref_len")),
-        "rouge1": rouge_n(1), "rouge2": rouge_n(2),
-        "rougeL": F.when((F.col("r_ref") > 0) & (F.col("r_cand") > 0), _f1(lp, lr)).otherwise(F.lit(0.0)),
-        "keyword_precision": kp, "keyword_recall": kr, "keyword_f1": _f1(kp, kr),
+    def rouge_l() -> Column:
+        lp = _ratio(F.col("lcs"), F.col("r_cand"))
+        lr = _ratio(F.col("lcs"), F.col("r_ref"))
+        return F.when((F.col("r_ref") > 0) & (F.col("r_cand") > 0), _f1(lp, lr)).otherwise(F.lit(0.0))
+
+    def keyword(part: str) -> Column:
+        k_empty = (F.col("k_ref") == 0) | (F.col("k_cand") == 0)
+        kp = F.when(k_empty, F.lit(0.0)).otherwise(F.col("k_common") / F.col("k_cand"))
+        kr = F.when(k_empty, F.lit(0.0)).otherwise(F.col("k_common") / F.col("k_ref"))
+        return {"precision": kp, "recall": kr, "f1": _f1(kp, kr)}[part]
+
+    build = {
+        "bleu": lambda: bleu_from_counts([F.col(f"m{n}") for n in BLEU_ORDERS], F.col("hyp_len"), F.col("ref_len")),
+        "rouge1": lambda: rouge_n(1), "rouge2": lambda: rouge_n(2), "rougeL": rouge_l,
+        "keyword_precision": lambda: keyword("precision"), "keyword_recall": lambda: keyword("recall"),
+        "keyword_f1": lambda: keyword("f1"),
     }
+    return [build[m]().alias(m) for m in metrics]
 
 
 def _lexical_jvm(pairs: DataFrame, key: str, reference: str, candidate: str, num_partitions,
@@ -281,7 +290,7 @@ def _lexical_jvm(pairs: DataFrame, key: str, reference: str, candidate: str, num
     p = pairs.select(*cols).repartition(text_partitions(pairs, num_partitions), key)
     counts = clipped_counts(_gram_records(p, key, streams, orders, STREAM_BASE), key)
     agg = counts.groupBy(key).agg(*_count_columns())
-    return agg.select(key, *[_metric_columns()[m].alias(m) for m in metrics])
+    return agg.select(key, *_metric_columns(metrics))
 
 
 def ngram_overlap(pairs: DataFrame, key: str = "pair_id", reference: str = "reference",

@@ -55,8 +55,8 @@ def model_lookup(df: DataFrame, models: DataFrame) -> DataFrame:
         else F.create_map().cast("map<string,string>")
     tmp = F.create_map(*[x for r in rows for x in (F.lit(r["model_name"]), F.lit(r["temperature"]).cast("double"))]) \
         if rows else F.create_map().cast("map<string,double>")
-    return (df.withColumn("model_version", F.try_element_at(ver, F.col("model_name")))
-            .withColumn("temperature", F.try_element_at(tmp, F.col("model_name"))))
+    return df.withColumns({"model_version": F.try_element_at(ver, F.col("model_name")),
+                           "temperature": F.try_element_at(tmp, F.col("model_name"))})
 
 
 def is_error(df: DataFrame) -> Column:

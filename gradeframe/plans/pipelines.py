@@ -152,9 +152,11 @@ def evaluate_frame(questions: DataFrame, responses: DataFrame, models: DataFrame
     response_id (adaptive execution broadcasts the narrow side when small).
     ``response_id`` must be unique."""
     rows = join_responses(responses, questions)
-    for c in ("domain", "bloom_level", "bloom_name", "question_text", "ground_truth_answer", "question_type"):
-        if c not in rows.columns:
-            rows = rows.withColumn(c, F.lit(None).cast("int" if c == "bloom_level" else "string"))
+    missing = {c: F.lit(None).cast("int" if c == "bloom_level" else "string")
+               for c in ("domain", "bloom_level", "bloom_name", "question_text", "ground_truth_answer",
+                         "question_type") if c not in rows.columns}
+    if missing:
+        rows = rows.withColumns(missing)
     if done_scores is not None:
         rows = resume_scores(rows, done_scores)
     lex_in = rows.filter(lexical_applies(rows, skip_mcq)).select(
@@ -166,18 +168,16 @@ def evaluate_frame(questions: DataFrame, responses: DataFrame, models: DataFrame
     err = is_error(rows)
     if judge is not None:
         judged = judge_rows(rows.filter(~err), judge, judge_model, judge_attempts, judge_delay)
-        errs = rows.filter(err)
-        for c in JUDGE_SUBSCORE_COLUMNS:
-            errs = errs.withColumn(c, F.lit(None).cast("int"))
-        errs = (errs.withColumn("overall_score", F.lit(None).cast("double"))
-                .withColumn("justification", skipped_justification(F.col("error_message"))))
+        errs = rows.filter(err).withColumns({
+            **{c: F.lit(None).cast("int") for c in JUDGE_SUBSCORE_COLUMNS},
+            "overall_score": F.lit(None).cast("double"),
+            "justification": skipped_justification(F.col("error_message"))})
         rows = judged.unionByName(errs)
     else:
-        for c in JUDGE_SUBSCORE_COLUMNS:
-            rows = rows.withColumn(c, F.lit(None).cast("int"))
-        rows = (rows.withColumn("overall_score", F.lit(None).cast("double"))
-                .withColumn("justification", F.when(err, skipped_justification(F.col("error_message")))
-                            .otherwise(F.lit(""))))
+        rows = rows.withColumns({
+            **{c: F.lit(None).cast("int") for c in JUDGE_SUBSCORE_COLUMNS},
+            "overall_score": F.lit(None).cast("double"),
+            "justification": F.when(err, skipped_justification(F.col("error_message"))).otherwise(F.lit(""))})
     rows = model_lookup(rows, models)
     rows = score_metadata(rows)
     return score_rows(rows.join(side, "response_id", "inner"))
