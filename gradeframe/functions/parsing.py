@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..constants import (BLOOM_LEVELS, JUDGE_JUSTIFICATION_KEY, JUDGE_OVERALL_KEY,
                          JUDGE_SCORE_KEYS, JUDGE_SUBSCORE_COLUMNS)
-from .text import LINE_BREAK, col_, py_strip, text_or_empty
+from .text import col_, py_strip, text_or_empty
 
 
 # Line-break characters of str.splitlines() (\r\n is two of them in a row).
@@ -47,10 +47,16 @@ def last_value(raw, key: str, fold_key: bool = False, value: str | None = None)
     return v if value else py_strip(v)
 
 
+# Every str.splitlines() boundary character; "\r\n" becomes two breaks,
+# and the empty line between them has no ':' so it never matches a key.
+_BREAK_CHARS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+
+
 def normalised_lines(raw) -> Column:
     """The text with every line break turned into '\n' and a leading '\n',
-    so "a line starting with K:" is exactly an occurrence of '\nK:'."""
-    return F.concat(F.lit("\n"), F.regexp_replace(text_or_empty(raw), LINE_BREAK, "\n"))
+    so "a line starting with K:" is exactly an occurrence of '\nK:'.
+    ``translate`` is a per-character map (no regex)."""
+    return F.concat(F.lit("\n"), F.translate(text_or_empty(raw), _BREAK_CHARS, "\n" * len(_BREAK_CHARS)))
 
 
 def last_line_value(norm, key: str) -> Column:
@@ -63,6 +69,16 @@ def last_line_value(norm, key: str) -> Column:
     return F.when(F.instr(n, marker) > 0, py_strip(F.substring_index(rest, "\n", 1)))
 
 
+def last_line_int(norm, key: str) -> Column:
+    """``leading_int`` of the last ``key`` line's value, in one regex call:
+    leading whitespace is skipped by the pattern instead of a strip."""
+    n = col_(norm)
+    marker = f"\n{key}:"
+    line = F.substring_index(F.substring_index(n, marker, -1), "\n", 1)
+    digits = F.regexp_extract(line, f"^{INLINE_WS}*([0-9]+)", 1)
+    return F.when(F.instr(n, marker) > 0, digits.try_cast("int"))
+
+
 def leading_int(v) -> Column:
     """Leading digits of a value as int (``8/10`` -> 8, ``8.5`` -> 8, ``-3``,
     ``[8]`` or empty -> null); no range check (F6)."""
@@ -80,8 +96,8 @@ def parse_judge(raw) -> Column:
     """struct<correctness, completeness, clarity, cognitive_alignment: int,
     overall_score: double, justification: string> (F5 + A6)."""
     t = normalised_lines(raw)
-    subs = [leading_int(last_line_value(t, k)) for k in JUDGE_SCORE_KEYS]
-    overall = leading_int(last_line_value(t, JUDGE_OVERALL_KEY)).cast("double")
+    subs = [last_line_int(t, k) for k in JUDGE_SCORE_KEYS]
+    overall = last_line_int(t, JUDGE_OVERALL_KEY).cast("double")
     fields = [s.alias(name) for s, name in zip(subs, JUDGE_SUBSCORE_COLUMNS)]
     return F.struct(*fields,
                     F.coalesce(overall, mean_of_present(subs)).alias("overall_score"),
