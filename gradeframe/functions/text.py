@@ -19,9 +19,7 @@ WS = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}"
 # Line boundaries of Python's str.splitlines().
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 STRIP_PATTERN = f"^{WS}+|{WS}+$"
-# str.isalnum(): every character a letter or a number.
-ALNUM_TOKEN = r"^[\p{L}\p{N}]+$"
-# A whole whitespace-delimited token of >= 3 letters/digits.
+# A whole whitespace-delimited token of >= 3 letters/digits (str.isalnum()).
 KEYWORD_TOKEN = (r"(?<![^" + WS[1:-1] + r"])([\p{L}\p{N}]{" + str(KEYWORD_MIN_CHARS) + r",})(?![^"
                  + WS[1:-1] + r"])")
 

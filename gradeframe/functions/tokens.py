@@ -48,15 +48,6 @@ def rouge_tokens(c) -> Column:
     return split_nonempty(F.regexp_replace(F.lower(text_or_empty(c)), ROUGE_SEPARATOR, " "), " ")
 
 
-def ngrams(tokens, n: int) -> Column:
-    """All contiguous n-grams (space-joined) of a token array; empty when the
-    array is shorter than n (``sequence`` would otherwise count down)."""
-    t = col_(tokens)
-    k = F.size(t) - n + 1
-    return F.when(k >= 1, F.transform(F.sequence(F.lit(1), k),
-                                      lambda i: F.array_join(F.slice(t, i, n), " "))) \
-        .otherwise(F.array().cast("array<string>"))
-
 
 def shifted(tokens, n: int) -> Column:
     """``arrays_zip`` of the token array and its copies shifted by 1..n-1:
@@ -65,7 +56,3 @@ def shifted(tokens, n: int) -> Column:
     t = col_(tokens)
     parts = [t] + [F.slice(t, k + 1, F.greatest(F.size(t) - k, F.lit(0))) for k in range(1, n)]
     return F.arrays_zip(*[p.alias(f"t{k}") for k, p in enumerate(parts)])
-
-
-def ngram_total(tokens, n: int) -> Column:
-    return F.greatest(F.size(col_(tokens)) - n + 1, F.lit(0))

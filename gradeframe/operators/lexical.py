@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from ..functions import porter
 from ..functions.lcs import lcs_length
-from ..functions.text import keyword_scores, keywords, text_or_empty
+from ..functions.text import keywords
 from ..functions.tokens import bleu_tokens, rouge_tokens, shifted
 
 BLEU_ORDERS = (1, 2, 3, 4)
@@ -91,13 +91,6 @@ def rouge_prep_plain(ref: pd.Series, cand: pd.Series) -> pd.DataFrame:
     return _prep(ref, cand, False)
 
 
-@F.pandas_udf(T.IntegerType())
-def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """LCS length of two token arrays (F11 helper)."""
-    return pd.Series([lcs_length([] if x is None else list(x), [] if y is None else list(y))
-                      for x, y in zip(a, b)], dtype="int32")
-
-
 def text_partitions(df: DataFrame, num_partitions: int | None = None) -> int:
     """Partition count for the text Exchange. The work after it is CPU-bound
     per row (regex tokenising, n-gram aggregation, stemming), so the count
@@ -315,14 +308,5 @@ def ngram_overlap(pairs: DataFrame, key: str = "pair_id", reference: str = "refe
     return agg.select(key, rows.alias("o")).select(key, "o.n", "o.matches", "o.cand_ngrams", "o.ref_ngrams")
 
 
-def token_table(df: DataFrame, key: str, text: str, tokenizer: str = "rouge", stem: bool = False) -> DataFrame:
-    """(key, tokens) with the chosen tokeniser; ``stem`` applies F12."""
-    tok = rouge_tokens(text) if tokenizer == "rouge" else bleu_tokens(text)
-    out = df.select(F.col(key), tok.alias("tokens"))
-    if stem:
-        out = out.withColumn("tokens", stem_tokens("tokens"))
-    return out
-
 
-__all__ = ["lexical_scores", "ngram_overlap", "clipped_counts", "_gram_records", "bleu_from_counts", "stem_tokens",
-           "lcs_udf", "token_table", "text_or_empty"]
+__all__ = ["lexical_scores", "ngram_overlap", "clipped_counts", "bleu_from_counts", "stem_tokens"]

@@ -7,8 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import (ID_DIGITS, JUDGE_SUBSCORE_COLUMNS, LEXICAL_COLUMNS, MCQ_TYPE,
-                         SCORE_ID_PREFIX)
+from ..constants import ID_DIGITS, MCQ_TYPE, SCORE_ID_PREFIX
 from ..functions.text import py_strip, text_or_empty
 from .ids import format_id, global_exclusive_sum, global_row_number
 from .tasks import MAX_MODELS, bounded_rows
@@ -77,12 +76,6 @@ def lexical_applies(df: DataFrame, skip_mcq: bool = True) -> Column:
     return ok
 
 
-def null_scores(df: DataFrame, columns: list[str]) -> DataFrame:
-    for c in columns:
-        if c not in df.columns:
-            df = df.withColumn(c, F.lit(None).cast("double"))
-    return df
-
 
 def with_score_ids(df: DataFrame, order: list, offset: int = 0, compat: bool = False) -> DataFrame:
     """``score_`` + number. Default: unique row numbers in ``order``
@@ -108,5 +101,3 @@ def score_metadata(df: DataFrame) -> DataFrame:
         out = out.withColumn("justification", F.lit(""))
     return out
 
-
-SCORE_VALUE_COLUMNS = JUDGE_SUBSCORE_COLUMNS + ["overall_score"] + LEXICAL_COLUMNS

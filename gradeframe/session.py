@@ -73,11 +73,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/gradeframe/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
 
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a *scan-level* DataFrame over all cores when it has fewer
