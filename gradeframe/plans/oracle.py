@@ -180,6 +180,8 @@ SQL["coerce_bloom"] = duck_sql("""select question_id, bloom_level, cast(null as
 SQL["needs_label"] = duck_sql("select question_id, question_text from questions_v where bloom_level is null",
                               ["questions_v"])
 SQL["label_coverage"] = duck_sql("select count(bloom_level) labelled, count(*) total from questions_v", ["questions_v"])
+SQL["load_responses"] = duck_sql("""select response_id, question_id, model_name, nullif(response_text, '') response_text,
+  error, nullif(error_message, '') error_message from responses_v""", ["responses_v"])
 SQL["csv_roundtrip"] = duck_sql("select question_id, nullif(question_text, '') question_text, nullif(context, '') context "
                                 "from questions_v", ["questions_v"])
 

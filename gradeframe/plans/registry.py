@@ -25,7 +25,7 @@ from ..session import scratch_path, spread
 from ..sources.files import read_csv
 from ..sources.questions import (dedupe_first, load_questions, null_audit, union_inputs,
                                  with_optional_defaults)
-from ..sources.responses import coerce_bloom
+from ..sources.responses import coerce_bloom, load_responses
 from ..sources.sinks import append_responses, append_scores
 from . import stubs
 from .pipelines import evaluate_frame, label_coverage, label_frame, run_query
@@ -89,6 +89,16 @@ def q_skip_datasets(spark, sf):
     return load_questions(spark, _question_files(spark, sf), skip=["ds1", "ds2"]).select(*QCOLS)
 
 
+@query("load_responses")
+def q_load_responses(spark, sf):
+    """Responses written as CSV (texts with newlines and quotes, boolean
+    error flag as text) and read back with validation and typing (S4)."""
+    path = scratch_path(spark, "responses_csv") + "/responses.csv"
+    _write_csv(V(spark, sf, "responses_v").coalesce(1), path)
+    return load_responses(spark, path).select("response_id", "question_id", "model_name", "response_text",
+                                              "error", "error_message")
+
+
 @query("union_files")
 def q_union_files(spark, sf):
     u = union_inputs([V(spark, sf, "questions_file1"), V(spark, sf, "questions_file2")])
