@@ -47,9 +47,9 @@ def apply_scale_conf(spark: SparkSession) -> None:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a private
-    folder is created and registered, so cluster runs never fall back to a
-    machine-local path silently chosen by us.
+    Read from the session; only when it is unset *and* the master is local
+    (tests) a private folder is created and registered. On a cluster an
+    unset setting is an error, never a machine-local fallback.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -62,6 +62,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key
             conf_dir = None
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: point it at a folder every executor shares "
+                               "(HDFS / object store); a machine-local folder would lose written tables")
         conf_dir = tempfile.mkdtemp(prefix="gradeframe-ckpt-")
     sc.setCheckpointDir(conf_dir)
     d = sc.getCheckpointDir() or conf_dir
