@@ -55,3 +55,19 @@ def test_catalog():
         expand(cat, "c")
     assert effective_skip(None, cat["a"]) == ["ds1"] and effective_skip(["x"], cat["a"]) == ["x"]
     assert EvaluationRun(["q"], "r", "o", "judge").judge_model == "judge"
+
+
+def test_judge_over_written_responses(spark, tmp_dir):
+    """Responses from the query job (timestamps, doubles, ints) pass through
+    the judge step unchanged; judged rows get parsed scores."""
+    q = view(spark, SF_SMALL, "questions_v")
+    m = view(spark, SF_SMALL, "models_v")
+    out = run_query(spark, q, m, {"stub": stubs.copy_backend}, f"{tmp_dir}/r", ["conv_id", "turn"])
+    scores = run_evaluate(spark, q, out, m, f"{tmp_dir}/s", judge=stubs.judge_backend, judge_delay=0.0, stem=False)
+    rows = scores.collect()
+    assert len(rows) == out.count()
+    ok = [r for r in rows if not r["error"]]
+    assert ok and all(r["correctness"] is not None and r["justification"].startswith("length ") for r in ok)
+    assert all(r["timestamp"] is not None for r in rows)
+    ts = {r["response_id"]: r["timestamp"] for r in out.collect()}
+    assert all(r["timestamp"] == ts[r["response_id"]] for r in rows)
