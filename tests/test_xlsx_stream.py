@@ -75,3 +75,21 @@ def test_stream_scores_idempotent(spark, tmp_dir):
     # replaying everything from a fresh checkpoint writes nothing new (anti-join on response_id)
     s3 = run_evaluate_stream(spark, q, m, landing, r.schema, out, f"{tmp_dir}/ckpt2", stem=False)
     assert s3.count() == total
+
+
+def test_xlsx_shared_strings_and_numbers(spark, tmp_dir):
+    m = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    path = os.path.join(tmp_dir, "s.xlsx")
+    shared = ["question_id", "bloom_level", "flag", "q&amp;1"]
+    sheet = ('<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="C1" t="s"><v>2</v></c></row>'
+             '<row r="2"><c r="A2" t="s"><v>3</v></c><c r="B2"><v>3.0</v></c><c r="C2" t="b"><v>1</v></c></row>'
+             '<row r="3"><c r="A3" t="str"><v>q2</v></c><c r="C3" t="b"><v>0</v></c></row>')
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{m}" xmlns:r="{rel}"><sheets><sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+                   '<Relationship Id="rId1" Type="worksheet" Target="/xl/worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{m}">' + "".join(f"<si><t>{s}</t></si>" for s in shared) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{m}"><sheetData>{sheet}</sheetData></worksheet>')
+    rows = sorted((r["question_id"], r["bloom_level"], r["flag"]) for r in read_xlsx(spark, path).collect())
+    assert rows == [("q&1", "3", "TRUE"), ("q2", None, "FALSE")]
