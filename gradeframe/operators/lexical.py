@@ -63,6 +63,12 @@ def stem_tokens(tokens: pd.Series) -> pd.Series:
     return tokens.map(_stem_list)
 
 
+@F.pandas_udf(T.StringType())
+def stem_token(tokens: pd.Series) -> pd.Series:
+    """Porter stem of one token (tokens of 3 characters or fewer unchanged)."""
+    return tokens.map(lambda t: None if t is None else _stem_cached(t))
+
+
 _ROUGE_PREP = T.StructType([
     T.StructField("ref", T.ArrayType(T.StringType())),
     T.StructField("cand", T.ArrayType(T.StringType())),
@@ -128,7 +134,7 @@ def bleu_from_counts(matches: list[Column], hyp_len: Column, ref_len: Column) ->
     return F.when(matches[0] > 0, bp * F.exp(sum(logs) / eff)).otherwise(F.lit(0.0))
 
 
-# Token streams of a pair: (stream id, kind base, highest order, side).
+# Token streams of a pair (side = stream id % 2: even = reference).
 BLEU_REF, BLEU_CAND, ROUGE_REF, ROUGE_CAND, KW_REF, KW_CAND, CARRIER = range(7)
 LCS_KIND = 0
 KEYWORD_KIND = 20
@@ -309,4 +315,4 @@ def ngram_overlap(pairs: DataFrame, key: str = "pair_id", reference: str = "refe
 
 
 
-__all__ = ["lexical_scores", "ngram_overlap", "clipped_counts", "bleu_from_counts", "stem_tokens"]
+__all__ = ["lexical_scores", "ngram_overlap", "clipped_counts", "bleu_from_counts", "stem_tokens", "stem_token"]

@@ -16,7 +16,7 @@ from ..functions.parsing import bloom_name, leading_int, mean_of_present, parse_
 from ..functions.prompts import instruction, judge_prompt, label_prompt, question_prompt, render_choices
 from ..functions.text import keyword_scores, keywords, py_splitlines, py_strip, truncate, word_count
 from ..operators.inference import infer
-from ..operators.lexical import lexical_scores, ngram_overlap, stem_tokens
+from ..operators.lexical import lexical_scores, ngram_overlap, stem_token
 from ..operators.scoring import (is_error, join_responses, lexical_applies, model_lookup, resume_scores,
                                  skipped_justification, unmatched_responses, with_score_ids)
 from ..operators.tasks import (active_models, circuit_breaker, done_pairs, quota_error, resume_tasks,
@@ -288,7 +288,8 @@ def q_stem_tokens(spark, sf):
     from ..functions.tokens import rouge_tokens
     p = V(spark, sf, "pairs_v")
     toks = p.select(F.explode(rouge_tokens(F.col("reference"))).alias("token")).distinct()
-    return toks.select("token", stem_tokens(F.array("token"))[0].alias("stem"))
+    # distinct-token dimension: each token is stemmed once
+    return toks.select("token", stem_token("token").alias("stem"))
 
 
 @query("token_counts")

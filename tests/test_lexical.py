@@ -147,3 +147,11 @@ def test_single_exchange(spark, tmp_dir):
     # one Exchange in total: hash on the pair key; both aggregates reuse it
     assert plan.count("Exchange hashpartitioning") == 1
     assert "BroadcastExchange" not in plan and "SortMergeJoin" not in plan
+
+
+def test_stem_tokens_query(spark):
+    from gradeframe.functions.porter import stem as py_stem
+    from gradeframe.plans.registry import QUERIES
+    rows = QUERIES["stem_tokens"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r["stem"] == (py_stem(r["token"]) if len(r["token"]) > 3 else r["token"]) for r in rows)
+    assert len({r["token"] for r in rows}) == len(rows)
