@@ -19,6 +19,9 @@ SCALE_CONF = {
     # one partition per core (no effect once partitions are large anyway)
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Arrow batches for the Python step hold whole texts as token lists; a
+    # 20,000-word document is ~1-2 MB of Python objects, so batches stay small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     "spark.sql.session.timeZone": "UTC",
 }
 
