@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import (JUDGE_ERROR_CHARS, JUDGE_SUBSCORE_COLUMNS, LABEL_ERROR_CHARS,
-                         LEXICAL_COLUMNS, RETRY_ATTEMPTS, RETRY_DELAY_SEC, SKIP_LEXICAL_FOR_MCQ)
+                         RETRY_ATTEMPTS, RETRY_DELAY_SEC, SKIP_LEXICAL_FOR_MCQ)
 from ..functions.parsing import parse_judge, parse_label
 from ..functions.prompts import PromptConfig, judge_prompt, label_prompt, question_prompt
 from ..functions.text import word_count
@@ -28,7 +28,7 @@ from ..operators.tasks import (active_models, circuit_breaker, quota_error, resu
 from ..schemas import RESPONSES_SCHEMA, SCORES_SCHEMA
 from ..session import scratch_path
 from ..sources.responses import coerce_bloom, read_or_empty
-from ..sources.sinks import append_responses, append_scores, response_rows, score_rows, write_versioned
+from ..sources.sinks import append_responses, append_scores, score_rows, write_versioned
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -298,4 +298,4 @@ def effective_skip(cli_skip: list[str] | None, run: QueryRun) -> list[str]:
 
 __all__ = ["materialize", "query_tasks", "responses_from_calls", "run_query", "judge_rows", "evaluate_frame",
            "run_evaluate", "label_frame", "needs_label", "label_merge", "label_coverage", "run_label",
-           "QueryRun", "EvaluationRun", "expand", "effective_skip", "response_rows", "LEXICAL_COLUMNS"]
+           "QueryRun", "EvaluationRun", "expand", "effective_skip"]
