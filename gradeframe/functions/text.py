@@ -16,6 +16,10 @@ from ..constants import KEYWORD_LIMIT, KEYWORD_MIN_CHARS
 # Characters Python's str.isspace() accepts.
 WS = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}"
       r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+# The same set as a string of characters (derived from Python itself; all
+# of them lie below U+3001), for the character-set functions btrim/rtrim/
+# translate, which need no regex.
+WS_CHARS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 # Line boundaries of Python's str.splitlines().
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 STRIP_PATTERN = f"^{WS}+|{WS}+$"
@@ -34,7 +38,12 @@ def text_or_empty(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    return F.regexp_replace(col_(c), STRIP_PATTERN, "")
+    """``str.strip()``: character-set trim, no regex."""
+    return F.btrim(col_(c), F.lit(WS_CHARS))
+
+
+def py_rstrip(c) -> Column:
+    return F.rtrim(col_(c), F.lit(WS_CHARS))
 
 
 def split_nonempty(c, sep: str) -> Column:
@@ -45,8 +54,11 @@ def split_nonempty(c, sep: str) -> Column:
 
 
 def py_split(c) -> Column:
-    """``str.split()``: runs of whitespace, no empty tokens."""
-    return split_nonempty(c, f"{WS}+")
+    """``str.split()``: runs of whitespace, no empty tokens. Every
+    whitespace character becomes a space (``translate``), then a plain
+    single-space split; empty pieces are dropped."""
+    spaced = F.translate(col_(c), WS_CHARS, " " * len(WS_CHARS))
+    return split_nonempty(spaced, " ")
 
 
 def py_splitlines(c) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, col_, py_split, split_nonempty, text_or_empty
+from .text import col_, py_rstrip, py_split, split_nonempty, text_or_empty
 
 # ---------------------------------------------------------------- fixed values
 # 13a tokeniser: unescaped entities, then the four punctuation rules
@@ -28,11 +28,8 @@ BLEU_RULES = [
 ROUGE_SEPARATOR = r"[^a-z0-9]+"
 # --------------------------------------------------------- end of fixed values
 
-RSTRIP_PATTERN = f"{WS}+$"
-
-
 def bleu_tokens(c) -> Column:
-    s = F.regexp_replace(text_or_empty(c), RSTRIP_PATTERN, "")
+    s = py_rstrip(text_or_empty(c))
     s = F.replace(s, F.lit("<skipped>"), F.lit(""))
     s = F.replace(s, F.lit("-\n"), F.lit(""))
     s = F.replace(s, F.lit("\n"), F.lit(" "))

@@ -54,3 +54,11 @@ def test_keyword_scores(spark):
     assert rows[0][0] == 0.5 and abs(rows[0][1] - 2 / 3) < 1e-12 and abs(rows[0][2] - 4 / 7) < 1e-12
     assert tuple(rows[1]) == (0.0, 0.0, 0.0)
     assert F is not None
+
+
+def test_whitespace_set_matches_regex_class():
+    import re
+    pat = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: "\\u" + m.group(1).zfill(4), T.WS))
+    every = [chr(c) for c in range(0x3001)]
+    assert "".join(ch for ch in every if pat.fullmatch(ch)) == T.WS_CHARS
+    assert all(not chr(c).isspace() for c in range(0x3001, 0x110000))
