@@ -23,9 +23,9 @@ WS_CHARS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 # Line boundaries of Python's str.splitlines().
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 STRIP_PATTERN = f"^{WS}+|{WS}+$"
-# A whole whitespace-delimited token of >= 3 letters/digits (str.isalnum()).
-KEYWORD_TOKEN = (r"(?<![^" + WS[1:-1] + r"])([\p{L}\p{N}]{" + str(KEYWORD_MIN_CHARS) + r",})(?![^"
-                 + WS[1:-1] + r"])")
+# A whitespace-delimited token kept as a keyword: only letters/digits
+# (str.isalnum()) and at least KEYWORD_MIN_CHARS of them.
+KEYWORD_TOKEN = r"^[\p{L}\p{N}]{" + str(KEYWORD_MIN_CHARS) + r",}$"
 
 
 def col_(c) -> Column:
@@ -78,7 +78,7 @@ def keywords(c) -> Column:
     """First ``KEYWORD_LIMIT`` distinct lower-cased whitespace tokens that are
     entirely letters/digits and at least ``KEYWORD_MIN_CHARS`` long, in first
     occurrence order (F13)."""
-    toks = F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(KEYWORD_TOKEN), 1)
+    toks = F.filter(py_split(F.lower(text_or_empty(c))), lambda t: t.rlike(KEYWORD_TOKEN))
     return F.slice(F.array_distinct(toks), 1, KEYWORD_LIMIT)
 
 
