@@ -6,6 +6,7 @@ from .quality import op6_quality
 from .shards import op5_shards
 from .token_counts import op4_token_counts
 from .token_files import op1_token_files
+from .url_filter import op3_url_filter
 
-QUERIES = {"op1_token_files": op1_token_files, "op4_token_counts": op4_token_counts, "op5_shards": op5_shards, "op6_quality": op6_quality}
+QUERIES = {"op1_token_files": op1_token_files, "op3_url_filter": op3_url_filter, "op4_token_counts": op4_token_counts, "op5_shards": op5_shards, "op6_quality": op6_quality}
 SQL: dict[str, str] = {}

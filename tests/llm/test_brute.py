@@ -73,5 +73,6 @@ def test_op6(spark, sf):
 def test_empty(spark, sf, tmp_path):
     from gradeframe.llm.queries import QUERIES
     spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     for name, f in QUERIES.items():
         assert f(spark, str(tmp_path)).count() == 0, name
