@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_decontaminate
+from .near_dedup import op9_near_dedup
+from .packing import op2_packing
+from .pii import op10_pii
 from .quality import op6_quality
 from .shards import op5_shards
 from .token_counts import op4_token_counts
 from .token_files import op1_token_files
 from .url_filter import op3_url_filter
 
-QUERIES = {"op1_token_files": op1_token_files, "op3_url_filter": op3_url_filter, "op4_token_counts": op4_token_counts, "op5_shards": op5_shards, "op6_quality": op6_quality}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_packing, op3_url_filter, op4_token_counts, op5_shards, op6_quality,
+                                   op7_decontaminate, op9_near_dedup, op10_pii)}
 SQL: dict[str, str] = {}
