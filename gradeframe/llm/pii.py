@@ -83,8 +83,10 @@ def _candidates(text: Column, base: Column) -> Column:
     trim = F.transform(tokens, lambda s: s.withField("value", F.regexp_replace(s["value"], "[.,;:!?)\"']+$", "")))
     trim = F.transform(trim, lambda s: s.withField("end", (s["start"] + F.length(s["value"])).cast("int")))
     free = F.filter(trim, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.concat(*[F.transform(F.filter(free, lambda s, k=k: s["value"].rlike(SHAPE[k])),
-                                  lambda s, i=i: s.withField("kind", F.lit(i))) for i, k in enumerate(KINDS)])
+
+    def of_kind(i, shape):
+        return F.transform(F.filter(free, lambda s: s["value"].rlike(shape)), lambda s: s.withField("kind", F.lit(i)))
+    return F.concat(*[of_kind(i, SHAPE[k]) for i, k in enumerate(KINDS)])
 
 
 def _sure(edges: DataFrame) -> DataFrame:
@@ -151,6 +153,7 @@ def _joined(spans: Column) -> Column:
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
     d = found(documents(spark, sf_dir).select("doc_id", "text"))
-    counts = {f"n_{k}": F.size(F.filter("pii_base", lambda s, i=i: s["kind"] == i)).cast("long") for i, k in enumerate(KINDS)}
+    kinds = F.transform("pii_base", lambda s: s["kind"])
+    counts = {f"n_{k}": (F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long") for i, k in enumerate(KINDS)}
     return d.withColumns(counts).select("doc_id", *counts, F.sha2(_joined(F.col("pii_base")).cast("binary"), 256).alias("base_sha256"),
                                         _joined(F.col("pii_all")).alias("spans"))
