@@ -7,11 +7,12 @@
    list each document under its rarest ones (``_places``): a common passage
    makes no list unless the document is mostly made of common text.
    A sketch that is the whole set gives an exact bound; for others the shared
-   count is hypergeometric with mean 0.75 K, and ``LEAST`` lies 7 deviations
-   below it.
+   count is hypergeometric with mean 0.75 K, and ``_least`` lies ``SIGMAS``
+   deviations below it.
 3. Lists are linked by stars over blocks of at most about ``BLOCK`` members,
    then stars of leaders. A pair is estimated on the union sketch, then
-   confirmed by exact Jaccard on full sets.
+   confirmed by exact Jaccard on full sets. Members outside their list's main
+   component are then held against more of its leaders.
 4. All pairs of a list that are still in different components are then
    tested (members outside the list's main component against all members), so
    the components equal those of the full link graph.
@@ -30,9 +31,10 @@ from .common import documents, written
 from .components import components
 from .shingles import fingerprint, overlap, shingle_set
 
-K = 128
-LEAST = 62          # shared retained values of a pair at 0.75: 96 on average, deviation 4.9
+K = 192
+SIGMAS = 7          # deviations below the mean that a pair's shared retained values are let to lie
 BLOCK = 256
+LEADERS = (16, 64)  # leaders of each list in the rounds after the stars
 SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, sketch array<long>"
 
 
@@ -52,10 +54,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").cast("binary").alias("text"))
 
 
+def _least(n: Column) -> Column:
+    """Retained values that a pair at 0.75 shares at least, when the smaller set has ``n``: three quarters of
+    a union that lies in the sketch, else of K draws from a union of at most n / 0.75."""
+    union = F.greatest(n / 0.75, F.lit(K + 1.0))
+    drawn = F.floor(0.75 * K - SIGMAS * F.sqrt(0.1875 * K * (union - K) / (union - 1)))
+    return F.least(drawn, F.floor(0.75 * n)).cast("long")
+
+
 def _places(n: Column) -> Column:
     """How many of its rarest retained values a document of ``n`` shingles must be listed under."""
     whole = F.floor(n / 4) + 1
-    return F.when(4 * n <= 3 * K, whole).otherwise(F.least(n, F.lit(K)) - LEAST + 1)
+    return F.when(4 * n <= 3 * K, whole).otherwise(F.least(n, F.lit(K)) - _least(n) + 1)
 
 
 def _listed(reps: DataFrame) -> DataFrame:
@@ -98,7 +108,8 @@ def _confirmed(pairs: DataFrame, kept: DataFrame) -> DataFrame:
     union = F.array_sort(F.array_union("sketch_a", "sketch_b"))
     shared = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), F.slice(union, 1, K)))
     whole = (F.greatest("n_shingles_a", "n_shingles_b") <= K)
-    fits = F.when(whole & (F.size(union) <= K), 4 * shared >= 3 * F.size(union)).otherwise(shared >= LEAST)
+    fits = F.when(whole & (F.size(union) <= K), 4 * shared >= 3 * F.size(union)).otherwise(
+        shared >= _least(F.least("n_shingles_a", "n_shingles_b")))
     p = p.where(fits).select("a", "b").join(side("a", "text"), "a").join(side("b", "text"), "b")
 
     def exact(batches):
@@ -112,17 +123,37 @@ def _confirmed(pairs: DataFrame, kept: DataFrame) -> DataFrame:
     return p.select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long")
 
 
-def _late_pairs(listed: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs that share a list but no component yet."""
+def _apart(listed: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (value, doc, n, c, main) of the lists with more than one component: those outside the list's
+    main component, and all."""
     m = listed.join(comps.withColumnRenamed("node", "doc"), "doc", "left")
     m = m.select("value", "doc", "n", F.coalesce("component", "doc").alias("c"))
     main = m.groupBy("value", "c").agg(F.count("*").alias("k")).groupBy("value").agg(
         F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    m = m.join(main.select("value", "main"), "value")
+    m = written(m.join(main.select("value", "main"), "value"), "apart")
     few = m.where("c <> main").select("value", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    pairs = few.join(m, "value").where((F.col("cx") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("x") < F.col("doc"))))
-    return _near_sizes(pairs.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b"),
-                                    F.col("nx").alias("na"), F.col("n").alias("nb"))).distinct()
+    return few, m
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    return _near_sizes(joined.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b"),
+                                     F.col("nx").alias("na"), F.col("n").alias("nb"))).distinct()
+
+
+def _leader_pairs(listed: DataFrame, comps: DataFrame, leaders: int) -> DataFrame:
+    """Members outside the main component with up to ``leaders`` members of it, spread by hash."""
+    few, m = _apart(listed, comps)
+    draw = F.xxhash64("doc", F.lit(leaders))
+    lead = m.where("c = main").groupBy("value", F.pmod(draw, F.lit(leaders)).alias("part")).agg(
+        F.min(F.struct(draw.alias("h"), "doc", "n")).alias("l")).select("value", "l.doc", "l.n")
+    return _pairs(few.join(lead, "value"))
+
+
+def _late_pairs(listed: DataFrame, comps: DataFrame) -> DataFrame:
+    """All pairs that share a list but no component yet."""
+    few, m = _apart(listed, comps)
+    return _pairs(few.join(m, "value").where(
+        (F.col("cx") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("x") < F.col("doc")))))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -137,17 +168,22 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     kept = sk.join(ids, "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch")
     texts = _keyed(docs).join(ids, "doc_id", "left_semi")
     kept = written(kept.dropDuplicates(["doc_id"]).join(texts.dropDuplicates(["doc_id"]), "doc_id"), "candidates")
-    tried = written(_star_pairs(listed), "pairs")
-    links = written(_confirmed(tried, kept), "links")
-    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    comps = written(components(edges), "components")
-    late = written(_late_pairs(listed, comps).join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = written(_confirmed(late, kept), "links")
-    if not more.isEmpty():
-        # each earlier component is one star by now
-        edges = comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(
-            more.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        comps = written(components(edges), "components")
+    comps = tried = None
+    for round_ in ("stars", *LEADERS, "all"):
+        if round_ == "stars":
+            pairs = _star_pairs(listed)
+        else:
+            pairs = _late_pairs(listed, comps) if round_ == "all" else _leader_pairs(listed, comps, round_)
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        links = written(_confirmed(pairs, kept), "links").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if comps is None:
+            comps = written(components(links), "components")
+        elif not links.isEmpty():
+            # each earlier component is one star by now
+            earlier = comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            comps = written(components(earlier.unionByName(links)), "components")
     out = sk.select("doc_id", *sets).join(first.select(*sets, "rep"), sets, "left")
     out = out.withColumn("node", F.coalesce("rep", "doc_id")).join(comps, "node", "left")
     comp = F.coalesce("component", "node")
