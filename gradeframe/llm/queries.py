@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op7_decontaminate
+from .lm_scoring import op8_lm_scoring
 from .near_dedup import op9_near_dedup
 from .packing import op2_packing
 from .pii import op10_pii
@@ -13,5 +14,5 @@ from .token_files import op1_token_files
 from .url_filter import op3_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_packing, op3_url_filter, op4_token_counts, op5_shards, op6_quality,
-                                   op7_decontaminate, op9_near_dedup, op10_pii)}
+                                   op7_decontaminate, op8_lm_scoring, op9_near_dedup, op10_pii)}
 SQL: dict[str, str] = {}

@@ -41,19 +41,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_set(text: bytes | None) -> np.ndarray:
-    """Sorted distinct shingle hashes (int64) of one UTF-8 text."""
+def word_hashes(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of every word of one UTF-8 text."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if not text:
-        return np.zeros(0, np.int64)
+        return none
     b = np.frombuffer(text, np.uint8)
     inside = np.concatenate(([False], ~_SPACE[b], [False]))
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
     if not len(start):
-        return np.zeros(0, np.int64)
+        return none
     up, down = _grow(len(b) + 1)
     run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * up[:len(b)])))
-    word = mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64))
+    return mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64)), start
+
+
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """Sorted distinct shingle hashes (int64) of one UTF-8 text."""
+    word, _ = word_hashes(text)
+    if not len(word):
+        return np.zeros(0, np.int64)
     if len(word) < WORDS:
         h = (word * _PLACE[:len(word)]).sum(keepdims=True) + np.uint64(len(word))
     else:
