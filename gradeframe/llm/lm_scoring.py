@@ -37,7 +37,7 @@ from .common import documents, written
 from .ef_trie import Level, get, log10_of, pack, put, quantised, unpack
 from .shingles import mix, word_hashes
 
-BLOCK = 12 << 20
+BLOCK = 24 << 20
 SLICE = 1 << 20
 HOT = 250_000
 MU = 4.0
@@ -49,14 +49,22 @@ SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
           "base_score double, score double")
 
 
+def _small(*arrays) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pack(*arrays))
+
+
+def _large(raw: bytes) -> list[np.ndarray]:
+    return unpack(zstandard.ZstdDecompressor().decompress(raw))
+
+
 def _save(root: str, kind: str, *arrays) -> str:
     name = f"{root}/{kind}-{uuid.uuid4().hex}"
-    put(name, zstandard.ZstdCompressor(level=1).compress(pack(*arrays)))
+    put(name, _small(*arrays))
     return name
 
 
 def _load(name: str) -> list[np.ndarray]:
-    return unpack(zstandard.ZstdDecompressor().decompress(bytes(get(name))))
+    return _large(bytes(get(name)))
 
 
 def _slices(sizes: np.ndarray, most: int):
@@ -154,17 +162,19 @@ def _requests(b: Block, name: str, state: str, shards: int, total: int, count=No
             ctx, size, ctx_hash, ctx_n, lower = none, np.array([len(g)]), np.zeros(1, "<u8"), np.array([total]), none
         else:
             ctx, size = np.unique(b.ctx[g], return_counts=True)
-            ctx_hash, ctx_n, lower = b.ctx_hash[ctx], count[ctx], code[b.lower[g]]
-        raw = pack(ctx_hash, ctx_n, size, b.words[words], last, lower, b.count[g])
+            ctx_hash, ctx_n = b.ctx_hash[ctx], count[ctx]
+            # the lower order of a pair is its last word: one value a word
+            lower = _of(code[b.lower[g]], last, len(words)) if b.order == 2 else code[b.lower[g]]
+        raw = _small(ctx_hash, ctx_n, size, b.words[words], last, lower, b.count[g])
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "block": [name], "state": pa.array([state], pa.string()),
                                           "payload": pa.array([raw], pa.binary())})
 
 
-def _shard(root: str, order: int):
+def _shard(root: str, order: int, highest: bool):
     """Sum the counts of a shard, write its level, answer every request from the file."""
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        parts = [unpack(r["payload"]) for r in rows]
+        parts = [_large(r["payload"]) for r in rows]
         wide = lambda i: np.concatenate([p[i].astype(np.int64) for p in parts])
         size = wide(2)
         per = [len(p[4]) for p in parts]
@@ -182,7 +192,7 @@ def _shard(root: str, order: int):
         at, ids = keys // max(1, len(words)), keys % max(1, len(words))
         codes = np.zeros(len(keys), np.uint16)
         if order > 1:
-            lower = log10_of(of(wide(5)))
+            lower = log10_of(of(np.concatenate([p[5][p[4]] if order == 2 else p[5] for p in parts])))
             p = quantised(np.log10((total + MU * 10.0 ** lower) / (n + MU)))
             codes = quantised(np.log10(MU / (n + MU)) + lower)     # what an absent child gets
         else:
@@ -194,7 +204,7 @@ def _shard(root: str, order: int):
         count = np.zeros(len(keys), np.int64)
         count[hit], codes[hit] = level.counts[place[hit]], level.codes[place[hit]]
         ends = np.cumsum([0, *per])
-        replies = [pack(count[gram[s:e]], codes[gram[s:e]]) for s, e in zip(ends[:-1], ends[1:], strict=True)]
+        replies = [_small(count[gram[s:s if highest else e]], codes[gram[s:e]]) for s, e in zip(ends[:-1], ends[1:], strict=True)]
         return pa.table({"shard": table["shard"], "block": table["block"], "state": table["state"], "payload": pa.array(replies, pa.binary()),
                          "seen": pa.array([len(seen), *[0] * (len(rows) - 1)], pa.int64()), "level": pa.array([name] * len(rows))})
     return run
@@ -217,10 +227,10 @@ def _answered(table: pa.Table, shards: list[int], total: int, vocabulary: int):
     count, code = np.zeros(len(b.last), np.int64), None
     if order > 1:
         code = known[-1][b.lower].copy()           # an unknown context leaves the lower order's probability
-    got = np.zeros(len(b.last), np.uint16)
     for shard, g in b.dealt(shards[order - 1], known[-2].astype(np.int64) if known else None, total):
-        n, c = unpack(rows[shard]["payload"])
-        count[g], got[g] = n, c
+        n, c = _large(rows[shard]["payload"])
+        if len(n):                                 # the highest order's counts are not asked for
+            count[g] = n
         if order > 1:
             code[g] = c
     if order == 1:
@@ -281,7 +291,7 @@ def score_documents(docs: DataFrame, held_out, order: int = 2) -> DataFrame:
 
     requests, vocabulary = blocks.select("block").mapInArrow(ask, REQUEST), 0
     for n in range(1, order + 1):
-        replies = written(requests.groupBy("shard").applyInArrow(_shard(root, n), REPLY), "lm-replies")
+        replies = written(requests.groupBy("shard").applyInArrow(_shard(root, n, n == order), REPLY), "lm-replies")
         if n == 1:
             vocabulary = int(replies.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0])
         by_block = replies.groupBy("block")
