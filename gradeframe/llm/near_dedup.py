@@ -15,7 +15,10 @@
    component are then held against more of its leaders.
 4. All pairs of a list that are still in different components are then
    tested (members outside the list's main component against all members), so
-   the components equal those of the full link graph.
+   the components equal those of the full link graph. The join itself leaves
+   out pairs whose parity signatures differ in too many places: each differing
+   place stands for at least one retained value that only one of the two has,
+   so no pair that could pass is lost.
 
 Null or blank texts have an empty set and link with nothing. Rows that repeat
 an id are one node; other columns are left alone; an empty table gives none."""
@@ -35,7 +38,14 @@ K = 192
 SIGMAS = 7          # deviations below the mean that a pair's shared retained values are let to lie
 BLOCK = 256
 LEADERS = (16, 64)  # leaders of each list in the rounds after the stars
-SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, sketch array<long>"
+PARITY = 16         # longs of the parity signature
+SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, sketch array<long>, parity array<long>"
+
+
+def _parity(values: np.ndarray) -> np.ndarray:
+    """For each of the 64 * PARITY places, whether an odd number of the values falls on it."""
+    odd = np.bincount(values & (64 * PARITY - 1), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -46,7 +56,8 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "f1": pa.array([x[0] for x in f], pa.int64()), "f2": pa.array([x[1] for x in f], pa.int64()),
-                "sketch": pa.array([s[:K] for s in sets], pa.list_(pa.int64()))})
+                "sketch": pa.array([s[:K] for s in sets], pa.list_(pa.int64())),
+                "parity": pa.array([_parity(s[:K]) for s in sets], pa.list_(pa.int64()))})
     return _keyed(docs).mapInArrow(run, SKETCH)
 
 
@@ -101,6 +112,14 @@ def _near_sizes(pairs: DataFrame) -> DataFrame:
     return pairs.where(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")).select("a", "b")
 
 
+def _near_parity(pairs: DataFrame) -> DataFrame:
+    """Pairs (n, parity, nx, px) whose signatures allow a Jaccard of 0.75."""
+    apart = sum((F.bit_count(F.col("px")[i].bitwiseXOR(F.col("parity")[i])) for i in range(PARITY)), F.lit(0))
+    sizes = F.least(F.col("nx"), F.lit(K)) + F.least(F.col("n"), F.lit(K))
+    return pairs.where(F.when(F.greatest("nx", "n") <= K, 7 * apart <= sizes).otherwise(
+        apart <= sizes - 2 * _least(F.least("nx", "n"))))
+
+
 def _confirmed(pairs: DataFrame, kept: DataFrame) -> DataFrame:
     """The pairs (a, b) of Jaccard 0.75 or more: union-sketch estimate, then exact sets."""
     side = lambda c, *cols: kept.select(F.col("doc_id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in cols])
@@ -123,35 +142,37 @@ def _confirmed(pairs: DataFrame, kept: DataFrame) -> DataFrame:
     return p.select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long")
 
 
-def _apart(listed: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (value, doc, n, c, main) of the lists with more than one component: those outside the list's
+def _apart(listed: DataFrame, comps: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (value, doc, n, c, parity, main) of the lists with more than one component: those outside the list's
     main component, and all."""
     m = listed.join(comps.withColumnRenamed("node", "doc"), "doc", "left")
     m = m.select("value", "doc", "n", F.coalesce("component", "doc").alias("c"))
     main = m.groupBy("value", "c").agg(F.count("*").alias("k")).groupBy("value").agg(
         F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    m = written(m.join(main.select("value", "main"), "value"), "apart")
-    few = m.where("c <> main").select("value", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
+    m = m.join(main.select("value", "main"), "value").join(kept.select(F.col("doc_id").alias("doc"), "parity"), "doc")
+    m = written(m, "apart")
+    few = m.where("c <> main").select("value", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"),
+                                      F.col("parity").alias("px"))
     return few, m
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
-    return _near_sizes(joined.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b"),
+    return _near_sizes(_near_parity(joined).select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b"),
                                      F.col("nx").alias("na"), F.col("n").alias("nb"))).distinct()
 
 
-def _leader_pairs(listed: DataFrame, comps: DataFrame, leaders: int) -> DataFrame:
+def _leader_pairs(listed: DataFrame, comps: DataFrame, kept: DataFrame, leaders: int) -> DataFrame:
     """Members outside the main component with up to ``leaders`` members of it, spread by hash."""
-    few, m = _apart(listed, comps)
+    few, m = _apart(listed, comps, kept)
     draw = F.xxhash64("doc", F.lit(leaders))
     lead = m.where("c = main").groupBy("value", F.pmod(draw, F.lit(leaders)).alias("part")).agg(
-        F.min(F.struct(draw.alias("h"), "doc", "n")).alias("l")).select("value", "l.doc", "l.n")
+        F.min(F.struct(draw.alias("h"), "doc", "n", "parity")).alias("l")).select("value", "l.doc", "l.n", "l.parity")
     return _pairs(few.join(lead, "value"))
 
 
-def _late_pairs(listed: DataFrame, comps: DataFrame) -> DataFrame:
+def _late_pairs(listed: DataFrame, comps: DataFrame, kept: DataFrame) -> DataFrame:
     """All pairs that share a list but no component yet."""
-    few, m = _apart(listed, comps)
+    few, m = _apart(listed, comps, kept)
     return _pairs(few.join(m, "value").where(
         (F.col("cx") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("x") < F.col("doc")))))
 
@@ -165,7 +186,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     reps = full.join(first.select(*sets, "rep"), sets, "left").where("rep is null or rep = doc_id").drop("rep")
     listed = written(_listed(reps), "lists")
     ids = listed.select(F.col("doc").alias("doc_id")).distinct()
-    kept = sk.join(ids, "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch")
+    kept = sk.join(ids, "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch", "parity")
     texts = _keyed(docs).join(ids, "doc_id", "left_semi")
     kept = written(kept.dropDuplicates(["doc_id"]).join(texts.dropDuplicates(["doc_id"]), "doc_id"), "candidates")
     comps = tried = None
@@ -173,7 +194,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         if round_ == "stars":
             pairs = _star_pairs(listed)
         else:
-            pairs = _late_pairs(listed, comps) if round_ == "all" else _leader_pairs(listed, comps, round_)
+            pairs = _late_pairs(listed, comps, kept) if round_ == "all" else _leader_pairs(listed, comps, kept, round_)
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         links = written(_confirmed(pairs, kept), "links").select(F.col("a").alias("u"), F.col("b").alias("v"))
