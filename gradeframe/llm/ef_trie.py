@@ -54,6 +54,25 @@ def get(uri: str):
         return f.read()
 
 
+def part(uri: str, at: int, size: int) -> bytes:
+    """``size`` bytes of the file from ``at``."""
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_file(path) as f:
+        f.seek(at)
+        return f.read(size)
+
+
+def drop(uri: str) -> None:
+    """Delete the files of a folder, if there is one."""
+    store, path = fs.FileSystem.from_uri(uri)
+    store.delete_dir_contents(path, missing_dir_ok=True)
+
+
+def remove(uri: str) -> None:
+    store, path = fs.FileSystem.from_uri(uri)
+    store.delete_file(path)
+
+
 def quantised(log10p: np.ndarray) -> np.ndarray:
     return np.rint(np.clip(-log10p, 0, RANGE) * (65535 / RANGE)).astype("<u2")
 

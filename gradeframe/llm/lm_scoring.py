@@ -8,7 +8,11 @@
    n-gram's count in the block's training documents: the same rows give the
    counts and the queries.
 3. A shard sums the counts, writes its trie level (``ef_trie.Level``), maps it
-   and answers each block with counts and quantised log10 probabilities.
+   and answers each block with counts and quantised log10 probabilities. Only
+   the shard reads its level, so it removes the file when all are answered. The
+   answers to the first order number the words; later requests carry these
+   numbers, ascending, as differences. The answers of a shard are one file; the rows carry only their places in it.
+   An order's answers, states and shuffle files go when the next are written.
 
 Smoothing is hierarchical with ``MU`` pseudo-counts of the lower order:
 P(w|c) = (n(cw) + MU P(w|c')) / (n(c) + MU); the lowest order is the add-0.5
@@ -22,6 +26,7 @@ equal 64-bit hashes would count as one."""
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 
@@ -34,17 +39,18 @@ from pyspark.sql import functions as F
 from gradeframe.session import scratch_path
 
 from .common import documents, written
-from .ef_trie import Level, get, log10_of, pack, put, quantised, unpack
+from .ef_trie import Level, drop, get, log10_of, narrow, pack, part, put, quantised, remove, unpack
 from .shingles import mix, word_hashes
 
 BLOCK = 24 << 20
 SLICE = 1 << 20
 HOT = 250_000
 MU = 4.0
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 END = np.uint64(0x5851F42D4C957F2D)
 MANIFEST = "block string, n_tokens long, n_train long, n_words long"
 REQUEST = "shard long, block string, state string, payload binary"
-REPLY = "shard long, block string, state string, payload binary, seen long, level string"
+REPLY = "shard long, block string, state string, file string, at long, size long, seen long"
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
           "base_score double, score double")
 
@@ -98,7 +104,7 @@ def _encode(root: str):
                 assert words[end] == END
                 ids, held = b.column("doc_id").slice(lo, hi - lo), np.array(b.column("held").slice(lo, hi - lo), bool)
                 name = _save(root, "block", ids.fill_null(0).to_numpy().astype("<i8"), np.array(ids.is_null(), np.uint8),
-                             held.astype(np.uint8), n, words, seq)
+                             held.astype(np.uint8), narrow(n), words, narrow(seq))
                 yield pa.RecordBatch.from_pydict({
                     "block": [name], "n_tokens": pa.array([int(n.sum()) + len(n)], pa.int64()),
                     "n_train": pa.array([int((n + 1)[~held].sum())], pa.int64()), "n_words": pa.array([len(words)], pa.int64())})
@@ -122,9 +128,15 @@ class Block:
         self.train = train
         self.count = np.bincount(self.gram[train[self.at]], minlength=len(self.words))
         self._all = gram
+        self.short, self.chain = [], []
+
+    def numbered(self, words: np.ndarray) -> None:
+        """Take these numbers for the words' hashes, which no later order needs."""
+        self.words = self.hash = words.astype("<u8")
 
     def next_order(self) -> None:
         self.order += 1
+        self.chain.append((self.ctx, self.last))
         at = np.flatnonzero(self.place >= self.order - 1)
         v = len(self.words)
         keys, gram = np.unique(self._all[at - 1] * v + self.tok[at], return_inverse=True)
@@ -132,12 +144,22 @@ class Block:
         self.lower = np.empty(len(keys), np.int64)
         self.lower[gram] = self._all[at]
         self.ctx_hash = self.hash
-        self.hash = mix(self.hash[self.ctx] * np.uint64(0x9E3779B97F4A7C15) + self.words[self.last])
+        self.hash = mix(self.hash[self.ctx] * GOLDEN + self.words[self.last])
         self.at, self.gram = at, gram
+        new = self.place[at] == self.order - 1
+        self.short.append((at[new], gram[new]))    # the tokens that no longer n-gram fits
         self._all = np.full(len(self.tok), -1)
         self._all[at] = gram
         self.count = np.bincount(gram[self.train[at]], minlength=len(keys))
 
+    def spelt(self, ctx: np.ndarray) -> list[np.ndarray]:
+        """The words of contexts of the present order, first words first."""
+        out = []
+        for above, last in reversed(self.chain):
+            out.insert(0, last[ctx])
+            ctx = ctx if above is None else above[ctx]
+        return out
+
     def dealt(self, shards: int, ctx_count: np.ndarray | None, total: int):
         """(shard, its distinct n-grams) of all n-grams whose context is known."""
         if self.ctx is None:
@@ -157,28 +179,42 @@ class Block:
 def _requests(b: Block, name: str, state: str, shards: int, total: int, count=None, code=None):
     none = np.zeros(0, np.int64)
     for shard, g in b.dealt(shards, count, total):
-        words, last = np.unique(b.last[g], return_inverse=True)
         if b.ctx is None:
-            ctx, size, ctx_hash, ctx_n, lower = none, np.array([len(g)]), np.zeros(1, "<u8"), np.array([total]), none
+            ctx, size, ctx_n, lower, spelt = none, np.array([len(g)]), np.array([total]), none, []
         else:
             ctx, size = np.unique(b.ctx[g], return_counts=True)
-            ctx_hash, ctx_n = b.ctx_hash[ctx], count[ctx]
+            ctx_n, spelt = count[ctx], b.spelt(ctx)
+        words, rank = np.unique(b.words[np.concatenate([b.last[g], *spelt])], return_inverse=True)
+        last, spelt = rank[:len(g)], rank[len(g):]
+        if b.ctx is not None:
             # the lower order of a pair is its last word: one value a word
             lower = _of(code[b.lower[g]], last, len(words)) if b.order == 2 else code[b.lower[g]]
-        raw = _small(ctx_hash, ctx_n, size, b.words[words], last, lower, b.count[g])
+        raw = _small(*map(narrow, (spelt, ctx_n, size, np.diff(words, prepend=words.dtype.type(0)), last, lower, b.count[g])))
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "block": [name], "state": pa.array([state], pa.string()),
                                           "payload": pa.array([raw], pa.binary())})
 
 
-def _shard(root: str, order: int, highest: bool):
+def _contexts(spelt: np.ndarray, words: np.ndarray, order: int) -> np.ndarray:
+    """The hashes of a request's contexts, as ``Block.hash`` makes them."""
+    if order == 1:
+        return np.zeros(1, "<u8")
+    first, *rest = words[spelt].reshape(order - 1, -1)
+    for w in rest:
+        first = mix(first * GOLDEN + w)
+    return first
+
+
+def _shard(root: str, order: int, highest: bool, shards: int):
     """Sum the counts of a shard, write its level, answer every request from the file."""
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         parts = [_large(r["payload"]) for r in rows]
+        for p in parts:
+            p[3] = np.cumsum(p[3], dtype=np.uint64)
         wide = lambda i: np.concatenate([p[i].astype(np.int64) for p in parts])
         size = wide(2)
         per = [len(p[4]) for p in parts]
-        ctx = np.repeat(np.concatenate([p[0] for p in parts]), size)
+        ctx = np.repeat(np.concatenate([_contexts(p[0], p[3], order) for p in parts]), size)
         word = np.concatenate([p[3][p[4]] for p in parts])
         contexts, c = np.unique(ctx, return_inverse=True)
         words, w = np.unique(word, return_inverse=True)
@@ -203,10 +239,17 @@ def _shard(root: str, order: int, highest: bool):
         hit = place >= 0
         count = np.zeros(len(keys), np.int64)
         count[hit], codes[hit] = level.counts[place[hit]], level.codes[place[hit]]
+        remove(name)
         ends = np.cumsum([0, *per])
-        replies = [_small(count[gram[s:s if highest else e]], codes[gram[s:e]]) for s, e in zip(ends[:-1], ends[1:], strict=True)]
-        return pa.table({"shard": table["shard"], "block": table["block"], "state": table["state"], "payload": pa.array(replies, pa.binary()),
-                         "seen": pa.array([len(seen), *[0] * (len(rows) - 1)], pa.int64()), "level": pa.array([name] * len(rows))})
+        number = [ids * shards + rows[0]["shard"]] if order == 1 else []
+        replies = [_small(*map(narrow, (count[gram[s:s if highest else e]], codes[gram[s:e]], *[x[gram[s:e]] for x in number])))
+                   for s, e in zip(ends[:-1], ends[1:], strict=True)]
+        file = f"{root}/reply{order}/{uuid.uuid4().hex}"
+        put(file, b"".join(replies))
+        sizes = np.array([len(r) for r in replies], np.int64)
+        return pa.table({"shard": table["shard"], "block": table["block"], "state": table["state"], "file": pa.array([file] * len(rows)),
+                         "at": pa.array(np.cumsum(sizes) - sizes), "size": pa.array(sizes),
+                         "seen": pa.array([len(seen), *[0] * (len(rows) - 1)], pa.int64())})
     return run
 
 
@@ -218,22 +261,30 @@ def _of(values: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
 
 def _answered(table: pa.Table, shards: list[int], total: int, vocabulary: int):
     """The block at the replies' order, with counts and codes of its distinct n-grams for every order so far."""
-    rows = {r["shard"]: r for r in table.select(["shard", "block", "state", "payload"]).to_pylist()}
+    rows = {r["shard"]: r for r in table.select(["shard", "block", "state", "file", "at", "size"]).to_pylist()}
     first = next(iter(rows.values()))
-    known = _load(first["state"]) if first["state"] else []
+    number, *known = _load(first["state"]) if first["state"] else [None]
     b, order = Block(first["block"]), len(known) // 2 + 1
+    if order > 1:
+        b.numbered(number)
+    else:
+        number = np.zeros(len(b.words), np.int64)
     for _ in range(order - 1):
         b.next_order()
     count, code = np.zeros(len(b.last), np.int64), None
     if order > 1:
         code = known[-1][b.lower].copy()           # an unknown context leaves the lower order's probability
     for shard, g in b.dealt(shards[order - 1], known[-2].astype(np.int64) if known else None, total):
-        n, c = _large(rows[shard]["payload"])
+        r = rows[shard]
+        n, c, *new = _large(part(r["file"], r["at"], r["size"]))
         if len(n):                                 # the highest order's counts are not asked for
             count[g] = n
         if order > 1:
             code[g] = c
+        else:
+            number[g] = new[0]
     if order == 1:
+        b.numbered(number)
         code = quantised(np.log10((count + 0.5) / (total + 0.5 * (vocabulary + 1))))
     return first["block"], b, [*known, count, code.astype("<u2")]
 
@@ -241,7 +292,8 @@ def _answered(table: pa.Table, shards: list[int], total: int, vocabulary: int):
 def _next(root: str, shards: list[int], total: int, vocabulary: int):
     def run(table: pa.Table) -> pa.Table:
         name, b, known = _answered(table, shards, total, vocabulary)
-        state, order = _save(root, "state", *known), len(known) // 2
+        order = len(known) // 2
+        state = _save(f"{root}/state{order}", "state", *map(narrow, (b.words, *known)))
         b.next_order()
         return pa.Table.from_batches(list(_requests(b, name, state, shards[order], total, known[-2].astype(np.int64), known[-1])))
     return run
@@ -255,12 +307,8 @@ def _scores(shards: list[int], total: int, vocabulary: int):
         base[b.place > 0] = np.log10((c[b.place > 0] + 0.5) / (total + 0.5 * (vocabulary + 1)))
         full[b.at] = log10_of(known[-1][b.gram])
         # the first tokens of a document have no n-gram of the highest orders: take the longest that fits
-        if len(known) > 4:
-            low = Block(table["block"][0].as_py())
-            for i in range(1, len(known) // 2):
-                at = low.at[low.place[low.at] < i] if i == 1 else low.at[low.place[low.at] == i - 1]
-                full[at] = log10_of(known[2 * i - 1][low._all[at]])
-                low.next_order()
+        for i, (at, gram) in enumerate(b.short[:-1], 2):
+            full[at] = log10_of(known[2 * i - 1][gram])
         add = lambda v: np.add.reduceat(v, b.starts)
         return pa.table({
             "doc_id": pa.array(b.ids, pa.int64(), mask=b.null.astype(bool)), "held_out": pa.array(b.held),
@@ -270,7 +318,7 @@ def _scores(shards: list[int], total: int, vocabulary: int):
     return run
 
 
-def score_documents(docs: DataFrame, held_out, order: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, order: int = 3) -> DataFrame:
     """Scores of every row; the model learns from the rows where the column ``held_out`` is false."""
     if order < 2:
         raise ValueError("order must be at least 2")
@@ -291,10 +339,14 @@ def score_documents(docs: DataFrame, held_out, order: int = 2) -> DataFrame:
 
     requests, vocabulary = blocks.select("block").mapInArrow(ask, REQUEST), 0
     for n in range(1, order + 1):
-        replies = written(requests.groupBy("shard").applyInArrow(_shard(root, n, n == order), REPLY), "lm-replies")
+        replies = written(requests.groupBy("shard").applyInArrow(_shard(root, n, n == order, shards[n - 1]), REPLY), "lm-replies")
         if n == 1:
             vocabulary = int(replies.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0])
-        by_block = replies.groupBy("block")
+        drop(f"{root}/reply{n - 1}")
+        drop(f"{root}/state{n - 2}")
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()        # Spark deletes the shuffle files of plans that are gone
+        by_block = replies.repartition(max(parts, math.ceil(sums[0] / 2_000_000)), "block").groupBy("block")   # small rows, much work
         if n < order:
             requests = by_block.applyInArrow(_next(root, shards, total, vocabulary), REQUEST)
     return by_block.applyInArrow(_scores(shards, total, vocabulary), SCORES)

@@ -69,3 +69,13 @@ def test_level(tmp_path):
 def test_empty_table(spark):
     from gradeframe.llm.lm_scoring import score_documents
     assert score_documents(spark.createDataFrame([], "doc_id long, text string"), F.lit(False)).count() == 0
+
+
+def test_query_scores_with_trigrams(spark, tmp_path):
+    from gradeframe.llm.lm_scoring import op8_lm_scoring, score_documents
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    got, two, three = ({r.doc_id: r.score for r in d.collect()} for d in (
+        op8_lm_scoring(spark, str(tmp_path)), score_documents(docs, held, 2), score_documents(docs, held, 3)))
+    assert got == pytest.approx(three) and got != pytest.approx(two)
