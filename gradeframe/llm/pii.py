@@ -38,15 +38,18 @@ SPAN = "array<struct<start:int,kind:int,end:int,value:string,before:string>>"
 
 
 def _spans(text: Column, regex: str, kind: int, ok) -> Column:
-    """Matches of ``regex`` that pass ``ok``, as SPAN: the pieces between the matches give their places."""
+    """Matches of ``regex`` that pass ``ok``, as SPAN: the pieces between the matches give their places.
+    ``before`` is the end of the whole text before the match, whatever was matched there."""
     both = F.arrays_zip(F.split(text, regex).alias("p"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("m"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("out"))
 
     def add(acc, x):
         lo = acc["at"] + F.length(x["p"])
         hi = lo + F.length(x["m"])
-        span = F.struct(lo.alias("start"), F.lit(kind).alias("kind"), hi.alias("end"), x["m"].alias("value"), F.right(x["p"], F.lit(80)).alias("before"))
-        return F.struct(F.coalesce(hi, lo).alias("at"), F.when(x["m"].isNotNull() & ok(x["m"]), F.array_append(acc["out"], span))
+        before = F.right(F.concat(acc["tail"], x["p"]), F.lit(80))
+        span = F.struct(lo.alias("start"), F.lit(kind).alias("kind"), hi.alias("end"), x["m"].alias("value"), before.alias("before"))
+        return F.struct(F.coalesce(hi, lo).alias("at"), F.right(F.concat(before, F.coalesce(x["m"], F.lit(""))), F.lit(80)).alias("tail"),
+                        F.when(x["m"].isNotNull() & ok(x["m"]), F.array_append(acc["out"], span))
                         .otherwise(acc["out"]).cast(SPAN).alias("out"))
     return F.aggregate(both, start, add, lambda acc: acc["out"])
 

@@ -95,6 +95,15 @@ def test_pii_learns_contexts(spark):
     assert got[99].pii_base == [] and [(s["start"], s["end"], s["kind"]) for s in got[99].pii_all] == [(18, 30, 3)]
 
 
+def test_pii_context_behind_another_token_with_digits(spark):
+    from gradeframe.llm.pii import found
+    rows = [(i, f"unit b1234567 ring +1 (743) 555-38{i:02d} today") for i in range(10, 30)]
+    rows += [(98, "call a.b@c.de x +1 (743) 555-3800 or +1 (743) 555-3801 é"), (99, "unit b1234567 ring 743-555-3800 today")]
+    got = {r.doc_id: r for r in found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[99].pii_base == [] and [(s["start"], s["end"], s["kind"]) for s in got[99].pii_all] == [(19, 31, 3)]
+    assert [s["before"] for s in got[98].pii_base] == [rows[-2][1][:s["start"]] for s in got[98].pii_base]
+
+
 def test_decontaminate(spark, docs):
     from gradeframe.llm.decontaminate import judged
     bench = spark.createDataFrame([(7, ITEM), (8, None), (9, "")], "item_id long, text string")
