@@ -1,9 +1,10 @@
 """PII by bootstrapped contextual extraction; DataFrame functions only.
 
 The base rules give seed entities (email, ip, card, phone). A seed's lexical
-pattern is its kind and the last two words of the text before it. Tokens with
-digits that no base rule covers, but whose shape suits a kind, are candidate
-instances with patterns of their own. The graph of distinct (pattern, instance)
+pattern is its kind and the last two words of the text before it. What no base
+rule covers, but has the shape of a kind, is a candidate instance with patterns
+of its own: tokens with a digit, runs of digit groups with spaces or brackets
+between them, and mail addresses with "@" or a bracketed "at" (no digit asked). The graph of distinct (pattern, instance)
 edges is scored in ``ROUNDS`` rounds: a pattern by the mean score of its
 instances (plus one unknown), an instance by the mean of its patterns, seeds
 stay at 1. Patterns with ``SEEDS`` distinct seeds and confidence ``SURE`` add
@@ -33,6 +34,13 @@ TOKEN = f"(?<![^{_SPACE}])(?=[^{_SPACE}0-9]*+[0-9])[^{_SPACE}]++"
 #: what a candidate that no base rule takes must look like
 SHAPE = {"email": "^[^@]+(?:@|[(\\[]at[)\\]])[^@]+$", "ip": "^[0-9a-fA-F]{1,4}(?:[:.][0-9a-fA-F]{0,4}){3,7}$",
          "card": "^[0-9](?:[-./_]?[0-9]){11,18}$", "phone": "^[(]?[0-9](?:[-./() ]*[0-9]){6,14}$"}
+_AT, _DOT = " ?[(\\[] ?(?i:at) ?[)\\]] ?", " ?[(\\[] ?(?i:dot) ?[)\\]] ?"
+#: candidates that are not one token with a digit
+RUN = {"email": f"(?<![^{_SPACE}])[^{_SPACE}@(\\[]++(?:@|{_AT})[^{_SPACE}@(\\[]++(?:{_DOT}[^{_SPACE}@(\\[]++)*+(?!@)",
+       "card": "(?<![0-9A-Za-z])[0-9](?:[-./_ ]{0,2}[0-9]){11,18}(?![0-9A-Za-z])",
+       "phone": "(?:(?<![0-9A-Za-z])[0-9]|(?<![0-9A-Za-z(])[(][0-9])(?:[-./() ]{0,3}[0-9]){6,14}(?![0-9A-Za-z])"}
+#: digits of a token that is a whole identifier, so that a run from the same place on takes in something else
+WHOLE = {"email": 99, "card": 12, "phone": 9}
 ROUNDS, SEEDS, SURE = 2, 5, 0.5
 SPAN = "array<struct<start:int,kind:int,end:int,value:string,before:string>>"
 
@@ -81,15 +89,24 @@ def _context(before: Column) -> Column:
 
 
 def _candidates(text: Column, base: Column) -> Column:
-    """Tokens with a digit outside the base spans, of a kind's shape; one span per suitable kind."""
+    """Spans outside the base spans that have a kind's shape: tokens with a digit, and ``RUN``; a run hides the token it starts with."""
     tokens = _spans(text, TOKEN, 0, lambda m: F.length(m) > 6)
-    trim = F.transform(tokens, lambda s: s.withField("value", F.regexp_replace(s["value"], "[.,;:!?)\"']+$", "")))
-    trim = F.transform(trim, lambda s: s.withField("end", (s["start"] + F.length(s["value"])).cast("int")))
-    free = F.filter(trim, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
-    def of_kind(i, shape):
-        return F.transform(F.filter(free, lambda s: s["value"].rlike(shape)), lambda s: s.withField("kind", F.lit(i)))
-    return F.concat(*[of_kind(i, SHAPE[k]) for i, k in enumerate(KINDS)])
+    def free(spans):
+        trim = F.transform(spans, lambda s: s.withField("value", F.regexp_replace(s["value"], "[.,;:!?)\"']+$", "")))
+        trim = F.transform(trim, lambda s: s.withField("end", (s["start"] + F.length(s["value"])).cast("int")))
+        return F.filter(trim, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    tokens = free(tokens)
+
+    def of_kind(i, k):
+        mine = F.transform(F.filter(tokens, lambda s: s["value"].rlike(SHAPE[k])), lambda s: s.withField("kind", F.lit(i)))
+        if k not in RUN:
+            return mine
+        runs = F.when(text.rlike(f"@|{_AT}" if k == "email" else "[0-9]"), free(_spans(text, RUN[k], i, lambda m: F.lit(True)))).otherwise(
+            F.array().cast(SPAN))
+        runs = F.filter(runs, lambda s: ~F.exists(mine, lambda t: (t["start"] == s["start"]) & (F.length(_digits(t["value"])) >= WHOLE[k])))
+        return F.concat(runs, F.filter(mine, lambda t: ~F.exists(runs, lambda s: s["start"] == t["start"])))
+    return F.concat(*[of_kind(i, k) for i, k in enumerate(KINDS)])
 
 
 def _sure(edges: DataFrame) -> DataFrame:
@@ -109,7 +126,7 @@ def _sure(edges: DataFrame) -> DataFrame:
 def found(docs: DataFrame) -> DataFrame:
     """``docs`` with pii_base and pii_all: arrays of SPAN sorted by start and kind."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    mine = docs.select("doc_id", F.xxhash64("text").alias("_key"), text.alias("_text")).where(F.col("_text").rlike("[0-9@]"))
+    mine = docs.select("doc_id", F.xxhash64("text").alias("_key"), text.alias("_text")).where(F.col("_text").rlike(f"[0-9@]|{_AT}"))
     mine = mine.withColumn("pii_base", _base(F.col("_text"))).withColumn("cand", _candidates(F.col("_text"), F.col("pii_base")))
     mine = written(mine.select("doc_id", "_key", "pii_base", "cand").where((F.size("pii_base") > 0) | (F.size("cand") > 0))
                    .dropDuplicates(["doc_id", "_key"]), "pii-spans")

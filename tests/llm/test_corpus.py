@@ -104,6 +104,20 @@ def test_pii_context_behind_another_token_with_digits(spark):
     assert [s["before"] for s in got[98].pii_base] == [rows[-2][1][:s["start"]] for s in got[98].pii_base]
 
 
+def test_pii_spaced_and_bracketed_candidates(spark):
+    from gradeframe.llm.pii import found
+    rows = [(i, f"please ring me on +1 (743) 555-38{i:02d} today") for i in range(10, 30)]
+    rows += [(100 + i, f"you may write to john{chr(97 + i)}@mail.example now") for i in range(20)]
+    rows += [(200 + i, f"paid with card 4111 1111 1111 {n} ok") for i, n in enumerate((1111, 1129, 1137, 1145, 1152, 1160, 1178, 1186))]
+    forms = [("please ring me on {} today", v, 3) for v in ("555 123 4567", "(555) 123-4567", "555-123-4567", "0171234 5678")]
+    forms += [("you may write to {} now", v, 0) for v in ("jane(at)example.com", "jane (at) example (dot) com", "jane@localhost")]
+    forms += [("paid with card {} ok", "4111 1111 1111 1112", 2), ("please ring me on {} 12 times", "555-123-4567", 3)]
+    rows += [(900 + i, t.format(v)) for i, (t, v, _) in enumerate(forms)]
+    got = {r.doc_id: r for r in found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (_, v, kind) in enumerate(forms):
+        assert got[900 + i].pii_base == [] and [(s["kind"], s["value"]) for s in got[900 + i].pii_all] == [(kind, v)], v
+
+
 def test_decontaminate(spark, docs):
     from gradeframe.llm.decontaminate import judged
     bench = spark.createDataFrame([(7, ITEM), (8, None), (9, "")], "item_id long, text string")
