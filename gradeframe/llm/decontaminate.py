@@ -5,7 +5,9 @@ placeholders. Windows of ``WINDOW`` template words are hashed and joined with
 the benchmark's. A document leaks an item when matched windows cover at least
 ``COVER`` of the item's and either the words are the same in as many windows,
 or the slots agree: one value in the item stands for one value in the document
-over all matched windows (a re-parameterised question). Windows with fewer than
+over the matched windows (a re-parameterised question). Both are asked of each
+occurrence by itself: the matches whose shift (place in the document less place
+in the item) lies in one of ``BANDS``, or all matches together. Windows with fewer than
 ``PLAIN`` plain words say too little and are not matched.
 
 Null or blank texts leak nothing. A text shorter than a window is one window of
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import documents, written
 
 WINDOW, PLAIN, COVER = 8, 4, 0.3
+#: (width, offset) of the bands of shifts; a band of width 1 is a copy without insertions
+BANDS = ((1, 0), (8, 0), (8, 4), (32, 0), (32, 16))
 BROADCAST_ROWS = 1_000_000        # 16 bytes each; a larger benchmark is joined by shuffle
 UNITS = ("mm|cm|km|kg|mg|ml|oz|lbs?|ft|mph|kmh|hz|khz|mhz|ghz|kw|usd|eur|gbp|dollars?|euros?|pounds?|cents?|met(?:er|re)s?|"
          "kilomet(?:er|re)s?|miles?|feet|inch(?:es)?|grams?|kilograms?|lit(?:er|re)s?|seconds?|minutes?|hours?|days?|weeks?|"
@@ -75,6 +79,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     by = hits.groupBy("doc_id", "text_key", "item_id").agg(
         F.collect_list(F.struct("pos", "ipos")).alias("at"), F.countDistinct("ipos").alias("cover"))
     by = written(by.join(total, "item_id").where(F.col("cover") >= COVER * F.col("total")), "hits")
+    shift = F.col("m.pos") - F.col("m.ipos")
+    bands = [F.struct(F.lit(w).cast("long").alias("width"), F.lit(o).cast("long").alias("offset"), F.floor((shift + o) / w).alias("n")) for w, o in ((1 << 40, 1 << 39), *BANDS)]
+    who = ["doc_id", "text_key", "item_id", "total"]
+    by = by.select(*who, F.explode("at").alias("m")).select(*who, "m", F.explode(F.array(*bands)).alias("band"))
+    by = by.groupBy(*who, "band").agg(F.collect_list("m").alias("at"), F.countDistinct("m.ipos").alias("cover"))
+    by = written(by.where(F.col("cover") >= COVER * F.col("total")), "occurrences")
     # the words of the matched documents and items, for their slots
     texts = rows.withColumnsRenamed({"doc_id": "d", "text_key": "k"}).join(
         by.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct(), ["d", "k"], "left_semi").distinct()

@@ -125,6 +125,14 @@ def test_decontaminate(spark, docs):
     assert got == {len(DOCS) - 4: [7], len(DOCS) - 3: [7]}
 
 
+def test_decontaminate_two_variants(spark):
+    from gradeframe.llm.decontaminate import judged
+    one, two = (ITEM.replace("40", a).replace("120", b).replace("Anna", c) for a, b, c in (("75", "330", "Bela"), ("90", "500", "Clara")))
+    docs = spark.createDataFrame([(1, one), (2, f"{one}. Then {two}"), (3, "no leak in here at all, only 7 other words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    assert {r.doc_id: r.leaked_items for r in judged(docs, bench).collect()} == {1: [7], 2: [7], 3: None}
+
+
 def test_empty_tables(spark):
     from gradeframe.llm import decontaminate, near_dedup, packing, pii
     none = spark.createDataFrame([], "doc_id long, text string")
