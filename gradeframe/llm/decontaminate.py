@@ -8,10 +8,13 @@ or the slots agree: one value in the item stands for one value in the document
 over the matched windows (a re-parameterised question). Both are asked of each
 occurrence by itself: the matches whose shift (place in the document less place
 in the item) lies in one of ``BANDS``, or all matches together. Windows with fewer than
-``PLAIN`` plain words say too little and are not matched.
+``PLAIN`` plain words say too little and are not matched as templates. Windows
+of the words themselves in lower case, slots or not, are matched beside them;
+they need no slot check.
 
-Null or blank texts leak nothing. A text shorter than a window is one window of
-all its words, so a short item is leaked only by a document that equals it.
+Null or blank texts leak nothing. An item shorter than a window is one window of
+all its words and is looked for among the documents' windows of that length, so
+a one-word item is leaked by every document with that word.
 Blank items match nothing; repeated rows are judged alike; empty tables give no
 leaks. ``docs`` may have other columns; they are not read."""
 
@@ -51,12 +54,22 @@ def _templates(marked: Column) -> Column:
     return _split(F.regexp_replace(marked, f"([\x01-\x03])[{_WORD}]++", "$1"))
 
 
-def _windows(words: Column) -> Column:
-    """Hash of every window of the template words."""
+def _literal(marked: Column) -> Column:
+    return _split(F.translate(marked, NUMBER + NAME + UNIT, ""))
+
+
+def _sequences(marked: Column, lengths: list[int]) -> Column:
+    """The template words and the words themselves (lit), for each length of window."""
+    return F.array(*[F.struct(words(marked).alias("w"), F.lit(lit).alias("lit"), F.lit(n).alias("n"))
+                     for n in lengths for words, lit in ((_templates, False), (_literal, True))])
+
+
+def _windows(words: Column, n: Column) -> Column:
+    """Hash of every window of ``n`` words."""
     hashes = F.transform(words, lambda x: F.xxhash64(x))
     return F.element_at(F.transform(F.array(hashes), lambda h: F.when(F.size(h) > 0, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(h) - (WINDOW - 1), F.lit(1))),
-        lambda i: F.xxhash64(F.slice(h, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))), 1)
+        F.sequence(F.lit(1), F.greatest(F.size(h) - (n - 1), F.lit(1))),
+        lambda i: F.xxhash64(F.slice(h, i, n)))).otherwise(F.array().cast("array<bigint>"))), 1)
 
 
 def _is_slot(w: Column) -> Column:
@@ -67,18 +80,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_key, item_id) for every leaked item of a document."""
     marked = _marked(F.col("text").cast("string"))
     items = written(benchmark.where("text is not null").select(
-        "item_id", _split(marked).alias("item_words"), _templates(marked).alias("t")).dropDuplicates(["item_id", "item_words"]), "items")
-    wins = items.select("item_id", "t", F.posexplode(_windows(F.col("t"))).alias("ipos", "h"))
-    plain = F.size(F.filter(F.slice("t", F.col("ipos") + 1, WINDOW), lambda w: ~_is_slot(w)))
-    wins = written(wins.where(plain >= F.least(F.lit(PLAIN), F.size("t"))).select("item_id", "ipos", "h"), "windows")
-    total = wins.groupBy("item_id").agg(F.countDistinct("ipos").alias("total"))
+        "item_id", _split(marked).alias("item_words"), _sequences(marked, [WINDOW]).alias("s")).dropDuplicates(["item_id", "item_words"]), "items")
+    short = [r[0] for r in items.where(F.size("item_words").between(1, WINDOW - 1)).select(F.size("item_words")).distinct().collect()]
+    wins = items.select("item_id", F.explode("s").alias("s")).select("item_id", "s.w", "s.lit", F.posexplode(_windows(F.col("s.w"), F.col("s.n"))).alias("ipos", "h"))
+    plain = F.size(F.filter(F.slice("w", F.col("ipos") + 1, WINDOW), lambda w: ~_is_slot(w)))
+    wins = written(wins.where(F.col("lit") | (plain >= F.least(F.lit(PLAIN), F.size("w")))).select("item_id", "lit", "ipos", "h"), "windows")
+    total = wins.groupBy("item_id", "lit").agg(F.countDistinct("ipos").alias("total"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     small = wins.count() <= BROADCAST_ROWS
-    hits = rows.select("doc_id", "text_key", F.posexplode(_windows(_templates(_marked(F.col("text"))))).alias("pos", "h"))
-    hits = hits.join(F.broadcast(wins) if small else wins, "h").select("doc_id", "text_key", "item_id", "pos", "ipos").distinct()
-    by = hits.groupBy("doc_id", "text_key", "item_id").agg(
+    hits = rows.select("doc_id", "text_key", F.explode(_sequences(_marked(F.col("text")), [WINDOW, *short])).alias("s"))
+    hits = hits.select("doc_id", "text_key", "s.lit", F.posexplode(_windows(F.col("s.w"), F.col("s.n"))).alias("pos", "h"))
+    hits = hits.join(F.broadcast(wins) if small else wins, ["h", "lit"]).select("doc_id", "text_key", "item_id", "lit", "pos", "ipos").distinct()
+    by = hits.groupBy("doc_id", "text_key", "item_id", "lit").agg(
         F.collect_list(F.struct("pos", "ipos")).alias("at"), F.countDistinct("ipos").alias("cover"))
-    by = written(by.join(total, "item_id").where(F.col("cover") >= COVER * F.col("total")), "hits")
+    by = written(by.join(total, ["item_id", "lit"]).where(F.col("cover") >= COVER * F.col("total")), "hits")
+    verbatim, by = by.where("lit").select("doc_id", "text_key", "item_id"), by.where("not lit")
     shift = F.col("m.pos") - F.col("m.ipos")
     bands = [F.struct(F.lit(w).cast("long").alias("width"), F.lit(o).cast("long").alias("offset"), F.floor((shift + o) / w).alias("n")) for w, o in ((1 << 40, 1 << 39), *BANDS)]
     who = ["doc_id", "text_key", "item_id", "total"]
@@ -89,15 +105,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = rows.withColumnsRenamed({"doc_id": "d", "text_key": "k"}).join(
         by.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct(), ["d", "k"], "left_semi").distinct()
     full = by.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
-    full = full.withColumn("words", _split(_marked(F.col("text")))).join(items.drop("t"), "item_id")
-    same = F.size(F.array_distinct(F.transform(F.filter("at", lambda m: F.slice("words", m["pos"] + 1, WINDOW)
+    full = full.withColumn("words", _split(_marked(F.col("text")))).join(items.drop("s"), "item_id")
+    same = F.size(F.array_distinct(F.transform(F.filter("at", lambda m: F.slice("words", m["pos"] + 1, F.least(F.lit(WINDOW), F.size("item_words")))
                                                         == F.slice("item_words", m["ipos"] + 1, WINDOW)), lambda m: m["ipos"])))
     pairs = F.array_distinct(F.filter(F.flatten(F.transform("at", lambda m: F.arrays_zip(
-        F.slice("item_words", m["ipos"] + 1, WINDOW).alias("i"), F.slice("words", m["pos"] + 1, WINDOW).alias("w")))),
+        F.slice("item_words", m["ipos"] + 1, WINDOW).alias("i"), F.slice("words", m["pos"] + 1, F.least(F.lit(WINDOW), F.size("item_words"))).alias("w")))),
         lambda p: _is_slot(p["i"])))
     full = full.withColumns({"same": same, "pairs": pairs})
     agree = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
-    return full.where((F.col("same") >= COVER * F.col("total")) | agree).select("doc_id", "text_key", "item_id").distinct()
+    return full.where((F.col("same") >= COVER * F.col("total")) | agree).select("doc_id", "text_key", "item_id").unionByName(verbatim).distinct()
 
 
 def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -133,6 +133,17 @@ def test_decontaminate_two_variants(spark):
     assert {r.doc_id: r.leaked_items for r in judged(docs, bench).collect()} == {1: [7], 2: [7], 3: None}
 
 
+def test_decontaminate_dense_short_and_folded(spark):
+    from gradeframe.llm.decontaminate import judged
+    dense, short = "3 + 5 * 2 = 13, 7 + 8 = 15, 9 * 9 = 81", "Which river crosses Prague?"
+    names = "We met Anna, Bela, Clara, Dora, Emil, Franz, Georg and Hanna at noon"
+    bench = spark.createDataFrame([(1, dense), (2, short), (3, names)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"solve this: {dense} and so on"), (2, f"Some long text before it. {short} The Vltava, as many know."),
+                                  (3, f"the list: {names.lower()} today"), (4, f"THE LIST: {names.upper()} TODAY"),
+                                  (5, "4 + 6 * 2 = 16, 8 + 8 = 16, and which river crosses Vienna? nobody said")], "doc_id long, text string")
+    assert {r.doc_id: r.leaked_items for r in judged(docs, bench).collect()} == {1: [1], 2: [2], 3: [3], 4: [3], 5: None}
+
+
 def test_empty_tables(spark):
     from gradeframe.llm import decontaminate, near_dedup, packing, pii
     none = spark.createDataFrame([], "doc_id long, text string")
