@@ -14,7 +14,7 @@ from gradeframe.llm.common import documents, written
 
 
 def quality_rules(spark, docs, sf_dir):
-    """Documents that the line rules reject go."""
+    """Documents that the line rules reject go. The removal of lines serves this verdict only: kept texts pass on whole."""
     return quality.judged(docs).where("kept").select(docs.columns)
 
 
