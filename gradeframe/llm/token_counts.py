@@ -6,6 +6,7 @@ in a bounded cache. Null text counts as empty (0 tokens)."""
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 
@@ -17,6 +18,7 @@ from .common import documents
 
 MAX_CHUNKS = 1_000_000
 LIMIT = 2048
+LONG = 512  # bytes from which a pre-token is merged on its own, so that it does not set the rounds of the others
 _BIG = np.iinfo(np.int64).max
 
 
@@ -53,6 +55,7 @@ class Counter(dict):
         specials = [t["content"] for t in j["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, specials)))
         self.pre = regex.compile(j["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.ranks: dict[int, int] | None = None  # pair -> rank, made when the first long pre-token comes
         self.space = regex.compile(r"[\t-\r \x85\xa0\p{Z}]+")
 
     def pre_tokens(self, chunk: str) -> tuple[list[bytes], int]:
@@ -65,6 +68,62 @@ class Counter(dict):
 
     def merge(self, tokens: list[bytes]) -> np.ndarray:
         """Surviving symbols of each pre-token."""
+        out = np.ones(len(tokens), np.int64)
+        short = [i for i, t in enumerate(tokens) if len(t) < LONG]
+        for i, t in enumerate(tokens):
+            if len(t) >= LONG:
+                out[i] = self.merge_long(t)
+        if short:
+            out[short] = self.merge_short([tokens[i] for i in short])
+        return out
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys_, pair), len(self.keys_) - 1)
+        return np.where(self.keys_[at] == pair, self.rank[at], _BIG)
+
+    def merge_long(self, token: bytes) -> int:
+        """Surviving symbols of one long pre-token. The rounds are the same (all places of the lowest rank at once),
+        but the places of every rank are kept, so a round costs what it merges and not the whole token."""
+        raw = np.frombuffer(token, np.uint8)
+        sym = self.inner[raw]
+        sym[-1] = self.last[raw[-1]]
+        n = len(sym)
+        rank = np.append(self.ranks_of(sym[:-1], sym[1:]), _BIG).tolist()
+        sym, after, before = sym.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        places: dict[int, list[int]] = {}
+        for i, r in enumerate(rank):
+            if r != _BIG:
+                places.setdefault(r, []).append(i)
+        if self.ranks is None:
+            self.ranks = dict(zip(self.keys_.tolist(), self.rank.tolist(), strict=True))
+        heap, left = list(places), n
+        heapq.heapify(heap)
+        while heap:
+            r = heapq.heappop(heap)
+            new = int(self.new[r])
+            for i in sorted(places.pop(r)):
+                if rank[i] != r:
+                    continue  # merged or changed since
+                j = after[i]
+                sym[i], after[i], rank[j] = new, after[j], _BIG
+                if after[i] < n:
+                    before[after[i]] = i
+                left -= 1
+                for k in (before[i], i):
+                    if k < 0:
+                        continue
+                    m = after[k]
+                    x = self.ranks.get(sym[k] << 32 | sym[m], _BIG) if m < n else _BIG
+                    rank[k] = x
+                    if x != _BIG:
+                        if x not in places:
+                            places[x] = []
+                            heapq.heappush(heap, x)
+                        places[x].append(k)
+        return left
+
+    def merge_short(self, tokens: list[bytes]) -> np.ndarray:
         lens = np.array([len(t) for t in tokens], np.int64)
         raw = np.frombuffer(b"".join(tokens), np.uint8)
         ends = np.cumsum(lens)
@@ -111,10 +170,7 @@ class Counter(dict):
         out = []
         for i in range(0, len(texts), 256):
             lot = texts[i:i + 256]
-            new = set()
-            for t in lot:
-                new.update(set(t.replace("\n", " ").split(" ")) - self.keys())
-            todo = list(new)
+            todo = list({c for t in lot for c in t.replace("\n", " ").split(" ") if c not in self})
             for k in range(0, len(todo), 50_000):
                 self.learn(todo[k:k + 50_000])
             out += [sum(map(self.__getitem__, t.replace("\n", " ").split(" "))) for t in lot]

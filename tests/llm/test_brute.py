@@ -43,6 +43,22 @@ def test_op4(spark, sf):
         assert (r.n_tokens, r.over_limit, r.n_bytes) == (n, n > 2048, len((TEXTS[r.doc_id] or "").encode()))
 
 
+def test_op4_long_words():
+    """Long pre-tokens count as in the library and take time in proportion (32,000 letters once took 8 s)."""
+    import random
+    import time
+
+    from gradeframe.llm.token_counts import Counter
+    draw = random.Random(1)
+    odd = ["".join(draw.choice("abcdefghijklmnop0123ABüß") for _ in range(n)) for n in (511, 512, 513, 32_000)]
+    odd += ["a" * 5000, "ab" * 3000, "aaab" * 1000 + "a", "naïve" * 700, "x " + "aab" * 400 + " y" + "b" * 600]
+    c = Counter(P.path("word_bpe_49k.json"))
+    began = time.time()
+    got = c.count_all(odd)
+    assert time.time() - began < 2 and got == [len(encode(t)) for t in odd]
+    assert c.count_all(odd) == got
+
+
 def test_op5(spark, sf):
     from gradeframe.llm.shards import op5_shards
     rows = op5_shards(spark, sf).collect()
