@@ -90,7 +90,7 @@ class Gam:
 
     @staticmethod
     def _cuts(x: np.ndarray, bins: int) -> np.ndarray:
-        return np.unique(np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1], method="inverted_cdf"))
+        return np.unique(np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1], method="inverted_cdf")) if len(x) else np.empty(0)
 
     def _binned(self, x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
         return np.column_stack([np.searchsorted(c, x[:, k], side="left") for k, c in enumerate(cuts)])
