@@ -77,12 +77,14 @@ def r6(x: str) -> str:
 
 # ---------------------------------------------------------------- metrics
 
-def ngram_ctes(src: str, tok, orders: list[int], prefix: str) -> str:
+def ngram_ctes(src: str, tok, orders: list[int], prefix: str, tokens: str | None = None) -> str:
     """CTEs <prefix>_tok(pair_id, rt, ct) and <prefix>_m(pair_id, n, matches)
-    over ``src`` (pair_id, reference, candidate)."""
+    over ``src`` (pair_id, reference, candidate); ``tokens`` are CTEs that give
+    <prefix>_tok in another way."""
+    tokens = tokens or f"{prefix}_tok AS (select pair_id, {tok('reference')} rt, {tok('candidate')} ct from ({src}) s)"
     ords = ", ".join(str(n) for n in orders)
     gram = "lambda i: array_to_string({t}[i:i+n-1], ' ')"
-    return f"""{prefix}_tok AS (select pair_id, {tok('reference')} rt, {tok('candidate')} ct from ({src}) s),
+    return f"""{tokens},
 {prefix}_g AS (
   select pair_id, n, 1 rc, 0 cc, unnest(list_transform(range(1, len(rt) - n + 2), {gram.format(t='rt')})) gram
   from {prefix}_tok cross join (select unnest([{ords}]) n) o
@@ -93,15 +95,111 @@ def ngram_ctes(src: str, tok, orders: list[int], prefix: str) -> str:
 {prefix}_m AS (select pair_id, n, cast(sum(least(rc, cc)) as bigint) matches from {prefix}_c group by pair_id, n)"""
 
 
-def metric_ctes(src: str) -> str:
-    """CTE ``met(pair_id, bleu, rouge1, rouge2, keyword_precision,
-    keyword_recall, keyword_f1)`` (ROUGE without stemming)."""
+# ---------------------------------------------------------------- fixed values
+# Porter's rules as published (suffix, what replaces it), longest suffix first,
+# and the words with a stem of their own; stated here for the SQL alone.
+STEP2_SQL = """ational ate, tional tion, enci ence, anci ance, izer ize, bli ble, alli al, entli ent, eli e, ousli ous,
+ization ize, ation ate, ator ate, alism al, iveness ive, fulness ful, ousness ous, aliti al, iviti ive, biliti ble, fulli ful"""
+STEP3_SQL = "icate ic, ative, alize al, iciti ic, ical ic, ful, ness"
+STEP4_SQL = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
+OWN_STEM_SQL = """sky sky, skies sky, dying die, lying lie, tying tie, news news, innings inning, inning inning, outings outing,
+outing outing, cannings canning, canning canning, howe howe, proceed proceed, exceed exceed, succeed succeed"""
+# --------------------------------------------------------- end of fixed values
+
+
+def suffix_pairs(table: str) -> list[tuple[str, str]]:
+    return [(x.split() + [""])[:2] for x in table.split(",")]
+
+
+def stem_ctes(src: str) -> str:
+    """CTEs ending in ``stems(token, stem)`` over ``src`` (token). Each step is one CASE over the word ``w`` and ``p``, its
+    letters as c (consonant) and v (vowel); the measure of a stem is the number of vc changes in its part of ``p``."""
+    letters = """list_reduce(list_concat([''], string_split({w}, '')), lambda a, c: concat(a, case
+      when c in ('a', 'e', 'i', 'o', 'u') then 'v'
+      when c = 'y' and a <> '' and right(a, 1) = 'c' then 'v' else 'c' end))"""
+
+    def step(name: str, prev: str, case: str, keep: str = "") -> str:
+        return f"""{name}_w AS (select token, {case} w{keep} from {prev}),
+{name} AS (select *, {letters.format(w='w')} p from {name}_w)"""
+
+    def cut(n: int) -> str:
+        return f"left(w, len(w) - {n})"
+
+    def measure(n: int, p: str = "p") -> str:
+        return f"len(regexp_extract_all(left({p}, greatest(len({p}) - {n}, 0)), 'v+c+'))"
+
+    def ends(x: str) -> str:
+        return f"ends_with(w, {q(x)})"
+
+    def cvc(n: int) -> str:  # of the word without its last n letters
+        stem, p = f"left(w, len(w) - {n})", f"left(p, len(p) - {n})"
+        return f"((len({stem}) >= 3 and right({p}, 3) = 'cvc' and right({stem}, 1) not in ('w', 'x', 'y')) or {p} = 'vc')"
+
+    def table(rules: str, least: int = 0) -> str:
+        return "case " + " ".join(f"when {ends(x)} then case when {measure(len(x))} > {least} then concat({cut(len(x))}, {q(y)}) else w end"
+                                  for x, y in suffix_pairs(rules)) + "{more} else w end"
+    s1a = f"""case when {ends('ies')} and len(w) = 4 then concat({cut(3)}, 'ie') when {ends('sses')} or {ends('ies')} then {cut(2)}
+      when {ends('ss')} then w when {ends('s')} then {cut(1)} else w end"""
+    verb = [(x, f"{ends(x)} and contains(left(p, greatest(len(p) - {len(x)}, 0)), 'v')") for x in ("ed", "ing")]
+    s1b = f"""case when {ends('ied')} then concat({cut(3)}, case when len(w) = 4 then 'ie' else 'i' end)
+      when {ends('eed')} then case when {measure(3)} > 0 then {cut(1)} else w end
+      {' '.join(f"when {c} then {cut(len(x))}" for x, c in verb)} else w end"""
+    is_cut = f", not {ends('ied')} and not {ends('eed')} and ({' or '.join(f'({c})' for _, c in verb)}) cut"
+    tidy = f"""case when not cut then w when {ends('at')} or {ends('bl')} or {ends('iz')} then concat(w, 'e')
+      when len(w) >= 2 and w[-1] = w[-2] and right(p, 1) = 'c' then case when right(w, 1) in ('l', 's', 'z') then w else {cut(1)} end
+      when {measure(0)} = 1 and {cvc(0)} then concat(w, 'e') else w end"""
+    s1c = f"case when {ends('y')} and len(w) > 2 and p[len(w) - 1] = 'c' then concat({cut(1)}, 'i') else w end"
+    s2a = f"case when {ends('alli')} and {measure(4)} > 0 then {cut(2)} else w end"
+    s2b = table(STEP2_SQL).format(more=f" when {ends('logi')} then case when {measure(3)} > 0 then {cut(1)} else w end")
+    s4 = "case " + " ".join(
+        f"when {ends(x)} then case when {measure(len(x))} > 1" + (f" and right({cut(len(x))}, 1) in ('s', 't')" if x == "ion" else "")
+        + f" then {cut(len(x))} else w end" for x in STEP4_SQL.split()) + " else w end"
+    s5a = f"case when {ends('e')} and ({measure(1)} > 1 or ({measure(1)} = 1 and not {cvc(1)})) then {cut(1)} else w end"
+    s5b = f"case when {ends('ll')} and {measure(1)} > 1 then {cut(1)} else w end"
+    own = " ".join(f"when {q(x)} then {q(y)}" for x, y in suffix_pairs(OWN_STEM_SQL))
+    return ",\n".join([
+        f"st0_w AS (select distinct token, token w from ({src}) s)", f"st0 AS (select *, {letters.format(w='w')} p from st0_w)",
+        step("st1a", "st0", s1a), step("st1b", "st1a", s1b, is_cut), step("st1d", "st1b", tidy), step("st1c", "st1d", s1c),
+        step("st2a", "st1c", s2a), step("st2b", "st2a", s2b), step("st3", "st2b", table(STEP3_SQL).format(more="")),
+        step("st4", "st3", s4), step("st5a", "st4", s5a), step("st5b", "st5a", s5b),
+        f"stems AS (select token, case when len(token) <= 3 then token else case token {own} else w end end stem from st5b)"])
+
+
+def rouge_token_ctes(src: str, stem: bool) -> str:
+    """CTEs ending in ``r_tok(pair_id, rt, ct)``: the ROUGE tokens of both sides, stemmed or as they are."""
+    raw = f"r_raw AS (select pair_id, {rouge_tokens('reference')} rt, {rouge_tokens('candidate')} ct from ({src}) s)"
+    if not stem:
+        return f"{raw},\nr_tok AS (select * from r_raw)"
+
+    def side(c: str) -> str:
+        return f"""r_{c} AS (select pair_id, list(stem order by i) x from (select pair_id, unnest({c}) token,
+  unnest(range(1, len({c}) + 1)) i from r_raw) t join stems using (token) group by pair_id)"""
+    return f"""{raw},
+{stem_ctes('select unnest(list_concat(rt, ct)) token from r_raw')},
+{side('rt')},
+{side('ct')},
+r_tok AS (select r.pair_id, coalesce(a.x, []) rt, coalesce(b.x, []) ct from r_raw r left join r_rt a using (pair_id)
+  left join r_ct b using (pair_id))"""
+
+
+# Longest common subsequence of r_tok's sides: the places where tokens agree, by reference place and from the last candidate
+# place to the first, replace the smallest end that is not below them; the ends kept are as many as the subsequence is long.
+LCS_CTES = """l_hit AS (select pair_id, list([j] order by i, j desc) hits from
+  (select pair_id, unnest(rt) t, unnest(range(1, len(rt) + 1)) i from r_tok) a
+  join (select pair_id, unnest(ct) t, unnest(range(1, len(ct) + 1)) j from r_tok) b using (pair_id, t) group by pair_id),
+l_out AS (select pair_id, len(list_reduce(hits, lambda s, h: list_concat(list_concat(s[1:len(list_filter(s, lambda x: x < h[1]))], h),
+  s[len(list_filter(s, lambda x: x < h[1])) + 2:]), cast([] as bigint[]))) lcs from l_hit)"""
+
+
+def metric_ctes(src: str, stem: bool = True) -> str:
+    """CTE ``met(pair_id, bleu, rouge1, rouge2, rougeL, keyword_precision, keyword_recall, keyword_f1)``."""
     def m(prefix, n):
         return f"coalesce((select matches from {prefix}_m x where x.pair_id = t.pair_id and x.n = {n}), 0)"
     b = ngram_ctes(src, bleu_tokens, [1, 2, 3, 4], "b")
-    r = ngram_ctes(src, rouge_tokens, [1, 2], "r")
+    r = ngram_ctes(src, None, [1, 2], "r", rouge_token_ctes(src, stem))
     return f"""{b},
 {r},
+{LCS_CTES},
 b_cnt AS (select t.pair_id, len(t.ct) hyp, len(t.rt) ref,
    {m('b', 1)} m1, {m('b', 2)} m2, {m('b', 3)} m3, {m('b', 4)} m4 from b_tok t),
 b_lp AS (select *, least(hyp, 4) eff,
@@ -111,17 +209,19 @@ b_out AS (select pair_id, case when m1 = 0 then 0.0 else
    (case when hyp >= ref then 1.0 else exp(1 - cast(ref as double) / hyp) end) * exp((
    {' + '.join(f"(case when {n} > eff then 0.0 when m{n} > 0 then ln(cast(m{n} as double) / greatest(hyp - {n} + 1, 1)) else -ln(pow(2.0, {n} - nzc) * greatest(hyp - {n} + 1, 1)) end)" for n in (1, 2, 3, 4))}
    ) / eff) end bleu from b_lp),
-r_cnt AS (select t.pair_id, len(t.ct) lc, len(t.rt) lr, {m('r', 1)} o1, {m('r', 2)} o2 from r_tok t),
+r_cnt AS (select t.pair_id, len(t.ct) lc, len(t.rt) lr, {m('r', 1)} o1, {m('r', 2)} o2,
+   cast(coalesce((select lcs from l_out x where x.pair_id = t.pair_id), 0) as double) lcs from r_tok t),
 r_out AS (select pair_id,
    {f1('cast(o1 as double) / greatest(lc, 1)', 'cast(o1 as double) / greatest(lr, 1)')} rouge1,
-   {f1('cast(o2 as double) / greatest(lc - 1, 1)', 'cast(o2 as double) / greatest(lr - 1, 1)')} rouge2 from r_cnt),
+   {f1('cast(o2 as double) / greatest(lc - 1, 1)', 'cast(o2 as double) / greatest(lr - 1, 1)')} rouge2,
+   {f1('lcs / greatest(lc, 1)', 'lcs / greatest(lr, 1)')} rougeL from r_cnt),
 k_tok AS (select pair_id, {kw_tokens('reference')} rt, {kw_tokens('candidate')} ct from ({src}) s),
 k_set AS (select pair_id, {first_distinct('rt')} rk, {first_distinct('ct')} ck from k_tok),
 k_out AS (select pair_id, case when len(rk) = 0 or len(ck) = 0 then 0.0
    else cast(len(list_intersect(rk, ck)) as double) / len(ck) end kp,
    case when len(rk) = 0 or len(ck) = 0 then 0.0
    else cast(len(list_intersect(rk, ck)) as double) / len(rk) end kr from k_set),
-met AS (select b.pair_id, b.bleu, r.rouge1, r.rouge2, k.kp keyword_precision, k.kr keyword_recall,
+met AS (select b.pair_id, b.bleu, r.rouge1, r.rouge2, r.rougeL, k.kp keyword_precision, k.kr keyword_recall,
    {f1('k.kp', 'k.kr')} keyword_f1
    from b_out b join r_out r on b.pair_id = r.pair_id join k_out k on b.pair_id = k.pair_id)"""
 
@@ -136,7 +236,11 @@ from b_tok t cross join (select unnest([1, 2, 3, 4]) n) o left join b_m m on m.p
 
 SQL["bleu"] = duck_sql(f"WITH {metric_ctes(PAIRS)}\nselect pair_id, {r6('bleu')} bleu from met", ["pairs_v"])
 SQL["rouge_unstemmed"] = duck_sql(
-    f"WITH {metric_ctes(PAIRS)}\nselect pair_id, {r6('rouge1')} rouge1, {r6('rouge2')} rouge2 from met", ["pairs_v"])
+    f"WITH {metric_ctes(PAIRS, stem=False)}\nselect pair_id, {r6('rouge1')} rouge1, {r6('rouge2')} rouge2 from met", ["pairs_v"])
+for _m in ("rouge1", "rouge2", "rougeL"):
+    SQL[_m] = duck_sql(f"WITH {metric_ctes(PAIRS)}\nselect pair_id, {r6(_m)} {_m} from met", ["pairs_v"])
+SQL["stem_tokens"] = duck_sql(f"WITH {stem_ctes('select unnest(' + rouge_tokens('reference') + ') token from pairs_v')}\n"
+                              "select token, stem from stems", ["pairs_v"])
 SQL["keyword_overlap"] = duck_sql(
     f"WITH {metric_ctes(PAIRS)}\nselect pair_id, {r6('keyword_precision')} keyword_precision, "
     f"{r6('keyword_recall')} keyword_recall, {r6('keyword_f1')} keyword_f1 from met", ["pairs_v"])
