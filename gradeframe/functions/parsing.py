@@ -69,35 +69,36 @@ def last_line_value(norm, key: str) -> Column:
     return F.when(F.instr(n, marker) > 0, py_strip(F.substring_index(rest, "\n", 1)))
 
 
-def last_line_int(norm, key: str) -> Column:
+def last_line_int(norm, key: str, kind: str = "bigint") -> Column:
     """``leading_int`` of the last ``key`` line's value, in one regex call:
     leading whitespace is skipped by the pattern instead of a strip."""
     n = col_(norm)
     marker = f"\n{key}:"
     line = F.substring_index(F.substring_index(n, marker, -1), "\n", 1)
     digits = F.regexp_extract(line, f"^{INLINE_WS}*([0-9]+)", 1)
-    return F.when(F.instr(n, marker) > 0, digits.try_cast("int"))
+    return F.when(F.instr(n, marker) > 0, digits.try_cast(kind))
 
 
 def leading_int(v) -> Column:
-    """Leading digits of a value as int (``8/10`` -> 8, ``8.5`` -> 8, ``-3``,
-    ``[8]`` or empty -> null); no range check (F6)."""
-    return F.regexp_extract(col_(v), r"^([0-9]+)", 1).try_cast("int")
+    """Leading digits of a value (``8/10`` -> 8, ``8.5`` -> 8, ``-3``, ``[8]``
+    or empty -> null); no range check (F6). Up to
+    18 digits; the overall score, a double, may have any number of them."""
+    return F.regexp_extract(col_(v), r"^([0-9]+)", 1).try_cast("bigint")
 
 
 def mean_of_present(cols: list[Column], digits: int = 2) -> Column:
     """Row-wise mean of the non-null values, rounded; null if all are null."""
     n = sum(c.isNotNull().cast("int") for c in cols)
-    s = sum(F.coalesce(c, F.lit(0)) for c in cols)
+    s = sum(F.coalesce(c.cast("double"), F.lit(0.0)) for c in cols)
     return F.when(n > 0, F.round(s / n, digits))
 
 
 def parse_judge(raw) -> Column:
-    """struct<correctness, completeness, clarity, cognitive_alignment: int,
+    """struct<correctness, completeness, clarity, cognitive_alignment: bigint,
     overall_score: double, justification: string> (F5 + A6)."""
     t = normalised_lines(raw)
     subs = [last_line_int(t, k) for k in JUDGE_SCORE_KEYS]
-    overall = last_line_int(t, JUDGE_OVERALL_KEY).cast("double")
+    overall = last_line_int(t, JUDGE_OVERALL_KEY, "double")
     fields = [s.alias(name) for s, name in zip(subs, JUDGE_SUBSCORE_COLUMNS)]
     return F.struct(*fields,
                     F.coalesce(overall, mean_of_present(subs)).alias("overall_score"),

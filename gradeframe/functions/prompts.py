@@ -63,9 +63,12 @@ def instruction(domain, cfg: PromptConfig = PromptConfig()) -> Column:
 
 def render_choices(choices_json) -> Column:
     """``key. value`` lines sorted by key from a JSON object; null when the
-    JSON is malformed or not an object (F2 + O1)."""
+    JSON is malformed or not an object (F2 + O1). Of a repeated key the last
+    value stays."""
     m = F.from_json(col_(choices_json), "map<string,string>")
-    entries = F.array_sort(F.map_entries(m))
+    keys = F.map_keys(m)  # in the order of the text, repeats included
+    last = F.filter(F.map_entries(m), lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+    entries = F.array_sort(last, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
     lines = F.transform(entries, lambda e: F.concat(e["key"], F.lit(". "),
                                                     F.coalesce(e["value"], F.lit("None"))))
     return F.when(m.isNotNull(), F.array_join(lines, NL))

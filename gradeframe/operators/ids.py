@@ -59,3 +59,46 @@ def format_id(prefix: str, n, digits: int = 6) -> Column:
     """``prefix`` + zero-padded number; wider numbers are not truncated
     (``lpad`` would cut them)."""
     return F.format_string(f"{prefix}%0{digits}d", F.col(n) if isinstance(n, str) else n)
+
+
+class Ordered:
+    """A table written once in global order. Rows are numbered from 0 and read back by ranges of numbers: only the files
+    that hold a range are read, because the stored partition id is pushed to the scan. One row for each partition (its
+    row count) reaches the driver."""
+
+    def __init__(self, df: DataFrame, order: list):
+        self.stored = _sorted_with_position(df, order)
+        counts = self.stored.groupBy(_P).agg(F.count(F.lit(1)).alias("_n")).orderBy(_P).collect()
+        self.first, self.count = [], 0  # (partition, number of its first row)
+        for p, n in counts:
+            self.first.append((p, self.count))
+            self.count += n
+
+    def rows(self, start: int, stop: int, name: str = "_n") -> DataFrame:
+        """The rows numbered ``start`` up to ``stop`` (exclusive), with their number."""
+        ends = [f for _, f in self.first[1:]] + [self.count]
+        held = [(p, f) for (p, f), e in zip(self.first, ends) if f < stop and e > start] or [(0, 0)]
+        spark = self.stored.sparkSession
+        offs = spark.createDataFrame(held, f"{_P} int, _off long")
+        part = self.stored.where((F.col(_P) >= held[0][0]) & (F.col(_P) <= held[-1][0]))
+        local = F.col(_M) - F.shiftleft(F.col(_P).cast("long"), POS_BITS)
+        out = part.join(F.broadcast(offs), _P).withColumn(name, F.col("_off") + local)
+        return out.where((F.col(name) >= start) & (F.col(name) < stop)).drop(_P, _M, "_off")
+
+
+def wave_ranges(total: int, first: int, largest: int) -> list[tuple[int, int]]:
+    """Ranges of numbers that double from ``first`` rows to ``largest``: few waves, of which the early ones are small."""
+    out, at, size = [], 0, max(1, first)
+    while at < total:
+        out.append((at, min(total, at + size)))
+        at, size = at + size, min(2 * size, max(first, largest))
+    return out
+
+
+def narrow_row_number(df: DataFrame, order: list, key: str, name: str = "row_number", start: int = 1) -> DataFrame:
+    """``df`` with ``name``, its number in ``order``. Only the order columns and ``key`` (unique) are sorted and written; the
+    numbers are joined back to the rows by ``key``."""
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    narrow = df.select(F.col(key), *[c.alias(f"_o{i}") for i, c in enumerate(cols)])
+    numbered = global_row_number(narrow, [f"_o{i}" for i in range(len(cols))] + [key], name, start)
+    return df.join(numbered.select(key, name), key)

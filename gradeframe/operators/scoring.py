@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import ID_DIGITS, MCQ_TYPE, SCORE_ID_PREFIX
 from ..functions.text import py_strip, text_or_empty
 from .ids import format_id, global_exclusive_sum, global_row_number
-from .tasks import MAX_MODELS, bounded_rows
+from .tasks import inline_rows
 
 QUESTION_SIDE = ["dataset_name", "dataset_subset", "domain", "difficulty", "bloom_level", "bloom_name",
                  "bloom_confidence", "question_type", "question_text", "ground_truth_answer", "context",
@@ -46,16 +46,20 @@ def resume_scores(rows: DataFrame, done: DataFrame, key: str = "response_id") ->
 
 
 def model_lookup(df: DataFrame, models: DataFrame) -> DataFrame:
-    """model_version and temperature by model_name; unknown -> null. The
-    model table is configuration: size-checked, then inlined as map literals
-    (no join)."""
-    rows = bounded_rows(models.select("model_name", "model_id", "temperature"), MAX_MODELS, "models")
-    ver = F.create_map(*[x for r in rows for x in (F.lit(r["model_name"]), F.lit(r["model_id"]))]) if rows \
-        else F.create_map().cast("map<string,string>")
-    tmp = F.create_map(*[x for r in rows for x in (F.lit(r["model_name"]), F.lit(r["temperature"]).cast("double"))]) \
-        if rows else F.create_map().cast("map<string,double>")
-    return df.withColumns({"model_version": F.try_element_at(ver, F.col("model_name")),
-                           "temperature": F.try_element_at(tmp, F.col("model_name"))})
+    """model_version and temperature by model_name; unknown -> null. A
+    model table of configuration size is inlined as map literals (no join), a
+    larger one is joined."""
+    cols = models.select("model_name", "model_id", F.col("temperature").cast("double").alias("temperature"))
+    rows = inline_rows(cols)
+    if rows is None:
+        found = cols.groupBy("model_name").agg(F.first("model_id").alias("model_version"), F.first("temperature").alias("temperature"))
+        return df.drop("model_version", "temperature").join(found, "model_name", "left")
+    known = {r["model_name"]: r for r in rows if r["model_name"] is not None}
+
+    def lookup(field: str, kind: str) -> Column:
+        pairs = [x for name, r in known.items() for x in (F.lit(name), F.lit(r[field]).cast(kind))]
+        return F.try_element_at(F.create_map(*pairs).cast(f"map<string,{kind}>"), F.col("model_name"))
+    return df.withColumns({"model_version": lookup("model_id", "string"), "temperature": lookup("temperature", "double")})
 
 
 def is_error(df: DataFrame) -> Column:

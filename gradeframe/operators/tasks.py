@@ -7,18 +7,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ID_DIGITS, QUOTA_MARKERS, RESPONSE_ID_PREFIX
-from .ids import format_id, global_row_number
+from .ids import format_id, global_row_number, narrow_row_number
 
-MAX_MODELS = 10_000  # the model dimension is configuration; larger is a mistake
+INLINE_MODELS = 1_000  # up to so many models are written into the plan; more are joined
 
 
-def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
-    """Collect a configuration-sized table after proving its size: reads at
-    most ``limit + 1`` rows."""
+def inline_rows(df: DataFrame, limit: int = INLINE_MODELS) -> list | None:
+    """The rows of a configuration-sized table, or None where it has more
+    than ``limit``: reads at most ``limit + 1`` rows."""
     rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what} has more than {limit} rows; it is not a configuration table")
-    return rows
+    return rows if len(rows) <= limit else None
 
 
 def active_models(models: DataFrame, available_apis: list[str]) -> DataFrame:
@@ -26,8 +24,9 @@ def active_models(models: DataFrame, available_apis: list[str]) -> DataFrame:
     backends when none is left."""
     out = models.filter(F.col("api").isin(list(available_apis)))
     if not out.limit(1).collect():
-        missing = sorted({r["api"] for r in bounded_rows(models.select("api").distinct(), MAX_MODELS, "models")})
-        raise RuntimeError(f"No active models available; no backend for: {missing}")
+        missing = inline_rows(models.select("api").distinct().orderBy("api"))
+        raise RuntimeError("No active models available; no backend for: "
+                           f"{'any API' if missing is None else [r['api'] for r in missing]}")
     return out
 
 
@@ -35,15 +34,24 @@ def task_grid(questions: DataFrame, models: DataFrame, question_order: list,
               model_order: str = "model_ord") -> DataFrame:
     """Every question paired with every model, question-major.
 
-    The model dimension is configuration (size-checked, at most MAX_MODELS
-    rows), so it is inlined as an array literal and exploded next to each
-    question: no join, no shuffle, and the question side streams."""
-    mrows = bounded_rows(models.select("model_name", model_order).orderBy(model_order), MAX_MODELS, "models")
-    arr = F.array(*[F.struct(F.lit(r["model_name"]).alias("model_name"),
-                             F.lit(r[model_order]).cast("int").alias("model_ord")) for r in mrows])
+    A model dimension of configuration size is inlined as an array literal
+    and exploded next to each question: no join, no shuffle, and the question
+    side streams. A larger one becomes blocks of models, one array each; every
+    question is dealt to every block number and joined to it by equality."""
+    cols = models.select("model_name", F.col(model_order).cast("int").alias("model_ord"))
     q = questions.withColumn("_q_order", F.struct(*question_order))
-    return (q.withColumn("_m", F.explode(arr))
-            .withColumn("model_name", F.col("_m.model_name")).withColumn("model_ord", F.col("_m.model_ord"))
+    rows = inline_rows(cols.orderBy("model_ord"))
+    if rows is not None:
+        arr = F.array(*[F.struct(F.lit(r["model_name"]).alias("model_name"), F.lit(r["model_ord"]).alias("model_ord"))
+                        for r in rows]) if rows else F.array().cast("array<struct<model_name:string,model_ord:int>>")
+        grid = q.withColumn("_m", F.explode(arr))
+    else:
+        n = cols.count() // INLINE_MODELS + 1
+        block = F.pmod(F.xxhash64("model_name", "model_ord"), F.lit(n))
+        blocks = cols.groupBy(block.alias("_b")).agg(F.collect_list(F.struct("model_name", "model_ord")).alias("_ms"))
+        dealt = q.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+        grid = dealt.join(blocks, "_b").withColumn("_m", F.explode("_ms")).drop("_b", "_ms")
+    return (grid.withColumn("model_name", F.col("_m.model_name")).withColumn("model_ord", F.col("_m.model_ord"))
             .withColumn("task_order", F.struct(F.col("_q_order"), F.col("model_ord")))
             .drop("_m", "_q_order"))
 
@@ -86,10 +94,12 @@ def circuit_breaker(log: DataFrame, model: str, seq: str, error: str = "error",
             .drop("_first_quota"))
 
 
-def with_response_ids(df: DataFrame, order: list, offset: int = 0) -> DataFrame:
+def with_response_ids(df: DataFrame, order: list, offset: int = 0, key: str | None = None) -> DataFrame:
     """``resp_`` + (offset + n) zero-padded, n counting emitted rows in
-    task order (after the breaker)."""
-    out = global_row_number(df, order, "_n", start=offset + 1)
+    task order (after the breaker). With a unique ``key`` only the order
+    columns and the key are sorted, and the numbers joined back."""
+    out = (narrow_row_number(df, order, key, "_n", offset + 1) if key
+           else global_row_number(df, order, "_n", start=offset + 1))
     return out.withColumn("response_id", format_id(RESPONSE_ID_PREFIX, "_n", ID_DIGITS)).drop("_n")
 
 

@@ -289,6 +289,17 @@ SQL["load_responses"] = duck_sql("""select response_id, question_id, model_name,
 SQL["csv_roundtrip"] = duck_sql("select question_id, nullif(question_text, '') question_text, nullif(context, '') context "
                                 "from questions_v", ["questions_v"])
 
+SQL["mixed_types"] = duck_sql("""WITH f AS (
+  select question_id, cast(conv_id as varchar) conv_id, bloom_level, cast(null as varchar) rescued_level, 1 ord from questions_file1
+  where conv_id % 2 = 1
+  union all
+  select question_id, concat('no ', conv_id), case when conv_id % 4 = 0 then null else bloom_level end,
+    case when conv_id % 4 = 0 then 'n/a' end, 2 from questions_file2)
+select question_id, conv_id, bloom_level, rescued_level from f qualify row_number() over (partition by question_id order by ord) = 1""",
+                              ["questions_file1", "questions_file2"])
+SQL["xlsx_ingest"] = duck_sql("""select question_id, domain, question_text, cast(bloom_level as varchar) bloom_level, context,
+  dataset_name from questions_v""", ["questions_v"])
+
 # ---------------------------------------------------------- prompts, parsers
 
 
@@ -298,9 +309,12 @@ def instruction_sql(domain: str) -> str:
 
 
 def choices_sql(cj: str) -> str:
+    """Keys in order with their values; of a repeated key the last value (flat objects of text, as the views have them)."""
+    pair = '"([^"]*)"\\s*:\\s*"([^"]*)"'
+    keys, values = (f"regexp_extract_all({cj}, {q(pair)}, {g})" for g in (1, 2))
     return (f"(case when json_valid({cj}) and json_type({cj}) = 'OBJECT' then array_to_string(list_transform("
-            f"list_sort(json_keys({cj})), lambda k: concat(k, '. ', coalesce(json_extract_string({cj}, "
-            f"concat('$.\"', k, '\"')), 'None'))), chr(10)) end)")
+            f"list_sort(list_distinct({keys})), lambda k: concat(k, '. ', ({values})[len({keys}) + 1 - "
+            f"list_position(list_reverse({keys}), k)])), chr(10)) end)")
 
 
 NL2 = "concat(chr(10), chr(10))"
@@ -372,7 +386,7 @@ def last_v(kvs: str, key: str, pattern: str | None = None) -> str:
 
 
 def lead_int(v: str) -> str:
-    return f"try_cast(regexp_extract({v}, '^([0-9]+)', 1) as integer)"
+    return f"try_cast(regexp_extract({v}, '^([0-9]+)', 1) as bigint)"
 
 
 JUDGE_KEYS = ["CORRECTNESS", "COMPLETENESS", "CLARITY", "COGNITIVE_ALIGNMENT"]
@@ -435,7 +449,7 @@ def quota_sql(err: str, msg: str) -> str:
 
 SQL["quota_errors"] = duck_sql(f"select model_key, seq, error_message from call_log_v "
                                f"where {quota_sql('error', 'error_message')}", ["call_log_v"])
-SQL["active_models"] = duck_sql("select model_name, api from models_v where api in ('stub')", ["models_v"])
+SQL["active_models"] = duck_sql("select model_name, api from model_catalog_v where api in ('stub', 'alt')", ["model_catalog_v"])
 BREAKER = f"""select model_key, seq, error, error_message from (
   select *, max(case when {quota_sql('error', 'error_message')} then 1 else 0 end)
     over (partition by model_key order by seq rows between unbounded preceding and 1 preceding) prior
@@ -476,11 +490,17 @@ SQL["score_ids_compat"] = duck_sql(f"""select response_id, printf('score_%06d',
   then 0 else 1 end) over (order by response_id rows between unbounded preceding and 1 preceding), 0)) score_id
 from ({JOINED}) j""", JV)
 
+METRICS = ["bleu", "rouge1", "rouge2", "rougeL", "keyword_precision", "keyword_recall", "keyword_f1"]
+EMPTY = {"varchar": "dataset_subset bloom_name human_agreement bloom_justification validation_agreement",
+         "double": "bloom_confidence response_time_sec overall_score human_score", "integer": "token_count",
+         "bigint": "correctness completeness clarity cognitive_alignment", "timestamp": "timestamp"}
 SCORE_BASE = f"""select printf('score_%06d', row_number() over (order by j.response_id)) score_id, j.response_id,
-  j.question_id, j.model_name, j.dataset_name, j.domain, j.difficulty, j.bloom_level, cast(null as varchar) bloom_name,
-  j.question_type, j.context, j.choices_json, j.error, j.error_message, m.model_id model_version, m.temperature,
-  false human_validated, case when coalesce(j.error, false) then {SKIPPED.replace('error_message', 'j.error_message')} else '' end justification,
-  {', '.join(f"{r6('met.' + c)} {c}" for c in ['bleu', 'rouge1', 'rouge2', 'keyword_precision', 'keyword_recall', 'keyword_f1'])}
+  j.question_id, j.model_name, j.dataset_name, j.domain, j.difficulty, j.bloom_level, j.question_type, j.question_text,
+  j.ground_truth_answer, j.context, j.choices_json, j.response_text, j.error, j.error_message, m.model_id model_version,
+  m.temperature, false human_validated,
+  case when coalesce(j.error, false) then {SKIPPED.replace('error_message', 'j.error_message')} else '' end justification,
+  {', '.join(f"cast(null as {t}) {c}" for t, cs in EMPTY.items() for c in cs.split())},
+  {', '.join(f"{r6('met.' + c)} {c}" for c in METRICS)}
 from ({JOINED}) j left join models_v m on j.model_name = m.model_name
 left join met on met.pair_id = j.response_id"""
 LEX_SRC = f"select response_id pair_id, ground_truth_answer reference, response_text candidate from ({JOINED}) j where {APPLIES}"
@@ -490,19 +510,41 @@ SCORE_META = ("score_id, response_id, question_id, model_name, dataset_name, dom
               "justification")
 SQL["score_metadata"] = duck_sql(f"select {SCORE_META} from ({EVAL}) e", JV + ["models_v"])
 SQL["evaluate_job"] = duck_sql(f"select * from ({EVAL}) e", JV + ["models_v"])
+SQL["evaluate_stemmed"] = duck_sql(f"select {SCORE_META}, {', '.join(METRICS)} from ({EVAL}) e", JV + ["models_v"])
 SQL["scores_sink"] = SQL["evaluate_job"]
 SQL["stream_evaluate"] = duck_sql(f"select * exclude (score_id) from ({EVAL}) e", JV + ["models_v"])
+PLAIN = f"({strip('question_type')} is distinct from 'mcq')"
+MINIMAL_SRC = f"select response_id pair_id, ground_truth_answer reference, response_text candidate from ({JOINED}) j where {PLAIN}"
+SQL["evaluate_minimal"] = duck_sql(f"""WITH {metric_ctes(MINIMAL_SRC)}
+select printf('score_%06d', row_number() over (order by j.response_id)) score_id, j.response_id, cast(null as boolean) error,
+  cast(null as varchar) error_message, '' justification, {', '.join(f"{r6('met.' + c)} {c}" for c in METRICS)}
+from ({JOINED}) j left join met on met.pair_id = j.response_id""", JV)
+ODD = f"""select row_number() over (order by r.question_id, r.model_name) pair_id, r.*, q.question_type, q.ground_truth_answer
+from responses_odd_v r join questions_v q on r.question_id is not distinct from q.question_id"""
+ODD_SRC = f"select pair_id, ground_truth_answer reference, response_text candidate from ({ODD}) j where {APPLIES}"
+SQL["evaluate_repeated_ids"] = duck_sql(f"""WITH {metric_ctes(ODD_SRC)}
+select j.response_id, j.question_id, j.model_name, j.error, {', '.join(f"{r6('met.' + c)} {c}" for c in METRICS)}
+from ({ODD}) j left join met on met.pair_id = j.pair_id""", ["responses_odd_v", "questions_v"])
+SQL["evaluation_audit"] = duck_sql("""select 'responses' metric, count(*) as value from responses_v
+union all select 'unmatched', count(*) from responses_v r where not exists (select 1 from questions_v q where q.question_id is not distinct from r.question_id)
+union all select 'null_question_text', count(*) from questions_v where question_text is null
+union all select 'null_ground_truth_answer', count(*) from questions_v where ground_truth_answer is null""", JV)
 
 JUDGE_N = f"""select j.*, length({judge_prompt_sql('question_text', 'ground_truth_answer', 'response_text', 'bloom_level',
   'cast(null as varchar)', 'domain')}) n from ({JOINED}) j"""
 JUDGE_SUBS = """n % 11 c1, cast(floor(n / 3) as bigint) % 11 c2, cast(floor(n / 7) as bigint) % 11 c3,
   cast(floor(n / 11) as bigint) % 11 c4"""
-SQL["judge_scores"] = duck_sql(f"""select response_id,
-  case when err then null else cast(c1 as int) end correctness, case when err then null else cast(c2 as int) end completeness,
-  case when err then null else cast(c3 as int) end clarity, case when err then null else cast(c4 as int) end cognitive_alignment,
+SQL_JUDGED = f"""select response_id,
+  case when err then null else cast(c1 as bigint) end correctness, case when err then null else cast(c2 as bigint) end completeness,
+  case when err then null else cast(c3 as bigint) end clarity, case when err then null else cast(c4 as bigint) end cognitive_alignment,
   case when err then null else round(cast(c1 + c2 + c3 + c4 as double) / 4, 2) end overall_score,
   case when err then {SKIPPED} else concat('length ', n) end justification
-from (select *, coalesce(error, false) err, {JUDGE_SUBS} from ({JUDGE_N}) a) b""", JV)
+from (select *, coalesce(error, false) err, {JUDGE_SUBS} from ({JUDGE_N}) a) b"""
+SQL["judge_scores"] = duck_sql(SQL_JUDGED, JV)
+
+SQL["evaluate_run"] = duck_sql(f"""WITH {metric_ctes(LEX_SRC)}
+select x.*, {', '.join(f"{r6('met.' + c)} {c}" for c in METRICS)}
+from ({SQL_JUDGED}) x left join met on met.pair_id = x.response_id""", JV)
 
 # ---------------------------------------------------------------- inference
 
@@ -530,6 +572,19 @@ from (select *, max(case when {quota_sql('error', 'error_message')} then 1 else
   order by conv_id, turn, model_ord rows between unbounded preceding and 1 preceding) prior
   from ({CALLS}) c where model_name in (select model_name from models_v where api = 'stub')) x
 where coalesce(prior, 0) = 0""", TV)
+RUN = f"""select question_id, model_name, case when error then '' else text end response_text, error,
+  case when error then error_message else '' end error_message
+from (select *, max(case when {quota_sql('error', 'error_message')} then 1 else 0 end) over (partition by model_name
+  order by conv_id, turn rows between unbounded preceding and 1 preceding) prior from ({CALLS.replace('questions_v', '{src}')}) c) x
+where coalesce(prior, 0) = 0"""
+# copies: file 1 without two datasets, then what only file 2 has of the rest; prefixes: file 1
+SQL["catalog_run"] = duck_sql(f"""WITH two AS (
+  select * exclude (file_ord, row_ord, dataset_name), dataset_name, 1 o from questions_file1 where dataset_name is null or dataset_name not in ('ds1', 'ds2')
+  union all by name select * exclude (file_ord, row_ord), 2 o from questions_file2),
+both_files AS (select * from two qualify row_number() over (partition by question_id order by o) = 1)
+select 'copies' run, * from ({RUN.replace('{src}', 'both_files')}) a where model_name = 'copy'
+union all select 'prefixes', * from ({RUN.replace('{src}', 'questions_file1')}) b where model_name = 'prefix'""",
+                              ["questions_file1", "questions_file2", "models_v"])
 SQL["responses_sink"] = duck_sql("""select response_id, question_id, model_name, coalesce(response_text, '') response_text,
   error, coalesce(error_message, '') error_message from responses_v""", ["responses_v"])
 
@@ -542,5 +597,6 @@ SQL["label_job"] = duck_sql(f"""select question_id,
   case when old_level is null then round(cast(concat('0.', n % 100) as double), 3) end bloom_confidence,
   case when old_level is null then concat('length ', n) end bloom_justification
 from ({LABELLED}) l""", ["questions_v"])
+SQL["label_versions"] = SQL["label_job"]
 SQL["label_merge"] = duck_sql(f"""select question_id, case when old_level is null then new_level else old_level end bloom_level,
   case when old_level is null then concat('length ', n) end bloom_justification from ({LABELLED}) l""", ["questions_v"])

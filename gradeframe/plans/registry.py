@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import SCORE_COLUMNS
 from ..functions.parsing import bloom_name, leading_int, mean_of_present, parse_judge, parse_label
 from ..functions.prompts import instruction, judge_prompt, label_prompt, question_prompt, render_choices
 from ..functions.text import keyword_scores, keywords, py_splitlines, py_strip, truncate, word_count
@@ -26,9 +27,13 @@ from ..sources.files import read_csv
 from ..sources.questions import (dedupe_first, load_questions, null_audit, union_inputs,
                                  with_optional_defaults)
 from ..sources.responses import coerce_bloom, load_responses
-from ..sources.sinks import append_responses, append_scores
+from ..sources.reconcile import RESCUED
+from ..sources.sinks import (append_responses, append_scores, read_responses, read_scores, read_versioned, union_runs,
+                             write_versioned)
+from ..sources.xlsx import workbook_table
 from . import stubs
-from .pipelines import evaluate_frame, label_coverage, label_frame, run_query
+from .pipelines import (CallOptions, QueryRun, evaluate_frame, evaluation_audit, label_coverage, label_frame, materialize,
+                        run_evaluate, run_label, run_query, run_study)
 from .views import view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,8 +79,8 @@ def _question_files(spark, sf) -> list[str]:
         .withColumns(named)
     f2 = V(spark, sf, "questions_file2").orderBy("row_ord").drop("conv_id", "turn", "file_ord", "row_ord") \
         .withColumns(named)
-    _write_csv(f1.coalesce(1), f"{base}/one.csv")
-    _write_csv(f2.coalesce(1), f"{base}/two.csv")
+    _write_csv(f1, f"{base}/one.csv")
+    _write_csv(f2, f"{base}/two.csv")
     return [f"{base}/one.csv", f"{base}/missing.csv", f"{base}/two.csv"]
 
 
@@ -94,11 +99,38 @@ def q_load_responses(spark, sf):
     """Responses written as CSV (texts with newlines and quotes, boolean
     error flag as text) and read back with validation and typing (S4)."""
     path = scratch_path(spark, "responses_csv") + "/responses.csv"
-    _write_csv(V(spark, sf, "responses_v").coalesce(1), path)
+    _write_csv(V(spark, sf, "responses_v"), path)
     return load_responses(spark, path).select("response_id", "question_id", "model_name", "response_text",
                                               "error", "error_message")
 
 
+@query("mixed_types")
+def q_mixed_types(spark, sf):
+    """One input with typed columns (Parquet), one with text cells, some of
+    which have no value in the declared type (CSV): they load together, and
+    such a cell is null with its text kept."""
+    base = scratch_path(spark, "questions_mixed")
+    named = {"bloom_name": bloom_name(F.col("bloom_level"))}
+    f1 = V(spark, sf, "questions_file1").where("conv_id % 2 = 1").drop("turn", "file_ord", "row_ord").withColumns(named)
+    f1.write.parquet(f"{base}/typed.parquet")
+    f2 = V(spark, sf, "questions_file2").drop("turn", "file_ord", "row_ord").withColumns(named)
+    level = F.when(F.col("conv_id") % 4 == 0, F.lit("n/a")).otherwise(F.concat(F.col("bloom_level").cast("string"), F.lit(".0")))
+    _write_csv(f2.withColumns({"bloom_level": level, "conv_id": F.concat(F.lit("no "), "conv_id")}), f"{base}/text.csv")
+    q = load_questions(spark, [f"{base}/typed.parquet", f"{base}/text.csv"], keep_rescued=True)
+    return q.select("question_id", "conv_id", "bloom_level", F.element_at(RESCUED, "bloom_level").alias("rescued_level"))
+
+
+@query("xlsx_ingest")
+def q_xlsx_ingest(spark, sf):
+    """Workbooks of the questions, written by as many tasks as the view has
+    partitions, read back through the workbook source (S2)."""
+    q = V(spark, sf, "questions_v").select("question_id", "domain", "question_text", F.col("bloom_level").cast("string")
+                                           .alias("bloom_level"), "context", "dataset_name")
+    path = scratch_path(spark, "workbooks")
+    stubs.workbooks(q).write.parquet(path)
+    return workbook_table(spark.read.parquet(path)).select(*q.columns)
+
+
 @query("union_files")
 def q_union_files(spark, sf):
     u = union_inputs([V(spark, sf, "questions_file1"), V(spark, sf, "questions_file2")])
@@ -327,7 +359,7 @@ def q_quota_errors(spark, sf):
 
 @query("active_models")
 def q_active_models(spark, sf):
-    return active_models(_stub_models(spark, sf), ["stub"]).select("model_name", "api")
+    return active_models(V(spark, sf, "model_catalog_v"), ["stub", "alt"]).select("model_name", "api")
 
 
 @query("circuit_breaker")
@@ -409,21 +441,22 @@ def q_mcq_guard(spark, sf):
 SCORE_OUT = ["score_id", "response_id", "question_id", "model_name", "dataset_name", "domain", "difficulty",
              "bloom_level", "bloom_name", "question_type", "context", "choices_json", "error", "error_message",
              "model_version", "temperature", "human_validated", "justification"]
-# ROUGE-L (LCS) has no SQL oracle; it is checked by the rougeL query's tests.
-METRIC_OUT = ["bleu", "rouge1", "rouge2", "keyword_precision", "keyword_recall", "keyword_f1"]
+METRIC_OUT = ["bleu", "rouge1", "rouge2", "rougeL", "keyword_precision", "keyword_recall", "keyword_f1"]
 
 
 def _evaluate(spark, sf, **kw) -> DataFrame:
-    return evaluate_frame(V(spark, sf, "questions_v"), V(spark, sf, "responses_v"), _stub_models(spark, sf), **kw)
+    return evaluate_frame(V(spark, sf, "questions_v"), V(spark, sf, "responses_v"), _stub_models(spark, sf),
+                          order=["response_id"], **kw)
 
 
 def _score_select(df: DataFrame) -> DataFrame:
-    return df.select(*SCORE_OUT, *[r6(c).alias(c) for c in METRIC_OUT])
+    """All columns of the score table, metrics rounded."""
+    return df.select(*[r6(c).alias(c) if c in METRIC_OUT else F.col(c) for c in SCORE_COLUMNS])
 
 
 @query("score_metadata")
 def q_score_metadata(spark, sf):
-    return _evaluate(spark, sf, stem=False).select(*SCORE_OUT)
+    return _evaluate(spark, sf).select(*SCORE_OUT)
 
 
 @query("score_ids")
@@ -438,50 +471,86 @@ def q_score_ids_compat(spark, sf):
 
 @query("evaluate_job")
 def q_evaluate_job(spark, sf):
-    return _score_select(_evaluate(spark, sf, stem=False))
+    """The evaluate job as configured by default: stemmed ROUGE, ROUGE-L, all 42 columns."""
+    return _score_select(_evaluate(spark, sf))
 
 
 @query("evaluate_stemmed")
 def evaluate_stemmed_query(spark, sf):
-    """The evaluate job as configured by default (stemmed ROUGE, ROUGE-L)."""
-    s = _evaluate(spark, sf, stem=True)
-    return s.select(*SCORE_OUT, *[r6(c).alias(c) for c in METRIC_OUT + ["rougeL"]])
+    """The same job, the columns of interest."""
+    return _evaluate(spark, sf).select(*SCORE_OUT, *[r6(c).alias(c) for c in METRIC_OUT])
+
+
+@query("evaluate_minimal")
+def q_evaluate_minimal(spark, sf):
+    """Responses with the four required columns only."""
+    r = V(spark, sf, "responses_v").select("response_id", "question_id", "model_name", "response_text")
+    s = evaluate_frame(V(spark, sf, "questions_v"), r, _stub_models(spark, sf), order=["response_id"])
+    return s.select("score_id", "response_id", "error", "error_message", "justification", *[r6(c).alias(c) for c in METRIC_OUT])
+
+
+@query("evaluate_repeated_ids")
+def q_evaluate_repeated_ids(spark, sf):
+    """Null and repeated response ids: one score row for each response row."""
+    s = evaluate_frame(V(spark, sf, "questions_v"), V(spark, sf, "responses_odd_v"), _stub_models(spark, sf))
+    return s.select("response_id", "question_id", "model_name", "error", *[r6(c).alias(c) for c in METRIC_OUT])
+
+
+@query("evaluation_audit")
+def q_evaluation_audit(spark, sf):
+    return evaluation_audit(V(spark, sf, "questions_v"), V(spark, sf, "responses_v"))
 
 
 @query("stream_evaluate")
 def q_stream_evaluate(spark, sf):
-    """Responses arrive as two files (split by model); the streaming job
-    scores them in two micro-batches. Score ids depend on batch order, so
-    the compared columns are the rest of the score row."""
+    """Responses arrive in two lots (split by model); the streaming job drains
+    the landing folder after each, going on from its checkpoint. Score ids
+    depend on the lots, so the compared columns are the rest of the score row."""
     from ..streaming.incremental import run_evaluate_stream
-    landing = scratch_path(spark, "landing")
-    r = V(spark, sf, "responses_v")
-    r.filter(F.col("model_name") == "copy").coalesce(1).write.parquet(landing, mode="append")
-    r.filter(F.col("model_name") != "copy").coalesce(1).write.parquet(landing, mode="append")
-    out = run_evaluate_stream(spark, V(spark, sf, "questions_v"), _stub_models(spark, sf), landing, r.schema,
-                              scratch_path(spark, "stream-scores"), files_per_batch=1, stem=False)
-    return out.select(*[c for c in SCORE_OUT if c != "score_id"], *[r6(c).alias(c) for c in METRIC_OUT])
+    landing, scores, ckpt = (scratch_path(spark, x) for x in ("landing", "stream-scores", "stream-ckpt"))
+    r, out = V(spark, sf, "responses_v"), None
+    for lot in (r.filter(F.col("model_name") == "copy"), r.filter(F.col("model_name") != "copy")):
+        lot.write.parquet(landing, mode="append")
+        out = run_evaluate_stream(spark, V(spark, sf, "questions_v"), _stub_models(spark, sf), landing, r.schema, scores, ckpt)
+    return _score_select(out).drop("score_id")
 
 
 @query("scores_sink")
 def q_scores_sink(spark, sf):
+    """Two committed waves of scores, read back; files of a wave without a
+    commit (a job cut off while it wrote) are not seen."""
     path = scratch_path(spark, "scores")
-    append_scores(_evaluate(spark, sf, stem=False), path)
-    return _score_select(spark.read.parquet(path))
+    s = materialize(_evaluate(spark, sf), "scores-made")
+    first = F.col("model_name") == "copy"
+    append_scores(s.where(first), path)
+    append_scores(s.where(~first), path)
+    s.where(first).write.parquet(f"{path}/rows/cut-off")
+    return _score_select(read_scores(spark, path))
 
 
 @query("judge_scores")
 def q_judge_scores(spark, sf):
-    s = _evaluate(spark, sf, stem=False, judge=stubs.judge_backend, judge_delay=0.0)
+    s = _evaluate(spark, sf, judge=stubs.judge_backend, calls=CallOptions(attempts=3, delay=0.0))
     return s.select("response_id", *JUDGE_OUT)
 
 
+@query("evaluate_run")
+def q_evaluate_run(spark, sf):
+    """The evaluate run (L3) with a judge, in waves that double, then run
+    again over all responses: the second run finds every score there."""
+    path = scratch_path(spark, "evaluate-run")
+    for part in (F.col("model_name") == "copy", F.lit(True)):
+        out = run_evaluate(spark, V(spark, sf, "questions_v"), V(spark, sf, "responses_v").where(part), _stub_models(spark, sf),
+                           path, stubs.judge_backend, wave_size=1000, calls=CallOptions(attempts=3, delay=0.0))
+    return out.select("response_id", *JUDGE_OUT, *[r6(c).alias(c) for c in METRIC_OUT])
+
+
 # ----------------------------------------------------------------- inference
 
 def _all_model_tasks(spark, sf) -> DataFrame:
     models = _stub_models(spark, sf)
     grid = task_grid(V(spark, sf, "questions_v"), models, ["conv_id", "turn"])
-    grid = grid.join(F.broadcast(models.drop("model_ord")), "model_name")
+    grid = grid.join(models.drop("model_ord"), "model_name")
     return grid.withColumn("prompt", question_prompt(F.col("domain"), F.col("question_text"), F.col("context"),
                                                      F.col("choices_json"), F.col("question_type")))
 
@@ -498,25 +567,37 @@ def q_routing_errors(spark, sf):
     return out.filter(F.col("error")).select("question_id", "model_name", "error_message")
 
 
+RESPONSE_OUT = ["response_id", "question_id", "model_name", "response_text", "token_count", "error", "error_message"]
+
+
 @query("query_job")
 def q_query_job(spark, sf):
-    path = scratch_path(spark, "responses")
     out = run_query(spark, V(spark, sf, "questions_v"), _stub_models(spark, sf), {"stub": stubs.copy_backend},
-                    path, ["conv_id", "turn"])
-    return out.select("response_id", "question_id", "model_name", "response_text", "token_count", "error",
-                      "error_message")
+                    scratch_path(spark, "responses"), ["conv_id", "turn"], wave_size=500)
+    return out.select(*RESPONSE_OUT)
+
+
+@query("catalog_run")
+def q_catalog_run(spark, sf):
+    """A catalogue of two query runs (L4), all run: each loads its question
+    files, skips its datasets and queries its model."""
+    files, base = _question_files(spark, sf), scratch_path(spark, "catalog")
+    catalog = {"copies": QueryRun(["copy"], files, f"{base}/copies.csv", ["ds1", "ds2"]),
+               "prefixes": QueryRun(["prefix", "other"], files[:1], f"{base}/prefixes.csv")}
+    runs = run_study(spark, catalog, "all", _stub_models(spark, sf), {"stub": stubs.copy_backend}, wave_size=500)
+    return union_runs(runs).select("run", "question_id", "model_name", "response_text", "error", "error_message")
 
 
 @query("responses_sink")
 def q_responses_sink(spark, sf):
     path = scratch_path(spark, "responses_sink")
     append_responses(V(spark, sf, "responses_v"), path)
-    return spark.read.parquet(path).select("response_id", "question_id", "model_name", "response_text",
+    return read_responses(spark, path).select("response_id", "question_id", "model_name", "response_text",
                                            "error", "error_message")
 
 
 def _labelled(spark, sf) -> DataFrame:
-    return label_frame(V(spark, sf, "questions_v"), stubs.labeller_backend, delay=0.0)
+    return label_frame(V(spark, sf, "questions_v"), stubs.labeller_backend, calls=CallOptions(attempts=3, delay=0.0))
 
 
 @query("label_job")
@@ -524,6 +605,16 @@ def q_label_job(spark, sf):
     return _labelled(spark, sf).select("question_id", *LABEL_OUT)
 
 
+@query("label_versions")
+def q_label_versions(spark, sf):
+    """The label run (L1) over a versioned table (K3): the current version
+    after it, calls made in waves."""
+    base = scratch_path(spark, "label-versions")
+    write_versioned(V(spark, sf, "questions_v"), base)
+    run_label(spark, base, stubs.labeller_backend, wave_size=500, calls=CallOptions(attempts=3, delay=0.0))
+    return read_versioned(spark, base).select("question_id", *LABEL_OUT)
+
+
 @query("label_merge")
 def q_label_merge(spark, sf):
     return _labelled(spark, sf).select("question_id", "bloom_level", "bloom_justification")

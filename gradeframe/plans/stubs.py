@@ -4,6 +4,12 @@ can be written in SQL for the oracle."""
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
+
 
 def copy_backend(model: dict):
     """Answers ``<model_id> saw <n> chars``; raises a quota error for model
@@ -39,3 +45,37 @@ def labeller_backend(model: dict):
         n = len(prompt)
         return f"LEVEL: {n % 9} (x)\nNAME: ignored\nCONFIDENCE: 0.{n % 100}\nJUSTIFICATION: length {n}"
     return call
+
+
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PKG = "http://schemas.openxmlformats.org/package/2006/relationships"
+
+
+def workbook(header: list[str], rows) -> bytes:
+    """A minimal workbook of text cells; a null has no cell."""
+    def row(n, cells):
+        inner = "".join(f'<c r="{chr(65 + k)}{n}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
+                        for k, v in enumerate(cells) if v is not None)
+        return f'<row r="{n}">{inner}</row>'
+    sheet = "".join(row(n, cells) for n, cells in enumerate([header, *rows], 1))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets><sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{_PKG}"><Relationship Id="rId1" Type="worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_MAIN}"><sheetData>{sheet}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def workbooks(df):
+    """(path, content): the rows of a table of text columns as workbooks, one for each batch of a partition."""
+    names = df.columns
+
+    def write(batches):
+        from pyspark import TaskContext
+        part = TaskContext.get().partitionId()
+        for k, b in enumerate(batches):
+            rows = zip(*[c.to_pylist() for c in b.columns])
+            yield pa.RecordBatch.from_pydict({"path": pa.array([f"book-{part:05d}-{k:05d}.xlsx"]),
+                                              "content": pa.array([workbook(names, rows)], pa.binary())})
+    return df.mapInArrow(write, "path string, content binary")

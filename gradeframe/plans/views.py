@@ -36,8 +36,16 @@ select concat('c',u.conv_id,'_',u.turn) question_id, u.conv_id, u.turn,
  case when u.conv_id%2=0 then b.text else '' end context,
  case when u.conv_id%4<>0 then null when u.conv_id%12=0 then 'not json' else concat('{"B":"beta ',u.conv_id,'","A":"alpha ',u.turn,'"}') end choices_json,
  case when u.conv_id%9=0 then null else concat('ds',u.conv_id%9) end dataset_name
-from conversations u join conversations a on u.conv_id=a.conv_id and a.turn=u.turn+1 and u.role='user' and a.role='assistant'
-left join benchmark b on b.item_id=u.conv_id%40
+from (select *, conv_id%(select max(item_id)+1 from benchmark) item from conversations) u
+join conversations a on u.conv_id=a.conv_id and a.turn=u.turn+1 and u.role='user' and a.role='assistant'
+left join benchmark b on b.item_id=u.item
+union all
+select concat('b',i.item_id), i.conv_id, 0,
+ case i.item_id%3 when 0 then 'math' when 1 then 'reading' else 'computer_science' end,
+ 'hard', cast(nullif(i.item_id%7,0) as int), i.text, substr(i.text,cast(floor(length(i.text)/2) as int)+1),
+ case when i.item_id%2=0 then 'mcq' else 'open' end, substr(i.text,1,50),
+ concat('{"A":"first","B":"second ',i.item_id,'","A":"last"}'), 'bench'
+from (select *, item_id+(select max(conv_id)+1 from conversations) conv_id from benchmark) i
 """)
 
 # The model dimension of the fixtures: (model_ord, model_name, api, model_id, temperature).
@@ -49,6 +57,15 @@ _view("models_v", [], "\nunion all ".join(
     f"select {o} model_ord,'{n}' model_name,'{a}' api,'{i}' model_id,cast({t} as double) temperature"
     for o, n, a, i, t in MODELS))
 
+# A catalogue of models as large as a given table, for the queries that look
+# at models themselves.
+_view("model_catalog_v", ["supplier"], """
+select cast(s_suppkey as int) model_ord, concat('m',s_suppkey) model_name,
+ case s_nationkey%3 when 0 then 'stub' when 1 then 'alt' else 'none' end api,
+ concat(s_name,'-',s_nationkey) model_id, cast(s_nationkey as double)/8 temperature
+from supplier
+""")
+
 RESPONSES_BODY = """select concat('r_',question_id,'_',model_name) response_id, question_id, model_name,
  case when err then '' when model_name='copy' then ground_truth_answer when model_name='prefix' then substr(ground_truth_answer,1,cast(floor(length(ground_truth_answer)/2) as int)) else question_text end response_text,
  err error, case when not err then '' when conv_id%22=0 then 'rate_limit exceeded 429' else 'timeout' end error_message
@@ -69,6 +86,12 @@ SPARK_VIEW_SQL = {
              f"lateral view inline(array({_MODEL_STRUCTS})) m as {', '.join(MODEL_COLS)}"),
 }
 
+# Responses whose ids are null or shared by many rows.
+_view("responses_odd_v", ["responses_v"], """
+select case when length(response_text)%5=0 then null when length(response_text)%5=1 then 'same' else response_id end response_id,
+ question_id, model_name, response_text, error, error_message from responses_v
+""")
+
 _view("pairs_v", ["responses_v", "questions_v"], """
 select r.response_id pair_id,q.ground_truth_answer reference,r.response_text candidate
 from responses_v r join questions_v q on r.question_id=q.question_id where not r.error

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from .constants import RESPONSE_COLUMNS, SCORE_COLUMNS
 
-S, I, D, B, TS = T.StringType(), T.IntegerType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
+S, I, L, D, B, TS = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
 
 QUESTION_TYPES = {
     "question_id": S, "domain": S, "difficulty": S, "bloom_level": I, "bloom_name": S,
@@ -24,7 +24,7 @@ SCORE_TYPES = {
     **{c: S for c in SCORE_COLUMNS},
     "bloom_level": I, "bloom_confidence": D, "response_time_sec": D, "token_count": I,
     "error": B, "timestamp": TS, "temperature": D,
-    "correctness": I, "completeness": I, "clarity": I, "cognitive_alignment": I,
+    "correctness": L, "completeness": L, "clarity": L, "cognitive_alignment": L,
     "overall_score": D, "bleu": D, "rouge1": D, "rouge2": D, "rougeL": D,
     "keyword_precision": D, "keyword_recall": D, "keyword_f1": D,
     "human_validated": B, "human_score": D,

@@ -35,6 +35,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_any(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """``path`` by its format. A folder that this library's sinks wrote is Parquet whatever its name."""
     f = format_of(path, fmt)
     if f == "csv":
         return read_csv(spark, path)

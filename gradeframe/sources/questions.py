@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import OPTIONAL_QUESTION_COLUMNS, REQUIRED_QUESTION_COLUMNS
 from ..schemas import QUESTION_TYPES
 from .files import path_exists, read_any
+from .reconcile import reconcile
 
 FILE_ORD = "_file_ord"
 ROW_ORD = "_row_ord"
@@ -32,16 +34,7 @@ def with_row_order(df: DataFrame, file_ord: int) -> DataFrame:
 def coerce_types(df: DataFrame, types: dict = QUESTION_TYPES) -> DataFrame:
     """Cast known columns to their declared types; an uncastable cell becomes
     null on its own (never the whole column). Unknown columns are kept."""
-    out = df
-    for c, t in types.items():
-        if c in df.columns and df.schema[c].dataType != t:
-            if t.typeName() == "integer":
-                d = F.col(c).cast("string").try_cast("double")
-                out = out.withColumn(c, F.when(d == F.floor(d), d.try_cast("int")))
-            else:
-                out = out.withColumn(c, F.col(c).cast("string").try_cast(t) if t.typeName() != "string"
-                                     else F.col(c).cast("string"))
-    return out
+    return reconcile([df], types)[0]
 
 
 def skip_datasets(df: DataFrame, skip: list[str] | None) -> DataFrame:
@@ -53,8 +46,12 @@ def skip_datasets(df: DataFrame, skip: list[str] | None) -> DataFrame:
     return df.filter(F.col("dataset_name").isNull() | ~F.col("dataset_name").isin(list(skip)))
 
 
-def union_inputs(frames: list[DataFrame]) -> DataFrame:
-    """Union by column name; a column missing from an input is null there."""
+def union_inputs(frames: list[DataFrame], keep_rescued: bool = False) -> DataFrame:
+    """Union by column name; a column missing from an input is null there.
+    Inputs may hold a column in different types: each is cast first, and a
+    cell without a value in the common type is null (its text is kept in
+    ``_rescued`` if asked for)."""
+    frames = reconcile(frames, QUESTION_TYPES, keep_rescued)
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
@@ -96,34 +93,47 @@ def null_audit(df: DataFrame, columns=("question_text", "ground_truth_answer"))
 
 
 def load_questions(spark: SparkSession, paths: list[str], skip: list[str] | None = None,
-                   fmt: str | None = None, keep_order: bool = False) -> DataFrame:
+                   fmt: str | None = None, keep_order: bool = False, keep_rescued: bool = False,
+                   na_values: list[str] | None = None) -> DataFrame:
     """Read every existing path (CSV/Parquet/JSON/XLSX by suffix), filter
-    the skip list per input, union by name, keep the first copy of each
-    question_id, default optional columns, validate, cast declared types.
+    the skip list per input, cast declared types, union by name, keep the
+    first copy of each question_id, default optional columns, validate.
 
-    Missing paths are skipped; if none exists, FileNotFoundError (S3)."""
+    Missing paths are skipped; if none exists, FileNotFoundError (S3). Text
+    cells equal to one of ``na_values`` read as null; ``keep_rescued`` keeps
+    the cells that have no value in their column's type."""
     frames = []
     for i, p in enumerate(paths):
         if not path_exists(spark, p):
             continue
-        df = skip_datasets(read_any(spark, p, fmt), skip)
-        if "_xlsx_row" in df.columns:
-            df = (df.withColumn(FILE_ORD, F.lit(i))
-                  .withColumn(ROW_ORD, F.struct(F.col("_xlsx_path").alias("path"), F.lit(0).cast("long").alias("block"),
-                                                F.col("_xlsx_row").alias("pos")))
-                  .drop("_xlsx_path", "_xlsx_row"))
-            frames.append(df)
-        else:
-            frames.append(with_row_order(df, i) if _has_metadata(df) else _ordinal_fallback(df, i))
+        df = without_na(read_any(spark, p, fmt), na_values)
+        frames.append(ordered_input(skip_datasets(df, skip), i))
     if not frames:
         raise FileNotFoundError(f"No question files found at: {list(paths)}")
-    combined = dedupe_first(union_inputs(frames))
+    combined = dedupe_first(union_inputs(frames, keep_rescued))
     combined = with_optional_defaults(combined)
     validate_columns(combined)
-    combined = coerce_types(combined)
     return combined if keep_order else combined.drop(*ORDER_COLS)
 
 
+def without_na(df: DataFrame, na_values: list[str] | None) -> DataFrame:
+    """Text cells that stand for a missing value (``NA``, ``null``, ...) as null."""
+    if not na_values:
+        return df
+    return df.withColumns({f.name: F.when(~F.col(f"`{f.name}`").isin(na_values), F.col(f"`{f.name}`"))
+                           for f in df.schema.fields if isinstance(f.dataType, T.StringType) and not f.name.startswith("_xlsx")})
+
+
+def ordered_input(df: DataFrame, file_ord: int) -> DataFrame:
+    """One input with the order of its rows, from whatever its source knows of it."""
+    if "_xlsx_row" in df.columns:
+        return (df.withColumn(FILE_ORD, F.lit(file_ord))
+                .withColumn(ROW_ORD, F.struct(F.col("_xlsx_path").alias("path"), F.lit(0).cast("long").alias("block"),
+                                              F.col("_xlsx_row").alias("pos")))
+                .drop("_xlsx_path", "_xlsx_row"))
+    return with_row_order(df, file_ord) if _has_metadata(df) else _ordinal_fallback(df, file_ord)
+
+
 def _has_metadata(df: DataFrame) -> bool:
     try:
         df.select("_metadata.file_path")

@@ -1,20 +1,20 @@
 """Sinks: append-only response and score tables (K1, K2) and a versioned
 overwrite-in-place for labelled question tables (K3).
 
-Appends are job-atomic through Spark's file commit protocol; resume
-(anti-join on the keys already written) keeps re-runs from duplicating.
+All three write behind a commit log (``commitlog``): a wave of rows, or a
+version of a table, is there as a whole or not at all, and resume (anti-join
+on the keys already committed) keeps re-runs from duplicating.
 """
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import RESPONSE_COLUMNS, SCORE_COLUMNS
-from ..schemas import RESPONSE_TYPES, SCORE_TYPES
-from .files import path_exists
+from ..schemas import RESPONSE_TYPES, RESPONSES_SCHEMA, SCORE_TYPES, SCORES_SCHEMA
+from .commitlog import COMMITS, ROWS, CommitLog, new_wave
+from .files import _fs_path, path_exists, read_any
 
 
 def _project(df: DataFrame, columns: list[str], types: dict) -> DataFrame:
@@ -32,42 +32,69 @@ def score_rows(df: DataFrame) -> DataFrame:
     return _project(df, SCORE_COLUMNS, SCORE_TYPES)
 
 
-def append_responses(df: DataFrame, path: str) -> None:
-    """K1."""
-    response_rows(df).write.mode("append").parquet(path)
+def open_table(spark: SparkSession, path: str) -> CommitLog:
+    """The commit log of the table at ``path``. A folder of Parquet files without a log (written by other means) becomes
+    its first wave."""
+    log = CommitLog(spark, path)
+    if log.exists() or not path_exists(spark, path):
+        return log
+    fs, p = _fs_path(spark, path)
+    if not fs.getFileStatus(p).isDirectory():
+        raise ValueError(f"{path} is a file; outputs are folders (read it as prior output and write to another path)")
+    files = sorted(n for s in fs.listStatus(p) if (n := s.getPath().getName()).endswith(".parquet"))
+    if files:
+        log.commit(ROWS, new_wave(), files, spark.read.parquet(*[f"{log.base}/{f}" for f in files]).count())
+    return log
+
+
+def read_table(spark: SparkSession, path: str, schema=None, fmt: str | None = None) -> DataFrame:
+    """The committed rows of a table that the sinks wrote, whatever its name; any other path by its format."""
+    if path_exists(spark, f"{path.rstrip('/')}/{COMMITS}"):
+        return CommitLog(spark, path).read(schema or RESPONSES_SCHEMA)
+    return read_any(spark, path, fmt)
+
+
+def append_responses(df: DataFrame, path: str, wave: str | None = None) -> None:
+    """K1: one wave of responses."""
+    open_table(df.sparkSession, path).write(response_rows(df), ROWS, wave or new_wave())
+
+
+def append_scores(df: DataFrame, path: str, wave: str | None = None) -> None:
+    """K2: one wave of scores."""
+    open_table(df.sparkSession, path).write(score_rows(df), ROWS, wave or new_wave())
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    return read_table(spark, path, RESPONSES_SCHEMA)
 
 
-def append_scores(df: DataFrame, path: str) -> None:
-    """K2."""
-    score_rows(df).write.mode("append").parquet(path)
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    return read_table(spark, path, SCORES_SCHEMA)
 
 
-POINTER = "_current"
+VERSION = "version"
 
 
 def current_version(spark: SparkSession, base: str) -> str | None:
-    p = f"{base}/{POINTER}"
-    if not path_exists(spark, p):
-        return None
-    rows = spark.read.text(p).limit(1).collect()
-    return rows[0][0].strip() if rows else None
+    """The last committed version: its wave name, null before the first."""
+    entries = CommitLog(spark, base).entries(VERSION)
+    return entries[-1]["wave"] if entries else None
 
 
 def read_versioned(spark: SparkSession, base: str) -> DataFrame:
-    v = current_version(spark, base)
-    if v is None:
+    log = CommitLog(spark, base)
+    entries = log.entries(VERSION)
+    if not entries:
         raise FileNotFoundError(f"No version written under {base}")
-    return spark.read.parquet(f"{base}/{v}")
+    return spark.read.parquet(*[f"{log.base}/{f}" for f in entries[-1]["files"]])
 
 
 def write_versioned(df: DataFrame, base: str) -> str:
     """K3: a table cannot be overwritten while it is being read, so each
-    write goes to a new version folder and then the pointer moves."""
-    spark = df.sparkSession
-    version = f"v{time.time_ns()}"
-    df.write.mode("errorifexists").parquet(f"{base}/{version}")
-    spark.createDataFrame([(version,)], "value string").coalesce(1) \
-        .write.mode("overwrite").text(f"{base}/{POINTER}")
+    write adds files of its own; the log entry that names them makes them the
+    current version, in one step."""
+    version = new_wave()
+    CommitLog(df.sparkSession, base).write(df, VERSION, version)
     return version
 
 

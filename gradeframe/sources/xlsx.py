@@ -1,8 +1,10 @@
 """Directory-of-workbooks ingest (S2): ``.xlsx`` files read with the
-``binaryFile`` source, one task per workbook, cells decoded in
-``mapInPandas`` with the standard library (zip + XML; no spreadsheet
-package is required). The first worksheet's first row is the header;
-every cell is text (as for CSV).
+``binaryFile`` source and decoded once, each in one task, into cells as rows
+(standard library zip + XML; no spreadsheet package is required). The cells
+are written; header names, their order and the rows of the table are then
+plain DataFrame work over them. The first worksheet's first row is the header
+(a name that repeats in one workbook gets ``.1``, ``.2``, ...); every cell is
+text (as for CSV).
 
 Output columns: the union of all headers, in first-seen order, plus the
 file path and row number used for first-copy-wins ordering.
@@ -15,16 +17,16 @@ import re
 import zipfile
 from xml.etree import ElementTree as ET
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import scratch_path
 
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
       "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
       "p": "http://schemas.openxmlformats.org/package/2006/relationships"}
 _CELL = re.compile(r"([A-Z]+)([0-9]+)")
-MAX_COLUMNS = 10_000
 
 
 def _col_index(ref: str) -> int:
@@ -81,32 +83,43 @@ def workbook_rows(content: bytes) -> list[list[str | None]]:
     return rows
 
 
-_LONG = T.StructType([T.StructField("path", T.StringType()), T.StructField("row", T.LongType()),
-                      T.StructField("cells", T.MapType(T.StringType(), T.StringType()))])
+_CELLS = "path string, row long, col int, value string"
+_ROW = -1  # the column of the entry that every row has, cells or not
 
 
 def _decode(batches):
-    for pdf in batches:
-        out = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            rows = workbook_rows(bytes(content))
-            if not rows:
-                continue
-            header = [h if h is not None else f"_c{i}" for i, h in enumerate(rows[0])]
-            for n, r in enumerate(rows[1:], start=1):
-                out.append((path, n, {h: (r[i] if i < len(r) else None) for i, h in enumerate(header)}))
-        yield pd.DataFrame(out, columns=["path", "row", "cells"])
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+            found = [(n, k, v) for n, cells in enumerate(workbook_rows(content.as_py()))
+                     for k, v in [(_ROW, None), *enumerate(cells)]]
+            for at in range(0, len(found), 10_000):
+                n, k, v = zip(*found[at:at + 10_000])
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(n), pa.string()), pa.array(n, pa.int64()),
+                                                  pa.array(k, pa.int32()), pa.array(v, pa.string())],
+                                                 names=["path", "row", "col", "value"])
+
+
+def workbook_table(files: DataFrame) -> DataFrame:
+    """The rows of all workbooks in ``files`` (path, content) as one table."""
+    spark = files.sparkSession
+    path = scratch_path(spark, "xlsx-cells")
+    files.select("path", "content").mapInArrow(_decode, _CELLS).write.parquet(path)
+    cells = spark.read.parquet(path)
+    same = Window.partitionBy("path", "name").orderBy("col")
+    head = (cells.where(f"col <> {_ROW}").groupBy("path", "col").agg(F.max(F.when(F.col("row") == 0, F.col("value"))).alias("value"))
+            .select("path", "col", F.coalesce("value", F.concat(F.lit("_c"), F.col("col").cast("string"))).alias("name"))
+            .withColumn("n", F.row_number().over(same) - 1)
+            .select("path", "col", F.when(F.col("n") > 0, F.concat_ws(".", "name", F.col("n").cast("string")))
+                    .otherwise(F.col("name")).alias("name")))
+    first = head.groupBy("name").agg(F.min(F.struct("path", "col")).alias("first"))
+    names = [r[0] for r in first.orderBy("first").select("name").collect()]  # the columns of the result
+    entry = F.when(F.col("name").isNotNull(), F.struct("name", "value"))
+    rows = (cells.where("row > 0").join(head, ["path", "col"], "left").groupBy("path", "row")
+            .agg(F.map_from_entries(F.collect_list(entry)).alias("cells")))
+    return rows.select(*[F.try_element_at("cells", F.lit(n)).alias(n) for n in names], F.col("path").alias("_xlsx_path"),
+                       F.col("row").alias("_xlsx_row"))
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     """All ``*.xlsx`` under ``path`` (a file or a folder) as one table."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
-             .select("path", "content"))
-    long = files.mapInPandas(_decode, _LONG)
-    # column names: one row per distinct header cell, size-checked
-    from ..operators.tasks import bounded_rows
-    keys = (long.select("path", F.explode(F.map_keys("cells")).alias("k"))
-            .groupBy("k").agg(F.min("path").alias("first")).orderBy("first", "k"))
-    names = [r[0] for r in bounded_rows(keys, MAX_COLUMNS, "xlsx header")]
-    return long.select(*[F.try_element_at("cells", F.lit(n)).alias(n) for n in names], F.col("path").alias("_xlsx_path"),
-                       F.col("row").alias("_xlsx_row"))
+    return workbook_table(spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path))

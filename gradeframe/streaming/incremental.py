@@ -1,12 +1,12 @@
 """Incremental evaluation with Structured Streaming.
 
 Responses land as files in a directory; ``availableNow`` processes whatever
-has arrived in micro-batches and stops. Each micro-batch runs the batch
-evaluate plan (``evaluate_frame``) through ``foreachBatch``: the anti-join
-on ``response_id`` against the score table makes a replayed batch (after a
-failure, before the checkpoint commit) write nothing twice, and score ids
-continue from the rows already written. The stream's checkpoint lives in
-the shared checkpoint folder.
+has arrived in micro-batches and stops. Each micro-batch runs the evaluate job
+(``run_evaluate``) through ``foreachBatch``: its scores are committed as a
+wave, the anti-join on ``response_id`` against the committed scores makes a
+replayed batch (after a failure, before the checkpoint commit) write nothing
+twice, and score ids continue from the committed rows. The stream's
+checkpoint lives in the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -14,11 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..plans.pipelines import evaluate_frame
-from ..schemas import SCORES_SCHEMA
+from ..plans.pipelines import run_evaluate
 from ..session import scratch_path
-from ..sources.responses import read_or_empty
-from ..sources.sinks import append_scores
+from ..sources.sinks import read_scores
 
 
 def evaluate_stream(spark: SparkSession, questions: DataFrame, models: DataFrame, landing: str,
@@ -32,10 +30,7 @@ def evaluate_stream(spark: SparkSession, questions: DataFrame, models: DataFrame
     stream = reader.parquet(landing)
 
     def score_batch(batch: DataFrame, epoch_id: int) -> None:
-        done = read_or_empty(spark, output, SCORES_SCHEMA)
-        offset = done.count()
-        new = evaluate_frame(questions, batch, models, done_scores=done, score_offset=offset, **evaluate_kw)
-        append_scores(new, output)
+        run_evaluate(spark, questions, batch, models, output, **evaluate_kw)
 
     return (stream.writeStream.foreachBatch(score_batch)
             .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-ckpt"))
@@ -48,4 +43,4 @@ def run_evaluate_stream(spark: SparkSession, *args, **kw) -> DataFrame:
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     output = args[4] if len(args) > 4 else kw["output"]
-    return spark.read.parquet(output)
+    return read_scores(spark, output)

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from gradeframe.plans import stubs
-from gradeframe.plans.pipelines import (EvaluationRun, QueryRun, effective_skip, expand, run_evaluate,
+from gradeframe.plans.pipelines import (CallOptions, EvaluationRun, QueryRun, effective_skip, expand, run_evaluate,
                                         run_label, run_query)
 from gradeframe.plans.views import view
-from gradeframe.sources.sinks import read_versioned, write_versioned
+from gradeframe.sources.sinks import read_responses, read_versioned, write_versioned
 
 
 def test_query_then_evaluate_resume(spark, tmp_dir):
@@ -24,9 +24,9 @@ def test_query_then_evaluate_resume(spark, tmp_dir):
     ids = [r[0] for r in again.select("response_id").collect()]
     assert len(ids) == len(set(ids))
     scores = f"{tmp_dir}/scores"
-    s1 = run_evaluate(spark, q, spark.read.parquet(out), m, scores, stem=False)
-    s2 = run_evaluate(spark, q, spark.read.parquet(out), m, scores, stem=False)
-    assert s1.count() == s2.count() == spark.read.parquet(out).join(q, "question_id").count()
+    s1 = run_evaluate(spark, q, read_responses(spark, out), m, scores, stem=False)
+    s2 = run_evaluate(spark, q, read_responses(spark, out), m, scores, stem=False)
+    assert s1.count() == s2.count() == again.join(q, "question_id").count()
     assert len(s2.columns) == 42
 
 
@@ -43,7 +43,7 @@ def test_label_versions(spark, tmp_dir):
     q = view(spark, SF_SMALL, "questions_v").select("question_id", "question_text", "domain", "bloom_level")
     base = f"{tmp_dir}/questions"
     write_versioned(q, base)
-    cov = run_label(spark, base, stubs.labeller_backend, delay=0.0).first()
+    cov = run_label(spark, base, stubs.labeller_backend, calls=CallOptions(attempts=3, delay=0.0)).first()
     assert cov["total"] == q.count() and cov["labelled"] >= q.filter(F.col("bloom_level").isNotNull()).count()
     assert read_versioned(spark, base).count() == q.count()
 
@@ -63,7 +63,8 @@ def test_judge_over_written_responses(spark, tmp_dir):
     q = view(spark, SF_SMALL, "questions_v")
     m = view(spark, SF_SMALL, "models_v")
     out = run_query(spark, q, m, {"stub": stubs.copy_backend}, f"{tmp_dir}/r", ["conv_id", "turn"])
-    scores = run_evaluate(spark, q, out, m, f"{tmp_dir}/s", judge=stubs.judge_backend, judge_delay=0.0, stem=False)
+    scores = run_evaluate(spark, q, out, m, f"{tmp_dir}/s", judge=stubs.judge_backend, stem=False,
+                          calls=CallOptions(attempts=3, delay=0.0))
     rows = scores.collect()
     assert len(rows) == out.count()
     ok = [r for r in rows if not r["error"]]
