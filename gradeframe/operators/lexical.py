@@ -30,12 +30,13 @@ from pyspark.sql import types as T
 
 from ..functions import porter
 from ..functions.lcs import lcs_length
-from ..functions.text import keywords
+from ..functions.text import keywords, text_or_empty
 from ..functions.tokens import bleu_tokens, rouge_tokens, shifted
 
 BLEU_ORDERS = (1, 2, 3, 4)
 ROUGE_ORDERS = (1, 2)
 ROUGE_KIND = 10          # kind = 10 + n for ROUGE-n, n for BLEU order n
+REPEATS_PAY = 0.8        # up to this share of distinct pairs, each is scored once and joined back
 STEM_MIN_CHARS = 4       # only tokens longer than 3 characters are stemmed
 _STEM_CACHE: dict[str, str] = {}
 _STEM_CACHE_MAX = 500_000
@@ -292,6 +293,30 @@ def _lexical_jvm(pairs: DataFrame, key: str, reference: str, candidate: str, num
     return agg.select(key, *_metric_columns(metrics))
 
 
+def content_key(reference, candidate) -> Column:
+    """What a pair of texts is known by: SHA-256 over both, the length of the first before it."""
+    a, b = text_or_empty(reference), text_or_empty(candidate)
+    return F.sha2(F.concat(F.length(a).cast("string"), F.lit(":"), a, b), 256)
+
+
+def lexical_by_content(pairs: DataFrame, key: str, content: str = "_pair", reference: str = "reference",
+                       candidate: str = "candidate", stem: bool = True, metrics=ALL_METRICS) -> DataFrame:
+    """``lexical_scores`` of ``pairs`` with each pair of texts scored once, however many rows hold it. ``content`` is their
+    ``content_key``, stored with the rows.
+
+    (key, content) alone is grouped and counted first. Where pairs repeat, the texts of one row for each content are
+    scored and the scores joined back by content, without texts. Where hardly any pair repeats, scoring all rows costs
+    less than the extra exchange of texts, and they are scored as they are."""
+    narrow = pairs.select(key, content)
+    one = narrow.groupBy(content).agg(F.min(key).alias(key))
+    n, distinct = narrow.agg(F.count(F.lit(1)), F.count_distinct(content)).first()
+    if distinct > REPEATS_PAY * n:
+        return lexical_scores(pairs, key, reference, candidate, stem, metrics=metrics)
+    texts = pairs.join(one.select(key), key, "left_semi")
+    scores = lexical_scores(texts, key, reference, candidate, stem, metrics=metrics)
+    return narrow.join(one.join(scores, key).drop(key), content).drop(content)
+
+
 def ngram_overlap(pairs: DataFrame, key: str = "pair_id", reference: str = "reference",
                   candidate: str = "candidate", orders=BLEU_ORDERS) -> DataFrame:
     """A7 as a table: (key, n, matches, cand_ngrams, ref_ngrams) per order,
@@ -315,4 +340,4 @@ def ngram_overlap(pairs: DataFrame, key: str = "pair_id", reference: str = "refe
 
 
 
-__all__ = ["lexical_scores", "ngram_overlap", "clipped_counts", "bleu_from_counts", "stem_tokens", "stem_token"]
+__all__ = ["lexical_scores", "lexical_by_content", "content_key", "ngram_overlap", "clipped_counts", "bleu_from_counts", "stem_tokens", "stem_token"]

@@ -25,7 +25,7 @@ from ..functions.prompts import PromptConfig, judge_prompt, label_prompt, questi
 from ..functions.text import word_count
 from ..operators.ids import Ordered, format_id, wave_ranges
 from ..operators.inference import NOT_CALLED, Backend, infer
-from ..operators.lexical import lexical_scores
+from ..operators.lexical import content_key, lexical_by_content
 from ..operators.scoring import (is_error, join_responses, lexical_applies, model_lookup, resume_scores,
                                  score_metadata, skipped_justification, unmatched_responses, with_score_ids)
 from ..operators.tasks import (active_models, circuit_breaker, quota_error, resume_tasks, task_grid,
@@ -33,8 +33,9 @@ from ..operators.tasks import (active_models, circuit_breaker, quota_error, resu
 from ..schemas import RESPONSE_TYPES, RESPONSES_SCHEMA, SCORES_SCHEMA
 from ..session import scratch_path
 from ..sources.commitlog import ROWS, CommitLog, new_wave
+from ..sources.donestate import DoneState
 from ..sources.questions import ORDER_COLS, load_questions, null_audit
-from ..sources.responses import coerce_bloom, load_responses, read_or_empty
+from ..sources.responses import coerce_bloom, load_responses
 from ..sources.sinks import (current_version, open_table, read_responses, read_scores, read_versioned,
                              response_rows, score_rows, union_runs, write_versioned)
 
@@ -64,13 +65,13 @@ class CallOptions:
 
 # ----------------------------------------------------------------- query (L2)
 
-def query_tasks(questions: DataFrame, models: DataFrame, done: DataFrame, question_order: list,
+def query_tasks(questions: DataFrame, models: DataFrame, done: DataFrame | DoneState, question_order: list,
                 available_apis: list[str], prompts: PromptConfig = PromptConfig()) -> DataFrame:
     """P7 -> J3 -> J4 -> F1: the remaining (question, model) tasks with
     their prompts, model attributes attached from the configuration."""
     act = active_models(models, available_apis)
     grid = task_grid(questions, act, question_order)
-    todo = resume_tasks(grid, done)
+    todo = done.remaining(grid) if isinstance(done, DoneState) else resume_tasks(grid, done)
     attrs = act.select("model_name", *[c for c in ("api", "model_id", "temperature", "max_tokens")
                                        if c in act.columns])
     todo = todo.join(attrs, "model_name", "left")
@@ -122,9 +123,9 @@ def run_query(spark: SparkSession, questions: DataFrame, models: DataFrame, back
     log = open_table(spark, output)
     for wave in log.open_waves(CALLS):
         _commit_responses(log, wave)
-    done = read_or_empty(spark, output, RESPONSES_SCHEMA)
+    done: DataFrame | DoneState = DoneState(log, RESPONSES_SCHEMA, ("question_id", "model_name"))
     if retry_errors:
-        done = done.where(~is_error(done))
+        done = log.read(RESPONSES_SCHEMA).where("not coalesce(error, false)")
     tasks = Ordered(query_tasks(questions, models, done, question_order, list(backends), prompts), ["task_order", "question_id"])
     disabled: set[str] = set()
     for start, stop in wave_ranges(tasks.count, wave_size, largest_wave):
@@ -192,7 +193,8 @@ def judged_columns(calls: DataFrame) -> DataFrame:
 
 def evaluation_rows(questions: DataFrame, responses: DataFrame, done_scores: DataFrame | None = None) -> DataFrame:
     """J1 -> J5: the responses not yet scored with their questions. Only the
-    four required response columns need to be there."""
+    four required response columns need to be there. ``_pair`` is the key of
+    the two texts that are compared."""
     lacking = {c: F.lit(None).cast(RESPONSE_TYPES[c]) for c in RESPONSE_TYPES if c not in responses.columns}
     rows = join_responses(responses.withColumns(lacking) if lacking else responses, questions)
     missing = {c: F.lit(None).cast("int" if c == "bloom_level" else "string")
@@ -200,6 +202,7 @@ def evaluation_rows(questions: DataFrame, responses: DataFrame, done_scores: Dat
                          "question_type") if c not in rows.columns}
     if missing:
         rows = rows.withColumns(missing)
+    rows = rows.withColumn("_pair", content_key("ground_truth_answer", "response_text"))
     return resume_scores(rows, done_scores) if done_scores is not None else rows
 
 
@@ -207,10 +210,10 @@ def scored(rows: DataFrame, models: DataFrame, ids: DataFrame, judged: DataFrame
            skip_mcq: bool = SKIP_LEXICAL_FOR_MCQ) -> DataFrame:
     """(P3 | judged) -> P4 + F8-F14 -> J6 -> P5 over written rows. Everything
     computed is keyed on ``_row``, the identity of a row; ``ids`` (_row,
-    score_id) and ``judged`` are narrow. Metrics, ids and judge scores meet
-    the wide rows in one join."""
-    lex = lexical_scores(rows.filter(lexical_applies(rows, skip_mcq)).select(
-        "_row", F.col("ground_truth_answer").alias("reference"), F.col("response_text").alias("candidate")), key="_row", stem=stem)
+    score_id) and ``judged`` are narrow. Texts that repeat are compared once.
+    Metrics, ids and judge scores meet the wide rows in one join."""
+    lex = lexical_by_content(rows.filter(lexical_applies(rows, skip_mcq)).select(
+        "_row", "_pair", F.col("ground_truth_answer").alias("reference"), F.col("response_text").alias("candidate")), "_row", stem=stem)
     side = ids.join(lex, "_row", "left")
     if judged is None:
         none = {c: F.lit(None).cast("bigint") for c in JUDGE_SUBSCORE_COLUMNS}
@@ -282,8 +285,7 @@ def run_evaluate(spark: SparkSession, questions: DataFrame, responses: DataFrame
     without scores are used instead of calling again: for the same response
     id and prompt."""
     log = open_table(spark, output)
-    done = read_or_empty(spark, output, SCORES_SCHEMA)
-    rows = evaluation_rows(questions, responses, done)
+    rows = DoneState(log, SCORES_SCHEMA, ("response_id",)).remaining(evaluation_rows(questions, responses))
     for r in evaluation_audit(questions, responses).collect():
         if r["metric"] != "responses" and r["value"]:
             log_.warning("evaluate %s: %s %s", output, r["value"], r["metric"])
