@@ -89,7 +89,9 @@ def read_token_files(manifest: DataFrame, out: str) -> DataFrame:
                          "n_tokens": pa.array([len(x) for x in raw], pa.int64()),
                          "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in raw], pa.int64())})
 
-    return manifest.select("ids_file", "offsets_file", "doc_ids", "dtype", "base").mapInArrow(
+    files = manifest.select("ids_file", "offsets_file", "doc_ids", "dtype", "base")
+    # the manifest is small and would be read in one task: its files are dealt out again
+    return files.repartition(manifest.sparkSession.sparkContext.defaultParallelism, "ids_file").mapInArrow(
         read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -18,11 +18,13 @@ holds ``max_chunks`` (memory stays bounded, results do not change).
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 
-MAX_CHUNKS = 600_000
+MAX_CHUNKS = 1_000_000
 END_ID = 1
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"   # ASCII marks without the apostrophe, which begins pre-tokens with letters
 # white-space run, then the rest of the chunk; the last run of a text may stand alone
 _SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
 _ODD_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -60,27 +62,28 @@ class ChunkEncoder(dict):
         return _SPACED.findall(text)
 
     def _plain(self, chunk: str) -> tuple[str, str]:
-        """(letters, one trailing mark) when the chunk is just that, else ('', '')."""
+        """(letters, the marks behind them) when the chunk is just that, else ('', ''). Letters and marks are pre-tokens
+        of their own, unless normalising turns the last letter into something that marks would join."""
         body = chunk[1:] if self.spaced and chunk[:1] == " " else chunk
-        if body.isascii() or self.spaced:
-            if body.isalpha():
-                return chunk, ""
-            if body[-1:] in ".," and body[:-1].isalpha():
-                return chunk[:-1], chunk[-1]
-        return "", ""
-
-    def learn(self, new: set[str]) -> None:
+        word = body if body.isalpha() else body.rstrip(_MARKS)
+        if not word.isalpha() or not (self.spaced or word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha()):
+            return "", ""
+        mark = len(body) - len(word)
+        return (chunk[:-mark], chunk[-mark:]) if mark else (chunk, "")
+
+    def learn(self, new: list[str]) -> None:
         """Encode the chunks not yet held."""
-        joined: dict[str, None] = {}
+        words: set[str] = set()
         parts, single = [], []
         for c in new:
             word, mark = self._plain(c)
             if word and (not self.spaced or word[0] == " "):
-                joined[word] = None
-                parts.append((c, word, mark))
+                words.add(word)
+                if mark:
+                    parts.append((c, word, mark))
             else:
                 single.append(c)
-        todo = [w for w in joined if w not in self]
+        todo = [w for w in words if w not in self]
         glue = "" if self.spaced else " "
         step = 256
         lots = [todo[i:i + step] for i in range(0, len(todo), step)]
@@ -99,11 +102,9 @@ class ChunkEncoder(dict):
                     self[word] = raw[a * w:b * w]
         for i in range(0, len(single), 1024):
             self._each(single[i:i + 1024])
-        marks = {m for _, _, m in parts if m} - self.keys()
-        self._each(sorted(marks))
+        self._each([m for m in {m for _, _, m in parts} if m not in self])
         for c, word, mark in parts:
-            if mark:
-                self[c] = self[word] + self[mark]
+            self[c] = self[word] + self[mark]
 
     def _each(self, items: list[str]) -> None:
         for c, enc in zip(items, self.tok.encode_batch_fast(items, add_special_tokens=False), strict=True):
@@ -116,23 +117,14 @@ class ChunkEncoder(dict):
     def encode_all(self, texts: list[str]):
         """``encode`` for a list. Unknown chunks are gathered over a lot of
         texts, so that the tokenizer sees large batches."""
-        lot, end = 256, self.end
+        lot, get, end = 256, self.__getitem__, self.end
         for i in range(0, len(texts), lot):
-            got, late, new = [], [], set()
-            for t in texts[i:i + lot]:
-                cs = self.chunks(t)
-                parts = list(map(self.get, cs))
-                if None in parts:
-                    new.update(c for c, p in zip(cs, parts, strict=True) if p is None)
-                    late.append((len(got), t))
-                    got.append(None)
-                else:
-                    got.append(b"".join(parts) + end)
+            cut = [self.chunks(t) for t in texts[i:i + lot]]
+            new = [c for c in set().union(*cut) if c not in self]
             if new:
                 self.learn(new)
-                for k, t in late:
-                    got[k] = b"".join(map(self.__getitem__, self.chunks(t))) + end
-            yield from got
+            for cs in cut:
+                yield b"".join(map(get, cs)) + end
             if len(self) > self.max_chunks:
                 self.clear()
 
