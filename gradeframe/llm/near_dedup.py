@@ -17,11 +17,13 @@
    tested (members outside the list's main component against all members), so
    the components equal those of the full link graph. The join itself leaves
    out pairs whose parity signatures differ in too many places: each differing
-   place stands for at least one retained value that only one of the two has,
-   so no pair that could pass is lost.
+   place stands for at least one shingle (of sets over ``FULL``: one retained
+   value) that only one of the two has, so no pair that could pass is lost,
+   and of sets up to ``FULL`` few others are left.
 
 Null or blank texts have an empty set and link with nothing. Rows that repeat
-an id are one node; other columns are left alone; an empty table gives none."""
+an id are one document: their different sets are nodes of their own, tied to
+each other. Other columns are left alone; an empty table gives none."""
 
 from __future__ import annotations
 
@@ -38,31 +40,41 @@ K = 192
 SIGMAS = 7          # deviations below the mean that a pair's shared retained values are let to lie
 BLOCK = 256
 LEADERS = (16, 64)  # leaders of each list in the rounds after the stars
-PARITY = 16         # longs of the parity signature
-SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, sketch array<long>, parity array<long>"
+PARITY = 24         # longs of the parity signature
+FULL = 1536         # sets up to this size have the parity of all their shingles, larger ones that of the retained values
+SKETCH = "doc_id long, h long, n_shingles long, f1 long, f2 long, sketch array<long>, parity array<long>"
 
 
 def _parity(values: np.ndarray) -> np.ndarray:
     """For each of the 64 * PARITY places, whether an odd number of the values falls on it."""
-    odd = np.bincount(values & (64 * PARITY - 1), minlength=64 * PARITY) & 1
+    odd = np.bincount(values.view(np.uint64) % np.uint64(64 * PARITY), minlength=64 * PARITY) & 1
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+            sets = [shingle_set(t) for t in b.column(2).to_pylist()]
             f = [fingerprint(s) for s in sets]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": b.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                "doc_id": b.column(0), "h": b.column(1), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "f1": pa.array([x[0] for x in f], pa.int64()), "f2": pa.array([x[1] for x in f], pa.int64()),
                 "sketch": pa.array([s[:K] for s in sets], pa.list_(pa.int64())),
-                "parity": pa.array([_parity(s[:K]) for s in sets], pa.list_(pa.int64()))})
+                "parity": pa.array([_parity(s if len(s) <= FULL else s[:K]) for s in sets], pa.list_(pa.int64()))})
     return _keyed(docs).mapInArrow(run, SKETCH)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").cast("binary").alias("text"))
+    text = docs["text"].cast("string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
+
+
+def _noded(rows: DataFrame, odd: DataFrame | None) -> DataFrame:
+    """``rows`` (doc_id, h) with ``node``: the id, or a number for the text where an id has different sets (``odd``)."""
+    if odd is None:
+        return rows.withColumn("node", F.col("doc_id"))
+    own = F.when(F.col("odd"), F.xxhash64("doc_id", "h")).otherwise(F.col("doc_id"))
+    return rows.join(odd.withColumn("odd", F.lit(True)), "doc_id", "left").withColumn("node", own).drop("odd")
 
 
 def _least(n: Column) -> Column:
@@ -81,7 +93,7 @@ def _places(n: Column) -> Column:
 
 def _listed(reps: DataFrame) -> DataFrame:
     """(value, df, doc, n): every document under those of its rarest retained values that others hold too."""
-    post = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("sketch").alias("value"))
+    post = reps.select(F.col("node").alias("doc"), F.col("n_shingles").alias("n"), F.explode("sketch").alias("value"))
     df = post.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     common = post.join(df, "value")
     w = Window.partitionBy("doc").orderBy("df", "value")
@@ -115,14 +127,13 @@ def _near_sizes(pairs: DataFrame) -> DataFrame:
 def _near_parity(pairs: DataFrame) -> DataFrame:
     """Pairs (n, parity, nx, px) whose signatures allow a Jaccard of 0.75."""
     apart = sum((F.bit_count(F.col("px")[i].bitwiseXOR(F.col("parity")[i])) for i in range(PARITY)), F.lit(0))
-    sizes = F.least(F.col("nx"), F.lit(K)) + F.least(F.col("n"), F.lit(K))
-    return pairs.where(F.when(F.greatest("nx", "n") <= K, 7 * apart <= sizes).otherwise(
-        apart <= sizes - 2 * _least(F.least("nx", "n"))))
+    return pairs.where(F.when(F.greatest("nx", "n") <= FULL, 7 * apart <= F.col("nx") + F.col("n"))
+                       .when(F.least("nx", "n") > FULL, apart <= 2 * K - 2 * _least(F.least("nx", "n"))).otherwise(True))
 
 
 def _confirmed(pairs: DataFrame, kept: DataFrame) -> DataFrame:
     """The pairs (a, b) of Jaccard 0.75 or more: union-sketch estimate, then exact sets."""
-    side = lambda c, *cols: kept.select(F.col("doc_id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in cols])
+    side = lambda c, *cols: kept.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in cols])
     p = pairs.join(side("a", "sketch", "n_shingles"), "a").join(side("b", "sketch", "n_shingles"), "b")
     union = F.array_sort(F.array_union("sketch_a", "sketch_b"))
     shared = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), F.slice(union, 1, K)))
@@ -149,7 +160,7 @@ def _apart(listed: DataFrame, comps: DataFrame, kept: DataFrame) -> tuple[DataFr
     m = m.select("value", "doc", "n", F.coalesce("component", "doc").alias("c"))
     main = m.groupBy("value", "c").agg(F.count("*").alias("k")).groupBy("value").agg(
         F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    m = m.join(main.select("value", "main"), "value").join(kept.select(F.col("doc_id").alias("doc"), "parity"), "doc")
+    m = m.join(main.select("value", "main"), "value").join(kept.select(F.col("node").alias("doc"), "parity"), "doc")
     m = written(m, "apart")
     few = m.where("c <> main").select("value", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"),
                                       F.col("parity").alias("px"))
@@ -181,14 +192,25 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     sk = written(sketches(docs), "sketches")
     sets = ["f1", "f2", "n_shingles"]
-    full = sk.where("n_shingles > 0 and doc_id is not null")
-    first = full.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    reps = full.join(first.select(*sets, "rep"), sets, "left").where("rep is null or rep = doc_id").drop("rep")
-    listed = written(_listed(reps), "lists")
-    ids = listed.select(F.col("doc").alias("doc_id")).distinct()
-    kept = sk.join(ids, "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch", "parity")
-    texts = _keyed(docs).join(ids, "doc_id", "left_semi")
-    kept = written(kept.dropDuplicates(["doc_id"]).join(texts.dropDuplicates(["doc_id"]), "doc_id"), "candidates")
+    some = "n_shingles > 0 and doc_id is not null"
+    one = F.struct(*sets)
+    odd = written(sk.where("doc_id is not null").groupBy("doc_id").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo <> hi")
+                  .select("doc_id"), "odd-ids")
+    odd = None if odd.isEmpty() else odd
+    sk = _noded(sk, odd)
+    full = sk.where(some)
+    first = full.groupBy(*sets).agg(F.min("node").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    reps = full.join(first.select(*sets, "rep"), sets, "left").where("rep is null or rep = node").drop("rep")
+    listed = written(_listed(reps.dropDuplicates(["node"]) if odd is not None else reps), "lists")
+    ids = listed.select(F.col("doc").alias("node")).distinct()
+    kept = sk.join(ids, "node", "left_semi").select("node", "n_shingles", "sketch", "parity")
+    texts = _noded(_keyed(docs), odd).join(ids, "node", "left_semi").select("node", "text")
+    kept = written(kept.dropDuplicates(["node"]).join(texts.dropDuplicates(["node"]), "node"), "candidates")
+    ties = None
+    if odd is not None:  # the sets of one id belong together
+        held = full.join(odd, "doc_id", "left_semi").join(first.select(*sets, "rep"), sets, "left")
+        held = held.select("doc_id", F.coalesce("rep", "node").alias("u"))
+        ties = held.join(held.groupBy("doc_id").agg(F.min("u").alias("v")), "doc_id").select("u", "v")
     comps = tried = None
     for round_ in ("stars", *LEADERS, "all"):
         if round_ == "stars":
@@ -200,15 +222,19 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         links = written(_confirmed(pairs, kept), "links").select(F.col("a").alias("u"), F.col("b").alias("v"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         if comps is None:
-            comps = written(components(links), "components")
+            comps = written(components(links.unionByName(ties) if ties is not None else links), "components")
         elif not links.isEmpty():
             # each earlier component is one star by now
             earlier = comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
             comps = written(components(earlier.unionByName(links)), "components")
-    out = sk.select("doc_id", *sets).join(first.select(*sets, "rep"), sets, "left")
-    out = out.withColumn("node", F.coalesce("rep", "doc_id")).join(comps, "node", "left")
-    comp = F.coalesce("component", "node")
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
+    out = sk.select("doc_id", "node", *sets).join(first.select(*sets, "rep"), sets, "left")
+    out = out.withColumn("node", F.coalesce("rep", "node")).join(comps, "node", "left")
+    out = out.withColumn("component", F.coalesce("component", "node"))
+    if odd is not None:  # nodes are not all ids: the smallest id of each component names it
+        named = out.groupBy("component").agg(F.min("doc_id").alias("named"))
+        out = out.join(named, "component", "left").withColumn("component", F.col("named"))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"),
+                      F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:

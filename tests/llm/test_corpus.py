@@ -31,21 +31,73 @@ def docs(spark):
     return spark.createDataFrame([(i, t, "clash") for i, t in enumerate(DOCS)], "doc_id long, text string, item_id string").repartition(3)
 
 
-def test_near_dedup(docs):
-    from gradeframe.llm.near_dedup import near_dedup
-    sets = []
-    for t in DOCS:
+def brute_components(rows):
+    """{doc_id: component} over (doc_id, text) rows: all pairs, rows of one id tied."""
+    sets, low = [], [i for i, _ in rows]
+    for _, t in rows:
         w = (t or "").lower().split()
         sets.append({tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
-    low = list(range(len(DOCS)))
-    for _ in DOCS:
-        for a in range(len(DOCS)):
-            for b in range(a):
-                k = len(sets[a] & sets[b])
-                if k and 100 * k >= 75 * len(sets[a] | sets[b]):
-                    low[a] = low[b] = min(low[a], low[b])
-    want = {i: (len(sets[i]), low[i], low[i] == i) for i in range(len(DOCS))}
-    assert {r[0]: tuple(r)[1:] for r in near_dedup(docs).collect()} == want
+    links = []
+    for a in range(len(rows)):
+        for b in range(a):
+            k = len(sets[a] & sets[b]) if sets[a] and sets[b] else 0
+            if k and 100 * k >= 75 * (len(sets[a]) + len(sets[b]) - k) or rows[a][0] == rows[b][0] and sets[a] and sets[b]:
+                links.append((a, b))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                changed = True
+    return [(rows[i][0], len(sets[i]), low[i], low[i] == rows[i][0]) for i in range(len(rows))]
+
+
+def test_near_dedup(docs):
+    from gradeframe.llm.near_dedup import near_dedup
+    want = brute_components([*enumerate(DOCS)])
+    assert sorted(tuple(r) for r in near_dedup(docs).collect()) == sorted(want)
+
+
+def test_near_dedup_repeated_ids(spark):
+    """An id with different texts is one document: what is near to any of its texts is linked with it."""
+    from gradeframe.llm.near_dedup import near_dedup
+    draw = random.Random(8)
+    one, two, three = (" ".join(draw.choices(VOCAB, k=60)) for _ in range(3))
+    rows = [(11, one), (11, two), (12, one + " more"), (13, two + " more"), (14, three), (14, three), (15, three), (16, ""), (16, None),
+            (17, ""), (17, one + " other"), (18, "alone here")]
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = [r for r in brute_components(rows) if r[1]]
+    assert sorted(tuple(r) for r in got if r.n_shingles) == sorted(want)
+    assert sorted(tuple(r) for r in got if not r.n_shingles)[0][:3] == (16, 0, 16) and len(got) == len(rows)
+    null = near_dedup(spark.createDataFrame([(None, one), *rows], "doc_id long, text string")).collect()
+    assert [tuple(r) for r in null if r.doc_id is None] == [(None, 56, None, True)] and len(null) == len(rows) + 1
+
+
+def test_near_dedup_common_passage(spark):
+    """One passage in 500 otherwise unlike documents, most of each document in some: the links are those of brute force, and
+    the pairs that are compared stay few."""
+    from gradeframe.llm import near_dedup as N
+    draw = random.Random(9)
+    passage = " ".join(draw.choices(VOCAB, k=120))
+    rows = []
+    for i in range(500):
+        own = [f"own{i}x{k}" for k in range(draw.choice([20, 60, 90, 300]))]
+        rows.append((i, " ".join(own[:5]) + " " + passage + " " + " ".join(own[5:])))
+    rows += [(600 + i, near((passage + " tail").split() + [f"t{i}"], 3)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    compared, before = [], N._confirmed
+
+    def seen(pairs, kept):
+        compared.append(pairs.count())
+        return before(pairs, kept)
+    N._confirmed = seen
+    try:
+        got = sorted(tuple(r) for r in N.near_dedup(docs).collect())
+    finally:
+        N._confirmed = before
+    assert got == sorted(brute_components(rows))
+    assert sum(compared) < 20 * len(rows)
 
 
 def test_packing(docs):
