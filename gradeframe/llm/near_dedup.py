@@ -200,9 +200,12 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     sk = _noded(sk, odd)
     full = sk.where(some)
     first = full.groupBy(*sets).agg(F.min("node").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    reps = full.join(first.select(*sets, "rep"), sets, "left").where("rep is null or rep = node").drop("rep")
+    # narrow tables are written before they are joined: their size is known then, and where it is small neither sketches nor
+    # texts are shuffled for it
+    others = written(full.select("node", *sets).join(first.select(*sets, "rep"), sets).where("rep <> node").select("node"), "copies")
+    reps = full.join(others, "node", "left_anti")
     listed = written(_listed(reps.dropDuplicates(["node"]) if odd is not None else reps), "lists")
-    ids = listed.select(F.col("doc").alias("node")).distinct()
+    ids = written(listed.select(F.col("doc").alias("node")).distinct(), "listed-ids")
     kept = sk.join(ids, "node", "left_semi").select("node", "n_shingles", "sketch", "parity")
     texts = _noded(_keyed(docs), odd).join(ids, "node", "left_semi").select("node", "text")
     kept = written(kept.dropDuplicates(["node"]).join(texts.dropDuplicates(["node"]), "node"), "candidates")
