@@ -1,22 +1,26 @@
 """Benchmark decontamination by template canonicalisation; DataFrame functions only.
 
 Numbers, names (capitalised words inside a sentence) and units become typed
-placeholders. Windows of ``WINDOW`` template words are hashed and joined with
-the benchmark's. A document leaks an item when matched windows cover at least
-``COVER`` of the item's and either the words are the same in as many windows,
-or the slots agree: one value in the item stands for one value in the document
-over the matched windows (a re-parameterised question). Both are asked of each
-occurrence by itself: the matches whose shift (place in the document less place
-in the item) lies in one of ``BANDS``, or all matches together. Windows with fewer than
-``PLAIN`` plain words say too little and are not matched as templates. Windows
-of the words themselves in lower case, slots or not, are matched beside them;
-they need no slot check.
+placeholders. Windows of ``WINDOW`` template words of a document that the
+benchmark has too are found by hash: each benchmark window is known by its
+longest pair of neighbouring words, the pairs of every text are probed against
+these, and where one is found the whole window is compared. A document leaks an
+item when matched windows cover at least ``COVER`` of the item's and either the
+words are the same in as many windows, or the slots agree: one value in the
+item stands for one value in the document over the matched windows (a
+re-parameterised question). Both are asked of each occurrence by itself: the
+matches whose shift (place in the document less place in the item) lies in one
+of ``BANDS``, or all matches together. Windows with fewer than ``PLAIN`` plain
+words say too little and are not matched as templates. Windows of the words
+themselves in lower case, slots or not, are matched beside them; they need no
+slot check.
 
 Null or blank texts leak nothing. An item shorter than a window is one window of
-all its words and is looked for among the documents' windows of that length, so
-a one-word item is leaked by every document with that word.
-Blank items match nothing; repeated rows are judged alike; empty tables give no
-leaks. ``docs`` may have other columns; they are not read."""
+all its words; one of fewer than ``FEW`` words says too little inside a text and
+is leaked by a document that consists of just these words. Blank items match
+nothing. Rows of one item_id with different texts are items of their own, so is
+a null item_id; repeated rows are judged alike; empty tables give no leaks.
+``docs`` may have other columns, whatever their names: they are not read."""
 
 from __future__ import annotations
 
@@ -25,10 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import documents, written
 
-WINDOW, PLAIN, COVER = 8, 4, 0.3
+WINDOW, PLAIN, COVER, FEW = 8, 4, 0.3, 4
 #: (width, offset) of the bands of shifts; a band of width 1 is a copy without insertions
 BANDS = ((1, 0), (8, 0), (8, 4), (32, 0), (32, 16))
-BROADCAST_ROWS = 1_000_000        # 16 bytes each; a larger benchmark is joined by shuffle
+BROADCAST_ROWS = 1_000_000        # windows, 60 bytes each; those of a larger benchmark are joined by shuffle
 UNITS = ("mm|cm|km|kg|mg|ml|oz|lbs?|ft|mph|kmh|hz|khz|mhz|ghz|kw|usd|eur|gbp|dollars?|euros?|pounds?|cents?|met(?:er|re)s?|"
          "kilomet(?:er|re)s?|miles?|feet|inch(?:es)?|grams?|kilograms?|lit(?:er|re)s?|seconds?|minutes?|hours?|days?|weeks?|"
          "months?|years?|percent|degrees?")
@@ -50,77 +54,123 @@ def _split(marked: Column) -> Column:
     return F.array_remove(F.split(marked, f"[^{_WORD}\x01-\x03]+"), "")
 
 
-def _templates(marked: Column) -> Column:
-    return _split(F.regexp_replace(marked, f"([\x01-\x03])[{_WORD}]++", "$1"))
+def _words(text: Column) -> Column:
+    """The words in lower case, slot words behind their mark."""
+    return _split(_marked(text))
 
 
-def _literal(marked: Column) -> Column:
-    return _split(F.translate(marked, NUMBER + NAME + UNIT, ""))
+def _is_slot(w: Column) -> Column:
+    return w < F.lit("\x04")
 
 
-def _sequences(marked: Column, lengths: list[int]) -> Column:
-    """The template words and the words themselves (lit), for each length of window."""
-    return F.array(*[F.struct(words(marked).alias("w"), F.lit(lit).alias("lit"), F.lit(n).alias("n"))
-                     for n in lengths for words, lit in ((_templates, False), (_literal, True))])
+def _literal(w: Column) -> Column:
+    return F.when(_is_slot(w), F.substring(w, 2, 1 << 30)).otherwise(w)
 
 
-def _windows(words: Column, n: Column) -> Column:
-    """Hash of every window of ``n`` words."""
-    hashes = F.transform(words, lambda x: F.xxhash64(x))
-    return F.element_at(F.transform(F.array(hashes), lambda h: F.when(F.size(h) > 0, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(h) - (n - 1), F.lit(1))),
-        lambda i: F.xxhash64(F.slice(h, i, n)))).otherwise(F.array().cast("array<bigint>"))), 1)
+def _template(w: Column) -> Column:
+    return F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w)
 
 
-def _is_slot(w: Column) -> Column:
-    return w < F.lit("\x04")
+def _window_hash(words: Column, lit: Column) -> Column:
+    return F.xxhash64(F.transform(words, lambda w: F.when(lit, _literal(w)).otherwise(_template(w))))
+
+
+def _pair_hashes(a: Column, b: Column) -> Column:
+    """The hashes of two neighbouring words: as they are, and as templates where that differs."""
+    lit, tmpl = F.xxhash64(_literal(a), _literal(b)), F.xxhash64(_template(a), _template(b))
+    return F.when(lit == tmpl, F.array(lit)).otherwise(F.array(lit, tmpl))
+
+
+def _benchmark_windows(items: DataFrame) -> DataFrame:
+    """(item, lit, ipos, n, wh, h, off): every window of the items with the hash and place of its longest pair."""
+    n = F.least(F.lit(WINDOW), F.size("words"))
+    w = items.where(F.size("words") >= FEW).select("item", "words", n.alias("n"), F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("ipos"))
+    w = w.select("item", "n", "ipos", F.slice("words", F.col("ipos") + 1, F.col("n")).alias("ws"), F.explode(F.array(F.lit(False), F.lit(True))).alias("lit"))
+    plain = F.size(F.filter("ws", lambda x: ~_is_slot(x)))
+    w = w.where(F.col("lit") | (plain >= F.least(F.lit(PLAIN), F.col("n"))))
+    w = w.withColumn("wh", _window_hash(F.col("ws"), F.col("lit"))).withColumn(
+        "seq", F.transform("ws", lambda x: F.when(F.col("lit"), _literal(x)).otherwise(_template(x))))
+    best = F.array_min(F.transform(F.sequence(F.lit(0), F.col("n") - 2), lambda i: F.struct(
+        (-F.length(F.get("seq", i)) - F.length(F.get("seq", i + 1))).alias("k"), F.xxhash64(F.get("seq", i), F.get("seq", i + 1)).alias("h"), i.alias("off"))))
+    return w.withColumn("best", best).select("item", "lit", "ipos", "n", "wh", "best.h", "best.off")
+
+
+def _hits(rows: DataFrame, wins: DataFrame, small: bool) -> DataFrame:
+    """(doc_id, text_key, item, lit, pos, ipos) of every window that a row (doc_id, text_key, w) has in common with ``wins``."""
+    if not small:  # windows of all texts, by hash, against those of a large benchmark
+        lengths = [r[0] for r in wins.select("n").distinct().orderBy("n").collect()]  # at most WINDOW - FEW + 1
+        each = rows.select("doc_id", "text_key", "w", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(lit).alias("lit")) for n in lengths for lit in (False, True)])).alias("s"))
+        each = each.where(F.size("w") >= F.col("s.n")).select("doc_id", "text_key", "w", "s.n", "s.lit", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("s.n"))).alias("pos"))
+        each = each.select("doc_id", "text_key", "lit", "pos", _window_hash(F.slice("w", F.col("pos") + 1, F.col("n")), F.col("lit")).alias("wh"))
+        return each.join(wins, ["wh", "lit"]).select("doc_id", "text_key", "item", "lit", "pos", "ipos")
+    pairs = F.posexplode(F.arrays_zip("w", F.slice("w", 2, 1 << 30).alias("v")))
+    at = rows.select("doc_id", "text_key", "w", pairs.alias("at", "pair")).select("doc_id", "text_key", "w", "at", F.explode(_pair_hashes(F.col("pair.w"), F.col("pair.v"))).alias("h"))
+    at = at.join(F.broadcast(wins), "h").withColumn("pos", F.col("at") - F.col("off"))
+    found = F.slice("w", F.greatest(F.col("pos"), F.lit(0)) + 1, F.col("n"))
+    at = at.where((F.col("pos") >= 0) & (F.col("pos") + F.col("n") <= F.size("w"))).where(_window_hash(found, F.col("lit")) == F.col("wh"))
+    return at.select("doc_id", "text_key", "item", "lit", "pos", "ipos")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_key, item_id) for every leaked item of a document."""
-    marked = _marked(F.col("text").cast("string"))
-    items = written(benchmark.where("text is not null").select(
-        "item_id", _split(marked).alias("item_words"), _sequences(marked, [WINDOW]).alias("s")).dropDuplicates(["item_id", "item_words"]), "items")
-    short = [r[0] for r in items.where(F.size("item_words").between(1, WINDOW - 1)).select(F.size("item_words")).distinct().collect()]
-    wins = items.select("item_id", F.explode("s").alias("s")).select("item_id", "s.w", "s.lit", F.posexplode(_windows(F.col("s.w"), F.col("s.n"))).alias("ipos", "h"))
-    plain = F.size(F.filter(F.slice("w", F.col("ipos") + 1, WINDOW), lambda w: ~_is_slot(w)))
-    wins = written(wins.where(F.col("lit") | (plain >= F.least(F.lit(PLAIN), F.size("w")))).select("item_id", "lit", "ipos", "h"), "windows")
-    total = wins.groupBy("item_id", "lit").agg(F.countDistinct("ipos").alias("total"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    small = wins.count() <= BROADCAST_ROWS
-    hits = rows.select("doc_id", "text_key", F.explode(_sequences(_marked(F.col("text")), [WINDOW, *short])).alias("s"))
-    hits = hits.select("doc_id", "text_key", "s.lit", F.posexplode(_windows(F.col("s.w"), F.col("s.n"))).alias("pos", "h"))
-    hits = hits.join(F.broadcast(wins) if small else wins, ["h", "lit"]).select("doc_id", "text_key", "item_id", "lit", "pos", "ipos").distinct()
-    by = hits.groupBy("doc_id", "text_key", "item_id", "lit").agg(
-        F.collect_list(F.struct("pos", "ipos")).alias("at"), F.countDistinct("ipos").alias("cover"))
-    by = written(by.join(total, ["item_id", "lit"]).where(F.col("cover") >= COVER * F.col("total")), "hits")
-    verbatim, by = by.where("lit").select("doc_id", "text_key", "item_id"), by.where("not lit")
+    items = benchmark.select("item_id", _words(F.col("text").cast("string")).alias("words")).where(F.size("words") > 0)
+    items = written(items.dropDuplicates(["item_id", "words"]).withColumn("item", F.xxhash64("item_id", "words")), "items")
+    wins = written(_benchmark_windows(items), "windows")
+    total = wins.groupBy("item", "lit").agg(F.countDistinct("ipos").alias("total"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    rows = texts.select("doc_id", "text_key", _words(F.col("text")).alias("w"))
+    by = _hits(rows, wins, wins.count() <= BROADCAST_ROWS).groupBy("doc_id", "text_key", "item", "lit").agg(
+        F.collect_set(F.struct("pos", "ipos")).alias("at"), F.countDistinct("ipos").alias("cover"))
+    by = written(by.join(total, ["item", "lit"]).where(F.col("cover") >= COVER * F.col("total")), "hits")
+    who = ["doc_id", "text_key", "item"]
+    leaked, by = by.where("lit").select(*who), by.where("not lit")
+    few = items.where(F.size("words") < FEW).select("item", F.xxhash64(F.transform("words", _literal)).alias("h"))
+    if not few.isEmpty():
+        whole = rows.where(F.size("w") < FEW).select("doc_id", "text_key", F.xxhash64(F.transform("w", _literal)).alias("h"))
+        leaked = leaked.unionByName(whole.join(few, "h").select(*who))
     shift = F.col("m.pos") - F.col("m.ipos")
     bands = [F.struct(F.lit(w).cast("long").alias("width"), F.lit(o).cast("long").alias("offset"), F.floor((shift + o) / w).alias("n")) for w, o in ((1 << 40, 1 << 39), *BANDS)]
-    who = ["doc_id", "text_key", "item_id", "total"]
-    by = by.select(*who, F.explode("at").alias("m")).select(*who, "m", F.explode(F.array(*bands)).alias("band"))
-    by = by.groupBy(*who, "band").agg(F.collect_list("m").alias("at"), F.countDistinct("m.ipos").alias("cover"))
+    by = by.select(*who, "total", F.explode("at").alias("m")).select(*who, "total", "m", F.explode(F.array(*bands)).alias("band"))
+    by = by.groupBy(*who, "total", "band").agg(F.collect_list("m").alias("at"), F.countDistinct("m.ipos").alias("cover"))
     by = written(by.where(F.col("cover") >= COVER * F.col("total")), "occurrences")
-    # the words of the matched documents and items, for their slots
-    texts = rows.withColumnsRenamed({"doc_id": "d", "text_key": "k"}).join(
-        by.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct(), ["d", "k"], "left_semi").distinct()
-    full = by.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
-    full = full.withColumn("words", _split(_marked(F.col("text")))).join(items.drop("s"), "item_id")
-    same = F.size(F.array_distinct(F.transform(F.filter("at", lambda m: F.slice("words", m["pos"] + 1, F.least(F.lit(WINDOW), F.size("item_words")))
-                                                        == F.slice("item_words", m["ipos"] + 1, WINDOW)), lambda m: m["ipos"])))
+    # the words of the matched documents and items, for their slots; the keys are written, so few of them shuffle no text
+    keys = written(by.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct(), "matched")
+    same_row = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
+    matched = texts.join(keys, same_row, "left_semi").dropDuplicates(["doc_id", "text_key"])
+    matched = matched.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), _words(F.col("text")).alias("w"))
+    full = by.join(matched, same_row).join(items.select("item", "words"), "item")
+    n = F.least(F.lit(WINDOW), F.size("words"))
+    same = F.size(F.array_distinct(F.transform(F.filter("at", lambda m: F.slice("w", m["pos"] + 1, n) == F.slice("words", m["ipos"] + 1, n)), lambda m: m["ipos"])))
     pairs = F.array_distinct(F.filter(F.flatten(F.transform("at", lambda m: F.arrays_zip(
-        F.slice("item_words", m["ipos"] + 1, WINDOW).alias("i"), F.slice("words", m["pos"] + 1, F.least(F.lit(WINDOW), F.size("item_words"))).alias("w")))),
-        lambda p: _is_slot(p["i"])))
+        F.slice("words", m["ipos"] + 1, n).alias("i"), F.slice("w", m["pos"] + 1, n).alias("w")))), lambda p: _is_slot(p["i"])))
     full = full.withColumns({"same": same, "pairs": pairs})
     agree = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
-    return full.where((F.col("same") >= COVER * F.col("total")) | agree).select("doc_id", "text_key", "item_id").unionByName(verbatim).distinct()
+    leaked = leaked.unionByName(full.where((F.col("same") >= COVER * F.col("total")) | agree).select(*who))
+    return leaked.join(items.select("item", "item_id"), "item").select("doc_id", "text_key", "item_id").distinct()
+
+
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(_leak_doc, _leak_key, leaked_items) of the documents that leak; written, so few of them shuffle no document. Leaked
+    items are sorted; a null item_id counts, as null, at the front."""
+    listed = F.sort_array(F.collect_list(F.struct("item_id")))["item_id"]
+    found = leaks(docs, benchmark).groupBy("doc_id", "text_key").agg(listed.alias("leaked_items"))
+    return written(found.withColumnsRenamed({"doc_id": "_leak_doc", "text_key": "_leak_key"}), "leaks")
+
+
+def _same(docs: DataFrame, found: DataFrame) -> Column:
+    return docs["doc_id"].eqNullSafe(found["_leak_doc"]) & (F.xxhash64(docs["text"]) == found["_leak_key"])
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that leak nothing, with all their columns as they are."""
+    found = _found(docs, benchmark)
+    return docs.join(found, _same(docs, found), "left_anti")
 
 
 def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with leaked_items (sorted ids) and contaminated."""
-    found = leaks(docs, benchmark).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("item_id")).alias("leaked_items"))
-    found = found.withColumnsRenamed({"doc_id": "_leak_doc", "text_key": "_leak_key"})
-    out = docs.join(found, docs["doc_id"].eqNullSafe(found["_leak_doc"]) & (F.xxhash64(docs["text"]) == found["_leak_key"]), "left")
+    """``docs`` with leaked_items (sorted ids) and contaminated (columns of these names are replaced)."""
+    found = _found(docs, benchmark)
+    out = docs.join(found, _same(docs, found), "left")
     return out.select(*[docs[c] for c in docs.columns if c not in ("leaked_items", "contaminated")], found["leaked_items"],
                       found["leaked_items"].isNotNull().alias("contaminated"))
 

@@ -196,6 +196,48 @@ def test_decontaminate_dense_short_and_folded(spark):
     assert {r.doc_id: r.leaked_items for r in judged(docs, bench).collect()} == {1: [1], 2: [2], 3: [3], 4: [3], 5: None}
 
 
+def test_decontaminate_item_ids(spark):
+    """Texts that share an item_id are items of their own; a null item_id is found; few words leak as a whole text only."""
+    from gradeframe.llm.decontaminate import judged, without_leaks
+    long = " ".join(f"lw{i}" for i in range(100))
+    short = "the quick brown fox jumps over a very lazy dog near our river"
+    bench = spark.createDataFrame([(1, short), (1, long), (None, "which mountain is the highest one of all the Alps today"), (3, "yes"), (3, "yes")],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"intro {short} outro", "a"), (2, "Which mountain is the highest one of all the alps today?", "b"),
+                                  (3, "yes", "c"), (4, "yes and no", "d"), (None, short, "e"), (1, "another text of this id", "f")],
+                                 "doc_id long, text string, contaminated string")
+    got = {(r.doc_id, r.text[:5]): r.leaked_items for r in judged(docs, bench).collect()}
+    assert got == {(1, "intro"): [1], (2, "Which"): [None], (3, "yes"): [3], (4, "yes a"): None, (None, "the q"): [1], (1, "anoth"): None}
+    kept = without_leaks(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.contaminated for r in kept.collect()) == ["d", "f"]
+
+
+def test_decontaminate_windows_by_brute_force(spark, monkeypatch):
+    """The matched windows are those of a plain scan, by either plan."""
+    from gradeframe.llm import decontaminate as D
+    draw = random.Random(12)
+    vocab = ["a", "the", "km", "Anna", "Bela", "12", "7.5", "river", "house", "crosses", "of", "42", "green", "Prague"]
+    bench = [(i, " ".join(draw.choices(vocab, k=draw.randint(1, 30)))) for i in range(30)]
+    docs = [(i, " ".join(draw.choices(vocab, k=draw.randint(0, 60))) + " " + draw.choice(bench)[1]) for i in range(60)]
+    b, d = spark.createDataFrame(bench, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    items = b.select("item_id", D._words(b["text"]).alias("words")).withColumn("item", D.F.col("item_id"))
+    rows = d.select("doc_id", D.F.lit(0).alias("text_key"), D._words(d["text"]).alias("w"))
+    wins = D._benchmark_windows(items)
+    iw, dw = ({r[0]: r["words" if k else "w"] for r in x.collect()} for k, x in ((1, items), (0, rows)))
+    form = {True: lambda w: w[1:] if w < "\x04" else w, False: lambda w: w[0] if w < "\x04" else w}
+    want = set()
+    for i, ws in iw.items():
+        n = min(8, len(ws))
+        for ip in range(len(ws) - n + 1 if n >= 4 else 0):
+            for lit in (False, True):
+                if lit or sum(not w < "\x04" for w in ws[ip:ip + n]) >= min(4, n):
+                    key = [form[lit](w) for w in ws[ip:ip + n]]
+                    want |= {(k, i, lit, p, ip) for k, x in dw.items() for p in range(len(x) - n + 1) if [form[lit](w) for w in x[p:p + n]] == key}
+    for small in (True, False):
+        got = D._hits(rows, wins, small).select("doc_id", "item", "lit", "pos", "ipos").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_empty_tables(spark):
     from gradeframe.llm import decontaminate, near_dedup, packing, pii
     none = spark.createDataFrame([], "doc_id long, text string")
