@@ -3,7 +3,8 @@ drop lines; a document that fails the base rules or loses more than half of
 its word characters is rejected. DataFrame functions only, no shuffle.
 
 Null or empty text has no words and is rejected; repeated rows are judged
-alike; other columns pass through ``clean``."""
+alike; other columns pass through ``judged``, but those of its own names are
+replaced."""
 
 from __future__ import annotations
 

@@ -1,7 +1,8 @@
 """Sharding: hierarchical weighted hash tree. A key descends region, rack and
 shard; at each level every child draws -ln(u)/weight from hash(key, child) and
 the smallest draw wins, so a key moves only when a weight on its path changes.
-An added shard opens a new region, so keys move only into it.
+A shard added after the tree was created is a region of its own, whatever the
+count, so no weight of another subtree changes and keys move only into it.
 
 Slots are prefix sums over (shard, block) counts plus the row number in the
 block: no shard is gathered in one task. Null ids hash as the empty string,
@@ -15,11 +16,16 @@ from pyspark.sql import functions as F
 from .common import documents
 
 
-def tree(n_shards: int, rack: int = 2, region: int = 4) -> dict:
-    """{region: {rack: {shard: weight}}} with equal weights."""
+def tree(n_shards: int, created: int | None = None, rack: int = 2, region: int = 4) -> dict:
+    """{region: {rack: {shard: weight}}} with equal weights: ``created`` shards (all, if not given) in racks and regions, and
+    a region for each one added since."""
+    created = n_shards if created is None else created
     out: dict = {}
-    for s in range(n_shards):
+    for s in range(created):
         out.setdefault(s // region, {}).setdefault(s % region // rack, {})[s] = 1.0
+    first = len(out)
+    for s in range(created, n_shards):
+        out[first + s - created] = {0: {s: 1.0}}
     return out
 
 
@@ -52,7 +58,7 @@ def op5_shards(spark, sf_dir: str, n_shards: int = 16, blocks: int = 256) -> Dat
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = d.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
                     F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
-                    shard_of(key, tree(n_shards)).alias("shard"), shard_of(key, tree(n_shards + 1)).alias("grown_shard"),
+                    shard_of(key, tree(n_shards)).alias("shard"), shard_of(key, tree(n_shards + 1, n_shards)).alias("grown_shard"),
                     F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
     count = rows.groupBy("shard", "block").count()
     w = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

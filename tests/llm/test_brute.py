@@ -71,6 +71,21 @@ def test_op5(spark, sf):
     assert len(rows) == len(TEXTS) and all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
+def test_op5_law_at_any_count(spark):
+    """A shard added to any count, or to one that grew before, takes keys and no key moves elsewhere."""
+    from pyspark.sql import functions as F
+
+    from gradeframe.llm.shards import shard_of, tree
+    keys = spark.range(4000).select(F.col("id").cast("string").alias("k"))
+    for created in (1, 3, 6, 16):
+        cols = [shard_of(F.col("k"), tree(n, created)).alias(f"s{n}") for n in range(created, created + 5)]
+        rows = keys.select(*cols).collect()
+        for i in range(4):
+            assert all(r[i + 1] in (r[i], created + i) for r in rows)
+            took = sum(r[i + 1] == created + i for r in rows)
+            assert 0.6 < took * (created + i + 1) / len(rows) < 1.4
+
+
 def test_op6(spark, sf):
     from gradeframe.llm.quality import op6_quality
     for r in op6_quality(spark, sf).collect():
