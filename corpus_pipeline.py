@@ -13,9 +13,14 @@ from gradeframe.llm import decontaminate, near_dedup, packing, pii, quality
 from gradeframe.llm.common import documents, written
 
 
+def _packed(docs, *cols):
+    """The whole row as one column beside the columns that a stage reads: no name of a column clashes with the stage's own."""
+    return docs.select(F.struct("*").alias("_row"), *cols, "text")
+
+
 def quality_rules(spark, docs, sf_dir):
     """Documents that the line rules reject go. The removal of lines serves this verdict only: kept texts pass on whole."""
-    return quality.judged(docs).where("kept").select(docs.columns)
+    return quality.judged(_packed(docs)).where("kept").select("_row.*")
 
 
 def near_duplicates(spark, docs, sf_dir):
@@ -27,12 +32,13 @@ def near_duplicates(spark, docs, sf_dir):
 def benchmark_leaks(spark, docs, sf_dir):
     """Documents that leak a benchmark item go."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.judged(docs, bench).where("not contaminated").select(docs.columns)
+    return decontaminate.without_leaks(docs, bench)
 
 
 def personal_data(spark, docs, sf_dir):
     """Personal data in texts is replaced by its kind."""
-    return pii.redacted(docs).select(docs.columns)
+    done = pii.redacted(_packed(docs, "doc_id"))
+    return done.select(F.col("_row").withField("text", F.col("text")).alias("_row")).select("_row.*")
 
 
 def packed(spark, docs, sf_dir):
