@@ -95,50 +95,68 @@ def _benchmark_windows(items: DataFrame) -> DataFrame:
     return w.withColumn("best", best).select("item", "lit", "ipos", "n", "wh", "best.h", "best.off")
 
 
-def _hits(rows: DataFrame, wins: DataFrame, small: bool) -> DataFrame:
-    """(doc_id, text_key, item, lit, pos, ipos) of every window that a row (doc_id, text_key, w) has in common with ``wins``."""
+def _probed(rows: DataFrame, wins: DataFrame, small: bool) -> DataFrame:
+    """(doc_id, text_key, item, lit, pos, ipos) of every window that a row (doc_id, text_key, w) has in common with ``wins``;
+    where the windows are few enough to be broadcast, of every window whose longest pair it has."""
     if not small:  # windows of all texts, by hash, against those of a large benchmark
         lengths = [r[0] for r in wins.select("n").distinct().orderBy("n").collect()]  # at most WINDOW - FEW + 1
         each = rows.select("doc_id", "text_key", "w", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(lit).alias("lit")) for n in lengths for lit in (False, True)])).alias("s"))
-        each = each.where(F.size("w") >= F.col("s.n")).select("doc_id", "text_key", "w", "s.n", "s.lit", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("s.n"))).alias("pos"))
-        each = each.select("doc_id", "text_key", "lit", "pos", _window_hash(F.slice("w", F.col("pos") + 1, F.col("n")), F.col("lit")).alias("wh"))
+        hashes = F.transform(F.sequence(F.lit(0), F.size("w") - F.col("s.n")), lambda i: _window_hash(F.slice("w", i + 1, F.col("s.n")), F.col("s.lit")))
+        each = each.where(F.size("w") >= F.col("s.n")).select("doc_id", "text_key", "s.lit", F.posexplode(hashes).alias("pos", "wh"))
         return each.join(wins, ["wh", "lit"]).select("doc_id", "text_key", "item", "lit", "pos", "ipos")
     pairs = F.posexplode(F.arrays_zip("w", F.slice("w", 2, 1 << 30).alias("v")))
-    at = rows.select("doc_id", "text_key", "w", pairs.alias("at", "pair")).select("doc_id", "text_key", "w", "at", F.explode(_pair_hashes(F.col("pair.w"), F.col("pair.v"))).alias("h"))
-    at = at.join(F.broadcast(wins), "h").withColumn("pos", F.col("at") - F.col("off"))
-    found = F.slice("w", F.greatest(F.col("pos"), F.lit(0)) + 1, F.col("n"))
-    at = at.where((F.col("pos") >= 0) & (F.col("pos") + F.col("n") <= F.size("w"))).where(_window_hash(found, F.col("lit")) == F.col("wh"))
+    at = rows.select("doc_id", "text_key", pairs.alias("at", "pair"))
+    at = at.select("doc_id", "text_key", "at", F.explode(_pair_hashes(F.col("pair.w"), F.col("pair.v"))).alias("h"))
+    at = at.join(F.broadcast(wins), "h").withColumn("pos", F.col("at") - F.col("off")).where("pos >= 0")
     return at.select("doc_id", "text_key", "item", "lit", "pos", "ipos")
 
 
+def common_windows(texts: DataFrame, items: DataFrame, cover: float = COVER, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, text_key, item, lit, total, at, w, words) of every text and item with at least ``cover`` of the item's windows
+    in common: ``at`` lists the places (pos, ipos), ``w`` and ``words`` are the words of both."""
+    wins = written(_benchmark_windows(items), "windows")
+    total = wins.groupBy("item", "lit").agg(F.countDistinct("ipos").alias("total"))
+    rows = texts.select("doc_id", "text_key", _words(F.col("text")).alias("w"))
+    by = _probed(rows, wins, wins.count() <= broadcast_rows).groupBy("doc_id", "text_key", "item", "lit").agg(
+        F.collect_set(F.struct("pos", "ipos")).alias("at"), F.countDistinct("ipos").alias("n"))
+    by = written(by.join(total, ["item", "lit"]).where(F.col("n") >= cover * F.col("total")).drop("n"), "probed")
+    # the words of these texts; their keys are written first, so few of them shuffle no text
+    keys = written(by.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct(), "matched")
+    same_row = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
+    matched = texts.join(keys, same_row, "left_semi").dropDuplicates(["doc_id", "text_key"])
+    matched = matched.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), _words(F.col("text")).alias("w"))
+    forms = [F.transform("w", f).alias(c) for f, c in ((_literal, "w_lit"), (_template, "w_tmpl"))]
+    own = [F.transform("words", f).alias(c) for f, c in ((_literal, "i_lit"), (_template, "i_tmpl"))]
+    full = by.join(written(matched.select("*", *forms), "texts"), same_row).join(written(items.select("item", "words", *own), "item-words"), "item")
+    n = F.least(F.lit(WINDOW), F.size("words"))
+
+    def equal(form):
+        return F.filter("at", lambda m: F.slice(f"w_{form}", m["pos"] + 1, n) == F.slice(f"i_{form}", m["ipos"] + 1, n))
+    full = full.withColumn("at", F.when(F.col("lit"), equal("lit")).otherwise(equal("tmpl")))
+    full = full.select("doc_id", "text_key", "item", "lit", "total", "at", "w", "words")
+    covered = F.size(F.array_distinct(F.transform("at", lambda m: m["ipos"])))
+    return written(full, "common").where((covered > 0) & (covered >= cover * F.col("total")))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_key, item_id) for every leaked item of a document."""
     items = benchmark.select("item_id", _words(F.col("text").cast("string")).alias("words")).where(F.size("words") > 0)
     items = written(items.dropDuplicates(["item_id", "words"]).withColumn("item", F.xxhash64("item_id", "words")), "items")
-    wins = written(_benchmark_windows(items), "windows")
-    total = wins.groupBy("item", "lit").agg(F.countDistinct("ipos").alias("total"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    rows = texts.select("doc_id", "text_key", _words(F.col("text")).alias("w"))
-    by = _hits(rows, wins, wins.count() <= BROADCAST_ROWS).groupBy("doc_id", "text_key", "item", "lit").agg(
-        F.collect_set(F.struct("pos", "ipos")).alias("at"), F.countDistinct("ipos").alias("cover"))
-    by = written(by.join(total, ["item", "lit"]).where(F.col("cover") >= COVER * F.col("total")), "hits")
+    by = common_windows(texts, items)
     who = ["doc_id", "text_key", "item"]
-    leaked, by = by.where("lit").select(*who), by.where("not lit")
+    leaked, by = by.where("lit").select(*who), by.where("not lit").select(*who, "total", "at", "w", "words")
     few = items.where(F.size("words") < FEW).select("item", F.xxhash64(F.transform("words", _literal)).alias("h"))
     if not few.isEmpty():
-        whole = rows.where(F.size("w") < FEW).select("doc_id", "text_key", F.xxhash64(F.transform("w", _literal)).alias("h"))
+        whole = texts.select("doc_id", "text_key", _words(F.col("text")).alias("w")).where(F.size("w").between(1, FEW - 1))
+        whole = whole.select("doc_id", "text_key", F.xxhash64(F.transform("w", _literal)).alias("h"))
         leaked = leaked.unionByName(whole.join(few, "h").select(*who))
     shift = F.col("m.pos") - F.col("m.ipos")
     bands = [F.struct(F.lit(w).cast("long").alias("width"), F.lit(o).cast("long").alias("offset"), F.floor((shift + o) / w).alias("n")) for w, o in ((1 << 40, 1 << 39), *BANDS)]
-    by = by.select(*who, "total", F.explode("at").alias("m")).select(*who, "total", "m", F.explode(F.array(*bands)).alias("band"))
-    by = by.groupBy(*who, "total", "band").agg(F.collect_list("m").alias("at"), F.countDistinct("m.ipos").alias("cover"))
-    by = written(by.where(F.col("cover") >= COVER * F.col("total")), "occurrences")
-    # the words of the matched documents and items, for their slots; the keys are written, so few of them shuffle no text
-    keys = written(by.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct(), "matched")
-    same_row = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
-    matched = texts.join(keys, same_row, "left_semi").dropDuplicates(["doc_id", "text_key"])
-    matched = matched.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), _words(F.col("text")).alias("w"))
-    full = by.join(matched, same_row).join(items.select("item", "words"), "item")
+    many = by.select(*who, "total", F.explode("at").alias("m")).select(*who, "total", "m", F.explode(F.array(*bands)).alias("band"))
+    many = many.groupBy(*who, "total", "band").agg(F.collect_list("m").alias("at"), F.countDistinct("m.ipos").alias("cover"))
+    many = many.where(F.col("cover") >= COVER * F.col("total")).withColumnsRenamed({"doc_id": "d", "text_key": "k", "item": "i"})
+    full = many.join(by.drop("at", "total"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")) & (F.col("item") == F.col("i")))
     n = F.least(F.lit(WINDOW), F.size("words"))
     same = F.size(F.array_distinct(F.transform(F.filter("at", lambda m: F.slice("w", m["pos"] + 1, n) == F.slice("words", m["ipos"] + 1, n)), lambda m: m["ipos"])))
     pairs = F.array_distinct(F.filter(F.flatten(F.transform("at", lambda m: F.arrays_zip(

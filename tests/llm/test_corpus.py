@@ -212,7 +212,7 @@ def test_decontaminate_item_ids(spark):
     assert kept.columns == docs.columns and sorted(r.contaminated for r in kept.collect()) == ["d", "f"]
 
 
-def test_decontaminate_windows_by_brute_force(spark, monkeypatch):
+def test_decontaminate_windows_by_brute_force(spark):
     """The matched windows are those of a plain scan, by either plan."""
     from gradeframe.llm import decontaminate as D
     draw = random.Random(12)
@@ -221,9 +221,9 @@ def test_decontaminate_windows_by_brute_force(spark, monkeypatch):
     docs = [(i, " ".join(draw.choices(vocab, k=draw.randint(0, 60))) + " " + draw.choice(bench)[1]) for i in range(60)]
     b, d = spark.createDataFrame(bench, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
     items = b.select("item_id", D._words(b["text"]).alias("words")).withColumn("item", D.F.col("item_id"))
-    rows = d.select("doc_id", D.F.lit(0).alias("text_key"), D._words(d["text"]).alias("w"))
-    wins = D._benchmark_windows(items)
-    iw, dw = ({r[0]: r["words" if k else "w"] for r in x.collect()} for k, x in ((1, items), (0, rows)))
+    texts = d.select("doc_id", D.F.lit(0).alias("text_key"), "text")
+    iw = {r.item: r.words for r in items.collect()}
+    dw = {r.doc_id: r.w for r in d.select("doc_id", D._words(d["text"]).alias("w")).collect()}
     form = {True: lambda w: w[1:] if w < "\x04" else w, False: lambda w: w[0] if w < "\x04" else w}
     want = set()
     for i, ws in iw.items():
@@ -233,8 +233,9 @@ def test_decontaminate_windows_by_brute_force(spark, monkeypatch):
                 if lit or sum(not w < "\x04" for w in ws[ip:ip + n]) >= min(4, n):
                     key = [form[lit](w) for w in ws[ip:ip + n]]
                     want |= {(k, i, lit, p, ip) for k, x in dw.items() for p in range(len(x) - n + 1) if [form[lit](w) for w in x[p:p + n]] == key}
-    for small in (True, False):
-        got = D._hits(rows, wins, small).select("doc_id", "item", "lit", "pos", "ipos").collect()
+    for limit in (10**6, 0):
+        got = D.common_windows(texts, items, cover=0.0, broadcast_rows=limit).select("doc_id", "item", "lit", D.F.explode("at").alias("m"))
+        got = got.select("doc_id", "item", "lit", "m.pos", "m.ipos").collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
