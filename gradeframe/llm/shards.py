@@ -59,7 +59,7 @@ def op5_shards(spark, sf_dir: str, n_shards: int = 16, blocks: int = 256) -> Dat
     rows = d.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
                     F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
                     shard_of(key, tree(n_shards)).alias("shard"), shard_of(key, tree(n_shards + 1, n_shards)).alias("grown_shard"),
-                    F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
+                    (F.crc32(key.cast("binary")) % blocks).alias("block"))
     count = rows.groupBy("shard", "block").count()
     w = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = count.select("shard", "block", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("base"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from .quality import BOILERPLATE
 from .resampling import N_BUCKETS
+from .shards import tree
 
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORD = "'[^\\x20\\x09-\\x0D]+'"
@@ -114,3 +115,28 @@ done AS (select leaf.*, sub.d subroot, (select d from top where n = 1) root, lis
 folded AS (select *, list_reduce(list_concat([coalesce(claimed, d)], path), lambda a, s: sha256(
   case when s = '' then a when s[1] = '<' then concat(s[2:], a) else concat(a, s[2:]) end)) f from done)
 select doc_id, d leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s[2:]), '')) proof_sha256, f folded_root, f = root verified from folded"""
+
+
+def _shard_of(node: dict, path: str = "t") -> str:
+    """The shard that the key ``k`` reaches: at each level the least draw of the children."""
+    def weight(x):
+        return x if isinstance(x, float) else sum(map(weight, x.values()))
+
+    def draw(kid, w):
+        digits = ["strpos('0123456789abcdef', {c}) - 1".format(c=f"substr(md5(concat(k, ':{path}/{kid}')), {i}, 1)") for i in range(1, 13)]
+        value = " + ".join(f"({d}) * {16 ** (12 - i)}.0" for i, d in enumerate(digits, 1))
+        return f"-ln((({value}) + 1.0) / {(1 << 48) + 1}.0) / {w}"
+    kids = list(node.items())
+    pick = [_shard_of(v, f"{path}/{k}") if isinstance(v, dict) else str(k) for k, v in kids]
+    if len(kids) == 1:
+        return pick[0]
+    draws = ", ".join(draw(k, weight(v)) for k, v in kids)
+    return f"list_extract([{', '.join(pick)}], list_position([{draws}], list_min([{draws}])))"
+
+
+SQL["op5_shards"] = f"""WITH {_crc_ctes()},
+d AS (select doc_id, coalesce(text, '') x, coalesce(cast(doc_id as varchar), '') k, crc_t from documents cross join crc_table),
+s AS (select doc_id, cast(strlen(x) + 1 as bigint) size, {_crc32('x')} text_crc32, {_crc32('k')} % 256 block,
+  {_shard_of(tree(16))} shard, {_shard_of(tree(17, 16))} grown_shard from d)
+select doc_id, size, text_crc32, 'key' law, shard, row_number() over (partition by shard order by block, doc_id, size, text_crc32) - 1 slot,
+  grown_shard from s"""
