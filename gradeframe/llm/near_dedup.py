@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import documents, written
 from .components import components
 from .shingles import fingerprint, overlap, shingle_set
+from .vocab_cache import forget
 
 K = 192
 SIGMAS = 7          # deviations below the mean that a pair's shared retained values are let to lie
@@ -53,6 +54,7 @@ def _parity(values: np.ndarray) -> np.ndarray:
 
 def sketches(docs: DataFrame) -> DataFrame:
     def run(batches):
+        forget()  # workers are used again: what an encoding operator held in one is not needed here
         for b in batches:
             sets = [shingle_set(t) for t in b.column(2).to_pylist()]
             f = [fingerprint(s) for s in sets]

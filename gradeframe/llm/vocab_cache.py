@@ -138,3 +138,8 @@ def encoder(path: str, spaced: bool) -> ChunkEncoder:
     if key not in _ENCODERS:
         _ENCODERS[key] = ChunkEncoder(path, spaced)
     return _ENCODERS[key]
+
+
+def forget() -> None:
+    """Drop the encoders of this worker process, which may hold a few hundred MB for an operator that is done."""
+    _ENCODERS.clear()
