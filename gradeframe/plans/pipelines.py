@@ -36,8 +36,8 @@ from ..sources.commitlog import ROWS, CommitLog, new_wave
 from ..sources.donestate import DoneState
 from ..sources.questions import ORDER_COLS, load_questions, null_audit
 from ..sources.responses import coerce_bloom, load_responses
-from ..sources.sinks import (current_version, open_table, read_responses, read_scores, read_versioned,
-                             response_rows, score_rows, union_runs, write_versioned)
+from ..sources.sinks import (current_version, open_table, read_versioned, response_rows, score_rows, union_runs,
+                             write_versioned)
 
 log_ = logging.getLogger(__name__)
 CALLS = "calls"
@@ -141,7 +141,7 @@ def run_query(spark: SparkSession, questions: DataFrame, models: DataFrame, back
         made = log.write(made.select(*[F.col(f.name).cast(f.dataType) for f in CALL_SCHEMA]), CALLS, wave)
         _commit_responses(log, wave)
         disabled |= {r[0] for r in made.filter(quota_error("error", "error_message")).select("model_name").distinct().collect()}
-    return read_responses(spark, output)
+    return log.read(RESPONSES_SCHEMA)
 
 
 def _dealt(df: DataFrame, calls: CallOptions) -> DataFrame:
@@ -317,7 +317,7 @@ def run_evaluate(spark: SparkSession, questions: DataFrame, responses: DataFrame
         log.write(scored(part, models, ids, judged, stem, skip_mcq), ROWS, wave)
     for wave in open_waves:
         log.commit(ROWS, wave, [], 0)
-    return read_scores(spark, output)
+    return log.read(SCORES_SCHEMA)
 
 
 # ----------------------------------------------------------------- label (L1)

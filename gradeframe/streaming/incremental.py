@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..plans.pipelines import run_evaluate
+from ..schemas import SCORES_SCHEMA
 from ..session import scratch_path
-from ..sources.sinks import read_scores
+from ..sources.commitlog import CommitLog
 
 
 def evaluate_stream(spark: SparkSession, questions: DataFrame, models: DataFrame, landing: str,
@@ -43,4 +44,4 @@ def run_evaluate_stream(spark: SparkSession, *args, **kw) -> DataFrame:
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     output = args[4] if len(args) > 4 else kw["output"]
-    return read_scores(spark, output)
+    return CommitLog(spark, output).read(SCORES_SCHEMA)

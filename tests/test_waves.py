@@ -164,6 +164,18 @@ def test_null_and_repeated_response_ids(spark, tmp_path):
     assert out.count() == 5 and run_evaluate(spark, q, r, models(spark, "x"), str(tmp_path / "s")).count() == 5
 
 
+def test_nothing_to_do(spark, tmp_path):
+    """Jobs over no rows give an empty table, and go on from there."""
+    q, m = questions(spark, 2), models(spark, "x")
+    none = spark.createDataFrame([], "response_id string, question_id string, model_name string, response_text string")
+    assert run_evaluate(spark, q, none, m, str(tmp_path / "s")).count() == 0
+    backend = {"a": counted(str(tmp_path), lambda *_: "ok")}
+    out = str(tmp_path / "r")
+    assert run_query(spark, q.limit(0), m, backend, out, ["n"]).count() == 0
+    assert run_query(spark, q, m, backend, out, ["n"]).count() == 2
+    assert run_evaluate(spark, q, read_responses(spark, out), m, str(tmp_path / "s")).count() == 2
+
+
 def test_a_call_that_hangs_is_an_error_row(spark):
     def make(model):
         def call(prompt):
