@@ -1,7 +1,7 @@
-"""Flat files of arrays and one trie level over them: Elias-Fano pointers from
-contexts to their children, children as ranks in the level's own word list,
-and quantised log10 probabilities. Levels are written to the shared folder and
-memory-mapped where the store is local."""
+"""Flat files of arrays, and an n-gram trie over them: on each level the nodes'
+words as ranks in the file's word list, monotone Elias-Fano pointers to their
+children on the next level, quantised log10 probabilities and back-off weights.
+A trie is a file in the shared folder, memory-mapped where the store is local."""
 
 from __future__ import annotations
 
@@ -54,25 +54,6 @@ def get(uri: str):
         return f.read()
 
 
-def part(uri: str, at: int, size: int) -> bytes:
-    """``size`` bytes of the file from ``at``."""
-    store, path = fs.FileSystem.from_uri(uri)
-    with store.open_input_file(path) as f:
-        f.seek(at)
-        return f.read(size)
-
-
-def drop(uri: str) -> None:
-    """Delete the files of a folder, if there is one."""
-    store, path = fs.FileSystem.from_uri(uri)
-    store.delete_dir_contents(path, missing_dir_ok=True)
-
-
-def remove(uri: str) -> None:
-    store, path = fs.FileSystem.from_uri(uri)
-    store.delete_file(path)
-
-
 def quantised(log10p: np.ndarray) -> np.ndarray:
     return np.rint(np.clip(-log10p, 0, RANGE) * (65535 / RANGE)).astype("<u2")
 
@@ -108,32 +89,90 @@ class EliasFano:
         return out
 
 
-class Level:
-    """Contexts (hashes), pointers to their children, children (word ranks), counts, probabilities."""
+ABSENT = 65535      # the code of a node that the trie does not have
+
+
+def firsts(grams: np.ndarray) -> list[np.ndarray]:
+    """For n-grams as columns whose equal prefixes stand together: the first column of every node, level by level."""
+    new, out = np.zeros(grams.shape[1], bool), []
+    new[:1] = True
+    for row in grams:
+        new[1:] |= row[1:] != row[:-1]
+        out.append(np.flatnonzero(new))
+    return out
+
+
+class Trie:
+    """Levels of n-grams: level 1 holds words with their counts, the last level the longest n-grams."""
 
     def __init__(self, uri: str):
-        self.contexts, self.words, bits, low, high, self.ids, self.counts, self.codes = unpack(get(uri))
-        self.pointers = EliasFano(bits, low, high)
+        order, self.words, self.counts, *arrays = unpack(get(uri))
+        self.levels = []
+        for i in range(int(order[0])):
+            last = i == int(order[0]) - 1
+            ids, own, back, *pointers = arrays[6 * i:6 * i + (3 if last else 6)]
+            self.levels.append((ids, own, back, None if last else EliasFano(*pointers)))
 
     @staticmethod
-    def build(uri: str, contexts, words, at, ids, counts, codes) -> None:
-        """``at`` is the context rank of every child; children ascend by (context, word rank)."""
-        ends = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(contexts)))))
-        put(uri, pack(contexts, words, *EliasFano.arrays(ends), ids, counts, codes))
-
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Places of the children, -1 where absent: the successor of the word's rank within its context's range."""
-        if not len(self.ids):
-            return np.full(len(context), -1)
-        rank = lambda a, x: np.minimum(np.searchsorted(a, x), len(a) - 1)
-        c, w = rank(self.contexts, context), rank(self.words, word)
-        lo, end = self.pointers[c], self.pointers[c + 1]
-        hi, open_ = end.copy(), np.flatnonzero(lo < end)
-        while len(open_):
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = self.ids[mid] < w[open_]
-            lo[open_[less]], hi[open_[~less]] = mid[less] + 1, mid[~less]
-            open_ = open_[lo[open_] < hi[open_]]
-        near = np.minimum(lo, len(self.ids) - 1)
-        hit = (lo < end) & (self.ids[near] == w) & (self.contexts[c] == context) & (self.words[w] == word)
-        return np.where(hit, near, -1)
+    def build(uri: str, words: np.ndarray, grams: np.ndarray, counts: np.ndarray, mu: float, whole=None) -> None:
+        """``grams``: distinct n-grams as ascending columns of ranks in ``words``; ``whole``: the counts of words
+        of which other files hold n-grams too, by rank. A node's own part is n / (n of its context + mu)."""
+        first, out = firsts(grams), [np.array([len(grams)]), words.astype("<u8"), None]
+        sums = np.concatenate(([0], np.cumsum(counts)))
+        above = None
+        for i, at in enumerate(first):
+            n = np.diff(sums[np.append(at, grams.shape[1])])
+            if i == 0:
+                for rank, total in (whole or {}).items():
+                    n[grams[0, at] == rank] = total
+                out[2] = n
+                own = np.zeros(0, "<u2")
+            else:
+                parent = np.searchsorted(first[i - 1], at, "right") - 1
+                own = np.minimum(quantised(np.log10(n / (above[parent] + mu))), ABSENT - 1)
+            last = i == len(first) - 1
+            out += [grams[i, at], own, np.zeros(0, "<u2") if last else quantised(np.log10(mu / (n + mu)))]
+            if not last:
+                out += EliasFano.arrays(np.searchsorted(first[i + 1], np.append(at, grams.shape[1])))
+            above = n
+        put(uri, pack(*out))
+
+    def descend(self, words: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """For the nodes of ``grams`` (ranks in ``words``), level by level in their order: the counts of the words (0: absent),
+        own parts of levels 2 on (``ABSENT``) and back-off weights of all but the last (0, a weight of 1)."""
+        rank = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        rank = np.where(self.words[rank] == words, rank, -1)
+        first, counts, own, back = firsts(grams), None, [], []
+        place = None
+        for i, (at, (ids, codes, weights, _)) in enumerate(zip(first, self.levels, strict=True)):
+            word = rank[grams[i, at]]
+            if i == 0:
+                lo, end = np.zeros(len(at), np.int64), np.full(len(at), len(ids))
+            else:
+                parent = place[np.searchsorted(first[i - 1], at, "right") - 1]
+                known, p = parent >= 0, np.maximum(parent, 0)
+                pointers = self.levels[i - 1][3]
+                lo = pointers[p]
+                end = np.where(known, pointers[p + 1], lo)
+            place = _successor(ids, lo, end, word)
+            hit, near = place >= 0, np.maximum(place, 0)
+            if i == 0:
+                counts = np.where(hit, self.counts[near], 0)
+            else:
+                own.append(np.where(hit, codes[near], ABSENT).astype("<u2"))
+            if i < len(first) - 1:
+                back.append(np.where(hit, weights[near], 0).astype("<u2"))
+        return counts, own, back
+
+
+def _successor(ids: np.ndarray, lo: np.ndarray, end: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Within each range of ``ids`` the place of the first id not below ``word`` if it is the word, else -1."""
+    lo, hi = lo.copy(), end.copy()
+    open_ = np.flatnonzero((lo < hi) & (word >= 0))
+    while len(open_):
+        mid = (lo[open_] + hi[open_]) >> 1
+        less = ids[mid] < word[open_]
+        lo[open_[less]], hi[open_[~less]] = mid[less] + 1, mid[~less]
+        open_ = open_[lo[open_] < hi[open_]]
+    near = np.minimum(lo, len(ids) - 1)
+    return np.where((word >= 0) & (lo < end) & (ids[near] == word), near, -1)

@@ -1,34 +1,36 @@
-"""LM scoring with an n-gram trie in Elias-Fano levels.
-
-1. Documents are encoded in blocks of about ``BLOCK`` bytes; a block file in
-   the shared folder holds its distinct words (64-bit hashes) and its tokens.
-2. For each order, every block asks for its distinct n-grams. The requests are
-   dealt by context; a context seen more than ``HOT`` times is split by its
-   next word, so no shard holds a hot word whole. The request carries the
-   n-gram's count in the block's training documents: the same rows give the
-   counts and the queries.
-3. A shard sums the counts, writes its trie level (``ef_trie.Level``), maps it
-   and answers each block with counts and quantised log10 probabilities. Only
-   the shard reads its level, so it removes the file when all are answered. The
-   answers to the first order number the words; later requests carry these
-   numbers, ascending, as differences. The answers of a shard are one file; the rows carry only their places in it.
-   An order's answers, states and shuffle files go when the next are written.
+"""LM scoring with an n-gram trie in Elias-Fano levels, dealt over files by first word.
+
+1. ``encoded`` writes the documents in blocks of about ``BLOCK`` bytes to the
+   shared folder: a block's distinct words (64-bit hashes) and its tokens.
+2. ``train`` sums the blocks' distinct n-grams of the highest order and keeps
+   one ``ef_trie.Trie`` a shard: all n-grams that begin with a word lie in one
+   file, those of a word seen more than ``HOT`` times in several, by their
+   second word. A document ends with padding, so that these n-grams hold all
+   shorter ones as prefixes and a node's count is the sum of its children's.
+3. ``score`` deals every block's distinct n-grams to the same shards. A task
+   opens its file and descends it once for each n-gram: the path gives the
+   word's count, and every prefix's own part and back-off weight. What one token
+   needs at lower orders is on the paths of the n-grams that begin after it.
 
 Smoothing is hierarchical with ``MU`` pseudo-counts of the lower order:
-P(w|c) = (n(cw) + MU P(w|c')) / (n(c) + MU); the lowest order is the add-0.5
-estimate of the base score, so the probabilities of all words and one unknown
-word add up to 1. The context of a document's first word is the end token.
+P(w|c) = n(cw) / (n(c) + MU) + MU / (n(c) + MU) * P(w|c'). The trie keeps the
+log10 of both factors in 16 bits. The lowest order is the add-0.5 estimate of
+the base score, so the probabilities of all words and one unknown word add up
+to 1. The context of a document's first word is the end token.
 
 Null and empty texts are one end token. A null id counts as training. Rows
-that repeat an id are documents of their own. An empty table gives no rows;
-with no training rows, the base estimate of N = V = 0 scores. Two words with
-equal 64-bit hashes would count as one."""
+that repeat an id are documents of their own. Other columns, of any name, are
+not read. An empty table gives no rows; with no training rows, the base
+estimate of N = V = 0 scores. Two words with equal 64-bit hashes would count as
+one. A task holds one block, or the distinct n-grams of one shard (those of one
+pair of words at least) and ``FOLD`` more."""
 
 from __future__ import annotations
 
-import gc
 import math
 import uuid
+from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,40 +41,30 @@ from pyspark.sql import functions as F
 from gradeframe.session import scratch_path
 
 from .common import documents, written
-from .ef_trie import Level, drop, get, log10_of, narrow, pack, part, put, quantised, remove, unpack
+from .ef_trie import ABSENT, Trie, firsts, get, log10_of, narrow, pack, put, unpack
 from .shingles import mix, word_hashes
 
-BLOCK = 24 << 20
+BLOCK = 8 << 20
 SLICE = 1 << 20
+SHARD = 1_000_000       # training tokens a shard
+FOLD = 1_000_000        # n-grams that wait to be summed
 HOT = 250_000
 MU = 4.0
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-END = np.uint64(0x5851F42D4C957F2D)
-MANIFEST = "block string, n_tokens long, n_train long, n_words long"
-REQUEST = "shard long, block string, state string, payload binary"
-REPLY = "shard long, block string, state string, file string, at long, size long, seen long"
+END, PAD = np.uint64(0x5851F42D4C957F2D), np.uint64(0xFFFFFFFFFFFFFFFF)
+BLOCKS = "block string, n_tokens long, words array<long>, counts array<long>"
+REQUEST = "shard int, block string, payload binary"
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
           "base_score double, score double")
 
 
 def _small(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pack(*arrays))
+    return zstandard.ZstdCompressor(level=1).compress(pack(*map(narrow, arrays)))
 
 
 def _large(raw: bytes) -> list[np.ndarray]:
     return unpack(zstandard.ZstdDecompressor().decompress(raw))
 
 
-def _save(root: str, kind: str, *arrays) -> str:
-    name = f"{root}/{kind}-{uuid.uuid4().hex}"
-    put(name, _small(*arrays))
-    return name
-
-
-def _load(name: str) -> list[np.ndarray]:
-    return _large(bytes(get(name)))
-
-
 def _slices(sizes: np.ndarray, most: int):
     """Row ranges of about ``most`` bytes; a longer text is a range of its own."""
     at, total = 0, 0
@@ -85,12 +77,12 @@ def _slices(sizes: np.ndarray, most: int):
         yield at, len(sizes)
 
 
-def _encode(root: str):
+def _encode(root: str, block: int):
     def run(batches):
         for b in batches:
             texts = [t or b"" for t in b.column("text").to_pylist()]
             sizes = np.array([len(t) for t in texts], np.int64)
-            for lo, hi in _slices(sizes, BLOCK):
+            for lo, hi in _slices(sizes, block):
                 hashes, per_doc = [], []
                 for s, e in _slices(sizes[lo:hi], SLICE):
                     ends = np.cumsum(sizes[lo + s:lo + e] + 1)
@@ -99,257 +91,252 @@ def _encode(root: str):
                     per_doc.append(np.bincount(np.searchsorted(ends, start, "right"), minlength=e - s))
                 n = np.concatenate(per_doc)
                 words, tok = np.unique(np.concatenate([*hashes, [END]]).astype("<u8"), return_inverse=True)
-                end, seq = tok[-1], np.full(int(n.sum()) + 2 * len(n), tok[-1])
+                seq = np.full(int(n.sum()) + 2 * len(n), tok[-1])
                 seq[np.arange(len(tok) - 1) + 2 * np.repeat(np.arange(len(n)), n) + 1] = tok[:-1]
-                assert words[end] == END
                 ids, held = b.column("doc_id").slice(lo, hi - lo), np.array(b.column("held").slice(lo, hi - lo), bool)
-                name = _save(root, "block", ids.fill_null(0).to_numpy().astype("<i8"), np.array(ids.is_null(), np.uint8),
-                             held.astype(np.uint8), narrow(n), words, narrow(seq))
+                name = f"{root}/block-{uuid.uuid4().hex}"
+                put(name, zstandard.ZstdCompressor(level=1).compress(pack(
+                    ids.fill_null(0).to_numpy().astype("<i8"), np.array(ids.is_null(), np.uint8), held.astype(np.uint8),
+                    n, words, narrow(seq))))
+                scored = np.ones(len(seq), bool)
+                scored[np.cumsum(n + 2) - n - 2] = False      # the end token before a document is context only
+                count = np.bincount(seq[scored & np.repeat(~held, n + 2)], minlength=len(words))
+                seen = np.flatnonzero(count)
                 yield pa.RecordBatch.from_pydict({
                     "block": [name], "n_tokens": pa.array([int(n.sum()) + len(n)], pa.int64()),
-                    "n_train": pa.array([int((n + 1)[~held].sum())], pa.int64()), "n_words": pa.array([len(words)], pa.int64())})
+                    "words": pa.array([words[seen].view("<i8")], pa.list_(pa.int64())),
+                    "counts": pa.array([count[seen]], pa.list_(pa.int64()))})
     return run
 
 
 class Block:
-    """A block's n-grams, order by order: ``at`` (tokens scored by this order), ``gram`` (their distinct n-gram),
-    and for each distinct n-gram its context, last word, lower-order n-gram and count in training."""
-
-    def __init__(self, name: str):
-        self.ids, self.null, held, self.n, self.words, tok = _load(name)
-        self.tok, self.held = tok.astype(np.int64), held.astype(bool)
-        self.starts = np.cumsum(self.n.astype(np.int64) + 2) - self.n - 2
-        self.place = np.arange(len(self.tok)) - np.repeat(self.starts, self.n.astype(np.int64) + 2)
-        train = np.repeat(~self.held, self.n.astype(np.int64) + 2)
-        gram, self.hash = self.tok, self.words
-        self.at = np.flatnonzero(self.place > 0)
-        self.gram, self.order = gram[self.at], 1
-        self.last, self.ctx, self.lower = np.arange(len(self.words)), None, None
-        self.train = train
-        self.count = np.bincount(self.gram[train[self.at]], minlength=len(self.words))
-        self._all = gram
-        self.short, self.chain = [], []
-
-    def numbered(self, words: np.ndarray) -> None:
-        """Take these numbers for the words' hashes, which no later order needs."""
-        self.words = self.hash = words.astype("<u8")
-
-    def next_order(self) -> None:
-        self.order += 1
-        self.chain.append((self.ctx, self.last))
-        at = np.flatnonzero(self.place >= self.order - 1)
-        v = len(self.words)
-        keys, gram = np.unique(self._all[at - 1] * v + self.tok[at], return_inverse=True)
-        self.ctx, self.last = keys // v, keys % v
-        self.lower = np.empty(len(keys), np.int64)
-        self.lower[gram] = self._all[at]
-        self.ctx_hash = self.hash
-        self.hash = mix(self.hash[self.ctx] * GOLDEN + self.words[self.last])
-        self.at, self.gram = at, gram
-        new = self.place[at] == self.order - 1
-        self.short.append((at[new], gram[new]))    # the tokens that no longer n-gram fits
-        self._all = np.full(len(self.tok), -1)
-        self._all[at] = gram
-        self.count = np.bincount(gram[self.train[at]], minlength=len(keys))
-
-    def spelt(self, ctx: np.ndarray) -> list[np.ndarray]:
-        """The words of contexts of the present order, first words first."""
-        out = []
-        for above, last in reversed(self.chain):
-            out.insert(0, last[ctx])
-            ctx = ctx if above is None else above[ctx]
-        return out
-
-    def dealt(self, shards: int, ctx_count: np.ndarray | None, total: int):
-        """(shard, its distinct n-grams) of all n-grams whose context is known."""
-        if self.ctx is None:
-            ask = np.arange(len(self.last))
-            parts, h = max(1, -(-total // HOT)), np.uint64(0)
-        else:
-            ask = np.flatnonzero(ctx_count[self.ctx] > 0)
-            c = self.ctx[ask]
-            parts, h = np.maximum(1, -(-ctx_count[c] // HOT)).astype(np.uint64), self.ctx_hash[c]
-        sub = mix(self.words[self.last[ask]]) % np.asarray(parts, np.uint64)
-        shard = (mix(h + sub * np.uint64(0xD6E8FEB86659FD93) + np.uint64(self.order)) % np.uint64(shards)).astype(np.int64)
+    """A block's n-grams as a trie of its own: ``at[i]`` is the node on level i + 1 of the n-gram that begins at each
+    token, ``grams`` the distinct n-grams of the highest order, ``above[i]`` their nodes on level i + 1."""
+
+    def __init__(self, name: str, order: int):
+        self.ids, self.null, held, n, words, seq = _large(bytes(get(name)))
+        self.held, self.n, self.words = held.astype(bool), n.astype(np.int64), np.append(words, PAD)
+        m, w = self.n + 1, len(self.words)
+        self.starts = np.cumsum(m) - m
+        self.place = np.arange(int(m.sum())) - np.repeat(self.starts, m)
+        doc = np.repeat(np.arange(len(m)), m)
+        padded = np.full(len(seq) + (order - 2) * len(m), w - 1)
+        padded[np.arange(len(seq)) + (order - 2) * np.repeat(np.arange(len(m)), m + 1)] = seq
+        begin = np.arange(len(doc)) + (order - 1) * doc
+        self.token = padded[begin + 1]
+        self.at, last, parent = [], [], []
+        for i in range(order):
+            word = padded[begin + i]
+            keys, at = np.unique(word if i == 0 else self.at[-1] * w + word, return_inverse=True)
+            self.at.append(at)
+            last.append(keys % w)
+            parent.append(keys // w)
+        node, grams, self.above = np.arange(len(last[-1])), [], []
+        for i in reversed(range(order)):
+            grams.insert(0, last[i][node])
+            self.above.insert(0, node)
+            node = parent[i][node]
+        self.grams = np.array(grams)
+        self.count = np.bincount(self.at[-1][np.repeat(~self.held, m)], minlength=self.grams.shape[1])
+
+    def dealt(self, model: Model, only: np.ndarray):
+        """(shard, its distinct n-grams) of those of ``only``."""
+        h = self.words[self.grams[:2, only]]
+        parts, (hot, total) = np.ones(len(only), np.uint64), model.hot_words()
+        if len(hot):
+            i = np.minimum(np.searchsorted(hot, h[0]), len(hot) - 1)
+            parts = np.where(hot[i] == h[0], -(-total[i] // model.most), 1).astype(np.uint64)
+        shard = mix(h[0] + mix(h[1]) % parts * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(model.shards)
         order = np.argsort(shard, kind="stable")
         found, first = np.unique(shard[order], return_index=True)
-        return list(zip(found.tolist(), np.split(ask[order], first[1:]), strict=True)) if len(ask) else [(0, ask)]
-
-
-def _requests(b: Block, name: str, state: str, shards: int, total: int, count=None, code=None):
-    none = np.zeros(0, np.int64)
-    for shard, g in b.dealt(shards, count, total):
-        if b.ctx is None:
-            ctx, size, ctx_n, lower, spelt = none, np.array([len(g)]), np.array([total]), none, []
-        else:
-            ctx, size = np.unique(b.ctx[g], return_counts=True)
-            ctx_n, spelt = count[ctx], b.spelt(ctx)
-        words, rank = np.unique(b.words[np.concatenate([b.last[g], *spelt])], return_inverse=True)
-        last, spelt = rank[:len(g)], rank[len(g):]
-        if b.ctx is not None:
-            # the lower order of a pair is its last word: one value a word
-            lower = _of(code[b.lower[g]], last, len(words)) if b.order == 2 else code[b.lower[g]]
-        raw = _small(*map(narrow, (spelt, ctx_n, size, np.diff(words, prepend=words.dtype.type(0)), last, lower, b.count[g])))
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "block": [name], "state": pa.array([state], pa.string()),
-                                          "payload": pa.array([raw], pa.binary())})
-
-
-def _contexts(spelt: np.ndarray, words: np.ndarray, order: int) -> np.ndarray:
-    """The hashes of a request's contexts, as ``Block.hash`` makes them."""
-    if order == 1:
-        return np.zeros(1, "<u8")
-    first, *rest = words[spelt].reshape(order - 1, -1)
-    for w in rest:
-        first = mix(first * GOLDEN + w)
-    return first
-
-
-def _shard(root: str, order: int, highest: bool, shards: int):
-    """Sum the counts of a shard, write its level, answer every request from the file."""
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        parts = [_large(r["payload"]) for r in rows]
-        for p in parts:
-            p[3] = np.cumsum(p[3], dtype=np.uint64)
-        wide = lambda i: np.concatenate([p[i].astype(np.int64) for p in parts])
-        size = wide(2)
-        per = [len(p[4]) for p in parts]
-        ctx = np.repeat(np.concatenate([_contexts(p[0], p[3], order) for p in parts]), size)
-        word = np.concatenate([p[3][p[4]] for p in parts])
-        contexts, c = np.unique(ctx, return_inverse=True)
-        words, w = np.unique(word, return_inverse=True)
-        keys, gram = np.unique(c * max(1, len(words)) + w, return_inverse=True)
-        total = np.zeros(len(keys), np.int64)
-        np.add.at(total, gram, wide(6))
-        of = lambda values: _of(values, gram, len(keys))
-        n = of(np.repeat(wide(1), size))
-        seen = np.flatnonzero(total)
-        name = f"{root}/level{order}-{uuid.uuid4().hex}"
-        at, ids = keys // max(1, len(words)), keys % max(1, len(words))
-        codes = np.zeros(len(keys), np.uint16)
-        if order > 1:
-            lower = log10_of(of(np.concatenate([p[5][p[4]] if order == 2 else p[5] for p in parts])))
-            p = quantised(np.log10((total + MU * 10.0 ** lower) / (n + MU)))
-            codes = quantised(np.log10(MU / (n + MU)) + lower)     # what an absent child gets
-        else:
-            p = codes
-        Level.build(name, contexts, words, at[seen], ids[seen], total[seen], p[seen])
-        level = Level(name)
-        place = level.find(contexts[at], words[ids]) if len(keys) else at
-        hit = place >= 0
-        count = np.zeros(len(keys), np.int64)
-        count[hit], codes[hit] = level.counts[place[hit]], level.codes[place[hit]]
-        remove(name)
-        ends = np.cumsum([0, *per])
-        number = [ids * shards + rows[0]["shard"]] if order == 1 else []
-        replies = [_small(*map(narrow, (count[gram[s:s if highest else e]], codes[gram[s:e]], *[x[gram[s:e]] for x in number])))
-                   for s, e in zip(ends[:-1], ends[1:], strict=True)]
-        file = f"{root}/reply{order}/{uuid.uuid4().hex}"
-        put(file, b"".join(replies))
-        sizes = np.array([len(r) for r in replies], np.int64)
-        return pa.table({"shard": table["shard"], "block": table["block"], "state": table["state"], "file": pa.array([file] * len(rows)),
-                         "at": pa.array(np.cumsum(sizes) - sizes), "size": pa.array(sizes),
-                         "seen": pa.array([len(seen), *[0] * (len(rows) - 1)], pa.int64())})
-    return run
-
-
-def _of(values: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, values.dtype)
-    out[gram] = values
-    return out
-
-
-def _answered(table: pa.Table, shards: list[int], total: int, vocabulary: int):
-    """The block at the replies' order, with counts and codes of its distinct n-grams for every order so far."""
-    rows = {r["shard"]: r for r in table.select(["shard", "block", "state", "file", "at", "size"]).to_pylist()}
-    first = next(iter(rows.values()))
-    number, *known = _load(first["state"]) if first["state"] else [None]
-    b, order = Block(first["block"]), len(known) // 2 + 1
-    if order > 1:
-        b.numbered(number)
-    else:
-        number = np.zeros(len(b.words), np.int64)
-    for _ in range(order - 1):
-        b.next_order()
-    count, code = np.zeros(len(b.last), np.int64), None
-    if order > 1:
-        code = known[-1][b.lower].copy()           # an unknown context leaves the lower order's probability
-    for shard, g in b.dealt(shards[order - 1], known[-2].astype(np.int64) if known else None, total):
-        r = rows[shard]
-        n, c, *new = _large(part(r["file"], r["at"], r["size"]))
-        if len(n):                                 # the highest order's counts are not asked for
-            count[g] = n
-        if order > 1:
-            code[g] = c
-        else:
-            number[g] = new[0]
-    if order == 1:
-        b.numbered(number)
-        code = quantised(np.log10((count + 0.5) / (total + 0.5 * (vocabulary + 1))))
-    return first["block"], b, [*known, count, code.astype("<u2")]
-
-
-def _next(root: str, shards: list[int], total: int, vocabulary: int):
-    def run(table: pa.Table) -> pa.Table:
-        name, b, known = _answered(table, shards, total, vocabulary)
-        order = len(known) // 2
-        state = _save(f"{root}/state{order}", "state", *map(narrow, (b.words, *known)))
-        b.next_order()
-        return pa.Table.from_batches(list(_requests(b, name, state, shards[order], total, known[-2].astype(np.int64), known[-1])))
-    return run
-
-
-def _scores(shards: list[int], total: int, vocabulary: int):
-    def run(table: pa.Table) -> pa.Table:
-        _, b, known = _answered(table, shards, total, vocabulary)
-        full, base = np.zeros(len(b.tok)), np.zeros(len(b.tok))
-        c = np.where(b.place > 0, known[0].astype(np.int64)[b.tok], 0)
-        base[b.place > 0] = np.log10((c[b.place > 0] + 0.5) / (total + 0.5 * (vocabulary + 1)))
-        full[b.at] = log10_of(known[-1][b.gram])
-        # the first tokens of a document have no n-gram of the highest orders: take the longest that fits
-        for i, (at, gram) in enumerate(b.short[:-1], 2):
-            full[at] = log10_of(known[2 * i - 1][gram])
-        add = lambda v: np.add.reduceat(v, b.starts)
-        return pa.table({
-            "doc_id": pa.array(b.ids, pa.int64(), mask=b.null.astype(bool)), "held_out": pa.array(b.held),
-            "n_tokens": pa.array(b.n.astype(np.int64) + 1), "n_known": pa.array(add((c > 0).astype(np.int64))),
-            "train_tokens": pa.array(np.full(len(b.ids), total, np.int64)), "base_score": pa.array(add(base)),
-            "score": pa.array(add(full))})
-    return run
+        return zip(found.tolist(), np.split(only[order], first[1:]), strict=True) if len(only) else ()
+
+    def request(self, g: np.ndarray, *more: np.ndarray) -> bytes:
+        """N-grams as nested nodes: the words, on each level their ranks, and the children's number on all but the last."""
+        grams, used = self.grams[:, g], np.zeros(len(self.words), bool)
+        used[grams] = True
+        words, rank = self.words[used], np.cumsum(used) - 1
+        first = firsts(grams)
+        ranks = [rank[row[at]] for row, at in zip(grams, first, strict=True)]
+        sizes = [np.diff(np.searchsorted(below, np.append(at, len(g)))) for at, below in zip(first, first[1:], strict=False)]
+        return _small(np.diff(words, prepend=np.uint64(0)), *ranks, *sizes, *more)
+
+
+def _nested(raw: bytes, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """A request's words, its n-grams as columns of ranks, and what came with them."""
+    step, *arrays = _large(raw)
+    ranks, sizes, more = arrays[:order], arrays[order:2 * order - 1], arrays[2 * order - 1:]
+    grams = [ranks[-1].astype(np.int64)]
+    repeat = np.ones(len(ranks[-1]), np.int64)
+    for r, s in zip(reversed(ranks[:-1]), reversed(sizes), strict=True):
+        repeat = np.add.reduceat(repeat, np.cumsum(s, dtype=np.int64) - s)
+        grams.insert(0, np.repeat(r.astype(np.int64), repeat))
+    return np.cumsum(step, dtype=np.uint64), np.array(grams), more
+
+
+def _folded(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts (words, n-grams, counts) as one, its n-grams distinct and ascending."""
+    words = np.unique(np.concatenate([p[0] for p in parts]))
+    grams = np.concatenate([np.searchsorted(words, p[0])[p[1]] for p in parts], axis=1)
+    counts = np.concatenate([p[2].astype(np.int64) for p in parts])
+    key = grams[0]
+    for row in grams[1:]:
+        key, first, at = np.unique(key * len(words) + row, return_index=True, return_inverse=True)
+        key = at
+    return words, grams[:, first], np.bincount(at, counts, len(first)).astype(np.int64)
+
+
+@dataclass
+class Model:
+    """A trained model: tries of ``manifest`` (shard, file), ``hot`` (file of the words dealt over several shards, with
+    counts; at most tokens / ``most`` rows), the number of training tokens and of their distinct words."""
+    manifest: DataFrame | None
+    order: int
+    shards: int
+    tokens: int
+    vocabulary: int
+    hot: str
+    most: int
+
+    def hot_words(self) -> list[np.ndarray]:
+        return unpack(get(self.hot))
+
+    def in_tasks(self) -> Model:
+        return Model(None, self.order, self.shards, self.tokens, self.vocabulary, self.hot, self.most)
+
+
+def _rows(batches, *columns: str):
+    for b in batches:
+        yield from zip(*[b.column(c).to_pylist() for c in columns], strict=True)
+
+
+def _folder(spark, label: str) -> str:
+    root = scratch_path(spark, label)
+    return root if "://" in root or root.startswith("file:") else f"file://{root}"
+
+
+def encoded(docs: DataFrame, held_out, block: int = BLOCK) -> DataFrame:
+    """A row for each block of documents: its file, tokens, and the counts of its words in rows that are not held out."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").cast("binary").alias("text"),
+                       F.coalesce(held_out, F.lit(False)).alias("held"))
+    return written(rows.mapInArrow(_encode(_folder(docs.sparkSession, "lm"), block), BLOCKS), "lm-blocks")
 
 
-def score_documents(docs: DataFrame, held_out, order: int = 3) -> DataFrame:
-    """Scores of every row; the model learns from the rows where the column ``held_out`` is false."""
+def train(blocks: DataFrame, order: int = 3, hot: int = HOT) -> Model:
+    """The model of the blocks' documents that are not held out."""
     if order < 2:
         raise ValueError("order must be at least 2")
-    spark = docs.sparkSession
-    root = scratch_path(spark, "lm")
-    root = root if "://" in root or root.startswith("file:") else f"file://{root}"
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").cast("binary").alias("text"),
-                       held_out.alias("held"))
-    blocks = written(rows.mapInArrow(_encode(root), MANIFEST), "lm-blocks")
-    sums = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_train", "n_words")]).first()
-    total, parts = int(sums[1]), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = [max(parts, math.ceil(sums[2] / 1_000_000)), *[max(parts, math.ceil(sums[0] / 2_000_000))] * (order - 1)]
+    spark = blocks.sparkSession
+    root = _folder(spark, "lm-model")
+    counts = blocks.select(F.inline(F.arrays_zip("words", "counts"))).groupBy("words").agg(F.sum("counts").alias("n"))
+    counts = written(counts, "lm-words")
+    vocabulary, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    name = f"{root}/hot-{uuid.uuid4().hex}"
+
+    def save(batches):
+        rows = [*_rows(batches, "words", "n")]
+        words, n = np.array([r[0] for r in rows], "<i8").view("<u8"), np.array([r[1] for r in rows], "<i8")
+        by = np.argsort(words)
+        put(name, pack(words[by], n[by]))
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(rows)], pa.int64())})
+    counts.where(F.col("n") > hot).repartition(1).mapInArrow(save, "n long").count()
+    model = Model(None, order, max(1, math.ceil(tokens / SHARD)), tokens, vocabulary, name, hot)
 
     def ask(batches):
-        for b in batches:
-            for name in b.column("block").to_pylist():
-                yield from _requests(Block(name), name, None, shards[0], total)
-
-    requests, vocabulary = blocks.select("block").mapInArrow(ask, REQUEST), 0
-    for n in range(1, order + 1):
-        replies = written(requests.groupBy("shard").applyInArrow(_shard(root, n, n == order, shards[n - 1]), REPLY), "lm-replies")
-        if n == 1:
-            vocabulary = int(replies.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0])
-        drop(f"{root}/reply{n - 1}")
-        drop(f"{root}/state{n - 2}")
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()        # Spark deletes the shuffle files of plans that are gone
-        by_block = replies.repartition(max(parts, math.ceil(sums[0] / 2_000_000)), "block").groupBy("block")   # small rows, much work
-        if n < order:
-            requests = by_block.applyInArrow(_next(root, shards, total, vocabulary), REQUEST)
-    return by_block.applyInArrow(_scores(shards, total, vocabulary), SCORES)
+        for block, in _rows(batches, "block"):
+            b = Block(block, order)
+            for shard, g in b.dealt(model, np.flatnonzero(b.count)):
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": [block],
+                                                  "payload": pa.array([b.request(g, b.count[g])], pa.binary())})
+
+    def build(batches):
+        parts, waiting, shard = [], 0, None
+        for shard, payload in _rows(batches, "shard", "payload"):  # noqa: B007
+            words, grams, (n,) = _nested(payload, order)
+            parts.append((words, grams, n))
+            waiting += len(n)
+            if waiting > FOLD:
+                parts, waiting = [_folded(parts)], 0
+        if parts:
+            words, grams, n = _folded(parts)
+            known, total = model.hot_words()
+            both, i, j = np.intersect1d(words, known, assume_unique=True, return_indices=True)
+            file = f"{root}/trie-{uuid.uuid4().hex}"
+            Trie.build(file, words, grams, n, MU, dict(zip(i.tolist(), total[j].tolist(), strict=True)))
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [file]})
+    asked = _spread(blocks).mapInArrow(ask, REQUEST).repartitionById(model.shards, "shard")
+    model.manifest = written(asked.mapInArrow(build, "shard int, file string"), "lm-tries")
+    return model
+
+
+def _spread(blocks: DataFrame) -> DataFrame:
+    """Block names over the tasks: a name is a small row and much work."""
+    n = blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return blocks.select("block").repartition(max(int(n), blocks.count()), "block")
+
+
+def score(model: Model, blocks: DataFrame) -> DataFrame:
+    """Scores of every document of the blocks."""
+    m, order = model.in_tasks(), model.order
+
+    def ask(batches):
+        for block, in _rows(batches, "block"):
+            b = Block(block, order)
+            for shard, g in b.dealt(m, np.arange(b.grams.shape[1])):
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": [block],
+                                                  "payload": pa.array([b.request(g)], pa.binary())})
+
+    def answer(batches):
+        trie = None
+        for shard, block, payload in _rows(batches, "shard", "block", "payload"):
+            if block is None:                       # the first row of a shard names its file
+                trie = Trie(payload.decode())
+                continue
+            words, grams, _ = _nested(payload, order)
+            first = firsts(grams)
+            counts, own, back = trie.descend(words, grams) if trie else (
+                np.zeros(len(first[0]), np.int64), [np.full(len(f), ABSENT) for f in first[1:]], [np.zeros(len(f), np.int64) for f in first[:-1]])
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": [block],
+                                              "payload": pa.array([_small(counts, *own, *back)], pa.binary())})
+
+    def add(batches):
+        for block, replies in groupby(_rows(batches, "block", "shard", "payload"), lambda r: r[0]):
+            yield _scored(Block(block, order), m, {shard: payload for _, shard, payload in replies})
+    files = model.manifest.select("shard", F.lit(None).cast("string").alias("block"), F.col("file").cast("binary").alias("payload"))
+    names = _spread(blocks)
+    asked = names.mapInArrow(ask, REQUEST).unionByName(files)
+    replies = asked.repartitionById(model.shards, "shard").sortWithinPartitions(F.col("block").asc_nulls_first()).mapInArrow(answer, REQUEST)
+    return replies.repartition(names.rdd.getNumPartitions(), "block").sortWithinPartitions("block").mapInArrow(add, SCORES)
+
+
+def _scored(b: Block, m: Model, replies: dict[int, bytes]) -> pa.RecordBatch:
+    size = [int(a.max()) + 1 if len(a) else 0 for a in b.at]
+    count = np.zeros(len(b.words), np.int64)
+    own, back = [np.zeros(s, np.int64) for s in size[1:]], [np.zeros(s, np.int64) for s in size[:-1]]
+    for shard, g in b.dealt(m, np.arange(b.grams.shape[1])):
+        node = [above[g][at] for above, at in zip(b.above, firsts(b.grams[:, g]), strict=True)]
+        c, *codes = _large(replies[shard])
+        count[b.grams[0, g[firsts(b.grams[:1, g])[0]]]] = c
+        for values, at, code in zip([*own, *back], [*node[1:], *node[:-1]], codes, strict=True):
+            values[at] = code
+    c = count[b.token]
+    p = (c + 0.5) / (m.tokens + 0.5 * (m.vocabulary + 1))
+    base = np.log10(p)
+    for i, (mine, weight) in enumerate(zip(own, back, strict=True)):
+        mine = np.where(mine == ABSENT, 0.0, 10.0 ** log10_of(mine))
+        to = np.flatnonzero(b.place >= i)           # tokens that have as long a context; it begins i + 1 tokens before
+        p[to] = mine[b.at[i + 1][to - i]] + 10.0 ** log10_of(weight[b.at[i][to - i]]) * p[to]
+    total = lambda v: np.add.reduceat(v, b.starts)
+    return pa.RecordBatch.from_pydict({
+        "doc_id": pa.array(b.ids, pa.int64(), mask=b.null.astype(bool)), "held_out": pa.array(b.held), "n_tokens": pa.array(b.n + 1),
+        "n_known": pa.array(total((c > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(b.ids), m.tokens, np.int64)),
+        "base_score": pa.array(total(base)), "score": pa.array(total(np.log10(p)))})
+
+
+def score_documents(docs: DataFrame, held_out, order: int = 3, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+    """Scores of every row; the model learns from the rows where the column ``held_out`` is not true."""
+    blocks = encoded(docs, held_out, block)
+    return score(train(blocks, order, hot), blocks)
 
 
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -20,11 +20,10 @@ def tokens(t):
 @pytest.mark.parametrize("order", [2, 3])
 def test_scores(spark, monkeypatch, order):
     from gradeframe.llm import lm_scoring as lm
-    monkeypatch.setattr(lm, "HOT", 20)
-    monkeypatch.setattr(lm, "BLOCK", 200)
+    monkeypatch.setattr(lm, "SHARD", 100)
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(TEXTS)], "doc_id long, text string, score string").repartition(3)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    got = {r.doc_id: r for r in lm.score_documents(docs, held, order).collect()}
+    got = {r.doc_id: r for r in lm.score_documents(docs, held, order, block=200, hot=20).collect()}
     train = [tokens(t) for i, t in enumerate(TEXTS) if zlib.crc32(str(i).encode()) % 5 != 1]
     c = collections.Counter(x for t in train for x in t)
     n, v = sum(c.values()), len(c)
@@ -49,21 +48,63 @@ def test_scores(spark, monkeypatch, order):
         assert abs(r.score - want) < 0.002 * len(w)
 
 
-def test_level(tmp_path):
-    from gradeframe.llm.ef_trie import EliasFano, Level
+def test_trie(tmp_path):
+    from gradeframe.llm.ef_trie import ABSENT, EliasFano, Trie, firsts, log10_of
     rng = np.random.default_rng(1)
     for top in (1, 50, 10**9):
         x = np.sort(rng.integers(0, top, 5000))
         a = EliasFano.arrays(x)
         assert (EliasFano(*a)[np.arange(5000)] == x).all()
-    ctx, words = np.unique(rng.integers(0, 1 << 63, 50, np.uint64)), np.unique(rng.integers(0, 1 << 63, 300, np.uint64))
-    keys = np.unique(rng.integers(0, 50 * 300, 4000))
-    Level.build(f"file://{tmp_path}/a/level", ctx, words, keys // 300, keys % 300, keys + 1, keys % 60000)
-    every = np.arange(50 * 300)
-    got = Level(f"file://{tmp_path}/a/level").find(ctx[every // 300], words[every % 300])
-    want = np.full(50 * 300, -1)
-    want[keys] = np.arange(len(keys))
-    assert (got == want).all()
+    words = np.unique(rng.integers(0, 1 << 63, 40, np.uint64))
+    every = np.array(np.unravel_index(np.arange(40 ** 3), (40, 40, 40)))
+    kept = np.sort(rng.choice(np.arange(40 ** 3), 3000, replace=False))
+    n = rng.integers(1, 9, 3000)
+    Trie.build(f"file://{tmp_path}/a/trie", words, every[:, kept], n, 4.0, {7: 12345})
+    tree = collections.Counter()
+    for g, k in zip(every[:, kept].T.tolist(), n.tolist(), strict=True):
+        for i in (1, 2, 3):
+            tree[tuple(g[:i])] += k
+    tree[(7,)] = 12345
+    more = np.append(words, np.uint64((1 << 64) - 5))           # a word that the trie lacks
+    grams = np.concatenate([every, [[40, 3], [3, 40], [3, 3]]], axis=1)
+    counts, own, back = Trie(f"file://{tmp_path}/a/trie").descend(more, grams)
+    nodes = [[tuple(g) for g in grams[:i + 1, at].T.tolist()] for i, at in enumerate(firsts(grams))]
+    assert counts.tolist() == [tree[g] for g in nodes[0]]
+    for level, codes in zip(nodes[1:], own, strict=True):
+        for g, code in zip(level, codes.tolist(), strict=True):
+            assert (code == ABSENT) == (g not in tree)
+            if g in tree:
+                assert abs(log10_of(code) - math.log10(tree[g] / (tree[g[:-1]] + 4))) < 0.0003
+    for level, codes in zip(nodes[:-1], back, strict=True):
+        for g, code in zip(level, codes.tolist(), strict=True):
+            assert abs(log10_of(code) - math.log10(4 / (tree[g] + 4))) < 0.0003
+
+
+def test_model_is_kept_and_scores_other_documents(spark):
+    from gradeframe.llm import lm_scoring as lm
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    model = lm.train(lm.encoded(docs, F.lit(False)))
+    new = spark.createDataFrame([(None, "the cat sat"), (5, "the cat sat"), (5, "cat the sat"), (6, "nothing of these")], "doc_id long, text string")
+    rows = [lm.score(model, lm.encoded(new, F.lit(True))).collect() for _ in range(2)]
+    assert sorted(map(str, rows[0])) == sorted(map(str, rows[1])) and len(rows[0]) == 4
+    by = {(r.doc_id, r.n_known): sorted(x.score for x in rows[0] if x.doc_id == r.doc_id) for r in rows[0]}
+    assert by[(None, 4)][0] == by[(5, 4)][1] > by[(5, 4)][0] and by[(6, 1)]
+
+
+def test_hot_words_over_several_shards(spark, monkeypatch):
+    from gradeframe.llm import lm_scoring as lm
+    monkeypatch.setattr(lm, "SHARD", 20)
+    docs = spark.createDataFrame([(i, f"a w{i} b w{i % 7} a a w{i % 5}") for i in range(200)], "doc_id long, text string")
+    held = F.col("doc_id") % 4 == 1
+    split, whole = ({r.doc_id: (r.n_known, r.base_score, r.score) for r in lm.score_documents(docs, held, 3, hot=h).collect()}
+                    for h in (10, 10**9))
+    assert split == whole and len(split) == 200
+
+
+def test_no_training_rows(spark):
+    from gradeframe.llm.lm_scoring import score_documents
+    r = score_documents(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(True)).first()
+    assert (r.n_known, r.train_tokens, r.score) == (0, 0, 0.0)
 
 
 def test_empty_table(spark):
