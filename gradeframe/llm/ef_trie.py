@@ -21,7 +21,7 @@ def narrow(a: np.ndarray) -> np.ndarray:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    arrays = [a if a.dtype.str in ("<u8", "<i8", "|u1") else narrow(a) for a in arrays]
+    arrays = [a if a.dtype.str.replace("|", "<") in _KINDS else narrow(a) for a in arrays]
     head = [len(arrays)]
     for a in arrays:
         head += [_KINDS.index(a.dtype.str.replace("|", "<")), len(a)]
@@ -62,6 +62,23 @@ def log10_of(code: np.ndarray) -> np.ndarray:
     return code * (-RANGE / 65535)
 
 
+class Ids:
+    """Numbers as their low 16 bits and the rest, in 3 bytes up to 2**24."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray):
+        self.low, self.high = low, high
+
+    @staticmethod
+    def arrays(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return narrow(values & 0xFFFF).astype("<u2"), narrow(values >> 16)
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def __getitem__(self, i) -> np.ndarray:
+        return self.low[i].astype(np.int64) | self.high[i].astype(np.int64) << 16
+
+
 class EliasFano:
     """A non-decreasing sequence: low bits as they are, high bits in unary, read by select."""
 
@@ -106,18 +123,20 @@ class Trie:
     """Levels of n-grams: level 1 holds words with their counts, the last level the longest n-grams."""
 
     def __init__(self, uri: str):
-        order, self.words, self.counts, *arrays = unpack(get(uri))
+        order, frequent, rare, self.counts, *arrays = unpack(get(uri))
+        self.words = np.concatenate([frequent.astype("<u8"), rare])
         self.levels = []
         for i in range(int(order[0])):
             last = i == int(order[0]) - 1
-            ids, own, back, *pointers = arrays[6 * i:6 * i + (3 if last else 6)]
-            self.levels.append((ids, own, back, None if last else EliasFano(*pointers)))
+            low, high, own, back, *pointers = arrays[7 * i:7 * i + (4 if last else 7)]
+            self.levels.append((Ids(low, high), own, back, None if last else EliasFano(*pointers)))
 
     @staticmethod
     def build(uri: str, words: np.ndarray, grams: np.ndarray, counts: np.ndarray, mu: float, whole=None) -> None:
-        """``grams``: distinct n-grams as ascending columns of ranks in ``words``; ``whole``: the counts of words
-        of which other files hold n-grams too, by rank. A node's own part is n / (n of its context + mu)."""
-        first, out = firsts(grams), [np.array([len(grams)]), words.astype("<u8"), None]
+        """``grams``: distinct n-grams as ascending columns of ranks in the ascending ``words``; ``whole``: the counts of
+        words of which other files hold n-grams too, by rank. A node's own part is n / (n of its context + mu)."""
+        cut = np.searchsorted(words, np.uint64(1 << 32))
+        first, out = firsts(grams), [np.array([len(grams)]), words[:cut].astype("<u4"), words[cut:].astype("<u8"), None]
         sums = np.concatenate(([0], np.cumsum(counts)))
         above = None
         for i, at in enumerate(first):
@@ -125,15 +144,15 @@ class Trie:
             if i == 0:
                 for rank, total in (whole or {}).items():
                     n[grams[0, at] == rank] = total
-                out[2] = n
+                out[3] = narrow(n)
                 own = np.zeros(0, "<u2")
             else:
                 parent = np.searchsorted(first[i - 1], at, "right") - 1
                 own = np.minimum(quantised(np.log10(n / (above[parent] + mu))), ABSENT - 1)
             last = i == len(first) - 1
-            out += [grams[i, at], own, np.zeros(0, "<u2") if last else quantised(np.log10(mu / (n + mu)))]
+            out += [*Ids.arrays(grams[i, at]), own, np.zeros(0, "<u2") if last else quantised(np.log10(mu / (n + mu)))]
             if not last:
-                out += EliasFano.arrays(np.searchsorted(first[i + 1], np.append(at, grams.shape[1])))
+                out += map(narrow, EliasFano.arrays(np.searchsorted(first[i + 1], np.append(at, grams.shape[1]))))
             above = n
         put(uri, pack(*out))
 

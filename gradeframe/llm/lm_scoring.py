@@ -2,7 +2,10 @@
 
 1. ``encoded`` writes the documents in blocks of about ``BLOCK`` bytes to the
    shared folder: a block's distinct words (64-bit hashes) and its tokens.
-2. ``train`` sums the blocks' distinct n-grams of the highest order and keeps
+2. ``train`` counts the words. Those that make up more than one in ``RARE``
+   tokens (so at most that many, about 16 bytes each, in a file that tasks map)
+   are numbered by frequency from then on; the others keep 63 bits of their
+   hashes. It then sums the blocks' distinct n-grams of the highest order and keeps
    one ``ef_trie.Trie`` a shard: all n-grams that begin with a word lie in one
    file, those of a word seen more than ``HOT`` times in several, by their
    second word. A document ends with padding, so that these n-grams hold all
@@ -21,7 +24,7 @@ to 1. The context of a document's first word is the end token.
 Null and empty texts are one end token. A null id counts as training. Rows
 that repeat an id are documents of their own. Other columns, of any name, are
 not read. An empty table gives no rows; with no training rows, the base
-estimate of N = V = 0 scores. Two words with equal 64-bit hashes would count as
+estimate of N = V = 0 scores. Two words with equal hashes would count as
 one. A task holds one block, or the distinct n-grams of one shard (those of one
 pair of words at least) and ``FOLD`` more."""
 
@@ -29,7 +32,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import groupby
 
 import numpy as np
@@ -49,20 +52,40 @@ SLICE = 1 << 20
 SHARD = 1_000_000       # training tokens a shard
 FOLD = 1_000_000        # n-grams that wait to be summed
 HOT = 250_000
+RARE = 10_000_000
 MU = 4.0
-END, PAD = np.uint64(0x5851F42D4C957F2D), np.uint64(0xFFFFFFFFFFFFFFFF)
-BLOCKS = "block string, n_tokens long, words array<long>, counts array<long>"
+END, PAD, TOP = np.uint64(0x5851F42D4C957F2D), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(1 << 63)
+BLOCKS = "block string, n_tokens long"
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 REQUEST = "shard int, block string, payload binary"
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
           "base_score double, score double")
 
 
+def _bytewise(a: np.ndarray, back: bool = False) -> np.ndarray:
+    """First bytes first: numbers of like size compress better so."""
+    shape = (a.itemsize, len(a)) if back else (len(a), a.itemsize)
+    return np.ascontiguousarray(a.view(np.uint8).reshape(shape).T).reshape(-1).view(a.dtype)
+
+
 def _small(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pack(*map(narrow, arrays)))
+    return zstandard.ZstdCompressor(level=1).compress(pack(*[_bytewise(a if a.dtype.str == "<i8" and len(a) and a.min() < 0 else narrow(a))
+                                                             for a in map(np.ascontiguousarray, arrays)]))
 
 
 def _large(raw: bytes) -> list[np.ndarray]:
-    return unpack(zstandard.ZstdDecompressor().decompress(raw))
+    return [_bytewise(a, True) for a in unpack(zstandard.ZstdDecompressor().decompress(raw))]
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written; Spark drops the shuffle files that only this needed."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN, "false")
+    conf.set(CLEAN, "true")
+    try:
+        return written(df, label)
+    finally:
+        conf.set(CLEAN, before)
 
 
 def _slices(sizes: np.ndarray, most: int):
@@ -93,29 +116,42 @@ def _encode(root: str, block: int):
                 words, tok = np.unique(np.concatenate([*hashes, [END]]).astype("<u8"), return_inverse=True)
                 seq = np.full(int(n.sum()) + 2 * len(n), tok[-1])
                 seq[np.arange(len(tok) - 1) + 2 * np.repeat(np.arange(len(n)), n) + 1] = tok[:-1]
+                often = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")
+                place = np.empty(len(words), np.int64)
+                place[often] = np.arange(len(words))
                 ids, held = b.column("doc_id").slice(lo, hi - lo), np.array(b.column("held").slice(lo, hi - lo), bool)
                 name = f"{root}/block-{uuid.uuid4().hex}"
-                put(name, zstandard.ZstdCompressor(level=1).compress(pack(
-                    ids.fill_null(0).to_numpy().astype("<i8"), np.array(ids.is_null(), np.uint8), held.astype(np.uint8),
-                    n, words, narrow(seq))))
-                scored = np.ones(len(seq), bool)
-                scored[np.cumsum(n + 2) - n - 2] = False      # the end token before a document is context only
-                count = np.bincount(seq[scored & np.repeat(~held, n + 2)], minlength=len(words))
-                seen = np.flatnonzero(count)
-                yield pa.RecordBatch.from_pydict({
-                    "block": [name], "n_tokens": pa.array([int(n.sum()) + len(n)], pa.int64()),
-                    "words": pa.array([words[seen].view("<i8")], pa.list_(pa.int64())),
-                    "counts": pa.array([count[seen]], pa.list_(pa.int64()))})
+                put(name, _small(ids.fill_null(0).to_numpy().astype("<i8"), np.array(ids.is_null(), np.uint8), held.astype(np.uint8),
+                                 n, words[often], place[seq]))
+                yield pa.RecordBatch.from_pydict({"block": [name], "n_tokens": pa.array([int(n.sum()) + len(n)], pa.int64())})
     return run
 
 
+def _word_counts(batches):
+    """The words of each block in documents that are not held out."""
+    for block, in _rows(batches, "block"):
+        _, _, held, n, words, seq = _large(bytes(get(block)))
+        n = n.astype(np.int64) + 2
+        scored = np.repeat(held == 0, n)
+        scored[np.cumsum(n) - n] = False              # the end token before a document is context only
+        count = np.bincount(seq[scored], minlength=len(words))
+        seen = np.flatnonzero(count)
+        yield pa.RecordBatch.from_pydict({"word": words[seen].view("<i8"), "n": count[seen]})
+
+
 class Block:
     """A block's n-grams as a trie of its own: ``at[i]`` is the node on level i + 1 of the n-gram that begins at each
     token, ``grams`` the distinct n-grams of the highest order, ``above[i]`` their nodes on level i + 1."""
 
-    def __init__(self, name: str, order: int):
+    def __init__(self, name: str, model: Model):
+        order = model.order
         self.ids, self.null, held, n, words, seq = _large(bytes(get(name)))
-        self.held, self.n, self.words = held.astype(bool), n.astype(np.int64), np.append(words, PAD)
+        self.ids = self.ids.astype(np.int64)
+        keys = np.append(model.keys(words), PAD)
+        by = np.argsort(keys, kind="stable")
+        number = np.empty(len(by), np.int64)
+        number[by] = np.arange(len(by))
+        self.held, self.n, self.words, seq = held.astype(bool), n.astype(np.int64), keys[by], number[seq]
         m, w = self.n + 1, len(self.words)
         self.starts = np.cumsum(m) - m
         self.place = np.arange(int(m.sum())) - np.repeat(self.starts, m)
@@ -141,12 +177,11 @@ class Block:
 
     def dealt(self, model: Model, only: np.ndarray):
         """(shard, its distinct n-grams) of those of ``only``."""
-        h = self.words[self.grams[:2, only]]
-        parts, (hot, total) = np.ones(len(only), np.uint64), model.hot_words()
-        if len(hot):
-            i = np.minimum(np.searchsorted(hot, h[0]), len(hot) - 1)
-            parts = np.where(hot[i] == h[0], -(-total[i] // model.most), 1).astype(np.uint64)
-        shard = mix(h[0] + mix(h[1]) % parts * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(model.shards)
+        h, often = self.words[self.grams[:2, only]], model.often()
+        parts = np.ones(len(only), np.uint64)
+        hot = np.flatnonzero(h[0] < np.uint64(len(often)))
+        parts[hot] = -(-often[h[0][hot].astype(np.int64)].astype(np.int64) // model.hot)
+        shard = mix(mix(h[0]) + mix(h[1]) % parts * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(model.shards)
         order = np.argsort(shard, kind="stable")
         found, first = np.unique(shard[order], return_index=True)
         return zip(found.tolist(), np.split(only[order], first[1:]), strict=True) if len(only) else ()
@@ -159,19 +194,20 @@ class Block:
         first = firsts(grams)
         ranks = [rank[row[at]] for row, at in zip(grams, first, strict=True)]
         sizes = [np.diff(np.searchsorted(below, np.append(at, len(g)))) for at, below in zip(first, first[1:], strict=False)]
-        return _small(np.diff(words, prepend=np.uint64(0)), *ranks, *sizes, *more)
+        cut = np.searchsorted(words, TOP)
+        return _small(np.diff(words[:cut], prepend=np.uint64(0)), np.diff(words[cut:], prepend=np.uint64(0)), *ranks, *sizes, *more)
 
 
 def _nested(raw: bytes, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """A request's words, its n-grams as columns of ranks, and what came with them."""
-    step, *arrays = _large(raw)
+    often, rare, *arrays = _large(raw)
     ranks, sizes, more = arrays[:order], arrays[order:2 * order - 1], arrays[2 * order - 1:]
     grams = [ranks[-1].astype(np.int64)]
     repeat = np.ones(len(ranks[-1]), np.int64)
     for r, s in zip(reversed(ranks[:-1]), reversed(sizes), strict=True):
         repeat = np.add.reduceat(repeat, np.cumsum(s, dtype=np.int64) - s)
         grams.insert(0, np.repeat(r.astype(np.int64), repeat))
-    return np.cumsum(step, dtype=np.uint64), np.array(grams), more
+    return np.concatenate([np.cumsum(often, dtype=np.uint64), np.cumsum(rare, dtype=np.uint64)]), np.array(grams), more
 
 
 def _folded(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,21 +224,26 @@ def _folded(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """A trained model: tries of ``manifest`` (shard, file), ``hot`` (file of the words dealt over several shards, with
-    counts; at most tokens / ``most`` rows), the number of training tokens and of their distinct words."""
+    """A trained model: tries of ``manifest`` (shard, file), ``frequent`` (file of the frequent words: hashes ascending,
+    their numbers, and counts by number), the number of training tokens and of their distinct words."""
     manifest: DataFrame | None
     order: int
     shards: int
     tokens: int
     vocabulary: int
-    hot: str
-    most: int
+    frequent: str
+    hot: int
 
-    def hot_words(self) -> list[np.ndarray]:
-        return unpack(get(self.hot))
+    def often(self) -> np.ndarray:
+        return unpack(get(self.frequent))[2]
 
-    def in_tasks(self) -> Model:
-        return Model(None, self.order, self.shards, self.tokens, self.vocabulary, self.hot, self.most)
+    def keys(self, words: np.ndarray) -> np.ndarray:
+        """Numbers of the frequent words, marked hashes of the others."""
+        hashes, number, _ = unpack(get(self.frequent))
+        if not len(hashes):
+            return words | TOP
+        i = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
+        return np.where(hashes[i] == words, number[i].astype("<u8"), words | TOP)
 
 
 def _rows(batches, *columns: str):
@@ -228,23 +269,26 @@ def train(blocks: DataFrame, order: int = 3, hot: int = HOT) -> Model:
         raise ValueError("order must be at least 2")
     spark = blocks.sparkSession
     root = _folder(spark, "lm-model")
-    counts = blocks.select(F.inline(F.arrays_zip("words", "counts"))).groupBy("words").agg(F.sum("counts").alias("n"))
-    counts = written(counts, "lm-words")
+    counts = _spread(blocks).mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = _written(counts, "lm-words")
     vocabulary, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    name = f"{root}/hot-{uuid.uuid4().hex}"
+    name = f"{root}/frequent-{uuid.uuid4().hex}"
 
     def save(batches):
-        rows = [*_rows(batches, "words", "n")]
-        words, n = np.array([r[0] for r in rows], "<i8").view("<u8"), np.array([r[1] for r in rows], "<i8")
-        by = np.argsort(words)
-        put(name, pack(words[by], n[by]))
-        yield pa.RecordBatch.from_pydict({"n": pa.array([len(rows)], pa.int64())})
-    counts.where(F.col("n") > hot).repartition(1).mapInArrow(save, "n long").count()
+        table = [(b.column("word").to_numpy(), b.column("n").to_numpy()) for b in batches]
+        words = np.concatenate([t[0] for t in table] or [np.zeros(0, "<i8")]).view("<u8")
+        n = np.concatenate([t[1] for t in table] or [np.zeros(0, "<i8")])
+        number, by = np.empty(len(n), np.int64), np.argsort(words)
+        number[np.lexsort((words, -n))] = np.arange(len(n))
+        put(name, pack(words[by], narrow(number[by]), narrow(-np.sort(-n))))
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(n)], pa.int64())})
+    often = counts.where(F.col("n") > F.greatest(F.lit(1), F.lit(tokens) / RARE))
+    often.coalesce(1).mapInArrow(save, "n long").count()
     model = Model(None, order, max(1, math.ceil(tokens / SHARD)), tokens, vocabulary, name, hot)
 
     def ask(batches):
         for block, in _rows(batches, "block"):
-            b = Block(block, order)
+            b = Block(block, model)
             for shard, g in b.dealt(model, np.flatnonzero(b.count)):
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": [block],
                                                   "payload": pa.array([b.request(g, b.count[g])], pa.binary())})
@@ -259,13 +303,13 @@ def train(blocks: DataFrame, order: int = 3, hot: int = HOT) -> Model:
                 parts, waiting = [_folded(parts)], 0
         if parts:
             words, grams, n = _folded(parts)
-            known, total = model.hot_words()
-            both, i, j = np.intersect1d(words, known, assume_unique=True, return_indices=True)
-            file = f"{root}/trie-{uuid.uuid4().hex}"
-            Trie.build(file, words, grams, n, MU, dict(zip(i.tolist(), total[j].tolist(), strict=True)))
+            often, file = model.often(), f"{root}/trie-{uuid.uuid4().hex}"
+            shared = words[:np.searchsorted(words, np.uint64(len(often)))]
+            total = often[shared.astype(np.int64)].astype(np.int64)
+            Trie.build(file, words, grams, n, MU, {i: int(total[i]) for i in np.flatnonzero(total > hot).tolist()})
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [file]})
     asked = _spread(blocks).mapInArrow(ask, REQUEST).repartitionById(model.shards, "shard")
-    model.manifest = written(asked.mapInArrow(build, "shard int, file string"), "lm-tries")
+    model.manifest = _written(asked.mapInArrow(build, "shard int, file string"), "lm-tries")
     return model
 
 
@@ -277,11 +321,11 @@ def _spread(blocks: DataFrame) -> DataFrame:
 
 def score(model: Model, blocks: DataFrame) -> DataFrame:
     """Scores of every document of the blocks."""
-    m, order = model.in_tasks(), model.order
+    m, order = replace(model, manifest=None), model.order
 
     def ask(batches):
         for block, in _rows(batches, "block"):
-            b = Block(block, order)
+            b = Block(block, m)
             for shard, g in b.dealt(m, np.arange(b.grams.shape[1])):
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": [block],
                                                   "payload": pa.array([b.request(g)], pa.binary())})
@@ -301,7 +345,7 @@ def score(model: Model, blocks: DataFrame) -> DataFrame:
 
     def add(batches):
         for block, replies in groupby(_rows(batches, "block", "shard", "payload"), lambda r: r[0]):
-            yield _scored(Block(block, order), m, {shard: payload for _, shard, payload in replies})
+            yield _scored(Block(block, m), m, {shard: payload for _, shard, payload in replies})
     files = model.manifest.select("shard", F.lit(None).cast("string").alias("block"), F.col("file").cast("binary").alias("payload"))
     names = _spread(blocks)
     asked = names.mapInArrow(ask, REQUEST).unionByName(files)
