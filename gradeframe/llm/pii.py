@@ -1,14 +1,20 @@
 """PII by bootstrapped contextual extraction; DataFrame functions only.
 
-The base rules give seed entities (email, ip, card, phone). A seed's lexical
-pattern is its kind and the last two words of the text before it. What no base
-rule covers, but has the shape of a kind, is a candidate instance with patterns
-of its own: tokens with a digit, runs of digit groups with spaces or brackets
-between them, and mail addresses with "@" or a bracketed "at" (no digit asked). The graph of distinct (pattern, instance)
-edges is scored in ``ROUNDS`` rounds: a pattern by the mean score of its
-instances (plus one unknown), an instance by the mean of its patterns, seeds
-stay at 1. Patterns with ``SEEDS`` distinct seeds and confidence ``SURE`` add
-their candidates as spans of the pattern's kind.
+The base rules give seed entities (email, ip, card, phone). What no base rule
+covers, but has the shape of a kind, is a candidate instance: tokens with a
+digit, runs of digit groups with spaces or brackets between them, and mail
+addresses with "@" or a bracketed "at" (no digit asked). The places of both
+induce lexical patterns of their kind: the last two words before, the last word
+before with the first after, the label that begins the line ("Phone:"), and,
+weaker, the last word before alone and the first after alone.
+
+The graph of distinct (pattern, instance) edges is scored in rounds: a pattern
+by the mean score of its instances (plus one unknown), an instance by the mean
+of its patterns, known instances stay at 1. A pattern is good with ``SEEDS``
+distinct known instances and a score of ``SURE``. A candidate with a good
+pattern, or with two good weak ones, is known from then on and supports
+patterns as the seeds do. Rounds go on until one finds no new instance; known
+ones never leave, so they end. Every place of a known candidate is a span.
 
 Null or empty text has no spans. Repeated rows get the same spans. The graph is
 aggregated before every join, so a frequent pattern is one row for each
@@ -41,21 +47,26 @@ RUN = {"email": f"(?<![^{_SPACE}])[^{_SPACE}@(\\[]++(?:@|{_AT})[^{_SPACE}@(\\[]+
        "phone": "(?:(?<![0-9A-Za-z])[0-9]|(?<![0-9A-Za-z(])[(][0-9])(?:[-./() ]{0,3}[0-9]){6,14}(?![0-9A-Za-z])"}
 #: digits of a token that is a whole identifier, so that a run from the same place on takes in something else
 WHOLE = {"email": 99, "card": 12, "phone": 9}
-ROUNDS, SEEDS, SURE = 2, 5, 0.5
-SPAN = "array<struct<start:int,kind:int,end:int,value:string,before:string>>"
+SEEDS, SURE = 5, 0.5
+SPAN = "array<struct<start:int,kind:int,end:int,value:string,before:string,after:string>>"
 
 
 def _spans(text: Column, regex: str, kind: int, ok) -> Column:
     """Matches of ``regex`` that pass ``ok``, as SPAN: the pieces between the matches give their places.
-    ``before`` is the end of the whole text before the match, whatever was matched there."""
-    both = F.arrays_zip(F.split(text, regex).alias("p"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("m"))
+    ``before`` is the end of the whole text before the match, whatever was matched there; ``after`` what follows it up to
+    the end of the next match."""
+    found = F.array(F.struct(F.split(text, regex).alias("p"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("m")))
+    both = F.element_at(F.transform(found, lambda f: F.transform(f["p"], lambda p, i: F.struct(
+        p.alias("p"), F.get(f["m"], i).alias("m"),
+        F.left(F.concat(F.coalesce(F.get(f["p"], i + 1), F.lit("")), F.coalesce(F.get(f["m"], i + 1), F.lit(""))), F.lit(40)).alias("after")))), 1)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("out"))
 
     def add(acc, x):
         lo = acc["at"] + F.length(x["p"])
         hi = lo + F.length(x["m"])
         before = F.right(F.concat(acc["tail"], x["p"]), F.lit(80))
-        span = F.struct(lo.alias("start"), F.lit(kind).alias("kind"), hi.alias("end"), x["m"].alias("value"), before.alias("before"))
+        span = F.struct(lo.alias("start"), F.lit(kind).alias("kind"), hi.alias("end"), x["m"].alias("value"), before.alias("before"),
+                        x["after"].alias("after"))
         return F.struct(F.coalesce(hi, lo).alias("at"), F.right(F.concat(before, F.coalesce(x["m"], F.lit(""))), F.lit(80)).alias("tail"),
                         F.when(x["m"].isNotNull() & ok(x["m"]), F.array_append(acc["out"], span))
                         .otherwise(acc["out"]).cast(SPAN).alias("out"))
@@ -82,10 +93,20 @@ def _base(text: Column) -> Column:
     return F.array_sort(F.concat(*cases))
 
 
-def _context(before: Column) -> Column:
-    """The last two words before a span in lower case; null when there are fewer."""
-    tail = F.regexp_extract(F.lower(before), f"([^{_SPACE}]+)[{_SPACE}]+([^{_SPACE}]+)[{_SPACE}]*$", 0)
-    return F.nullif(F.array_join(F.array_remove(F.split(tail, f"[{_SPACE}]+"), ""), " "), F.lit(""))
+def _patterns(before: Column, after: Column) -> Column:
+    """(pattern, weight) of a place, in lower case; weight 2 is enough alone, weight 1 not."""
+    low = F.lower(before)
+    two = F.regexp_extract(low, f"([^{_SPACE}]+)[{_SPACE}]+([^{_SPACE}]+)[{_SPACE}]*$", 0)
+    two = F.array_join(F.array_remove(F.split(two, f"[{_SPACE}]+"), ""), " ")
+    left = F.regexp_extract(low, f"([^{_SPACE}]+)[{_SPACE}]*$", 1)
+    right = F.regexp_extract(F.lower(after), f"^[{_SPACE}]*([^{_SPACE}]+)", 1)
+    label = F.regexp_extract(low, "(?:^|\n)[ \t]*([^\n:=]{1,40})[:=][ \t]*$", 1)
+
+    def one(name, c, weight):
+        return F.when(F.length(c) > 0, F.struct(F.concat(F.lit(name + " "), c).alias("pattern"), F.lit(weight).alias("weight")))
+    both = F.when((F.length(left) > 0) & (F.length(right) > 0), F.concat_ws(" ", left, right))
+    return F.array_compact(F.array(one("before:", two, 2), one("around:", both, 2), one("label:", label, 2),
+                                   one("last:", left, 1), one("next:", right, 1)))
 
 
 def _candidates(text: Column, base: Column) -> Column:
@@ -109,18 +130,24 @@ def _candidates(text: Column, base: Column) -> Column:
     return F.concat(*[of_kind(i, k) for i, k in enumerate(KINDS)])
 
 
-def _sure(edges: DataFrame) -> DataFrame:
-    """Patterns (kind, context) that pass; ``edges`` are distinct (kind, context, value, seed)."""
+def _known(edges: DataFrame) -> DataFrame:
+    """The candidates (kind, value) that become known; ``edges`` are distinct (kind, pattern, weight, value, seed)."""
     edges = written(edges, "pii-edges")
-    score = edges.select("kind", "value", F.col("seed").cast("double").alias("s")).groupBy("kind", "value").agg(F.max("s").alias("s"))
-    for last in [False] * ROUNDS + [True]:
-        pat = edges.join(score, ["kind", "value"]).groupBy("kind", "context").agg(
-            (F.sum("s") / (F.count("*") + 1)).alias("conf"), F.sum(F.col("seed").cast("long")).alias("seeds"))
-        pat = written(pat, "pii-patterns")
-        if not last:
-            score = edges.join(pat.select("kind", "context", "conf"), ["kind", "context"]).groupBy("kind", "value").agg(
-                F.when(F.max("seed"), 1.0).otherwise(F.avg("conf")).alias("s"))
-    return pat.where((F.col("seeds") >= SEEDS) & (F.col("conf") >= SURE)).select("kind", "context")
+    state = edges.groupBy("kind", "value").agg(F.max("seed").alias("seed"))
+    state = state.select("kind", "value", "seed", F.col("seed").alias("known"), F.col("seed").cast("double").alias("s"))
+    count, before = None, -1
+    while count != before:
+        before = count
+        pat = edges.join(state.select("kind", "value", "known", "s"), ["kind", "value"]).groupBy("kind", "pattern").agg(
+            (F.sum("s") / (F.count("*") + 1)).alias("conf"), F.count_if("known").alias("support"))
+        good = (F.col("support") >= SEEDS) & (F.col("conf") >= SURE)
+        scored = edges.where("not seed").join(pat.select("kind", "pattern", "conf", good.alias("good")), ["kind", "pattern"]).groupBy(
+            "kind", "value").agg(F.avg("conf").alias("mean"), F.sum(F.when(F.col("good"), F.col("weight")).otherwise(0)).alias("weight"))
+        known = F.col("known") | F.coalesce(F.col("weight") >= 2, F.lit(False))
+        state = written(state.join(scored, ["kind", "value"], "left").select(
+            "kind", "value", "seed", known.alias("known"), F.when(known, 1.0).otherwise(F.coalesce("mean", F.lit(0.0))).alias("s")), "pii-state")
+        count = state.where("known").count()
+    return state.where("known and not seed").select("kind", "value")
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -131,14 +158,15 @@ def found(docs: DataFrame) -> DataFrame:
     mine = written(mine.select("doc_id", "_key", "pii_base", "cand").where((F.size("pii_base") > 0) | (F.size("cand") > 0))
                    .dropDuplicates(["doc_id", "_key"]), "pii-spans")
 
-    def listed(col, seed):
-        s = mine.select("doc_id", "_key", F.explode(col).alias("s"))
-        return s.select("doc_id", "_key", "s", F.col("s.kind").alias("kind"), _context(F.col("s.before")).alias("context"),
-                        F.col("s.value").alias("value"), F.lit(seed).alias("seed")).where("context is not null")
-    cand = listed("cand", False)
-    edges = listed("pii_base", True).drop("doc_id", "_key", "s").unionByName(cand.drop("doc_id", "_key", "s"))
-    edges = edges.groupBy("kind", "context", "value").agg(F.max("seed").alias("seed"))
-    new = cand.join(_sure(edges), ["kind", "context"]).groupBy("doc_id", "_key").agg(F.collect_set("s").alias("new"))
+    def listed(col):
+        return mine.select("doc_id", "_key", F.explode(col).alias("s")).select("doc_id", "_key", "s", "s.kind", "s.value")
+
+    def edges(spans, seed):
+        return spans.select("kind", "value", F.explode(_patterns(F.col("s.before"), F.col("s.after"))).alias("p"), F.lit(seed).alias("seed"))
+    cand = listed("cand")
+    graph = edges(listed("pii_base"), True).unionByName(edges(cand, False)).groupBy(
+        "kind", "value", F.col("p.pattern").alias("pattern"), F.col("p.weight").alias("weight")).agg(F.max("seed").alias("seed"))
+    new = cand.join(_known(graph), ["kind", "value"]).groupBy("doc_id", "_key").agg(F.collect_set("s").alias("new"))
     new = new.withColumnsRenamed({"doc_id": "_d", "_key": "_k"})
     spans = mine.join(new, mine["doc_id"].eqNullSafe(new["_d"]) & (mine["_key"] == new["_k"]), "left").select(
         F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), F.col("pii_base").alias("_base"),

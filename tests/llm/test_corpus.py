@@ -1,6 +1,8 @@
 """Near-dedup, packing, PII and decontamination on a small fixture with nulls, empty, repeated and odd texts."""
 
+import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -245,3 +247,68 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert near_dedup.near_dedup(none).count() == pii.found(none).count() == decontaminate.judged(none, bench).count() == 0
     assert packing.pack(none, P.path("byte_bpe_50k.json")).count() == 0
+
+
+def base_spans(t):
+    """The base rules as plain Python: (start, kind number, end)."""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 12 <= len(d) <= 19 and sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+        if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def test_pii_base_against_brute_force(spark, tmp_path):
+    from gradeframe.llm.pii import KINDS, op10_pii
+    rnd = random.Random(5)
+    bits = ["a.b@c.de", "x@y", "@", "1.2.3.4", "1.2.3.999", "1.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1111", "411111111111111",
+            "+1 (743) 555-3824", "+49.30.1234567", "+1", " ", "  ", "\n", "é😀", "word", ".", "-", "+", "(", "00000000000000", "9" * 40, "1..2", "a@b.c.d-e"]
+    texts = [None, "", "+1 2", *["".join(rnd.choices(bits, k=rnd.randrange(1, 14))) for _ in range(300)], "4" * 5000 + " a@b.cd"]
+    texts += texts[3:6]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op10_pii(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in rows) == [*range(len(texts))]
+    for r in rows:
+        want = base_spans(texts[r.doc_id] or "")
+        line = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in want)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in want) for i in range(4)], texts[r.doc_id]
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert set(line.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def learned(spark, texts):
+    from gradeframe.llm.pii import found
+    rows = found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r.doc_id: [(s["kind"], s["value"]) for s in r.pii_all if s not in r.pii_base] for r in rows}
+
+
+def test_pii_patterns_of_each_level(spark):
+    for form in ("{w} fax {w}\nPhone: {v}", "{w} ring {v} {w}", "{w} ring {v} today", "{w} so {w}{i} dial {v} soon {w}"):
+        fill = lambda i, v: form.format(w=f"w{chr(97 + i)}x", i=i, v=v)  # noqa: E731, B023
+        got = learned(spark, [fill(i, f"+1 (743) 555-38{i:02d}") for i in range(10, 22)] + [fill(3, "743-555-3800"), "w was 743-555-3801 w"])
+        weak = form == "{w} ring {v} {w}"           # one word on one side only is not enough
+        assert got[12] == ([] if weak else [(3, "743-555-3800")]) and got[13] == [], form
+
+
+def test_pii_known_candidates_support_new_patterns(spark):
+    numbers = [f"743-555-38{i}" for i in range(10, 20)]
+    texts = [f"please ring me on +1 (743) 555-38{i:02d} w{i}" for i in range(30, 60)]
+    texts += [f"please ring me on {n} x{i}" for i, n in enumerate(numbers)]               # first round
+    texts += [f"y{i} his mobile was {n} z{i}" for i, n in enumerate(numbers)]             # the same numbers elsewhere
+    got = learned(spark, [*texts, "q his mobile was 209-555-1111 r", "t an order of 209-555-2222 u"])
+    n = len(texts)
+    assert got[n] == [(3, "209-555-1111")] and got[n + 1] == []
+    assert all(got[i] == [(3, numbers[(i - 30) % 10])] for i in range(30, n))
+
+
+def test_pii_pattern_without_support_stays_unused(spark):
+    texts = [f"a lot no +1 (743) 555-38{i:02d} x" for i in range(10, 14)]                 # four seeds, five are asked
+    texts += [f"item code {i}43-555-3800 sold" for i in range(1, 9)]
+    assert not any(learned(spark, [*texts, "a lot no 743-555-3800 x"]).values())
