@@ -93,7 +93,12 @@ class EliasFano:
         at = (values >> bits) + np.arange(n)
         words = np.zeros((int(at[-1]) // 64 + 1) * 8, np.uint8)
         np.bitwise_or.at(words, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        return np.array([bits]), values & ((1 << bits) - 1), words.view("<u8")
+        return np.array([bits]), narrow(values & ((1 << bits) - 1)), words.view("<u8")
+
+    def every(self) -> np.ndarray:
+        """The whole sequence: the place of each one bit less the ones before it, then the low bits."""
+        at = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[:len(self.low)]
+        return ((at - np.arange(len(at))) << self.bits) | self.low
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         out = np.empty(len(i), np.int64)
@@ -131,6 +136,11 @@ class Trie:
             low, high, own, back, *pointers = arrays[7 * i:7 * i + (4 if last else 7)]
             self.levels.append((Ids(low, high), own, back, None if last else EliasFano(*pointers)))
 
+    def open(self) -> Trie:
+        """For many searches: ids and pointers decoded once, as a shard has as many requests as nodes."""
+        self.levels = [(ids[:].astype(np.int32), own, back, pointers and pointers.every()) for ids, own, back, pointers in self.levels]
+        return self
+
     @staticmethod
     def build(uri: str, words: np.ndarray, grams: np.ndarray, counts: np.ndarray, mu: float, whole=None) -> None:
         """``grams``: distinct n-grams as ascending columns of ranks in the ascending ``words``; ``whole``: the counts of
@@ -152,7 +162,7 @@ class Trie:
             last = i == len(first) - 1
             out += [*Ids.arrays(grams[i, at]), own, np.zeros(0, "<u2") if last else quantised(np.log10(mu / (n + mu)))]
             if not last:
-                out += map(narrow, EliasFano.arrays(np.searchsorted(first[i + 1], np.append(at, grams.shape[1]))))
+                out += EliasFano.arrays(np.searchsorted(first[i + 1], np.append(at, grams.shape[1])))
             above = n
         put(uri, pack(*out))
 

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from gradeframe.session import scratch_path
 
 from .common import documents, written
-from .ef_trie import ABSENT, Trie, firsts, get, log10_of, narrow, pack, put, unpack
+from .ef_trie import ABSENT, Trie, firsts, get, log10_of, narrow, pack, put, quantised, unpack
 from .shingles import mix, word_hashes
 
 BLOCK = 8 << 20
@@ -159,7 +159,7 @@ class Block:
         padded = np.full(len(seq) + (order - 2) * len(m), w - 1)
         padded[np.arange(len(seq)) + (order - 2) * np.repeat(np.arange(len(m)), m + 1)] = seq
         begin = np.arange(len(doc)) + (order - 1) * doc
-        self.token = padded[begin + 1]
+        self.first, self.token = padded[begin], padded[begin + 1]
         self.at, last, parent = [], [], []
         for i in range(order):
             word = padded[begin + i]
@@ -334,7 +334,7 @@ def score(model: Model, blocks: DataFrame) -> DataFrame:
         trie = None
         for shard, block, payload in _rows(batches, "shard", "block", "payload"):
             if block is None:                       # the first row of a shard names its file
-                trie = Trie(payload.decode())
+                trie = Trie(payload.decode()).open()
                 continue
             words, grams, _ = _nested(payload, order)
             first = firsts(grams)
@@ -363,6 +363,12 @@ def _scored(b: Block, m: Model, replies: dict[int, bytes]) -> pa.RecordBatch:
         count[b.grams[0, g[firsts(b.grams[:1, g])[0]]]] = c
         for values, at, code in zip([*own, *back], [*node[1:], *node[:-1]], codes, strict=True):
             values[at] = code
+    # a part of a hot word may hold none of its training n-grams: its count is known without the trie
+    often = m.often().astype(np.int64)
+    hot = np.flatnonzero(b.words < np.uint64(int((often > m.hot).sum())))
+    count[hot] = often[b.words[hot].astype(np.int64)]
+    to = np.flatnonzero(np.isin(b.first, hot))
+    back[0][b.at[0][to]] = quantised(np.log10(MU / (count[b.first[to]] + MU)))
     c = count[b.token]
     p = (c + 0.5) / (m.tokens + 0.5 * (m.vocabulary + 1))
     base = np.log10(p)

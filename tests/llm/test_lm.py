@@ -54,7 +54,7 @@ def test_trie(tmp_path):
     for top in (1, 50, 10**9):
         x = np.sort(rng.integers(0, top, 5000))
         a = EliasFano.arrays(x)
-        assert (EliasFano(*a)[np.arange(5000)] == x).all()
+        assert (EliasFano(*a)[np.arange(5000)] == x).all() and (EliasFano(*a).every() == x).all()
     words = np.unique(rng.integers(0, 1 << 63, 40, np.uint64))
     every = np.array(np.unravel_index(np.arange(40 ** 3), (40, 40, 40)))
     kept = np.sort(rng.choice(np.arange(40 ** 3), 3000, replace=False))
@@ -68,6 +68,8 @@ def test_trie(tmp_path):
     more = np.append(words, np.uint64((1 << 64) - 5))           # a word that the trie lacks
     grams = np.concatenate([every, [[40, 3], [3, 40], [3, 3]]], axis=1)
     counts, own, back = Trie(f"file://{tmp_path}/a/trie").descend(more, grams)
+    again = Trie(f"file://{tmp_path}/a/trie").open().descend(more, grams)
+    assert all((x == y).all() for x, y in zip([counts, *own, *back], [again[0], *again[1], *again[2]], strict=True))
     nodes = [[tuple(g) for g in grams[:i + 1, at].T.tolist()] for i, at in enumerate(firsts(grams))]
     assert counts.tolist() == [tree[g] for g in nodes[0]]
     for level, codes in zip(nodes[1:], own, strict=True):
