@@ -78,12 +78,12 @@ class Ordered:
         """The rows numbered ``start`` up to ``stop`` (exclusive), with their number."""
         ends = [f for _, f in self.first[1:]] + [self.count]
         held = [(p, f) for (p, f), e in zip(self.first, ends) if f < stop and e > start] or [(0, 0)]
-        spark = self.stored.sparkSession
-        offs = spark.createDataFrame(held, f"{_P} int, _off long")
-        part = self.stored.where((F.col(_P) >= held[0][0]) & (F.col(_P) <= held[-1][0]))
+        low, high, known = held[0][0], held[-1][0], dict(held)
+        offs = ", ".join(f"{known.get(p, 0)}L" for p in range(low, high + 1))  # an array literal: no job of its own
+        part = self.stored.where((F.col(_P) >= low) & (F.col(_P) <= high))
         local = F.col(_M) - F.shiftleft(F.col(_P).cast("long"), POS_BITS)
-        out = part.join(F.broadcast(offs), _P).withColumn(name, F.col("_off") + local)
-        return out.where((F.col(name) >= start) & (F.col(name) < stop)).drop(_P, _M, "_off")
+        out = part.withColumn(name, F.expr(f"element_at(array({offs}), {_P} - {low - 1})") + local)
+        return out.where((F.col(name) >= start) & (F.col(name) < stop)).drop(_P, _M)
 
 
 def wave_ranges(total: int, first: int, largest: int) -> list[tuple[int, int]]:

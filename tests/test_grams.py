@@ -1,4 +1,4 @@
-"""The Arrow step of the lexical job: bounded memory."""
+"""The Arrow step of the lexical job: bounded memory, and per-row counts that equal those Spark groups by key."""
 
 import random
 import tracemalloc
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gradeframe.functions import grams
-from gradeframe.operators.lexical import stem_tokens
+from gradeframe.operators.lexical import ALL_METRICS, lexical_scores, stem_tokens
 
 
 def brute(toks, n):
@@ -51,6 +51,23 @@ def test_python_objects_do_not_grow_with_the_batch():
     assert peak(5_000) < 1.5 * peak(500)
 
 
+def test_rows_counted_in_place_equal_grouped_rows(spark):
+    rng = random.Random(3)
+    words = ["Running", "runs", "cats", "3.5", "the", "the", "generalization", "e-mail,", "x"]
+    text = lambda: None if rng.random() < 0.1 else " ".join(rng.choice(words) for _ in range(rng.randrange(30)))
+    pairs = spark.createDataFrame([(i, text(), text()) for i in range(200)], "pair_id long, reference string, candidate string")
+    for stem in (True, False):
+        for metrics in (ALL_METRICS, ["rouge2"], ["rougeL"]):
+            grouped, own = (sorted(map(tuple, lexical_scores(pairs, stem=stem, metrics=metrics, unique=u).collect())) for u in (False, True))
+            assert grouped == own and len(own) == 200
+
+
+def test_rows_counted_in_place_make_no_gram_records(spark):
+    pairs = spark.createDataFrame([(1, "a b", "a")], "pair_id long, reference string, candidate string")
+    plan = lexical_scores(pairs, unique=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_stem_lists(spark):
     df = spark.createDataFrame([(0, ["running", "cat"]), (1, None), (2, []), (3, ["cats", None])], "i int, t array<string>")
     rows = df.where("i < 3").select("i", stem_tokens(F.col("t")).alias("s")).orderBy("i").collect()
