@@ -1,9 +1,9 @@
 """Lexical overlap metrics as one Spark job: BLEU, ROUGE-1/2/L, keywords.
 
-Plan (one shuffle in total):
+Plan (one shuffle in total), where keys may repeat:
 
 1. Map side, per pair: tokenise both texts for BLEU (13a) and ROUGE, stem
-   the ROUGE tokens and measure their LCS in one Arrow-batched pandas UDF
+   the ROUGE tokens and measure their LCS in one Arrow UDF over token codes
    (the only Python step), extract keywords.
 2. ``repartition(n, key)`` of the token arrays: the only Exchange. (A
    Python operator placed after it would hide the partitioning from the
@@ -17,8 +17,13 @@ Plan (one shuffle in total):
    join is needed.
 4. Evaluate the closed-form scores on the one-row-per-key result.
 
-A pair's cost is linear in its token count (hash aggregation) plus the
-bit-parallel LCS; a huge document is one wide row, never a hot key.
+Rows with a key of their own (the evaluate job) need no grouping: their texts
+are dealt out by key first, and the same counts come from each row's token
+arrays in the Arrow UDF.
+
+A pair's cost is linear in its token count (times a logarithm where n-grams
+are sorted) plus the bit-parallel LCS; a huge document is one wide row, never
+a hot key.
 """
 
 from __future__ import annotations
