@@ -1,13 +1,14 @@
 """Flat files of arrays, and an n-gram trie over them: on each level the nodes'
 words as ranks in the file's word list, monotone Elias-Fano pointers to their
 children on the next level, quantised log10 probabilities and back-off weights.
-A trie is a file in the shared folder, memory-mapped where the store is local."""
+A trie is a compressed file in the shared folder, read whole by who searches it."""
 
 from __future__ import annotations
 
 import os
 
 import numpy as np
+import zstandard
 from pyarrow import fs
 
 RANGE = 32.0        # log10 probabilities from -RANGE to 0 in 16 bits
@@ -38,6 +39,20 @@ def unpack(raw) -> list[np.ndarray]:
     return out
 
 
+def _bytewise(a: np.ndarray, back: bool = False) -> np.ndarray:
+    """First bytes first: numbers of like size compress better so."""
+    shape = (a.itemsize, len(a)) if back else (len(a), a.itemsize)
+    return np.ascontiguousarray(a.view(np.uint8).reshape(shape).T).reshape(-1).view(a.dtype)
+
+
+def squeezed(*arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pack(*[_bytewise(a) for a in map(np.ascontiguousarray, arrays)]))
+
+
+def unsqueezed(raw: bytes) -> list[np.ndarray]:
+    return [_bytewise(a, True) for a in unpack(zstandard.ZstdDecompressor().decompress(raw))]
+
+
 def put(uri: str, raw: bytes) -> None:
     store, path = fs.FileSystem.from_uri(uri)
     store.create_dir(os.path.dirname(path), recursive=True)
@@ -128,17 +143,20 @@ class Trie:
     """Levels of n-grams: level 1 holds words with their counts, the last level the longest n-grams."""
 
     def __init__(self, uri: str):
-        order, frequent, rare, self.counts, *arrays = unpack(get(uri))
+        order, frequent, rare, self.counts, *arrays = unsqueezed(get(uri))
         self.words = np.concatenate([frequent.astype("<u8"), rare])
-        self.levels = []
+        self.levels, self.keys = [], None
         for i in range(int(order[0])):
             last = i == int(order[0]) - 1
             low, high, own, back, *pointers = arrays[7 * i:7 * i + (4 if last else 7)]
             self.levels.append((Ids(low, high), own, back, None if last else EliasFano(*pointers)))
 
     def open(self) -> Trie:
-        """For many searches: ids and pointers decoded once, as a shard has as many requests as nodes."""
+        """For many searches: ids and pointers decoded once, as a shard has as many requests as nodes. A node's key, its
+        parent's place and its word, ascends over a level."""
         self.levels = [(ids[:].astype(np.int32), own, back, pointers and pointers.every()) for ids, own, back, pointers in self.levels]
+        above = [np.zeros(len(self.levels[0][0]), np.int64)] + [np.repeat(np.arange(len(p) - 1), np.diff(p)) for _, _, _, p in self.levels[:-1]]
+        self.keys = [parent * len(self.words) + ids for parent, (ids, *_) in zip(above, self.levels, strict=True)]
         return self
 
     @staticmethod
@@ -164,26 +182,26 @@ class Trie:
             if not last:
                 out += EliasFano.arrays(np.searchsorted(first[i + 1], np.append(at, grams.shape[1])))
             above = n
-        put(uri, pack(*out))
+        put(uri, squeezed(*out))
 
     def descend(self, words: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
         """For the nodes of ``grams`` (ranks in ``words``), level by level in their order: the counts of the words (0: absent),
         own parts of levels 2 on (``ABSENT``) and back-off weights of all but the last (0, a weight of 1)."""
-        rank = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        rank = np.where(self.words[rank] == words, rank, -1)
+        rank = _found(self.words, words)
         first, counts, own, back = firsts(grams), None, [], []
         place = None
         for i, (at, (ids, codes, weights, _)) in enumerate(zip(first, self.levels, strict=True)):
             word = rank[grams[i, at]]
-            if i == 0:
-                lo, end = np.zeros(len(at), np.int64), np.full(len(at), len(ids))
+            parent = np.zeros(len(at), np.int64) if i == 0 else place[np.searchsorted(first[i - 1], at, "right") - 1]
+            if self.keys is not None:
+                place = _found(self.keys[i], np.where((parent < 0) | (word < 0), -1, parent * len(self.words) + word))
+            elif i == 0:
+                place = _successor(ids, parent, parent + len(ids), word)
             else:
-                parent = place[np.searchsorted(first[i - 1], at, "right") - 1]
                 known, p = parent >= 0, np.maximum(parent, 0)
                 pointers = self.levels[i - 1][3]
                 lo = pointers[p]
-                end = np.where(known, pointers[p + 1], lo)
-            place = _successor(ids, lo, end, word)
+                place = _successor(ids, lo, np.where(known, pointers[p + 1], lo), word)
             hit, near = place >= 0, np.maximum(place, 0)
             if i == 0:
                 counts = np.where(hit, self.counts[near], 0)
@@ -194,6 +212,12 @@ class Trie:
         return counts, own, back
 
 
+def _found(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The places in ascending ``keys`` of those that are among them, else -1."""
+    near = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[near] == asked, near, -1)
+
+
 def _successor(ids: np.ndarray, lo: np.ndarray, end: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Within each range of ``ids`` the place of the first id not below ``word`` if it is the word, else -1."""
     lo, hi = lo.copy(), end.copy()

@@ -14,6 +14,11 @@
    opens its file and descends it once for each n-gram: the path gives the
    word's count, and every prefix's own part and back-off weight. What one token
    needs at lower orders is on the paths of the n-grams that begin after it.
+   A reply leaves out what follows from the rest of it, without loss (``_reply``).
+
+The disk holds the blocks, the tries (both compressed), and what is dealt to the
+shards and back: for every block a row each way for each shard, so that their
+number grows with the square of the input and their fixed parts weigh more then.
 
 Smoothing is hierarchical with ``MU`` pseudo-counts of the lower order:
 P(w|c) = n(cw) / (n(c) + MU) + MU / (n(c) + MU) * P(w|c'). The trie keeps the
@@ -37,14 +42,13 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe.session import scratch_path
 
 from .common import documents, written
-from .ef_trie import ABSENT, Trie, firsts, get, log10_of, narrow, pack, put, quantised, unpack
+from .ef_trie import ABSENT, RANGE, Trie, firsts, get, log10_of, narrow, pack, put, quantised, squeezed, unpack, unsqueezed
 from .shingles import mix, word_hashes
 
 BLOCK = 8 << 20
@@ -62,19 +66,8 @@ SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
           "base_score double, score double")
 
 
-def _bytewise(a: np.ndarray, back: bool = False) -> np.ndarray:
-    """First bytes first: numbers of like size compress better so."""
-    shape = (a.itemsize, len(a)) if back else (len(a), a.itemsize)
-    return np.ascontiguousarray(a.view(np.uint8).reshape(shape).T).reshape(-1).view(a.dtype)
-
-
 def _small(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pack(*[_bytewise(a if a.dtype.str == "<i8" and len(a) and a.min() < 0 else narrow(a))
-                                                             for a in map(np.ascontiguousarray, arrays)]))
-
-
-def _large(raw: bytes) -> list[np.ndarray]:
-    return [_bytewise(a, True) for a in unpack(zstandard.ZstdDecompressor().decompress(raw))]
+    return squeezed(*[a if a.dtype.str == "<i8" and len(a) and a.min() < 0 else narrow(a) for a in arrays])
 
 
 def _written(df: DataFrame, label: str) -> DataFrame:
@@ -113,7 +106,8 @@ def _encode(root: str, block: int):
                     hashes.append(h)
                     per_doc.append(np.bincount(np.searchsorted(ends, start, "right"), minlength=e - s))
                 n = np.concatenate(per_doc)
-                words, tok = np.unique(np.concatenate([*hashes, [END]]).astype("<u8"), return_inverse=True)
+                coded = pa.array(np.concatenate([*hashes, [END]]).astype("<u8")).dictionary_encode()
+                words, tok = coded.dictionary.to_numpy(), coded.indices.to_numpy()
                 seq = np.full(int(n.sum()) + 2 * len(n), tok[-1])
                 seq[np.arange(len(tok) - 1) + 2 * np.repeat(np.arange(len(n)), n) + 1] = tok[:-1]
                 often = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")
@@ -130,7 +124,7 @@ def _encode(root: str, block: int):
 def _word_counts(batches):
     """The words of each block in documents that are not held out."""
     for block, in _rows(batches, "block"):
-        _, _, held, n, words, seq = _large(bytes(get(block)))
+        _, _, held, n, words, seq = unsqueezed(get(block))
         n = n.astype(np.int64) + 2
         scored = np.repeat(held == 0, n)
         scored[np.cumsum(n) - n] = False              # the end token before a document is context only
@@ -139,13 +133,25 @@ def _word_counts(batches):
         yield pa.RecordBatch.from_pydict({"word": words[seen].view("<i8"), "n": count[seen]})
 
 
+def _ascending(grams, size: int) -> np.ndarray:
+    """The places of n-grams (a row for each word, of numbers below ``size``) in ascending order."""
+    key, top = grams[0].astype(np.int64), size
+    for row in grams[1:]:
+        if top * size >> 63:
+            kept, key = np.unique(key, return_inverse=True)
+            top = len(kept)
+        key, top = key * size + row, top * size
+    return np.argsort(key)
+
+
 class Block:
     """A block's n-grams as a trie of its own: ``at[i]`` is the node on level i + 1 of the n-gram that begins at each
-    token, ``grams`` the distinct n-grams of the highest order, ``above[i]`` their nodes on level i + 1."""
+    token, ``grams`` the distinct n-grams of the highest order, ``above[i]`` their nodes on level i + 1, ``nodes[i]`` the number
+    of nodes there."""
 
     def __init__(self, name: str, model: Model):
         order = model.order
-        self.ids, self.null, held, n, words, seq = _large(bytes(get(name)))
+        self.ids, self.null, held, n, words, seq = unsqueezed(get(name))
         self.ids = self.ids.astype(np.int64)
         keys = np.append(model.keys(words), PAD)
         by = np.argsort(keys, kind="stable")
@@ -153,46 +159,56 @@ class Block:
         number[by] = np.arange(len(by))
         self.held, self.n, self.words, seq = held.astype(bool), n.astype(np.int64), keys[by], number[seq]
         m, w = self.n + 1, len(self.words)
+        self.used, self.rank = np.zeros(w, bool), np.zeros(w, np.int64)     # of the words of one request
         self.starts = np.cumsum(m) - m
         self.place = np.arange(int(m.sum())) - np.repeat(self.starts, m)
         doc = np.repeat(np.arange(len(m)), m)
         padded = np.full(len(seq) + (order - 2) * len(m), w - 1)
         padded[np.arange(len(seq)) + (order - 2) * np.repeat(np.arange(len(m)), m + 1)] = seq
         begin = np.arange(len(doc)) + (order - 1) * doc
-        self.first, self.token = padded[begin], padded[begin + 1]
-        self.at, last, parent = [], [], []
-        for i in range(order):
-            word = padded[begin + i]
-            keys, at = np.unique(word if i == 0 else self.at[-1] * w + word, return_inverse=True)
-            self.at.append(at)
-            last.append(keys % w)
-            parent.append(keys // w)
-        node, grams, self.above = np.arange(len(last[-1])), [], []
-        for i in reversed(range(order)):
-            grams.insert(0, last[i][node])
-            self.above.insert(0, node)
-            node = parent[i][node]
-        self.grams = np.array(grams)
-        self.count = np.bincount(self.at[-1][np.repeat(~self.held, m)], minlength=self.grams.shape[1])
+        rows = [padded[begin + i] for i in range(order)]
+        self.token = rows[1]
+        by = _ascending(rows, w)
+        new = np.zeros(len(by), bool)
+        new[:1] = True
+        self.at, rows, above = [], [row[by] for row in rows], []
+        for row in rows:
+            new[1:] |= row[1:] != row[:-1]
+            above.append(np.cumsum(new, dtype=np.int32) - np.int32(1))
+            self.at.append(np.empty(len(by), np.int32))
+            self.at[-1][by] = above[-1]
+        last = np.flatnonzero(new)
+        self.nodes = [int(a[-1]) + 1 for a in above]
+        self.grams, self.above = np.array([row[last] for row in rows]), [a[last] for a in above]
+        self.count = np.bincount(self.at[-1][np.repeat(~self.held, m)], minlength=len(last))
+
+    def firsts(self, g: np.ndarray) -> list[np.ndarray]:
+        """Among the n-grams ``g`` (ascending) the first of every node, level by level."""
+        return [np.flatnonzero(np.diff(above[g], prepend=-1)) for above in self.above]
 
     def dealt(self, model: Model, only: np.ndarray):
         """(shard, its distinct n-grams) of those of ``only``."""
-        h, often = self.words[self.grams[:2, only]], model.often()
-        parts = np.ones(len(only), np.uint64)
-        hot = np.flatnonzero(h[0] < np.uint64(len(often)))
-        parts[hot] = -(-often[h[0][hot].astype(np.int64)].astype(np.int64) // model.hot)
-        shard = mix(mix(h[0]) + mix(h[1]) % parts * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(model.shards)
-        order = np.argsort(shard, kind="stable")
+        if not len(only):
+            return ()
+        (a, b), often, mixed, parts = self.grams[:2, only], model.often(), mix(self.words), np.ones(len(self.words), np.uint64)
+        known = self.words[:np.searchsorted(self.words, np.uint64(len(often)))].astype(np.int64)
+        parts[:len(known)] = -(-often[known].astype(np.int64) // model.hot)
+        shard = (mix(mixed) % np.uint64(model.shards))[a]
+        hot = np.flatnonzero((parts > 1)[a])
+        shard[hot] = mix(mixed[a[hot]] + mixed[b[hot]] % parts[a[hot]] * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(model.shards)
+        order = np.argsort(narrow(shard), kind="stable")
         found, first = np.unique(shard[order], return_index=True)
-        return zip(found.tolist(), np.split(only[order], first[1:]), strict=True) if len(only) else ()
+        return zip(found.tolist(), np.split(only[order], first[1:]), strict=True)
 
     def request(self, g: np.ndarray, *more: np.ndarray) -> bytes:
         """N-grams as nested nodes: the words, on each level their ranks, and the children's number on all but the last."""
-        grams, used = self.grams[:, g], np.zeros(len(self.words), bool)
-        used[grams] = True
-        words, rank = self.words[used], np.cumsum(used) - 1
-        first = firsts(grams)
-        ranks = [rank[row[at]] for row, at in zip(grams, first, strict=True)]
+        first = self.firsts(g)
+        ranks = [row[g[at]] for row, at in zip(self.grams, first, strict=True)]
+        for row in ranks:
+            self.used[row] = True
+        used = np.flatnonzero(self.used)
+        self.rank[used], self.used[used] = np.arange(len(used)), False
+        words, ranks = self.words[used], [self.rank[row] for row in ranks]
         sizes = [np.diff(np.searchsorted(below, np.append(at, len(g)))) for at, below in zip(first, first[1:], strict=False)]
         cut = np.searchsorted(words, TOP)
         return _small(np.diff(words[:cut], prepend=np.uint64(0)), np.diff(words[cut:], prepend=np.uint64(0)), *ranks, *sizes, *more)
@@ -200,7 +216,7 @@ class Block:
 
 def _nested(raw: bytes, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """A request's words, its n-grams as columns of ranks, and what came with them."""
-    often, rare, *arrays = _large(raw)
+    often, rare, *arrays = unsqueezed(raw)
     ranks, sizes, more = arrays[:order], arrays[order:2 * order - 1], arrays[2 * order - 1:]
     grams = [ranks[-1].astype(np.int64)]
     repeat = np.ones(len(ranks[-1]), np.int64)
@@ -215,11 +231,44 @@ def _folded(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = np.unique(np.concatenate([p[0] for p in parts]))
     grams = np.concatenate([np.searchsorted(words, p[0])[p[1]] for p in parts], axis=1)
     counts = np.concatenate([p[2].astype(np.int64) for p in parts])
-    key = grams[0]
-    for row in grams[1:]:
-        key, first, at = np.unique(key * len(words) + row, return_index=True, return_inverse=True)
-        key = at
-    return words, grams[:, first], np.bincount(at, counts, len(first)).astype(np.int64)
+    by = _ascending(grams, len(words))
+    grams = grams[:, by]
+    first = firsts(grams)[-1]
+    return words, grams[:, first], np.add.reduceat(counts[by], first)
+
+
+LEVEL = 1 << 15
+_COUNTS = np.rint(MU * 10.0 ** ((LEVEL - np.arange(1 << 16)) * (RANGE / 65535)))
+_WEIGHTS = quantised(np.log10(MU / (_COUNTS + MU)))
+_WEIGHTS[0] = 0
+_POWERS = 10.0 ** log10_of(np.arange(1 << 16))
+
+
+def _reply(first: list[np.ndarray], counts: np.ndarray, own: list, back: list) -> bytes:
+    """What ``Trie.descend`` found, without what follows from it. An own part less its context's weight is log10(n / MU), a
+    small set of numbers; 0 marks an absent node. A weight is sent as what it differs from that of so found an n."""
+    out = []
+    for i, code in enumerate(own):
+        begins = np.zeros(int(first[i + 1][-1]) + 1, bool)
+        begins[first[i]] = True
+        parent = (np.cumsum(begins) - 1)[first[i + 1]]
+        out.append(np.where(code == ABSENT, 0, code.astype(np.int64) - back[i][parent] + LEVEL))
+        if i + 1 < len(back):
+            out.append((back[i + 1] - _WEIGHTS[out[-1]].astype(np.int64)) & 0xFFFF)
+    return _small(counts, *out)
+
+
+def _told(b: Block, count: np.ndarray, told: list[np.ndarray]):
+    """The own parts and weights, as probabilities, of the nodes of a block: from the counts of its words and the rest of the replies."""
+    own, back, last = [], [], b.firsts(np.arange(b.grams.shape[1]))
+    weight = quantised(np.log10(MU / (count[b.grams[0, last[0]]] + MU))).astype(np.int64)
+    for i in range(len(last) - 1):
+        back.append(_POWERS[weight])
+        less = told[2 * i]
+        own.append(np.where(less == 0, 0.0, _POWERS[(less + weight[b.above[i][last[i + 1]]] - LEVEL) & 0xFFFF]))
+        if 2 * i + 1 < len(told):
+            weight = (told[2 * i + 1] + _WEIGHTS[less]) & 0xFFFF
+    return own, back
 
 
 @dataclass
@@ -341,7 +390,7 @@ def score(model: Model, blocks: DataFrame) -> DataFrame:
             counts, own, back = trie.descend(words, grams) if trie else (
                 np.zeros(len(first[0]), np.int64), [np.full(len(f), ABSENT) for f in first[1:]], [np.zeros(len(f), np.int64) for f in first[:-1]])
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": [block],
-                                              "payload": pa.array([_small(counts, *own, *back)], pa.binary())})
+                                              "payload": pa.array([_reply(first, counts, own, back)], pa.binary())})
 
     def add(batches):
         for block, replies in groupby(_rows(batches, "block", "shard", "payload"), lambda r: r[0]):
@@ -354,28 +403,23 @@ def score(model: Model, blocks: DataFrame) -> DataFrame:
 
 
 def _scored(b: Block, m: Model, replies: dict[int, bytes]) -> pa.RecordBatch:
-    size = [int(a.max()) + 1 if len(a) else 0 for a in b.at]
     count = np.zeros(len(b.words), np.int64)
-    own, back = [np.zeros(s, np.int64) for s in size[1:]], [np.zeros(s, np.int64) for s in size[:-1]]
+    told = [np.zeros(b.nodes[level // 2 + 1], np.int64) for level in range(2 * len(b.nodes) - 3)]
     for shard, g in b.dealt(m, np.arange(b.grams.shape[1])):
-        node = [above[g][at] for above, at in zip(b.above, firsts(b.grams[:, g]), strict=True)]
-        c, *codes = _large(replies[shard])
-        count[b.grams[0, g[firsts(b.grams[:1, g])[0]]]] = c
-        for values, at, code in zip([*own, *back], [*node[1:], *node[:-1]], codes, strict=True):
-            values[at] = code
+        first, (c, *codes) = b.firsts(g), unsqueezed(replies[shard])
+        count[b.grams[0, g[first[0]]]] = c
+        node = [above[g[at]] for above, at in zip(b.above, first, strict=True)]
+        for level, (values, code) in enumerate(zip(told, codes, strict=True)):
+            values[node[level // 2 + 1]] = code
     # a part of a hot word may hold none of its training n-grams: its count is known without the trie
-    often = m.often().astype(np.int64)
-    hot = np.flatnonzero(b.words < np.uint64(int((often > m.hot).sum())))
+    often = m.often()
+    hot = np.flatnonzero(b.words < np.uint64(len(often) - np.searchsorted(often[::-1], m.hot, "right")))
     count[hot] = often[b.words[hot].astype(np.int64)]
-    to = np.flatnonzero(np.isin(b.first, hot))
-    back[0][b.at[0][to]] = quantised(np.log10(MU / (count[b.first[to]] + MU)))
-    c = count[b.token]
-    p = (c + 0.5) / (m.tokens + 0.5 * (m.vocabulary + 1))
-    base = np.log10(p)
-    for i, (mine, weight) in enumerate(zip(own, back, strict=True)):
-        mine = np.where(mine == ABSENT, 0.0, 10.0 ** log10_of(mine))
+    p = (count + 0.5) / (m.tokens + 0.5 * (m.vocabulary + 1))
+    base, p, c = np.log10(p)[b.token], p[b.token], count[b.token]
+    for i, (mine, weight) in enumerate(zip(*_told(b, count, told), strict=True)):
         to = np.flatnonzero(b.place >= i)           # tokens that have as long a context; it begins i + 1 tokens before
-        p[to] = mine[b.at[i + 1][to - i]] + 10.0 ** log10_of(weight[b.at[i][to - i]]) * p[to]
+        p[to] = mine[b.at[i + 1][to - i]] + weight[b.at[i][to - i]] * p[to]
     total = lambda v: np.add.reduceat(v, b.starts)
     return pa.RecordBatch.from_pydict({
         "doc_id": pa.array(b.ids, pa.int64(), mask=b.null.astype(bool)), "held_out": pa.array(b.held), "n_tokens": pa.array(b.n + 1),

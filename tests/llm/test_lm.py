@@ -122,3 +122,43 @@ def test_query_scores_with_trigrams(spark, tmp_path):
     got, two, three = ({r.doc_id: r.score for r in d.collect()} for d in (
         op8_lm_scoring(spark, str(tmp_path)), score_documents(docs, held, 2), score_documents(docs, held, 3)))
     assert got == pytest.approx(three) and got != pytest.approx(two)
+
+
+def test_files_and_replies_are_small_and_exact(tmp_path):
+    """Bytes a trigram in the trie and in its replies, which the disk holds for every block; nothing is lost in either."""
+    import os
+
+    import pyarrow as pa
+
+    from gradeframe.llm import lm_scoring as lm
+    from gradeframe.llm.ef_trie import ABSENT, Trie, firsts, log10_of, narrow, pack, put
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in np.minimum(rng.zipf(1.3, 400), 5000)) for _ in range(100)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(100), pa.int64()), "text": pa.array([t.encode() for t in texts]),
+                                        "held": pa.array([i % 5 == 1 for i in range(100)])})
+    name = next(lm._encode(f"file://{tmp_path}/blocks", 1 << 22)([batch])).column("block")[0].as_py()
+    put(f"file://{tmp_path}/frequent", pack(np.zeros(0, "<u8"), *[narrow(np.zeros(0, np.int64))] * 2))
+    model = lm.Model(None, 3, 1, 32080, 4000, f"file://{tmp_path}/frequent", lm.HOT)
+    b = lm.Block(name, model)
+    every = np.arange(b.grams.shape[1])
+    seen = np.flatnonzero(b.count)
+    assert [(s, g.tolist()) for s, g in b.dealt(model, seen)] == [(0, seen.tolist())] and len(seen) < len(every)
+    words, grams, (n,) = lm._nested(b.request(seen, b.count[seen]), 3)
+    Trie.build(f"file://{tmp_path}/trie", words, grams, n.astype(np.int64), lm.MU)
+    assert os.path.getsize(f"{tmp_path}/trie") < 6 * len(seen)
+    words, grams, _ = lm._nested(b.request(every), 3)
+    counts, own, back = Trie(f"file://{tmp_path}/trie").open().descend(words, grams)
+    raw = lm._reply(firsts(grams), counts, own, back)
+    assert len(raw) < 1.2 * len(every)
+    count = np.zeros(len(b.words), np.int64)
+    c, *told = lm.unsqueezed(raw)
+    count[b.grams[0, b.firsts(every)[0]]] = c
+    mine, weights = lm._told(b, count, [t.astype(np.int64) for t in told])
+    assert all((x == np.where(y == ABSENT, 0.0, 10.0 ** log10_of(y))).all() for x, y in zip(mine, own, strict=True))
+    assert all((x == 10.0 ** log10_of(y)).all() for x, y in zip(weights, back, strict=True))
+
+
+def test_order_of_ngrams_past_64_bits():
+    from gradeframe.llm.lm_scoring import _ascending
+    grams = np.random.default_rng(5).integers(0, 1 << 30, (4, 2000)) // [[1 << 28], [1 << 29], [1], [1]]
+    assert (grams[:, _ascending(grams, 1 << 30)] == grams[:, np.lexsort(grams[::-1])]).all()
