@@ -25,18 +25,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import LOWER, UPPER, bind, documents, written
 
 KINDS = ("email", "ip", "card", "phone")
-# possessive forms of the base patterns: same matches, no backtracking over long runs
-_LOCAL = "A-Za-z0-9._%+-"
+# possessive forms of the base patterns: same matches, no backtracking over long runs; classes that go over whole texts list
+# their characters one by one, which java.util.regex keeps as one bit set (a range beside them is a chain of calls a character)
+_DIGIT = "0123456789"
+_LOCAL = LOWER + UPPER + _DIGIT + "._%+-"
 REGEX = {"email": f"(?:\\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++",
          "ip": "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++",
          "card": "[0-9]++(?:[ -][0-9]++)*+",
          "phone": "\\+[0-9][ ().0-9-]+[0-9]"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-_SPACE = " \\t-\\r"
-TOKEN = f"(?<![^{_SPACE}])(?=[^{_SPACE}0-9]*+[0-9])[^{_SPACE}]++"
+_SPACE = " \\t\\n\\x0B\\f\\r"
+TOKEN = f"(?<![^{_SPACE}])(?=[^{_SPACE}{_DIGIT}]*+[{_DIGIT}])[^{_SPACE}]++"
 #: what a candidate that no base rule takes must look like
 SHAPE = {"email": "^[^@]+(?:@|[(\\[]at[)\\]])[^@]+$", "ip": "^[0-9a-fA-F]{1,4}(?:[:.][0-9a-fA-F]{0,4}){3,7}$",
          "card": "^[0-9](?:[-./_]?[0-9]){11,18}$", "phone": "^[(]?[0-9](?:[-./() ]*[0-9]){6,14}$"}
@@ -111,23 +113,24 @@ def _patterns(before: Column, after: Column) -> Column:
 
 def _candidates(text: Column, base: Column) -> Column:
     """Spans outside the base spans that have a kind's shape: tokens with a digit, and ``RUN``; a run hides the token it starts with."""
-    tokens = _spans(text, TOKEN, 0, lambda m: F.length(m) > 6)
-
     def free(spans):
         trim = F.transform(spans, lambda s: s.withField("value", F.regexp_replace(s["value"], "[.,;:!?)\"']+$", "")))
         trim = F.transform(trim, lambda s: s.withField("end", (s["start"] + F.length(s["value"])).cast("int")))
         return F.filter(trim, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    tokens = free(tokens)
 
-    def of_kind(i, k):
+    def of_kind(tokens, i, k):
         mine = F.transform(F.filter(tokens, lambda s: s["value"].rlike(SHAPE[k])), lambda s: s.withField("kind", F.lit(i)))
         if k not in RUN:
             return mine
-        runs = F.when(text.rlike(f"@|{_AT}" if k == "email" else "[0-9]"), free(_spans(text, RUN[k], i, lambda m: F.lit(True)))).otherwise(
-            F.array().cast(SPAN))
-        runs = F.filter(runs, lambda s: ~F.exists(mine, lambda t: (t["start"] == s["start"]) & (F.length(_digits(t["value"])) >= WHOLE[k])))
-        return F.concat(runs, F.filter(mine, lambda t: ~F.exists(runs, lambda s: s["start"] == t["start"])))
-    return F.concat(*[of_kind(i, k) for i, k in enumerate(KINDS)])
+        runs = F.when(text.rlike(RUN[k]), free(_spans(text, RUN[k], i, lambda m: F.lit(True)))).otherwise(F.array().cast(SPAN))
+
+        def merged(b):
+            own = F.filter(b["runs"], lambda s: ~F.exists(b["mine"], lambda t: (t["start"] == s["start"]) & (
+                F.length(_digits(t["value"])) >= WHOLE[k])))
+            return bind(own, lambda r: F.concat(r, F.filter(b["mine"], lambda t: ~F.exists(r, lambda s: s["start"] == t["start"]))))
+        return bind(F.struct(mine.alias("mine"), runs.alias("runs")), merged)
+    return bind(free(_spans(text, TOKEN, 0, lambda m: F.length(m) > 6)), lambda tokens: F.concat(
+        *[of_kind(tokens, i, k) for i, k in enumerate(KINDS)]))
 
 
 def _known(edges: DataFrame) -> DataFrame:
@@ -153,10 +156,14 @@ def _known(edges: DataFrame) -> DataFrame:
 def found(docs: DataFrame) -> DataFrame:
     """``docs`` with pii_base and pii_all: arrays of SPAN sorted by start and kind."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    mine = docs.select("doc_id", F.xxhash64("text").alias("_key"), text.alias("_text")).where(F.col("_text").rlike(f"[0-9@]|{_AT}"))
-    mine = mine.withColumn("pii_base", _base(F.col("_text"))).withColumn("cand", _candidates(F.col("_text"), F.col("pii_base")))
-    mine = written(mine.select("doc_id", "_key", "pii_base", "cand").where((F.size("pii_base") > 0) | (F.size("cand") > 0))
-                   .dropDuplicates(["doc_id", "_key"]), "pii-spans")
+    mine = docs.select("doc_id", F.xxhash64("text").alias("_key"), text.alias("_text")).where(
+        F.col("_text").rlike("[0-9@]") | (F.col("_text").rlike("[(\\[]") & F.col("_text").rlike(_AT)))
+    # each regex goes over a text once: spans are bound before they are used, and the rows without any are dropped behind a
+    # generator, since a filter on the spans themselves would be evaluated beside them, with all of their regexes
+    spans = bind(F.col("_text"), lambda t: bind(_base(t), lambda b: F.struct(b.alias("pii_base"), _candidates(t, b).alias("cand"))))
+    some = F.filter(F.array(spans), lambda s: (F.size(s["pii_base"]) > 0) | (F.size(s["cand"]) > 0))
+    mine = mine.select("doc_id", "_key", F.explode_outer(some).alias("s")).where("s is not null").select("doc_id", "_key", "s.pii_base", "s.cand")
+    mine = written(mine.dropDuplicates(["doc_id", "_key"]), "pii-spans")
 
     def listed(col):
         return mine.select("doc_id", "_key", F.explode(col).alias("s")).select("doc_id", "_key", "s", "s.kind", "s.value")
@@ -171,9 +178,11 @@ def found(docs: DataFrame) -> DataFrame:
     spans = mine.join(new, mine["doc_id"].eqNullSafe(new["_d"]) & (mine["_key"] == new["_k"]), "left").select(
         F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), F.col("pii_base").alias("_base"),
         F.array_sort(F.concat("pii_base", F.coalesce("new", F.array().cast(SPAN)))).alias("_all"))
-    out = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_d"]) & (F.xxhash64(docs["text"]) == spans["_k"]), "left")
+    # the key is a column of its own before the join, so that a caller who needs no text shuffles none
+    docs = docs.select("*", F.xxhash64("text").alias("_of"))
+    out = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_d"]) & (docs["_of"] == spans["_k"]), "left")
     none = F.array().cast(SPAN)
-    return out.select(*[docs[c] for c in docs.columns if c not in ("pii_base", "pii_all")],
+    return out.select(*[docs[c] for c in docs.columns if c not in ("pii_base", "pii_all", "_of")],
                       F.coalesce("_base", none).alias("pii_base"), F.coalesce("_all", none).alias("pii_all"))
 
 

@@ -312,3 +312,26 @@ def test_pii_pattern_without_support_stays_unused(spark):
     texts = [f"a lot no +1 (743) 555-38{i:02d} x" for i in range(10, 14)]                 # four seeds, five are asked
     texts += [f"item code {i}43-555-3800 sold" for i in range(1, 9)]
     assert not any(learned(spark, [*texts, "a lot no 743-555-3800 x"]).values())
+
+
+def test_pii_goes_over_a_text_once(spark, tmp_path, monkeypatch):
+    """Each regex of the spans stands once in the plan, and op10 ships no text."""
+    from gradeframe.llm import pii
+    from pyspark.sql import functions as F
+    spark.range(40).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("n"), *[F.col("id") + 1234567 * i for i in range(60)]).alias("text")) \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    plans, write = {}, pii.written
+    monkeypatch.setattr(pii, "written", lambda df, label: (plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString()), write(df, label))[1])
+    limits = ("spark.sql.maxPlanStringLength", "spark.sql.debug.maxToStringFields")
+    try:
+        for c in limits:
+            spark.conf.set(c, "10000000")
+        out = pii.op10_pii(spark, str(tmp_path))
+        final = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for c in limits:
+            spark.conf.unset(c)
+    assert plans["pii-spans"].count("regexp_extract_all(") == len(pii.REGEX) + 1 + len(pii.RUN)
+    below = final[final.index("Exchange"):].split("\n")
+    assert not [x for x in below if "hashpartitioning" in x and "text#" in x]
+    assert out.count() == 40
