@@ -3,6 +3,8 @@ names, word splitting as the query contracts define it, text guards."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,5 +44,18 @@ def bind(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
+@contextmanager
+def small_methods(spark):
+    """Meanwhile no whole-stage code in methods that HotSpot leaves to its interpreter (over 8,000 bytes of bytecode): operators
+    with such expressions run one by one, their expressions split into small compiled methods."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, small_methods, written
 from .components import components
 from .shingles import fingerprint, overlap, shingle_set
 from .vocab_cache import forget
@@ -129,8 +129,9 @@ def _near_sizes(pairs: DataFrame) -> DataFrame:
 def _near_parity(pairs: DataFrame) -> DataFrame:
     """Pairs (n, parity, nx, px) whose signatures allow a Jaccard of 0.75."""
     apart = sum((F.bit_count(F.col("px")[i].bitwiseXOR(F.col("parity")[i])) for i in range(PARITY)), F.lit(0))
-    return pairs.where(F.when(F.greatest("nx", "n") <= FULL, 7 * apart <= F.col("nx") + F.col("n"))
-                       .when(F.least("nx", "n") > FULL, apart <= 2 * K - 2 * _least(F.least("nx", "n"))).otherwise(True))
+    most = F.when(F.greatest("nx", "n") <= FULL, F.floor((F.col("nx") + F.col("n")) / 7)).when(
+        F.least("nx", "n") > FULL, 2 * K - 2 * _least(F.least("nx", "n"))).otherwise(F.lit(64 * PARITY))
+    return pairs.where(apart <= most)
 
 
 def _confirmed(pairs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -165,7 +166,7 @@ def _apart(listed: DataFrame, comps: DataFrame, kept: DataFrame) -> tuple[DataFr
     m = m.join(main.select("value", "main"), "value").join(kept.select(F.col("node").alias("doc"), "parity"), "doc")
     m = written(m, "apart")
     few = m.where("c <> main").select("value", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"),
-                                      F.col("parity").alias("px"))
+                                      F.col("parity").alias("px"), "main")
     return few, m
 
 
@@ -184,10 +185,25 @@ def _leader_pairs(listed: DataFrame, comps: DataFrame, kept: DataFrame, leaders:
 
 
 def _late_pairs(listed: DataFrame, comps: DataFrame, kept: DataFrame) -> DataFrame:
-    """All pairs that share a list but no component yet."""
+    """All pairs that share a list but no component yet. A member outside meets a main component list by list, or each of its
+    members once, in blocks, where the lists that they share would take more pairs than that (copies of one passage share many)."""
     few, m = _apart(listed, comps, kept)
-    return _pairs(few.join(m, "value").where(
-        (F.col("cx") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("x") < F.col("doc")))))
+    inner = m.where("c = main")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    size = written(inner.groupBy("main").agg(F.countDistinct("doc").alias("size")).withColumn("blocks", blocks), "sizes")
+    cost = few.join(inner.groupBy("value").agg(F.count("*").alias("k")), "value").groupBy("x", "main").agg(F.sum("k").alias("cost"))
+    once = written(cost.join(size, "main").where("cost > size").select("x", "main", "blocks"), "once")
+    side = lambda c, *cols: kept.select(F.col("node").alias(c), *cols)
+    block = F.pmod(F.xxhash64("doc", F.lit(BLOCK)), F.col("blocks")).cast("int").alias("block")
+    to = inner.select("main", "doc").distinct().join(once.select("main").distinct(), "main", "left_semi").join(size, "main")
+    to = to.select("main", "doc", block).join(side("doc", F.col("n_shingles").alias("n"), "parity"), "doc")
+    by = once.join(side("x", F.col("n_shingles").alias("nx"), F.col("parity").alias("px")), "x")
+    by = by.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cols = ("x", "nx", "px", "doc", "n", "parity")
+    whole = by.join(to, ["main", "block"]).select(*cols)
+    lists = few.join(once.select("x", "main"), ["x", "main"], "left_anti").join(inner.drop("main"), "value").select(*cols)
+    both = few.join(m.where("c <> main").drop("main"), "value").where("cx <> c and x < doc").select(*cols)
+    return _pairs(whole.unionByName(lists).unionByName(both))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -223,7 +239,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         else:
             pairs = _late_pairs(listed, comps, kept) if round_ == "all" else _leader_pairs(listed, comps, kept, round_)
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+        with small_methods(docs.sparkSession):  # the test of signatures is long
+            pairs = written(pairs, "pairs")
         links = written(_confirmed(pairs, kept), "links").select(F.col("a").alias("u"), F.col("b").alias("v"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         if comps is None:

@@ -335,3 +335,30 @@ def test_pii_goes_over_a_text_once(spark, tmp_path, monkeypatch):
     below = final[final.index("Exchange"):].split("\n")
     assert not [x for x in below if "hashpartitioning" in x and "text#" in x]
     assert out.count() == 40
+
+
+def test_late_pairs_meet_once(spark, monkeypatch):
+    """Members outside a main component meet its members once, not in every list that they share: same pairs as by brute force."""
+    from gradeframe.llm import near_dedup as N
+    from pyspark.sql import functions as F
+    lists = {v: [*range(300), *range(1000, 1008)] for v in range(20)} | {97: [1000, 2000], 98: [5, 3000], 99: [5, 6, 7, 1001, 4000, 4001]}
+    group = lambda d: 0 if d < 300 else 4000 if d in (4000, 4001) else d
+    n = lambda d: 300 if d == 1007 else 100
+    listed = spark.createDataFrame([(v, len(m), d, n(d)) for v, m in lists.items() for d in m], "value long, df long, doc long, n long")
+    nodes = sorted({d for m in lists.values() for d in m})
+    comps = spark.createDataFrame([(d, group(d)) for d in nodes if d < 300 or group(d) == 4000], "node long, component long")
+    kept = spark.createDataFrame([(d, n(d), [0 if d != 1006 else -1] * N.PARITY) for d in nodes], "node long, n_shingles long, parity array<long>")
+    sizes, write = {}, N.written
+
+    def seen(df, label):
+        sizes[label] = (out := write(df, label)).count()
+        return out
+    monkeypatch.setattr(N, "written", seen)
+    pairs = N._late_pairs(listed, comps, kept)
+    got = [tuple(r) for r in pairs.collect()]
+    far = {1006, 1007}                                                                     # by signature, by size
+    want = {(min(x, y), max(x, y)) for m in lists.values() for x in m for y in m if group(x) != group(y) and not {x, y} & far}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sizes["once"] == 8
+    assert N._near_parity(listed.withColumns({"nx": listed["n"], "px": F.array(*[F.lit(0)] * N.PARITY), "parity": F.array(*[F.lit(0)] * N.PARITY)}).limit(1)) \
+        ._jdf.queryExecution().analyzed().toString().count("bit_count(") <= N.PARITY
